@@ -46,6 +46,7 @@ def _choose(rows: DataFrame, buckets: int) -> DataFrame:
     (`n`) up to the end.
     """
     words = F.col("size") * F.col("n")
+    rows = rows.repartition("mixed", "bucket")  # else a join by source leaves each source in one task
     sums = rows.groupBy("mixed", "bucket").agg(F.sum(words).alias("words"))
     sums = sums.select("mixed", "bucket", F.coalesce(F.sum("words").over(Window.partitionBy("mixed").orderBy("bucket").rowsBetween(*BEFORE)), F.lit(0)).alias("start"))
     w = Window.partitionBy("mixed", "bucket").orderBy("order", "doc_id", "size").rowsBetween(*BEFORE)
