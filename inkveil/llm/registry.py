@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, ngram_join, pii, sharding
+from . import mixing, ngram_join, pii, quality_rules, sharding, toxicity
 from .common import table
 
 
@@ -22,8 +22,16 @@ def op4_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark, sf_dir):
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op2_pii, op3_ngram_join, op4_mixing)}
+    return {f.__name__: f for f in (op1_sharding, op2_pii, op3_ngram_join, op4_mixing, op6_quality_rules, op9_toxicity)}
 
 
 def oracle_sql() -> dict:
