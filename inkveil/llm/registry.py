@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, ngram_join, pii, quality_rules, sharding, toxicity
+from . import mixing, ngram_join, pieces, pii, quality_classifier, quality_rules, sharding, toxicity
 from .common import table
 
 
@@ -26,12 +26,20 @@ def op6_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark, sf_dir):
+    return quality_classifier.quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")
+
+
 def op9_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_pieces(spark, sf_dir):
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op2_pii, op3_ngram_join, op4_mixing, op6_quality_rules, op9_toxicity)}
+    return {f.__name__: f for f in (op1_sharding, op2_pii, op3_ngram_join, op4_mixing, op6_quality_rules, op7_quality_classifier, op9_toxicity, op10_pieces)}
 
 
 def oracle_sql() -> dict:
