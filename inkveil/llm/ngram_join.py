@@ -134,7 +134,9 @@ def _mark(n: int, percent: int, buckets: int, hold: int = 1_500_000):
                         held.append(got)
                         owners.append((name, len(got)))
                         count += len(got)
-                yield _rows(FOUND_SCHEMA, bucket=[x % buckets for x in nodes], doc_id=ids.slice(at, 512), n=sizes, node=nodes, text_hash=hashes.slice(at, 512))
+                # documents go on by id as well as by set: copies of one text are not one bucket
+                places = [(x ^ (i or 0) * 0x9E3779B1) % buckets for x, i in zip(nodes, ids.slice(at, 512).to_pylist(), strict=True)]
+                yield _rows(FOUND_SCHEMA, bucket=places, doc_id=ids.slice(at, 512), n=sizes, node=nodes, text_hash=hashes.slice(at, 512))
                 if count >= hold:
                     yield from flush(held, owners)
                     held, owners, names, count = [], [], set(), 0
