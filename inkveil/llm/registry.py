@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, ngram_join, pieces, pii, quality_classifier, quality_rules, sharding, toxicity
+from . import lm_scoring, mixing, ngram_join, pieces, pii, quality_classifier, quality_rules, sharding, toxicity
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op4_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark, sf_dir):
+    return lm_scoring.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_pieces(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op2_pii, op3_ngram_join, op4_mixing, op6_quality_rules, op7_quality_classifier, op9_toxicity, op10_pieces)}
+    return {f.__name__: f for f in (op1_sharding, op2_pii, op3_ngram_join, op4_mixing, op5_lm_scoring, op6_quality_rules, op7_quality_classifier, op9_toxicity, op10_pieces)}
 
 
 def oracle_sql() -> dict:
