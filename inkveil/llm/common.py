@@ -12,16 +12,19 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Compute df once into the shared checkpoint folder and cut its lineage there.
-
-    The folder is the session's spark.checkpoint.dir; only where that is unset, as
-    in tests, a folder of this machine serves.
-    """
-    context = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder, set from spark.checkpoint.dir; only where that is
+    unset, as in tests, a folder of this machine serves."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = context.getConf().get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute df once into the shared checkpoint folder and cut its lineage there."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

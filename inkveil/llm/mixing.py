@@ -105,3 +105,23 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.
     return out.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).withColumn("copies", (F.col("whole") + F.when(F.col("i") <= F.col("hits"), 1).otherwise(0)).cast("long")).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies"
     )
+
+
+def apply_mix(docs: DataFrame, **options) -> DataFrame:
+    """docs as often as the mix takes each, all columns kept; those with no copy go.
+
+    Rows that are equal in doc_id, source and size take their copies together, as so
+    many rows; which of them is told by the text's hash, then at random.
+    """
+    keys = ["doc_id", "source", "size"]
+    mixed = mix(docs, **options).groupBy(*keys).agg(F.sum("copies").alias("copies"), F.count("*").alias("n")).filter("copies > 0")
+    mixed = mixed.select(*[F.col(k).alias(f"mix_{k}") for k in keys], F.col("copies").alias("mix_copies"), F.col("n").alias("mix_n"))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    joined = docs.join(mixed, F.col("doc_id").eqNullSafe(F.col("mix_doc_id")) & F.col("source").eqNullSafe(F.col("mix_source")) & (size == F.col("mix_size")))
+    # a group of one row, as nearly all are, needs no order
+    w = Window.partitionBy("mix_doc_id", "mix_source", "mix_size").orderBy(F.xxhash64("text"))
+    several = joined.filter("mix_n > 1").withColumn("mix_at", F.row_number().over(w) - 1)
+    alone = joined.filter("mix_n = 1").withColumn("mix_at", F.lit(0))
+    each = alone.unionByName(several)
+    share = F.floor(F.col("mix_copies") / F.col("mix_n")) + F.when(F.col("mix_at") < F.col("mix_copies") % F.col("mix_n"), 1).otherwise(0)
+    return each.withColumn("mix_share", share.cast("int")).filter("mix_share > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_share")))).select(*docs.columns)

@@ -227,8 +227,8 @@ def ngram_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 
     Words are runs of other characters than ASCII spaces, A-Z lower-cased. Returns
     doc_id, n_shingles (set size), component_id (the smallest doc_id that links reach,
-    the own one included), n_links (documents linked directly, copies counted): a row
-    for each row of docs. Null and empty texts have an empty set and no links; texts of
+    the own one included), n_links (documents linked directly, copies counted), text_hash (xxhash64 of the text):
+    a row for each row of docs. Null and empty texts have an empty set and no links; texts of
     fewer words than n have one gram. Equal rows are linked copies; a null doc_id counts
     as no id (a component of nulls alone has a null id); other columns are ignored.
 
@@ -272,9 +272,10 @@ def ngram_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     named = nodes.select("node", F.col("least.doc_id").alias("id"), "copies").join(joined, "node", "left").join(counts, "node", "left").withColumn("root", F.coalesce("root", "node"))
     firsts = named.groupBy("root").agg(F.min("id").alias("component_id"))
     named = named.join(firsts, "root").select("node", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
-    return own.select("doc_id", "n", "node").join(named, "node", "left").select(
+    return own.select("doc_id", "text_hash", "n", "node").join(named, "node", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.when(F.col("n") > 0, F.col("links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
+        "text_hash",
     )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import lm_scoring, mixing, ngram_join, pieces, pii, quality_classifier, quality_rules, sharding, toxicity
+import corpus_pipeline
+
+from . import lm_scoring, mixing, ngram_join, pieces, pii, quality_classifier, quality_rules, sharding, toxicity, vector_search
 from .common import table
 
 
@@ -15,7 +17,7 @@ def op2_pii(spark, sf_dir):
 
 
 def op3_ngram_join(spark, sf_dir):
-    return ngram_join.ngram_join(table(spark, sf_dir, "documents"), n=3, percent=90)
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"), n=3, percent=90).drop("text_hash")
 
 
 def op4_mixing(spark, sf_dir):
@@ -34,6 +36,10 @@ def op7_quality_classifier(spark, sf_dir):
     return quality_classifier.quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")
 
 
+def op8_vector_search(spark, sf_dir):
+    return vector_search.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op9_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,8 +48,22 @@ def op10_pieces(spark, sf_dir):
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
+QUERIES = (
+    op1_sharding,
+    op2_pii,
+    op3_ngram_join,
+    op4_mixing,
+    op5_lm_scoring,
+    op6_quality_rules,
+    op7_quality_classifier,
+    op8_vector_search,
+    op9_toxicity,
+    op10_pieces,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op2_pii, op3_ngram_join, op4_mixing, op5_lm_scoring, op6_quality_rules, op7_quality_classifier, op9_toxicity, op10_pieces)}
+    return {f.__name__: f for f in QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
