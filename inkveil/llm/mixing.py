@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import WORD, settle
 
-ALL = (Window.unboundedPreceding, Window.unboundedFollowing)
 BEFORE = (Window.unboundedPreceding, -1)
+#: So many sources at most are sent to all tasks.
+FEW = 50_000
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, total: float | None = None) -> DataFrame:
@@ -86,19 +87,23 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.
         .withColumn("left", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
         .drop("source", "mean")
     )
+    # a table of a row a source goes to every task if it is small; else a large source's rows are split by the join
+    few = plan.count() <= FEW
+    near = (lambda df: F.broadcast(df)) if few else (lambda df: df)
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "mixed", "size"), 11) + 0.5) * F.lit(2.0**-53)
     odds = (u / (1 - u)) / (F.col("part") / (1 - F.col("part")))
     ranked = (
-        counted.join(plan, "mixed")
+        counted.join(near(plan), "mixed")
         .withColumn("odds", F.when(F.col("part") > 0, odds))
         .withColumn("order", F.col("odds") / (1 + F.col("odds")))  # the same order, within 0 and 1
         .withColumn("bucket", F.least(F.lit(buckets - 1), F.floor(F.col("order") * buckets)).cast("int"))
         .withColumn("long", F.col("size") > F.col("left") * large)
     )
     drawn = ranked.filter("part > 0")
-    first = settle(_choose(drawn.filter("long").join(drawn.filter("long").groupBy("mixed").agg(F.sum(F.col("size") * F.col("n")).alias("words")), "mixed").withColumn("want", F.col("words") * F.col("part")).drop("words"), buckets).drop("want"))
+    words = drawn.filter("long").groupBy("mixed").agg(F.sum(F.col("size") * F.col("n")).alias("words"))
+    first = settle(_choose(drawn.filter("long").join(near(words), "mixed").withColumn("want", F.col("words") * F.col("part")).drop("words"), buckets).drop("want"))
     had = first.groupBy("mixed").agg(F.sum(F.col("size") * F.col("hits")).alias("had"))
-    then = _choose(drawn.filter("NOT long").join(had, "mixed", "left").withColumn("want", F.col("left") - F.coalesce("had", F.lit(0))).drop("had"), buckets).drop("want")
+    then = _choose(drawn.filter("NOT long").join(near(had), "mixed", "left").withColumn("want", F.col("left") - F.coalesce("had", F.lit(0))).drop("had"), buckets).drop("want")
     rest = ranked.filter("NOT part > 0").withColumn("hits", F.lit(0).cast("long"))
     out = first.unionByName(then).unionByName(rest)
     # equal rows stand apart again: the first `hits` of them have the copy more
