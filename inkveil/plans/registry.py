@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import text_queries
+from .base import QUERIES, SQL
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items by return flag and status, until the phrase search is registered."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
+    """Terms located in all documents, as page rectangles."""
+    return text_queries.redaction_rects(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
