@@ -34,14 +34,17 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=4096)
-def schemes(size: int, percent: int) -> tuple[tuple[int, int], ...]:
-    """(class, parts) of the pair classes that a set of this size takes part in.
+def schemes(size: int, percent: int) -> tuple[tuple[int, int, int], ...]:
+    """(class, parts, spared) of the pair classes that a set of this size takes part in.
 
     Sizes fall into classes so wide that linked sets are in one class or in two that
     follow each other. Linked sets of sizes a and b differ in at most
-    (a + b) (100 - p) / (100 + p) members; the space of members is cut into one part
-    more than the sets of a pair class can differ in, so that in one part at least
-    they agree wholly. Classes in which linked sets can't differ need no parts.
+    h = (a + b) (100 - p) / (100 + p) members, which spoil h parts of the members' space
+    at most: of h + 1 + s parts they agree in s + 1. In an order of all parts, each set
+    can then spare its first s: of the parts that two sets agree in, the last has s before
+    it in both. Small parts come first, so that it is the empty ones, and those which
+    unlike sets may have in common, that are spared. Classes in which linked sets can't
+    differ need no parts.
     """
     low, held = 1, []
     while low <= size:
@@ -51,9 +54,10 @@ def schemes(size: int, percent: int) -> tuple[tuple[int, int], ...]:
     out = []
     for c in range(max(0, len(held) - 2), len(held)):
         top = held[c][1]
-        parts = (top + 100 * top // percent) * (100 - percent) // (100 + percent) + 1
-        if parts > 1:
-            out.append((c, parts))
+        most = (top + 100 * top // percent) * (100 - percent) // (100 + percent)
+        if most:
+            spared = most // 6 + 1
+            out.append((c, most + 1 + spared, spared))
     return tuple(out)
 
 
@@ -63,13 +67,15 @@ def bounds(parts: int) -> np.ndarray:
 
 
 def marks(members: np.ndarray, percent: int) -> np.ndarray:
-    """A value for each part of each pair class: equal where the sets' members in it are."""
+    """A value for each part of each pair class, equal where the sets' members in it are,
+    without the parts that can be spared."""
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(members ^ ODD[1]), dtype=np.uint64)])
     out = []
-    for c, parts in schemes(len(members), percent):
+    for c, parts, spared in schemes(len(members), percent):
         cuts = np.concatenate([[0], np.searchsorted(members, bounds(parts)), [len(members)]])
         salt = mix64(np.arange(parts, dtype=np.uint64) * ODD[2] + np.uint64(c * 1_000_003 + parts))
-        out.append(mix64(sums[cuts[1:]] - sums[cuts[:-1]] + salt))
+        value = mix64(sums[cuts[1:]] - sums[cuts[:-1]] + salt)
+        out.append(value[np.lexsort((value, np.diff(cuts)))[spared:]])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
