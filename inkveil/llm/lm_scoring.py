@@ -8,6 +8,8 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -16,8 +18,8 @@ from .common import WordHashes, mix64, partitions, settle, words_of
 #: The end of a text is a token; it is also the state in which a text begins.
 END = 0xE17A5C0DE
 PAIR = np.uint64(0x9E3779B97F4A7C15)
-ROW = "block long, shard int, docs binary, grams binary, counts binary"
-ROW_SCHEMA = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("docs", pa.binary()), ("grams", pa.binary()), ("counts", pa.binary())])
+ROW = "key long, block long, shard int, docs binary, grams binary, counts binary"
+ROW_SCHEMA = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("shard", pa.int32()), ("docs", pa.binary()), ("grams", pa.binary()), ("counts", pa.binary())])
 
 
 def pair_of(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -58,23 +60,29 @@ class Automaton:
         return total
 
 
+def shard_of(grams: np.ndarray, shards: int) -> np.ndarray:
+    """Ranges of names: a shard's names lie close, and so their differences are small."""
+    return ((grams >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
 def planes(values: np.ndarray) -> bytes:
-    """Sorted 64-bit values as differences, byte by byte: what is alike stands together."""
-    return np.ascontiguousarray(np.diff(values, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Sorted 64-bit values as differences, byte by byte, so that what is alike stands together."""
+    return zstandard.compress(np.ascontiguousarray(np.diff(values, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
 
 def unplanes(packed: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(8, -1).T).reshape(-1).view(np.uint64), dtype=np.uint64)
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(8, -1).T).reshape(-1).view(np.uint64), dtype=np.uint64)
 
 
 def small(values: np.ndarray) -> bytes:
     """Counts as bytes; those from 255 on follow apart, with their places."""
     big = np.flatnonzero(values >= 255)
     head = np.array([len(big)], np.int64).tobytes()
-    return head + np.minimum(values, 255).astype(np.uint8).tobytes() + big.astype(np.int64).tobytes() + values[big].astype(np.int64).tobytes()
+    return zstandard.compress(head + np.minimum(values, 255).astype(np.uint8).tobytes() + big.astype(np.int64).tobytes() + values[big].astype(np.int64).tobytes(), 1)
 
 
 def unsmall(packed: bytes) -> np.ndarray:
+    packed = zstandard.decompress(packed)
     n = int(np.frombuffer(packed[:8], np.int64)[0])
     end = len(packed) - 16 * n
     out = np.frombuffer(packed[8:end], np.uint8).astype(np.int64)
@@ -103,28 +111,30 @@ def _encode(shards: int, held_out: int, hold: int):
         before[ends[:-1]] = end[0]
         train = np.repeat(~out_of, lengths)
         words, place = np.unique(stream, return_inverse=True)
-        pairs, at = np.unique(pair_of(before, stream), return_inverse=True)
+        place = place.astype(np.uint32)
+        before = pair_of(before, stream)
+        size = len(stream)
+        del stream
+        pairs, at = np.unique(before, return_inverse=True)
+        del before
         grams = np.concatenate([words, pairs])
         counts = np.concatenate([np.bincount(place[train], minlength=len(words)), np.bincount(at[train], minlength=len(pairs))])
+        del at
         order = np.argsort(grams)
         grams, counts = grams[order], counts[order]
-        head = np.array([len(ids), len(words), len(stream)], np.int64).tobytes()
+        head = np.array([len(ids), len(words), size], np.int64).tobytes()
         missing = np.array([i is None for i in ids], np.uint8)
         body = np.array([i or 0 for i in ids], np.int64).tobytes() + missing.tobytes() + out_of.astype(np.uint8).tobytes() + lengths.tobytes()
         order_ = np.argsort(-np.bincount(place, minlength=len(words)), kind="stable")  # frequent words get small numbers
         rank = np.empty(len(words), np.uint32)
         rank[order_] = np.arange(len(words), dtype=np.uint32)
         text = np.ascontiguousarray(rank[place].view(np.uint8).reshape(-1, 4).T).tobytes()
-        import zstandard
-
-        yield [block, -1, zstandard.compress(head + body + words[order_].tobytes() + text, 3), None, None]
-        where = (mix64(grams) % np.uint64(shards)).astype(np.int64)
-        by = np.argsort(where, kind="stable")
-        cuts = np.searchsorted(where[by], np.arange(shards + 1))
+        yield [block + shards, block, -1, zstandard.compress(head + body + words[order_].tobytes() + text, 3), None, None]
+        cuts = np.searchsorted(shard_of(grams, shards), np.arange(shards + 1))
         for s in range(shards):
-            some = by[cuts[s] : cuts[s + 1]]
-            if len(some):
-                yield [block, s, None, planes(grams[some]), small(counts[some])]
+            a, b = cuts[s], cuts[s + 1]
+            if a < b:
+                yield [s, block, s, None, planes(grams[a:b]), small(counts[a:b])]
 
     def run(batches):
         docs, count, made = [], 0, 0
@@ -159,26 +169,32 @@ def _batch(rows):
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ROW_SCHEMA, strict=True)], schema=ROW_SCHEMA)
 
 
-def _add(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A shard's training counts over all blocks, given back to each block for what it has;
-    and, as block null, the sums from which the root is smoothed."""
-    grams = [unplanes(g) for g in pdf["grams"]]
-    counts = [unsmall(c) for c in pdf["counts"]]
-    flat = np.concatenate(grams)
-    order = np.argsort(flat, kind="stable")
-    all_, first = np.unique(flat[order], return_index=True)
-    total = np.add.reduceat(np.concatenate(counts)[order], first)
-    words = total[(all_ & np.uint64(1)) == 0]
-    sums = np.array([words.sum(), (words > 0).sum(), (words == 1).sum(), (words == 2).sum()], np.int64)
-    out = [(b, s, None, None, small(total[np.searchsorted(all_, g)])) for b, s, g in zip(pdf["block"], pdf["shard"], grams, strict=True)]
-    out.append((0, -2, None, None, sums.tobytes()))
-    return pd.DataFrame(out, columns=["block", "shard", "docs", "grams", "counts"])
-
-
-def _score(shards: int, tokens: int, types: int, discount: float, mass: float):
+def _add(batches):
+    """Within a partition: each shard's training counts over all blocks, given back to each
+    block for what it has there, and as shard -2 the sums from which the root is smoothed.
+    Documents pass."""
+    shards: dict[int, list] = {}
+    for batch in batches:
+        docs = pa.compute.equal(batch.column("shard"), -1)
+        yield batch.filter(docs)
+        for _, block, shard, _, grams, counts in zip(*(c.to_pylist() for c in batch.filter(pa.compute.invert(docs)).columns), strict=True):
+            shards.setdefault(shard, []).append((block, grams, counts))
+    while shards:
+        shard, rows = shards.popitem()
+        grams = [unplanes(g) for _, g, _ in rows]
+        flat = np.concatenate(grams)
+        order = np.argsort(flat, kind="stable")
+        all_, first = np.unique(flat[order], return_index=True)
+        total = np.add.reduceat(np.concatenate([unsmall(c) for _, _, c in rows])[order], first)
+        del flat, order, first
+        words = total[(all_ & np.uint64(1)) == 0]
+        sums = np.array([words.sum(), (words > 0).sum(), (words == 1).sum(), (words == 2).sum()], np.int64)
+        yield from _batches([0, block, shard, None, None, small(total[np.searchsorted(all_, g)])] for (block, _, _), g in zip(rows, grams, strict=True))
+        yield _batch([[0, 0, -2, None, None, sums.tobytes()]])
+
+
+def _score(tokens: int, types: int, discount: float, mass: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import zstandard
-
         raw = zstandard.decompress(next(d for d in pdf["docs"] if d is not None))
         n, k, m = np.frombuffer(raw[:24], np.int64)
         ids, raw = np.frombuffer(raw[24 : 24 + 8 * n], np.int64), raw[24 + 8 * n :]
@@ -186,7 +202,7 @@ def _score(shards: int, tokens: int, types: int, discount: float, mass: float):
         lengths, raw = np.frombuffer(raw[: 8 * n], np.int64), raw[8 * n :]
         words, raw = np.frombuffer(raw[: 8 * k], np.uint64), raw[8 * k :]
         place = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).reshape(-1).view(np.uint32)
-        # the block's arcs: its words and pairs, by shard as they were sent, with their counts
+        # the block's arcs: its words and pairs with their counts
         ends = np.cumsum(lengths)
         before = np.concatenate([[0], place[:-1]]).astype(np.int64)
         stream = words[place]
@@ -194,12 +210,8 @@ def _score(shards: int, tokens: int, types: int, discount: float, mass: float):
         state[ends[:-1]] = END
         pair = pair_of(state, stream)
         grams = np.unique(np.concatenate([words, pair]))
-        where = (mix64(grams) % np.uint64(shards)).astype(np.int64)
-        grams = grams[np.argsort(where, kind="stable")]
-        got = pdf[pdf["docs"].isna()].sort_values("shard")
-        counts = np.concatenate([unsmall(c) for c in got["counts"]])
-        order = np.argsort(grams)
-        grams, counts = grams[order], counts[order]
+        # in the order of their names, as shards are ranges of these
+        counts = np.concatenate([unsmall(c) for c in pdf[pdf["docs"].isna()].sort_values("shard")["counts"]])
         of_word = counts[np.searchsorted(grams, words)]
         of_end = counts[np.searchsorted(grams, np.uint64(END))]
         c = of_word[place]
@@ -222,7 +234,7 @@ def _score(shards: int, tokens: int, types: int, discount: float, mass: float):
     return run
 
 
-def lm_scores(docs: DataFrame, held_out: int = 1, mass: float = 50.0, block_tokens: int = 4_000_000) -> DataFrame:
+def lm_scores(docs: DataFrame, held_out: int = 1, mass: float = 50.0, block_tokens: int = 2_500_000) -> DataFrame:
     """Score whole documents (doc_id, text) by a word model of those whose crc32(doc_id as
     text) mod 5 is not `held_out`.
 
@@ -240,16 +252,15 @@ def lm_scores(docs: DataFrame, held_out: int = 1, mass: float = 50.0, block_toke
     each block for the n-grams it has; a block's documents are scored against those alone.
     """
     shards = partitions(docs.sparkSession, 64)
-    encoded = settle(docs.select("doc_id", "text").mapInArrow(_encode(shards, held_out, block_tokens), ROW))
-    added = settle(encoded.filter("shard >= 0").groupBy("shard").applyInPandas(_add, ROW))
+    rows = docs.select("doc_id", "text").mapInArrow(_encode(shards, held_out, block_tokens), ROW)
+    added = settle(rows.repartition(shards, "key").mapInArrow(_add, ROW).drop("key", "grams"))
     sums = np.zeros(4, np.int64)
     for row in added.filter("shard = -2").select("counts").collect():  # four numbers a shard
         sums += np.frombuffer(row.counts, np.int64)
     tokens, types, once, twice = map(int, sums)
     discount = min(0.95, max(0.05, once / (once + 2 * twice) if once else 0.5))
-    answers = added.filter("shard >= 0").unionByName(encoded.filter("shard = -1"))
-    return answers.groupBy("block").applyInPandas(
-        _score(shards, tokens, types, discount, mass),
+    return added.filter("shard > -2").groupBy("block").applyInPandas(
+        _score(tokens, types, discount, mass),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
 
