@@ -49,18 +49,21 @@ def single_matches(docs: DataFrame, terms: DataFrame, key: str = "doc_id") -> Da
     return each.join(one, F.col("form") == F.col("term_word")).select(key, "term_id", "line_no", "pos", "word").distinct()
 
 
-def rects(docs: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Boxes of every term: one for each line that a place touches.
-
-    (key, term_id, start, page_no, line_no, x0, y0, x1, y1), from the first touched word
-    to the last of the line. One-word terms also by their possessives.
-    """
+def word_spans(docs: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, term_id, start, line_no, first, last): the words of each line that each place of a
+    term touches. One-word terms also by their possessives."""
     placed = tokens(docs, key).select(key, "gpos", "line_no", "pos")
     several = phrase_starts(docs, terms, key).filter("n > 1")
     touched = several.withColumn("gpos", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1))).join(placed, [key, "gpos"])
     spans = touched.groupBy(key, "term_id", "start", "line_no").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
     one = single_matches(docs, terms, key).join(placed, [key, "line_no", "pos"]).select(key, "term_id", F.col("gpos").alias("start"), "line_no", F.col("pos").alias("first"), F.col("pos").alias("last"))
-    return spans.unionByName(one).join(lines(docs, key), [key, "line_no"]).select(
+    return spans.unionByName(one)
+
+
+def rects(docs: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Boxes of every term: one for each line that a place touches, from the first touched
+    word to the last. (key, term_id, start, page_no, line_no, x0, y0, x1, y1)"""
+    return word_spans(docs, terms, key).join(lines(docs, key), [key, "line_no"]).select(
         key, "term_id", "start", "page_no", "line_no",
         word_start(F.col("words"), F.col("first")).alias("x0"), "y0",
         word_end(F.col("words"), F.col("last")).alias("x1"), "y1",

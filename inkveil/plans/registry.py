@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import text_queries
+from . import detect_queries, text_queries
 from .base import QUERIES, SQL
 
 
@@ -13,6 +13,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_queries.redaction_rects(spark, sf_dir)
 
 
+MODULES = (text_queries, detect_queries)
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
