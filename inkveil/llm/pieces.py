@@ -72,10 +72,12 @@ class Vocabulary:
 
 class Encoder:
     """Texts to ids. Parts of a text that are met again are looked up; the memory is
-    bounded by starting over."""
+    bounded by starting over, what is still used being taken along."""
 
     def __init__(self, vocabulary: Vocabulary, most: int = 400_000, longest: int = 48):
-        self.vocabulary, self.most, self.longest, self.known = vocabulary, most, longest, {}
+        self.vocabulary, self.most, self.longest = vocabulary, most, longest
+        self.known: dict[str, list[int]] = {}
+        self.before: dict[str, list[int]] = {}  # the memory before the last start
 
     def viterbi(self, text: str):
         """Ids of a text, in lists, as soon as they are certain.
@@ -133,13 +135,47 @@ class Encoder:
                 out += [byte_ids[x] for x in text[a:b].encode()]
         return out
 
+    def short(self, text: str) -> list[int]:
+        """The same search over a text within the window, where nothing is committed before the end."""
+        v = self.vocabulary
+        usable, suffixes, pairs = v.usable, v.suffixes, v.pairs
+        last = [""] * (len(text) + 1)  # the last piece of the best path to each position
+        for end in range(1, len(text) + 1):
+            begin = end - 1
+            piece = only = text[begin:end]
+            while piece in suffixes:
+                if piece in usable:
+                    left = last[begin]
+                    if not begin or left not in usable:
+                        only = piece
+                        break
+                    fits = pairs.get((left, piece))
+                    if v.apart(left, piece) if fits is None else fits:
+                        only = piece
+                        break
+                begin -= 1
+                if begin < 0:
+                    break
+                piece = text[begin:end]
+            last[end] = only
+        out: list[list[int]] = []
+        end = len(text)
+        while end:
+            piece = last[end]
+            known = usable.get(piece)
+            out.append([known] if known is not None else [v.byte_ids[x] for x in piece.encode()])
+            end -= len(piece)
+        return [x for some in reversed(out) for x in some]
+
     def part(self, text: str) -> list[int]:
         ids = self.known.get(text)
         if ids is None:
-            ids = [x for some in self.viterbi(text) for x in some]
+            ids = self.before.get(text)
+            if ids is None:
+                ids = self.short(text) if len(text) <= self.longest else [x for some in self.viterbi(text) for x in some]
             if len(text) <= self.longest:
                 if len(self.known) >= self.most:
-                    self.known.clear()
+                    self.before, self.known = self.known, {}
                 self.known[text] = ids
         return ids
 
@@ -158,9 +194,8 @@ class Encoder:
                 for part in self.vocabulary.split(between):
                     out += self.part(part)
             return out
-        known = self.known
         for part in self.vocabulary.split(SPACE + text.replace(" ", SPACE)):
-            out += known.get(part) or self.part(part)
+            out += self.known.get(part) or self.part(part)
         return out
 
     def decode(self, ids: list[int] | None) -> str:
