@@ -105,7 +105,7 @@ def cue_of(text: str, start: int) -> str | None:
 
 
 #: A token with an @ or at least four digits.
-MAYBE = re.compile(r"[^\x20\x09-\x0D@0-9]*(?:@|[0-9][^\x20\x09-\x0D0-9]*[0-9][^\x20\x09-\x0D0-9]*[0-9][^\x20\x09-\x0D0-9]*[0-9])[^\x20\x09-\x0D]*")
+MAYBE = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]*?(?:@|[0-9](?:[^\x20\x09-\x0D0-9]*[0-9]){3})[^\x20\x09-\x0D]*")
 SPAN_TYPE = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 SEEN_TYPE = pa.struct([("kind", pa.string()), ("cue", pa.string()), ("instance", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())])
 FOUND_SCHEMA = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("base_sha256", pa.string()), ("base", pa.list_(SPAN_TYPE)), ("seen", pa.list_(SEEN_TYPE))])
@@ -126,7 +126,7 @@ def seen_in(text: str | None, spans: list[tuple[int, int, str]]) -> list[dict]:
         if token and (kind := shape_of(token)) is not None:
             s = m.start() + m[0].index(token)
             e = s + len(token)
-            if not any(a < e and s < b for a, b, _ in spans) and (cue := cue_of(text, s)) is not None:
+            if not any(a < e and s < b for a, b, _ in spans) and (cue := cue_of(text, m.start())) is not None:
                 out.append({"kind": kind, "cue": cue, "instance": token.lower(), "start": s, "end": e, "base": False})
     return out
 
