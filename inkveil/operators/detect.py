@@ -7,6 +7,7 @@ can be put behind the same interface (`service_detector`), a stand-in offline.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from functools import reduce
 
@@ -96,32 +97,75 @@ def plate_detector(docs: DataFrame, rule: dict) -> DataFrame:
     return _proposals(docs, rule, F.array_sort(plates(F.col("text"))))
 
 
+class Limiter:
+    """At most `per_minute` calls and `capacity` weight in any minute, for one task; calls beyond wait."""
+
+    def __init__(self, per_minute: float | None = None, capacity: float | None = None, clock=time.monotonic, sleep=time.sleep):
+        self.per_minute, self.capacity, self.clock, self.sleep = per_minute, capacity, clock, sleep
+        self.past: list[tuple[float, float]] = []
+
+    def take(self, weight: float = 0.0) -> None:
+        while True:
+            now = self.clock()
+            self.past = [p for p in self.past if p[0] > now - 60]
+            full = self.per_minute is not None and len(self.past) >= self.per_minute
+            heavy = self.capacity is not None and self.past and sum(w for _, w in self.past) + weight > self.capacity
+            if not full and not heavy:
+                self.past.append((now, weight))
+                return
+            self.sleep(max(0.0, self.past[0][0] + 60 - now))
+
+
+def with_retries(call: Callable[[str], list[str]], attempts: int = 10, wait: float = 1.0, most: float = 60.0, sleep=time.sleep) -> Callable[[str], list[str]]:
+    """A call that is made again after errors, waiting twice as long each time; the last error is raised."""
+
+    def run(text: str) -> list[str]:
+        for k in range(attempts):
+            try:
+                return call(text)
+            except Exception:
+                if k == attempts - 1:
+                    raise
+                sleep(min(most, wait * 2**k))
+        return []
+
+    return run
+
+
 @register("service")
 def service_detector(docs: DataFrame, rule: dict) -> DataFrame:
     """Terms that the rule's function names for each text, a batch of Arrow rows at a time.
 
     `call` maps a text to terms; an error yields the row `failure` instead of failing the
-    job. `partitions` says how many calls run at once.
+    job. `partitions` says how many calls run at once, `per_minute` and `capacity` (of the
+    texts' words) limit each of them, `attempts` repeats a failed call. Equal texts are
+    sent once.
     """
     import pandas as pd
 
-    call, name, failure = rule["call"], rule["name"], rule.get("failure")
+    name, failure, limits = rule["name"], rule.get("failure"), (rule.get("per_minute"), rule.get("capacity"))
+    call = with_retries(rule["call"], rule["attempts"]) if "attempts" in rule else rule["call"]
 
     def run(batches):
+        limiter = Limiter(*limits)
         for pdf in batches:
             out = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+            for text_hash, text in zip(pdf["text_hash"], pdf["text"], strict=True):
                 try:
+                    if text:
+                        limiter.take(text.count(" ") + 1)
                     terms = list(dict.fromkeys(call(text))) if text else []
                 except Exception:  # the service's fault is data here: the caller sees the failure term
                     terms = [failure] if failure else []
-                out += [(doc_id, name, i, t) for i, t in enumerate(terms)]
-            yield pd.DataFrame(out, columns=["doc_id", "rule_name", "ordinal", "term"])
+                out += [(text_hash, name, i, t) for i, t in enumerate(terms)]
+            yield pd.DataFrame(out, columns=["text_hash", "rule_name", "ordinal", "term"])
 
-    rows = docs.select("doc_id", "text")
+    hashed = docs.select("doc_id", F.sha2("text", 256).alias("text_hash"), "text")
+    once = hashed.filter("text_hash IS NOT NULL").groupBy("text_hash").agg(F.first("text").alias("text"))
     if "partitions" in rule:
-        rows = rows.repartition(rule["partitions"])
-    return rows.mapInPandas(run, "doc_id long, rule_name string, ordinal int, term string")
+        once = once.repartition(rule["partitions"])
+    found = once.mapInPandas(run, "text_hash string, rule_name string, ordinal int, term string")
+    return hashed.select("doc_id", "text_hash").join(found, "text_hash").select("doc_id", "rule_name", "ordinal", "term")
 
 
 def detect(docs: DataFrame, rules: list[dict]) -> DataFrame:

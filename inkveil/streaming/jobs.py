@@ -68,3 +68,16 @@ def deadlines(events: DataFrame, minutes: float = 180.0) -> DataFrame:
 def run_available(stream: DataFrame, checkpoint: str, table: str, mode: str = "append") -> None:
     """Process all that is there and end, into an in-memory table."""
     stream.writeStream.outputMode(mode).format("memory").queryName(table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def to_topics(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Responses (service, ...) as JSON lines in a folder for each topic's subject; those
+    without a service go nowhere. A batch that is run again replaces what it wrote."""
+    from ..functions.text import service_label
+
+    def put(batch: DataFrame, number: int) -> None:
+        rows = batch.filter("service IS NOT NULL").withColumn("subject", service_label(F.col("service")))
+        body = rows.select("subject", F.to_json(F.struct(*[c for c in rows.columns if c != "subject"])).alias("value"))
+        body.write.mode("overwrite").partitionBy("subject").text(f"{path}/batch={number}")
+
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -65,3 +65,39 @@ def test_plans_push_down_and_prune(spark):
     plan = registry.queries()["match_phrase"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+def test_limiter_waits():
+    now, slept = [0.0], []
+    limiter = detect.Limiter(per_minute=2, capacity=10, clock=lambda: now[0], sleep=lambda s: (slept.append(s), now.__setitem__(0, now[0] + s + 0.001)))
+    limiter.take(4)
+    limiter.take(4)
+    limiter.take(4)
+    assert slept == [60.0]
+    now[0] += 100
+    limiter.take(8)
+    limiter.take(8)
+    assert len(slept) == 2
+
+
+def test_retries():
+    seen, slept = [], []
+
+    def call(text):
+        seen.append(text)
+        if len(seen) < 3:
+            raise OSError("busy")
+        return [text]
+
+    assert detect.with_retries(call, 5, sleep=slept.append)("a") == ["a"] and slept == [1.0, 2.0]
+    with pytest.raises(ZeroDivisionError):
+        detect.with_retries(lambda t: 1 / 0, 2, sleep=slept.append)("a")
+
+
+def test_responses_go_to_their_topics(spark, tmp_path):
+    from inkveil.streaming.jobs import to_topics
+
+    spark.createDataFrame([("1", "CBOS"), ("2", "REDACTION_SYSTEM"), ("3", None)], "id string, service string").write.parquet(str(tmp_path / "in"))
+    to_topics(spark.readStream.schema("id string, service string").parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "c"))
+    rows = spark.read.text(f"{tmp_path}/out").collect()
+    assert sorted((r.subject, r.value) for r in rows) == [("cbos", '{"id":"1","service":"CBOS"}'), ("redaction-system", '{"id":"2","service":"REDACTION_SYSTEM"}')]
