@@ -191,10 +191,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 0, **options) -
     Labels of rows whose crc32(doc_id as text) mod 5 is `held_out` are never learnt from.
     Returns doc_id, held_out, score (0 to 1), predicted (1 from 0.5): a row for
     each row of docs. A null text counts as empty, which has no hits; without labels of
-    both kinds all texts score as the only kind there is; other columns are ignored.
+    both kinds all texts score as the only kind there is, without any as not toxic; a
+    doc_id that is labelled both ways is toxic; other columns are ignored.
     """
     base = docs.select("doc_id", "text")
-    known = labels.filter(fold(F.col("doc_id")) != held_out).select("doc_id", "toxic").filter("toxic IS NOT NULL").dropDuplicates(["doc_id"])
+    known = labels.filter(fold(F.col("doc_id")) != held_out).filter("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     limit = options.get("most", 1500)
     # only bounded samples of ids are joined with the texts
     picked = known.filter("toxic = 1").orderBy(F.xxhash64("doc_id")).limit(limit).unionByName(known.filter("toxic = 0").orderBy(F.xxhash64("doc_id")).limit(int(options.get("others", 2.0) * limit)))
