@@ -12,12 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import mix64, partitions, settle
 
-GROUP = "place long, vector binary, ids binary"
 FOUND = "place long, found binary"
-
-
-def _merged(ids: list[np.ndarray], most: int) -> bytes:
-    return np.sort(np.concatenate(ids))[:most].tobytes()
+LONGS = pa.list_(pa.int64())
 
 
 def _pack(most: int, queries_by: int):
@@ -37,7 +33,7 @@ def _pack(most: int, queries_by: int):
                 names = list(groups)
                 ids = [np.array(groups[k], np.int64) for k in names]
                 asked = [x[x % queries_by == 0] for x in ids]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([_merged([x], most) for x in ids], pa.binary()), pa.array([x.tobytes() for x in asked], pa.binary())], names=["vector", "ids", "asked"])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([np.sort(x)[:most] for x in ids], LONGS), pa.array(asked, LONGS)], names=["vector", "ids", "asked"])
 
     return run
 
@@ -102,7 +98,7 @@ def _search(queries: list[tuple[int, bytes]], pivots: dict, k: int, length: int,
                 if len(q) == size:
                     d, some = index.search(np.frombuffer(q, np.float64), k, max(least, round(share * len(own))))
                     # a vector's ids are those of equal rows: all at this distance, the smallest first
-                    pairs = [(x, i) for x, s in zip(d.tolist(), some.tolist(), strict=True) for i in np.frombuffer(ids[own[s]], np.int64).tolist()]
+                    pairs = [(x, i) for x, s in zip(d.tolist(), some.tolist(), strict=True) for i in ids[own[s]]]
                     out.append((place, _best(pairs, k)))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], names=["place", "found"])
@@ -152,15 +148,11 @@ def nearest(vectors: DataFrame, k: int = 10, queries_by: int = 100, pivots: int
     partitions in blocks of about `block` distinct vectors.
     """
     spark = vectors.sparkSession
-    packed = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(_pack(k + 1, queries_by), "vector binary, ids binary, asked binary")
-
-    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"vector": [pdf["vector"].iloc[0]], "ids": [_merged([np.frombuffer(x, np.int64) for x in pdf["ids"]], k + 1)], "asked": [b"".join(pdf["asked"])]})
-
+    packed = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(_pack(k + 1, queries_by), "vector binary, ids array<long>, asked array<long>")
+    together = (F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"), F.flatten(F.collect_list("asked")).alias("asked"))
     # equal vectors meet in two steps, so that a frequent one is not one task's
-    one = "vector binary, ids binary, asked binary"
     salted = packed.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(16)))
-    entries = settle(salted.groupBy("vector", "salt").applyInPandas(gather, one).groupBy("vector").applyInPandas(gather, one).repartition(partitions(spark, 8), "vector"))
+    entries = settle(salted.groupBy("vector", "salt").agg(*together).groupBy("vector").agg(*together).repartition(partitions(spark, 8), "vector"))
     chosen: dict[int, np.ndarray] = {}
     order = entries.select("vector").orderBy(F.xxhash64("vector")).limit(sample)
     by_size: dict[int, list] = {}
@@ -168,7 +160,7 @@ def nearest(vectors: DataFrame, k: int = 10, queries_by: int = 100, pivots: int
         by_size.setdefault(len(r.vector), []).append(np.frombuffer(bytes(r.vector), np.float64))
     for size, some in by_size.items():
         chosen[size] = _apart(np.stack(some), pivots)
-    asked = entries.filter(F.length("asked") > 0)
+    asked = entries.filter(F.size("asked") > 0)
     count = asked.count()
     blocks = max(1, -(-count // block))
     named = settle(asked.select(F.xxhash64("vector").alias("place"), "vector", "asked").withColumn("block", F.pmod("place", F.lit(blocks))))
@@ -184,7 +176,7 @@ def nearest(vectors: DataFrame, k: int = 10, queries_by: int = 100, pivots: int
             out = [[], [], [], []]
             for asked, found in zip(batch.column("asked").to_pylist(), batch.column("found").to_pylist(), strict=True):
                 pairs = np.frombuffer(found, dtype=[("d", np.float64), ("i", np.int64)]).tolist()
-                for q in np.frombuffer(asked, np.int64).tolist():
+                for q in asked:
                     own = next((n for n, (_, i) in enumerate(pairs) if i == q), None)
                     rest = [p for n, p in enumerate(pairs) if n != own][:k]
                     for rank, (d, i) in enumerate(rest, 1):
@@ -192,8 +184,8 @@ def nearest(vectors: DataFrame, k: int = 10, queries_by: int = 100, pivots: int
                             column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.float64())], names=["query_id", "rank", "vec_id", "score"])
 
-    spread = named.select("place", F.explode(F.sequence(F.lit(0), F.floor((F.length("asked") - 1) / 8192).cast("int"))).alias("at"), "asked")
-    spread = spread.select("place", F.expr("substring(asked, at * 8192 + 1, 8192)").alias("asked"))
+    spread = named.select("place", F.explode(F.sequence(F.lit(0), F.floor((F.size("asked") - 1) / 1024).cast("int"))).alias("at"), "asked")
+    spread = spread.select("place", F.slice("asked", F.col("at") * 1024 + 1, F.lit(1024)).alias("asked"))
     return spread.join(best, "place").select("asked", "found").mapInArrow(expand, "query_id long, rank int, vec_id long, score double")
 
 
