@@ -18,7 +18,7 @@ ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0
 FOUND = "bucket int, doc_id long, n long, node long, text_hash long, a long, b long, marks binary, owners binary"
 JOINED = "a long, b long, links long"
 #: Members of a chunk: so many sets at most on average, and so many n-grams.
-CHUNK_SETS, CHUNK_GRAMS = 256, 250_000
+CHUNK_SETS, CHUNK_GRAMS = 512, 300_000
 
 
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -254,11 +254,11 @@ def ngram_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
         .drop("bucket", "marks", "owners")
     )
     own = found.filter("n IS NOT NULL")
-    nodes = own.filter("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("least"), F.count("*").alias("copies"), F.min("n").alias("n"))
+    nodes = settle(own.filter("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("least"), F.count("*").alias("copies"), F.min("n").alias("n")))
     near = components(found.filter("a IS NOT NULL").select("a", "b"))
-    groups = near.join(nodes.select("node", "least", "copies", "n"), "node")
+    groups = settle(near.join(nodes.select("node", "least", "copies", "n"), "node"))
     chunks = groups.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_GRAMS)).cast("int").alias("chunks"))
-    dealt = (
+    dealt = settle(
         groups.join(chunks, "root")
         .withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
         .select("root", "node", "copies", "chunks", "chunk", F.col("least.doc_id").alias("with_id"), F.col("least.text_hash").alias("with_hash"))
@@ -276,6 +276,7 @@ def ngram_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     joined = components(linked.filter("b IS NOT NULL").select("a", "b"))
     counts = linked.filter("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     named = nodes.select("node", F.col("least.doc_id").alias("id"), "copies").join(joined, "node", "left").join(counts, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = settle(named)
     firsts = named.groupBy("root").agg(F.min("id").alias("component_id"))
     named = named.join(firsts, "root").select("node", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
     return own.select("doc_id", "text_hash", "n", "node").join(named, "node", "left").select(

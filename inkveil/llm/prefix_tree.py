@@ -10,7 +10,7 @@ def required(a, b, percent: int):
     return -(-(percent * (a + b)) // (100 + percent))
 
 
-def trie_links(sets: list[np.ndarray], percent: int, split: int | None = None, block: int = 32, step: int = 96) -> list[tuple[int, int]]:
+def trie_links(sets: list[np.ndarray], percent: int, split: int | None = None, block: int = 16, step: int = 96) -> list[tuple[int, int]]:
     """All pairs (i, j), i < j, with 100 x intersection >= percent x union.
 
     sets are sorted arrays without repeats, none empty. With `split`, only pairs of
@@ -47,7 +47,7 @@ def trie_links(sets: list[np.ndarray], percent: int, split: int | None = None, b
     for first in range(0, ends, block):
         queries = range(first, min(ends, first + block))
         a = sizes[first : queries[-1] + 1][:, None]
-        member = np.zeros((len(queries), len(vocabulary) + 1), dtype=np.int32)
+        member = np.zeros((len(queries), len(vocabulary) + 1), dtype=np.int8)
         for k, q in enumerate(queries):
             member[k, own[q]] = 1
         passed = np.cumsum(member, axis=1, dtype=np.int32)  # members of the query up to here in the order
@@ -63,7 +63,7 @@ def trie_links(sets: list[np.ndarray], percent: int, split: int | None = None, b
                 break
             starts = np.flatnonzero(at <= d)
             width = np.diff(np.append(starts, len(here)))
-            gained = member[:, paths[here[starts], d:e]].sum(axis=2)
+            gained = member[:, paths[here[starts], d:e]].sum(axis=2, dtype=np.int64)
             overlap += np.repeat(gained, width, axis=1)
             seen = np.minimum(b[here], e)
             last = paths[here, seen - 1]
