@@ -106,6 +106,11 @@ def cue_of(text: str, start: int) -> str | None:
 
 #: A token with an @ or at least four digits.
 MAYBE = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]*?(?:@|[0-9](?:[^\x20\x09-\x0D0-9]*[0-9]){3})[^\x20\x09-\x0D]*")
+#: Two or more groups of digits and joining marks, one space between; only marks stand around them.
+RUN = re.compile(rf"(?<![^\x20\x09-\x0D])[{re.escape(EDGES)}]*+((?=[().+/-]*+[0-9])[0-9().+/-]++(?:\x20(?=[().+/-]*+[0-9])[0-9().+/-]++(?=[{re.escape(EDGES)}]*+(?:[\x20\x09-\x0D]|\Z)))++)")
+GROUP = re.compile(r"[^\x20]+")
+#: Digits of a run by kind: the least, the most, and with how many the first group is whole by itself.
+RUN_DIGITS = {"card": (12, 19, 14), "phone": (7, 15, 10)}
 SPAN_TYPE = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 SEEN_TYPE = pa.struct([("kind", pa.string()), ("cue", pa.string()), ("instance", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())])
 FOUND_SCHEMA = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("base_sha256", pa.string()), ("base", pa.list_(SPAN_TYPE)), ("seen", pa.list_(SEEN_TYPE))])
@@ -118,12 +123,37 @@ def joined(spans) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 
 
+def grouped(text: str, spans: list[tuple[int, int, str]]) -> dict[tuple[int, str], tuple[int, int]]:
+    """By the place of its first token and kind, the (start, end) of each identifier in groups:
+    the longest beginning of a run that has the kind's digits and no base match."""
+    out = {}
+    for m in RUN.finditer(text):
+        digits = first = 0
+        for g in GROUP.finditer(text, m.start(1), m.end(1)):
+            if any(a < g.end() and g.start() < b for a, b, _ in spans):
+                break
+            digits += sum("0" <= c <= "9" for c in g[0])
+            if g.start() == m.start(1):
+                first = digits
+            else:
+                for kind, (least, most, whole) in RUN_DIGITS.items():
+                    if least <= digits <= most and first < whole:
+                        out[m.start(), kind] = (m.start(1), m.start(1) + len(text[m.start(1) : g.end()].rstrip(EDGES)))
+            if digits > 19:
+                break
+    return out
+
+
 def seen_in(text: str | None, spans: list[tuple[int, int, str]]) -> list[dict]:
-    """Base matches and other identifier-like tokens, with their contexts."""
+    """Base matches and other identifier-like tokens or runs of groups, with their contexts."""
     out = [{"kind": k, "cue": cue_of(text, s), "instance": text[s:e].lower(), "start": s, "end": e, "base": True} for s, e, k in spans]
+    runs = grouped(text or "", spans)
+    for (at, kind), (s, e) in runs.items():
+        if (cue := cue_of(text, at)) is not None:
+            out.append({"kind": kind, "cue": cue, "instance": text[s:e].lower(), "start": s, "end": e, "base": False})
     for m in MAYBE.finditer(text or ""):
         token = m[0].strip(EDGES)
-        if token and (kind := shape_of(token)) is not None:
+        if token and (kind := shape_of(token)) is not None and (m.start(), kind) not in runs:
             s = m.start() + m[0].index(token)
             e = s + len(token)
             if not any(a < e and s < b for a, b, _ in spans) and (cue := cue_of(text, m.start())) is not None:
@@ -201,7 +231,9 @@ def find_personal_data(docs: DataFrame, rounds: int = 3, support: int = 3, confi
     all its occurrences in the collection, whatever follows; it counts with `support`
     different instances that are believed. An instance's score is 1 for a seed, else
     1 - product(1 - confidence) over its patterns; identifier-like tokens that reach
-    `confident` become spans, and believed instances feed the next round's patterns.
+    `confident` become spans, and believed instances feed the next round's patterns. An
+    identifier may stand in groups with one space between: as a phone the longest
+    beginning of the run with 7 to 15 digits, as a card the longest with 12 to 19.
 
     Returns (scanned, discovered): scanned has a row a document (doc_id, text_hash,
     base_sha256, base spans, seen); discovered has (doc_id, text_hash, more spans) for

@@ -59,6 +59,27 @@ def test_contexts_find_what_the_patterns_miss(spark):
     assert found[102] == found[103] == (0, "")
 
 
+def test_contexts_find_what_is_written_in_groups(spark):
+    luhn = [n for n in (f"4{i:015d}" for i in range(10**14, 10**14 + 100)) if pii.luhn(n)][:8]
+    seeds = [(i, f"text {i} please call mobile: +1 (555) 201-{4000 + i} today") for i in range(8)]
+    seeds += [(20 + i, f"text {i} by visa card: {n} today") for i, n in enumerate(luhn)]
+    phones = ["020 7946 0958", "555 201 7788", "(020) 7946 0958", "44 20 7946 0958", "06 12 34 56 78", "020-7946 0958", "0207946 0958"]
+    cards = ["4111 1111 1111 1112", "4111-1111 1111-1112", "3782 822463 10006"]
+    unseen = [(100 + i, f"then call mobile: {p} now", p) for i, p in enumerate(phones)] + [(200 + i, f"by visa card: {c}, or", c) for i, c in enumerate(cards)]
+    other = [(300, "a number of 020 7946 0111 widgets"), (301, "call mobile: 12 34 now"), (302, "call mobile: 020  7946 0958x"), (303, "call mobile: 5552017788 2019 x")]
+    docs = spark.createDataFrame(seeds + [u[:2] for u in unseen] + other, "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in pii.pii(docs).collect()}
+    for i, text, wanted in unseen:
+        inner = wanted.lstrip("(")
+        s = text.index(inner)
+        assert found[i] == f"{'phone' if i < 200 else 'card'}:{s}:{s + len(inner)}", text
+    assert found[300] == found[301] == found[302] == "" and found[303] == "phone:13:23"
+    masked = {r.doc_id: r.text for r in pii.mask_personal_data(docs).collect()}
+    assert masked[100] == "then call mobile: [PHONE] now" and masked[200] == "by visa card: [CARD], or"
+    for odd in ("1 " * 50_000, "(" * 100_000, "4" * 100_000, "1 " + "(" * 100_000, "( " * 50_000):
+        pii.grouped(odd, [])
+
+
 def test_masks(spark):
     docs = spark.createDataFrame([(1, "mail a@b.c now", "en", "s", 14), (2, None, "en", "s", 0), (3, "plain", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
     out = pii.mask_personal_data(docs)
