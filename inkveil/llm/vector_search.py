@@ -96,7 +96,7 @@ def _search(queries: list[tuple[int, bytes]], pivots: dict, k: int, length: int,
             index = Index(np.stack([np.frombuffer(vectors[i], np.float64) for i in own]), pivots[size], length)
             for place, q in queries:
                 if len(q) == size:
-                    d, some = index.search(np.frombuffer(q, np.float64), k, max(least, round(share * len(own))))
+                    d, some = index.search(np.frombuffer(q, np.float64), k + 1, max(least, round(share * len(own))))
                     # a vector's ids are those of equal rows: all at this distance, the smallest first
                     pairs = [(x, i) for x, s in zip(d.tolist(), some.tolist(), strict=True) for i in ids[own[s]]]
                     out.append((place, _best(pairs, k)))

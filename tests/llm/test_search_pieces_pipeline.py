@@ -56,6 +56,13 @@ def test_index_finds_all_when_all_are_candidates():
     assert sorted(zip(d.tolist(), some.tolist(), strict=True))[1:] == want
 
 
+def test_the_nearest_is_found_beside_the_query_itself(spark):
+    v = np.random.default_rng(1).normal(0, 1, (300, 4))
+    rows = vector_search.nearest(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>"), k=1, queries_by=1).collect()
+    want = vector_search.brute_nearest(np.arange(300), v, list(range(300)), 1)
+    assert {r.query_id: r.vec_id for r in rows} == {q: found[0][1] for q, found in want.items()}
+
+
 ODD = [None, "", " ", "  a", "a ", "▁", "x▁y ▁ z", "\n\n", "é😀\u0000 z", "中文 字", "a\tb\r\n", "word" * 5000, " \n "]
 
 
