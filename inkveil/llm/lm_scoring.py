@@ -3,60 +3,83 @@
 from __future__ import annotations
 
 import math
-from functools import lru_cache
+import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import WordHashes, mix64, partitions, settle, words_of
+from .common import mix64, parts_of, settle, token_hashes
 
+#: Names of n-grams are 64 bits, of which the last two tell the order: 0 words, 1 pairs, 2 triples.
 #: The end of a text is a token; it is also the state in which a text begins.
-END = 0xE17A5C0DE
-PAIR = np.uint64(0x9E3779B97F4A7C15)
-ROW = "key long, block long, shard int, docs binary, grams binary, counts binary"
-ROW_SCHEMA = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("shard", pa.int32()), ("docs", pa.binary()), ("grams", pa.binary()), ("counts", pa.binary())])
+END = np.uint64(0xE17A5C0DC)
+ORDER = np.uint64(3)
+STEP = np.uint64(0x9E3779B97F4A7C15)
+GRAMS = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
+ANSWERS = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("counts", pa.binary()), ("names", pa.int64())])
+BLOCKS = pa.schema([("block", pa.int64()), ("docs", pa.binary())])
 
 
-def pair_of(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The 64-bit name of a word in the state that the word before it leaves."""
-    return mix64(mix64(before) * PAIR + word) | np.uint64(1)
+def ddl(schema: pa.Schema) -> str:
+    kinds = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
+    return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
 
 
 def word_name(hashes: np.ndarray) -> np.ndarray:
-    return hashes & ~np.uint64(1)  # words have even names, pairs odd ones
+    return hashes & ~ORDER
+
+
+def longer(before: np.ndarray, word: np.ndarray, order: int) -> np.ndarray:
+    """The name of the n-gram that a word makes with the one before it."""
+    return (mix64(mix64(before) * STEP + word) & ~ORDER) | np.uint64(order)
 
 
 class Automaton:
-    """A bigram model with failure arcs, as dictionaries; what the block search does in
-    arrays, for one text. A state is the last word read. An arc of a state, where the pair
-    was seen, leads on with the pair's smoothed probability; else the failure arc, weighted
-    by what the state leaves to unseen words, leads to the root, whose arcs are the words."""
-
-    def __init__(self, words: dict[int, int], pairs: dict[int, int], tokens: int, discount: float, mass: float):
-        self.words, self.pairs, self.tokens, self.discount, self.mass = words, pairs, tokens, discount, mass
-        self.unseen = discount * len(words) / tokens if tokens else 1.0
-
-    def root(self, word: int) -> float:
-        c = self.words.get(word, 0)
-        return (c - self.discount) / self.tokens if c else self.unseen
-
-    def score(self, names: list[int]) -> float:
-        """log10 probability of a text's words and its end, left to right."""
-        state, total = END, 0.0
-        for word in [*names, END]:
-            held = self.words.get(state, 0)
-            pair = int(pair_of(np.array([state], np.uint64), np.array([word], np.uint64))[0])
-            c = self.pairs.get(pair, 0)
-            if c:
-                total += math.log10((c + self.mass * self.root(word)) / (held + self.mass))
-            else:
-                total += math.log10(self.mass / (held + self.mass)) + math.log10(self.root(word))
-            state = word
+    """The model's states and arcs for single texts, as dictionaries of n-grams (tuples of words).
+
+    A state is the longest seen end, of two words at most, of what was read. An arc of a
+    state, where the n-gram was seen, bears its smoothed probability and leads to the
+    longest seen end of the n-gram; the failure arc bears what the state leaves to unseen
+    words and leads to the state without its first word, the root in the end, whose arcs
+    are the words, the unknown ones as one.
+    """
+
+    def __init__(self, counts: dict[tuple, int], tokens: int, discount: float, masses: tuple[float, float]):
+        self.counts, self.tokens, self.discount, self.masses = counts, tokens, discount, masses
+        self.types = sum(len(g) == 1 for g in counts)
+
+    def arc(self, state: tuple, word) -> float | None:
+        """The weight of a state's arc, None where it has none."""
+        c = self.counts.get((*state, word), 0)
+        if not state:
+            return math.log10((c - self.discount) / self.tokens if c else self.discount * self.types / self.tokens if self.tokens else 1.0)
+        if not c:
+            return None
+        mass = self.masses[len(state) - 1]
+        return math.log10((c + mass * 10 ** self.walk(state[1:], word)) / (self.counts[state] + mass))
+
+    def walk(self, state: tuple, word) -> float:
+        """The weight of reading a word in a state: failure arcs up to one that has the word's arc."""
+        total = 0.0
+        while (step := self.arc(state, word)) is None:
+            mass = self.masses[len(state) - 1]
+            total += math.log10(mass / (self.counts[state] + mass))
+            state = state[1:]
+        return total + step
+
+    def score(self, words: list) -> float:
+        """log10 probability of a text's words and its end (None), left to right."""
+        state, total = (None,) if self.counts.get((None,)) else (), 0.0
+        for word in [*words, None]:
+            total += self.walk(state, word)
+            state = (*state, word)[-2:]
+            while state and state not in self.counts:
+                state = state[1:]
         return total
 
 
@@ -90,177 +113,237 @@ def unsmall(packed: bytes) -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=1)
-def _known() -> WordHashes:
-    return WordHashes()
-
-
-def _encode(shards: int, held_out: int, hold: int):
-    """Documents to blocks: a row with the block's documents as places in its word list, and
-    for each shard a row with the block's words and pairs there and their training counts."""
-    import zlib
-
-    def flush(docs, block):
-        ids = [i for i, _ in docs]
-        out_of = np.array([zlib.crc32(str(i).encode() if i is not None else b"") % 5 == held_out for i in ids])
-        lengths = np.array([len(h) + 1 for _, h in docs], np.int64)
-        end = np.array([END], np.uint64)
-        stream = np.concatenate([x for _, h in docs for x in (h, end)])
-        ends = np.cumsum(lengths)
-        before = np.concatenate([end, stream[:-1]])
-        before[ends[:-1]] = end[0]
-        train = np.repeat(~out_of, lengths)
-        words, place = np.unique(stream, return_inverse=True)
-        place = place.astype(np.uint32)
-        before = pair_of(before, stream)
-        size = len(stream)
-        del stream
-        pairs, at = np.unique(before, return_inverse=True)
-        del before
-        grams = np.concatenate([words, pairs])
-        counts = np.concatenate([np.bincount(place[train], minlength=len(words)), np.bincount(at[train], minlength=len(pairs))])
-        del at
-        order = np.argsort(grams)
-        grams, counts = grams[order], counts[order]
-        head = np.array([len(ids), len(words), size], np.int64).tobytes()
-        missing = np.array([i is None for i in ids], np.uint8)
-        body = np.array([i or 0 for i in ids], np.int64).tobytes() + missing.tobytes() + out_of.astype(np.uint8).tobytes() + lengths.tobytes()
-        order_ = np.argsort(-np.bincount(place, minlength=len(words)), kind="stable")  # frequent words get small numbers
-        rank = np.empty(len(words), np.uint32)
-        rank[order_] = np.arange(len(words), dtype=np.uint32)
-        text = np.ascontiguousarray(rank[place].view(np.uint8).reshape(-1, 4).T).tobytes()
-        yield [block + shards, block, -1, zstandard.compress(head + body + words[order_].tobytes() + text, 3), None, None]
-        cuts = np.searchsorted(shard_of(grams, shards), np.arange(shards + 1))
-        for s in range(shards):
-            a, b = cuts[s], cuts[s + 1]
-            if a < b:
-                yield [s, block, s, None, planes(grams[a:b]), small(counts[a:b])]
+def _blocks(batches, hold: int):
+    """Texts in blocks of `hold` tokens or a little more: (block, doc_ids, tokens with the
+    ends, tokens of each text). A block's name is its task's and its place there."""
+    task = TaskContext.get().partitionId() << 32
+    ids, lengths, held, count = [], [], [], 0
 
-    def run(batches):
-        docs, count, made = [], 0, 0
-        task = TaskContext.get().partitionId() << 32
-        known = _known()
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = words_of(text)
-                docs.append((doc_id, word_name(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))))
-                count += len(words) + 1
-                if count >= hold:
-                    yield from _batches(flush(docs, task + made))
-                    docs, count, made = [], 0, made + 1
-        if docs:
-            yield from _batches(flush(docs, task + made))
+    def made():
+        sizes = np.concatenate(lengths) + 1
+        stream = np.full(int(sizes.sum()), END, np.uint64)
+        inside = np.ones(len(stream), bool)
+        inside[np.cumsum(sizes) - 1] = False
+        stream[inside] = word_name(np.concatenate(held))
+        return task, list(ids), stream, sizes
 
-    return run
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            hashes, ends = token_hashes(part.column("text"))
+            ids += part.column("doc_id").to_pylist()
+            lengths.append(np.diff(ends, prepend=0))
+            held.append(hashes)
+            count += len(hashes) + part.num_rows
+            if count >= hold:
+                yield made()
+                task, ids, lengths, held, count = task + 1, [], [], [], 0
+    if ids:
+        yield made()
 
 
-def _batches(rows, most: int = 64):
-    held = []
-    for row in rows:
-        held.append(row)
-        if len(held) == most:
-            yield _batch(held)
-            held = []
-    if held:
-        yield _batch(held)
+def _out_of(ids: list, held_out: int) -> np.ndarray:
+    return np.array([zlib.crc32(str(i).encode() if i is not None else b"") % 5 == held_out for i in ids], bool)
 
 
-def _batch(rows):
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ROW_SCHEMA, strict=True)], schema=ROW_SCHEMA)
+def _names(stream: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each token, the names of the pair and of the triple that it ends; a text's first
+    token makes a pair with the begin, and its triple is 0, for none."""
+    first = np.cumsum(sizes) - sizes
+    before = np.concatenate([[END], stream[:-1]]).astype(np.uint64)
+    before[first] = END
+    pair = longer(before, stream, 1)
+    triple = longer(np.concatenate([[END], pair[:-1]]).astype(np.uint64), stream, 2)
+    triple[first] = 0
+    return pair, triple
+
+
+def _unique(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
+def _count(shards: int, held_out: int, hold: int):
+    """Texts to rows: for each block and shard of names, the block's n-grams there and their training counts."""
+
+    def run(batches):
+        for block, ids, stream, sizes in _blocks(batches, hold):
+            train = np.repeat(~_out_of(ids, held_out), sizes)
+            pair, triple = _names(stream, sizes)
+            grams, counts = [], []
+            for names in (stream, pair, triple):
+                used = names != 0
+                some = _unique(names[used])
+                seen = np.sort(names[used & train])
+                grams.append(some)
+                counts.append(np.searchsorted(seen, some, side="right") - np.searchsorted(seen, some, side="left"))
+            grams, counts = np.concatenate(grams), np.concatenate(counts)
+            order = np.argsort(grams)
+            grams, counts = grams[order], counts[order]
+            cuts = np.searchsorted(shard_of(grams, shards), np.arange(shards + 1))
+            full = [s for s in range(shards) if cuts[s] < cuts[s + 1]]
+            for at in range(0, len(full), 64):
+                some = full[at : at + 64]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some, pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array([planes(grams[cuts[s] : cuts[s + 1]]) for s in some], pa.binary()), pa.array([small(counts[cuts[s] : cuts[s + 1]]) for s in some], pa.binary())],
+                    schema=GRAMS,
+                )
+
+    return run
 
 
 def _add(batches):
-    """Within a partition: each shard's training counts over all blocks, given back to each
-    block for what it has there, and as shard -2 the sums from which the root is smoothed.
-    Documents pass."""
-    shards: dict[int, list] = {}
-    for batch in batches:
-        docs = pa.compute.equal(batch.column("shard"), -1)
-        yield batch.filter(docs)
-        for _, block, shard, _, grams, counts in zip(*(c.to_pylist() for c in batch.filter(pa.compute.invert(docs)).columns), strict=True):
-            shards.setdefault(shard, []).append((block, grams, counts))
-    while shards:
-        shard, rows = shards.popitem()
+    """Rows by shard to answers: each block's n-grams' training counts over all blocks; and
+    as block -1 the sums from which the root is smoothed. A shard is held at a time."""
+
+    def answer(shard, rows):
         grams = [unplanes(g) for _, g, _ in rows]
         flat = np.concatenate(grams)
         order = np.argsort(flat, kind="stable")
         all_, first = np.unique(flat[order], return_index=True)
         total = np.add.reduceat(np.concatenate([unsmall(c) for _, _, c in rows])[order], first)
-        del flat, order, first
-        words = total[(all_ & np.uint64(1)) == 0]
+        words = total[(all_ & ORDER) == 0]
         sums = np.array([words.sum(), (words > 0).sum(), (words == 1).sum(), (words == 2).sum()], np.int64)
-        yield from _batches([0, block, shard, None, None, small(total[np.searchsorted(all_, g)])] for (block, _, _), g in zip(rows, grams, strict=True))
-        yield _batch([[0, 0, -2, None, None, sums.tobytes()]])
+        for at in range(0, len(rows), 64):
+            some = range(at, min(at + 64, len(rows)))
+            names = [int(np.sum(grams[k], dtype=np.uint64).astype(np.int64)) for k in some]
+            yield pa.RecordBatch.from_arrays([pa.array([shard] * len(some), pa.int32()), pa.array([rows[k][0] for k in some], pa.int64()), pa.array([small(total[np.searchsorted(all_, grams[k])]) for k in some], pa.binary()), pa.array(names, pa.int64())], schema=ANSWERS)
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([-1], pa.int64()), pa.array([sums.tobytes()], pa.binary()), pa.array([0], pa.int64())], schema=ANSWERS)
+
+    shard, rows = None, []
+    for batch in batches:
+        for at, block, grams, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if at != shard and rows:
+                yield from answer(shard, rows)
+                rows = []
+            shard = at
+            rows.append((block, grams, counts))
+    if rows:
+        yield from answer(shard, rows)
+
+
+def _pack(hold: int):
+    """Texts to a row a block: doc_ids, lengths, and the tokens as places in the block's list of words."""
+
+    def run(batches):
+        for block, ids, stream, sizes in _blocks(batches, hold):
+            words, place = np.unique(stream, return_inverse=True)
+            order = np.argsort(-np.bincount(place, minlength=len(words)), kind="stable")  # frequent words get small numbers
+            rank = np.empty(len(words), np.uint32)
+            rank[order] = np.arange(len(words), dtype=np.uint32)
+            head = np.array([len(ids), len(words), len(stream)], np.int64).tobytes()
+            missing = np.array([i is None for i in ids], np.uint8).tobytes()
+            body = np.array([i or 0 for i in ids], np.int64).tobytes() + missing + sizes.astype(np.int64).tobytes()
+            text = np.ascontiguousarray(rank[place].view(np.uint8).reshape(-1, 4).T).tobytes()
+            docs = zstandard.compress(head + body + words[order].tobytes() + text, 3)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([docs], pa.binary())], schema=BLOCKS)
+
+    return run
 
 
-def _score(tokens: int, types: int, discount: float, mass: float):
+def _places(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted names without repeats, and each one's place among them."""
+    order = np.argsort(names)
+    held = names[order]
+    new = np.append(True, held[1:] != held[:-1])
+    place = np.empty(len(names), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return held[new], place
+
+
+def _score(tokens: int, types: int, discount: float, masses: tuple[float, float], held_out: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         raw = zstandard.decompress(next(d for d in pdf["docs"] if d is not None))
         n, k, m = np.frombuffer(raw[:24], np.int64)
         ids, raw = np.frombuffer(raw[24 : 24 + 8 * n], np.int64), raw[24 + 8 * n :]
-        missing, out_of, raw = np.frombuffer(raw[:n], np.uint8), np.frombuffer(raw[n : 2 * n], np.uint8) > 0, raw[2 * n :]
-        lengths, raw = np.frombuffer(raw[: 8 * n], np.int64), raw[8 * n :]
+        missing, raw = np.frombuffer(raw[:n], np.uint8) > 0, raw[n:]
+        sizes, raw = np.frombuffer(raw[: 8 * n], np.int64), raw[8 * n :]
         words, raw = np.frombuffer(raw[: 8 * k], np.uint64), raw[8 * k :]
-        place = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).reshape(-1).view(np.uint32)
-        # the block's arcs: its words and pairs with their counts
-        ends = np.cumsum(lengths)
-        before = np.concatenate([[0], place[:-1]]).astype(np.int64)
-        stream = words[place]
-        state = np.concatenate([np.array([END], np.uint64), stream[:-1]])
-        state[ends[:-1]] = END
-        pair = pair_of(state, stream)
-        grams = np.unique(np.concatenate([words, pair]))
-        # in the order of their names, as shards are ranges of these
-        counts = np.concatenate([unsmall(c) for c in pdf[pdf["docs"].isna()].sort_values("shard")["counts"]])
-        of_word = counts[np.searchsorted(grams, words)]
-        of_end = counts[np.searchsorted(grams, np.uint64(END))]
-        c = of_word[place]
-        held = of_word[before]
-        held[0] = of_end
-        held[ends[:-1]] = of_end
-        of_pair = counts[np.searchsorted(grams, pair)]
-        unseen = discount * types / tokens if tokens else 1.0
-        root = np.where(c > 0, (c - discount) / max(1, tokens), unseen)
-        # left to right: the arc of the state where there is one, else its failure arc and the root's
-        step = np.where(of_pair > 0, np.log10((of_pair + mass * root) / (held + mass)), np.log10(mass / (held + mass)) + np.log10(root))
-        base = np.log10((c + 0.5) / (tokens + 0.5 * (types + 1)))
-        starts = ends - lengths
+        stream = words[np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).reshape(-1).view(np.uint32)]
+        del raw
+        pair, triple = _names(stream, sizes)
+        first = np.cumsum(sizes) - sizes
+        # the block's arcs: its words, pairs and triples with their training counts, which come in the order of names
+        grams, place = _places(np.concatenate([stream, pair, triple]))
+        answers = pdf[pdf["docs"].isna()].sort_values("shard")
+        none = int(len(grams) > 0 and grams[0] == 0)
+        if np.sum(grams, dtype=np.uint64) != np.sum(answers["names"].to_numpy(np.int64).view(np.uint64), dtype=np.uint64):
+            raise RuntimeError("the input gave other rows when it was read again; write it to a table before scoring")
+        counts = np.concatenate([np.zeros(none, np.int64), *[unsmall(c) for c in answers["counts"]]])
+        c1, c2, c3 = counts[place].reshape(3, -1)
+        begin = counts[np.searchsorted(grams, END)]
+        del stream, pair, triple, grams, place, counts
+        # a state's count is that of its own n-gram; a text begins in the state of the end
+        h1, h2 = np.concatenate([[0], c1[:-1]]), np.concatenate([[0], c2[:-1]])
+        h1[first], h2[first] = begin, 0
+        p1 = np.where(c1 > 0, (c1 - discount) / max(1, tokens), discount * types / tokens if tokens else 1.0)
+        p2 = (c2 + masses[0] * p1) / (h1 + masses[0])
+        arc1, arc2, arc3 = np.log10(p1), np.log10(p2), np.log10((c3 + masses[1] * p2) / (h2 + masses[1]))
+        fail1, fail2 = np.log10(masses[0] / (h1 + masses[0])), np.log10(masses[1] / (h2 + masses[1]))
+        has2, has3 = c2 > 0, c3 > 0
+        leads = np.where(has2, 2, np.where(c1 > 0, 1, 0)).astype(np.int8)  # how long the state is that a word's arc leads to
+        # one traversal left to right, all texts of the block abreast, the longest first
+        rows = np.argsort(-sizes, kind="stable")
+        starts, total = first[rows], np.zeros(n)
+        state = np.full(n, 1 if begin else 0, np.int8)
+        still = np.searchsorted(-sizes[rows], -np.arange(int(sizes.max())), side="left")  # texts with a token at each place
+        for t, live in enumerate(still.tolist()):
+            at, s = starts[:live] + t, state[:live]
+            by3 = (s == 2) & has3[at]
+            by2 = (s > 0) & has2[at]
+            two = np.where(by2, arc2[at], np.where(s > 0, fail1[at], 0.0) + arc1[at])
+            total[:live] += np.where(by3, arc3[at], np.where(s == 2, fail2[at], 0.0) + two)
+            state[:live] = leads[at]
+        score = np.empty(n)
+        score[rows] = total
+        base = np.log10((c1 + 0.5) / (tokens + 0.5 * (types + 1)))
         return pd.DataFrame({
-            "doc_id": pd.arrays.IntegerArray(ids.copy(), missing > 0),
-            "held_out": out_of, "n_tokens": lengths, "n_known": np.add.reduceat((c > 0).astype(np.int64), starts),
-            "train_tokens": tokens, "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(step, starts),
+            "doc_id": pd.arrays.IntegerArray(ids.copy(), missing),
+            "held_out": _out_of([None if gone else i for i, gone in zip(ids.tolist(), missing, strict=True)], held_out),
+            "n_tokens": sizes, "n_known": np.add.reduceat((c1 > 0).astype(np.int64), first),
+            "train_tokens": tokens, "base_score": np.add.reduceat(base, first), "score": score,
         })
 
     return run
 
 
-def lm_scores(docs: DataFrame, held_out: int = 1, mass: float = 50.0, block_tokens: int = 2_500_000) -> DataFrame:
-    """Score whole documents (doc_id, text) by a word model of those whose crc32(doc_id as
-    text) mod 5 is not `held_out`.
+def lm_scores(docs: DataFrame, held_out: int = 1, masses: tuple[float, float] = (100.0, 10.0), block_tokens: int = 1_500_000) -> DataFrame:
+    """Score whole documents (doc_id, text) by a model of up to three words, of those whose
+    crc32(doc_id as text) mod 5 is not `held_out`.
 
-    Tokens are the words, A-Z lower-cased, and one end. The model is a backoff automaton
-    of words and pairs: P(w | v) = (c(v w) + mass P(w)) / (c(v) + mass), with the failure
-    arc mass / (c(v) + mass) where the pair is unseen, and at the root P(w) = (c(w) - d) / N,
-    d from the numbers of words met once and twice, which leaves d V / N to all unknown words as one.
+    Tokens are the words, A-Z lower-cased, and one end. The model is a backoff automaton:
+    its states are the pairs, words and the root; P(w | u v) = (c(u v w) + m P(w | v)) /
+    (c(u v) + m), the failure arc of a state bears m / (c(u v) + m), likewise for one word
+    (`masses` are the two m), and at the root P(w) = (c(w) - d) / N, d from the numbers of
+    words met once and twice, which leaves d V / N to all unknown words as one. A text is
+    read once from left to right; the state is carried from word to word.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row for
     each row of docs. A null text counts as empty (its end alone); a null doc_id has the
-    text ''; no training rows leave every word unknown; other columns are ignored.
+    text ''; no training rows leave every word unknown; equal rows have equal scores;
+    no rows give no rows; other columns are ignored.
 
     No table of the model leaves its shards: tasks turn documents into blocks of some
     `block_tokens` tokens; each shard of n-grams adds up the blocks' counts and answers
-    each block for the n-grams it has; a block's documents are scored against those alone.
+    each block for the n-grams it has; a block's texts are read again and traverse the
+    arcs that were answered. Both readings have to give the same rows in the same tasks: an
+    input that comes out of a shuffle is settled first, and a difference is an error.
     """
-    shards = partitions(docs.sparkSession, 64)
-    rows = docs.select("doc_id", "text").mapInArrow(_encode(shards, held_out, block_tokens), ROW)
-    added = settle(rows.repartition(shards, "key").mapInArrow(_add, ROW).drop("key", "grams"))
+    base = docs.select("doc_id", "text")
+    if "Exchange" in base._jdf.queryExecution().sparkPlan().toString() or "Exchange" in base._jdf.queryExecution().executedPlan().toString():
+        base = settle(base)
+    parts = parts_of(base, 64)
+    shards = max(1, min(4 * parts, 3 * block_tokens // 512))
+    counted = base.mapInArrow(_count(shards, held_out, block_tokens), ddl(GRAMS))
+    added = settle(counted.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_add, ddl(ANSWERS)))
     sums = np.zeros(4, np.int64)
-    for row in added.filter("shard = -2").select("counts").collect():  # four numbers a shard
+    for row in added.filter("block = -1").select("counts").collect():  # four numbers a shard, of which there are 3 block_tokens / 512 at most
         sums += np.frombuffer(row.counts, np.int64)
     tokens, types, once, twice = map(int, sums)
     discount = min(0.95, max(0.05, once / (once + 2 * twice) if once else 0.5))
-    return added.filter("shard > -2").groupBy("block").applyInPandas(
-        _score(tokens, types, discount, mass),
+    packed = base.mapInArrow(_pack(block_tokens), ddl(BLOCKS)).select("block", "docs", F.lit(-1).alias("shard"), F.lit(None).cast("binary").alias("counts"), F.lit(0).cast("long").alias("names"))
+    met = packed.unionByName(added.filter("block >= 0").withColumn("docs", F.lit(None).cast("binary")))
+    return met.groupBy("block").applyInPandas(
+        _score(tokens, types, discount, masses, held_out),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
-

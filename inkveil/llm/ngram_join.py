@@ -10,15 +10,15 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix64, partitions, settle, words_of
+from .common import mix64, parts_of, settle, token_hashes
 from .components import components
 from .prefix_tree import trie_links
 
 ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 FOUND = "bucket int, doc_id long, n long, node long, text_hash long, a long, b long, marks binary, owners binary"
 JOINED = "a long, b long, links long"
-#: Members of a chunk: so many sets at most on average, and so many n-grams.
-CHUNK_SETS, CHUNK_GRAMS = 512, 300_000
+#: A chunk of sets that is joined at once: so many sets on average, and sets times members of the largest.
+CHUNK_SETS, CHUNK_CELLS = 512, 400_000
 
 
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -84,10 +84,8 @@ def node_of(members: np.ndarray) -> int:
     return int(mix64(np.sum(mix64(members ^ ODD[0]), dtype=np.uint64, keepdims=True) + np.uint64(len(members)))[0].astype(np.int64))
 
 
-def _word_hashes(texts: list, known: WordHashes) -> list[np.ndarray]:
-    words = [words_of(t) for t in texts]
-    ends = np.cumsum([len(w) for w in words])
-    flat = np.fromiter((known[w] for ws in words for w in ws), dtype=np.uint64, count=int(ends[-1]) if len(ends) else 0)
+def _word_hashes(texts: pa.Array) -> list[np.ndarray]:
+    flat, ends = token_hashes(texts)
     return np.split(flat, ends[:-1]) if len(ends) else []
 
 
@@ -126,12 +124,12 @@ def _mark(n: int, percent: int, buckets: int, hold: int = 1_500_000):
             yield _rows(FOUND_SCHEMA, bucket=(edges[:, 0] % buckets).astype(np.int32), a=edges[:, 0], b=edges[:, 1])
 
     def run(batches):
-        known, held, owners, names, count = WordHashes(), [], [], set(), 0
+        held, owners, names, count = [], [], set(), 0
         for batch in batches:
             ids, hashes = batch.column("doc_id"), batch.column("text_hash")
             for at in range(0, batch.num_rows, 512):
                 sizes, nodes = [], []
-                for words in _word_hashes(batch.column("text").slice(at, 512).to_pylist(), known):
+                for words in _word_hashes(batch.column("text").slice(at, 512)):
                     members = grams(words, n)
                     sizes.append(len(members))
                     nodes.append(name := node_of(members))
@@ -153,30 +151,39 @@ def _mark(n: int, percent: int, buckets: int, hold: int = 1_500_000):
 
 
 def _meet(batches):
-    """Within a bucket's partition: edges between sets that share a mark; other rows pass."""
-    held, owners = [], []
+    """Rows sorted by bucket: edges between sets that share a mark of a bucket, which is held
+    at a time; other rows pass."""
+
+    def edges_of(held, owners):
+        edges = _stars(np.concatenate(held), np.concatenate(owners))[2]
+        for at in range(0, len(edges), 100_000):
+            part = edges[at : at + 100_000]
+            yield _rows(FOUND_SCHEMA, a=part[:, 0], b=part[:, 1])
+
+    held, owners, of = [], [], None
     for batch in batches:
         packed = batch.column("marks").is_valid()
         yield batch.filter(pa.compute.invert(packed))
-        for m, o in zip(batch.column("marks").filter(packed), batch.column("owners").filter(packed), strict=True):
+        rows = batch.filter(packed)
+        for bucket, m, o in zip(rows.column("bucket").to_pylist(), rows.column("marks"), rows.column("owners"), strict=True):
+            if bucket != of and held:
+                yield from edges_of(held, owners)
+                held, owners = [], []
+            of = bucket
             held.append(np.frombuffer(m.as_buffer(), np.uint64))
             owners.append(np.frombuffer(o.as_buffer(), np.int64))
     if held:
-        edges = _stars(np.concatenate(held), np.concatenate(owners))[2]
-        for at in range(0, len(edges), 100_000):
-            part = edges[at : at + 100_000]
-            yield _rows(FOUND_SCHEMA, a=part[:, 0], b=part[:, 1])
+        yield from edges_of(held, owners)
 
 
 def _sets(n: int):
     """Texts to their sets of n-grams, packed."""
 
     def run(batches):
-        known = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                made = [grams(w, n).tobytes() for w in _word_hashes(part.column("text").to_pylist(), known)]
+                made = [grams(w, n).tobytes() for w in _word_hashes(part.column("text"))]
                 i = part.schema.get_field_index("text")
                 yield part.set_column(i, "text", pa.array(made, pa.binary()))
 
@@ -227,6 +234,34 @@ def _join(percent: int):
     return run
 
 
+def _dealt(groups: DataFrame, percent: int) -> DataFrame:
+    """Candidate components (root, node, least, copies, n) dealt into chunks that are joined
+    with each other: each set with its chunk and the chunks that it meets.
+
+    A component that is one chunk is joined at once. A larger one is dealt by size first:
+    linked sets are of one class of sizes or of two that follow each other, so that a
+    chunk meets the chunks of its own class and of the two beside it alone.
+    """
+    cells = lambda: F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.count("*") * F.max("n") / CHUNK_CELLS)).cast("long")
+    code = lambda c, h: c * F.lit(1 << 40) + h
+    width = np.log(100 / percent) * 1.0001 if percent < 100 else 1e-9  # a little wide, for the sake of rounding
+    whole = groups.groupBy("root").agg(cells().alias("whole"))
+    sized = groups.join(whole, "root").withColumn("size", F.when(F.col("whole") == 1, 0).otherwise(F.floor(F.log("n") / F.lit(float(width)))).cast("long"))
+    counted = settle(sized.groupBy("root", "size").agg(cells().alias("chunks")))
+    beside = [counted.select("root", (F.col("size") + d).alias("size"), F.col("chunks").alias(name)) for d, name in ((-1, "above"), (1, "below"))]
+    met = counted
+    for b in beside:
+        met = met.join(b, ["root", "size"], "left")
+    all_of = lambda c, k: F.when(F.col(k) > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col(k) - 1), lambda h: code(c, h))).otherwise(F.array().cast("array<long>"))
+    size = F.col("size")
+    dealt = sized.join(met, ["root", "size"]).select(
+        "root", "node", "copies", code(size, F.pmod(F.xxhash64("node"), F.col("chunks"))).alias("chunk"),
+        F.concat(all_of(size, "chunks"), all_of(size + 1, "above"), all_of(size - 1, "below")).alias("others"),
+        F.col("least.doc_id").alias("with_id"), F.col("least.text_hash").alias("with_hash"),
+    )
+    return settle(dealt)
+
+
 def ngram_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """Link documents (doc_id, text) whose sets of word n-grams have Jaccard similarity
     percent / 100 or more, exactly, and name the components of the links.
@@ -246,10 +281,12 @@ def ngram_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
        (`prefix_tree`); a large one is dealt out as pairs of bounded chunks.
     """
     base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    buckets = partitions(docs.sparkSession, 64)
+    parts = parts_of(base, 64)
+    buckets = parts * max(1, min(8, 24_000 // parts))  # a bucket is held at a time; a part has some
     found = settle(
         base.mapInArrow(_mark(n, percent, buckets), FOUND)
-        .repartition(buckets, "bucket")
+        .repartition(parts, "bucket")
+        .sortWithinPartitions("bucket")
         .mapInArrow(_meet, FOUND)
         .drop("bucket", "marks", "owners")
     )
@@ -257,19 +294,13 @@ def ngram_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     nodes = settle(own.filter("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("least"), F.count("*").alias("copies"), F.min("n").alias("n")))
     near = components(found.filter("a IS NOT NULL").select("a", "b"))
     groups = settle(near.join(nodes.select("node", "least", "copies", "n"), "node"))
-    chunks = groups.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_GRAMS)).cast("int").alias("chunks"))
-    dealt = settle(
-        groups.join(chunks, "root")
-        .withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-        .select("root", "node", "copies", "chunks", "chunk", F.col("least.doc_id").alias("with_id"), F.col("least.text_hash").alias("with_hash"))
-    )
     pairs = (
-        base.join(dealt, F.col("doc_id").eqNullSafe(F.col("with_id")) & (F.col("text_hash") == F.col("with_hash")))
-        .select("root", "node", "copies", "chunks", "chunk", "text")
-        .mapInArrow(_sets(n), "root long, node long, copies long, chunks int, chunk int, text binary")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        base.join(_dealt(groups, percent), F.col("doc_id").eqNullSafe(F.col("with_id")) & (F.col("text_hash") == F.col("with_hash")))
+        .select("root", "node", "copies", "chunk", "others", "text")
+        .mapInArrow(_sets(n), "root long, node long, copies long, chunk long, others array<long>, text binary")
+        .withColumn("other", F.explode("others"))
         .select("root", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "copies", "text")
-        .repartition(buckets, "root", "i", "j")
+        .repartition(parts, "root", "i", "j")
         .sortWithinPartitions("root", "i", "j")
     )
     linked = settle(pairs.mapInArrow(_join(percent), JOINED))

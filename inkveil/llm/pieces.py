@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,9 +24,10 @@ class Vocabulary:
     wrong piece by piece.
     """
 
-    def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int], most: int = 300_000):
+    def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int], most: int = 60_000):
         self.pieces, self.byte_ids, self.most, self.pairs = pieces, byte_ids, most, {}
-        self.text_of: dict[int, str | bytes] = {i: p for p, (i, _) in pieces.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
+        spaced = {i: p.replace(SPACE, " ").encode() for p, (i, _) in pieces.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
+        self.spaced = [spaced.get(i, b"") for i in range(max(spaced, default=-1) + 1)]
         self.usable = {p: i for p, (i, _) in pieces.items() if len(p) == 1 or self.merged(p) == [p]}
         self.longest = max(map(len, self.usable), default=1)
         self.suffixes = frozenset(p[k:] for p in self.usable for k in range(len(p)))
@@ -35,6 +37,10 @@ class Vocabulary:
         pattern = ".+" if inner else f"{alone}|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+"
         self.split = re.compile(pattern, re.DOTALL).findall
 
+    def bytes_of(self, i: int | None) -> bytes:
+        """The text of an id as UTF-8."""
+        return self.spaced[i] if i is not None and 0 <= i < len(self.spaced) else b""
+
     def merged(self, text: str) -> list[str]:
         """A short text's pieces by merging, best score first, the leftmost of equals."""
         parts = list(text)
@@ -71,82 +77,40 @@ class Vocabulary:
 
 
 class Encoder:
-    """Texts to ids. Parts of a text that are met again are looked up; the memory is
-    bounded by starting over, what is still used being taken along."""
-
-    def __init__(self, vocabulary: Vocabulary, most: int = 400_000, longest: int = 48):
-        self.vocabulary, self.most, self.longest = vocabulary, most, longest
-        self.known: dict[str, list[int]] = {}
-        self.before: dict[str, list[int]] = {}  # the memory before the last start
-
-    def viterbi(self, text: str):
-        """Ids of a text, in lists, as soon as they are certain.
-
-        Left to right, each position's backpointer tells where the last piece of the best
-        path to it begins: of the pieces that end there, the one that stays apart from the
-        piece before it. A piece to come begins within `longest` of the front, so that the
-        window of open positions is kept to the last boundary on which the backpointer
-        paths from all of these converge; what lies before it is committed.
-        """
-        v = self.vocabulary
-        usable, suffixes, apart, longest = v.usable, v.suffixes, v.apart, v.longest
-        back = {0: 0}
-        done, check, n = 0, 4 * longest, len(text)
-        for end in range(1, n + 1):
-            begin = choice = end - 1
-            while begin in back and (piece := text[begin:end]) in suffixes:
-                if piece in usable and (begin == 0 or (left := text[back[begin] : begin]) not in usable or apart(left, piece)):
-                    choice = begin
-                    break
-                begin -= 1
-            back[end] = choice
-            if end >= check:
-                shared = self._shared(back, done, range(max(done, end - longest), end + 1))
-                if shared > done:
-                    yield self._ids(text, done, shared, back)
-                    back = {k: b for k, b in back.items() if k >= shared}
-                    done = shared
-                check = end + 2 * longest
-        if n > done:
-            yield self._ids(text, done, n, back)
-
-    @staticmethod
-    def _shared(back: dict[int, int], done: int, heads) -> int:
-        """The last boundary on the paths to all of these positions."""
-        held = set(heads)
-        while len(held) > 1:
-            last = max(held)
-            held.discard(last)
-            held.add(max(done, back[last]))
-        return held.pop()
+    """Texts to ids by one streaming search, and back.
+
+    The search goes left to right. The best path to each position ends in the piece that
+    merging keeps apart from the piece before it, and there is one such path: it is told
+    without adding up scores, which a vocabulary made by merging does not rank paths by. A
+    piece to come begins within `longest` characters of the front, so that only a window
+    of positions is open; as soon as the backpointer paths from all of them converge on
+    one boundary, what lies before it is committed.
+
+    No piece goes on past the boundary before a word, so that all paths converge there;
+    what stands between two such boundaries is searched once and remembered as packed
+    ids, in a memory of `most` bytes that starts over when it is full.
+    """
 
-    def _ids(self, text: str, begin: int, end: int, back: dict[int, int]) -> list[int]:
-        cuts = [end]
-        while cuts[-1] > begin:
-            cuts.append(back[cuts[-1]])
-        cuts.reverse()
-        out: list[int] = []
-        usable, byte_ids = self.vocabulary.usable, self.vocabulary.byte_ids
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            known = usable.get(text[a:b])
-            if known is not None:
-                out.append(known)
-            else:
-                out += [byte_ids[x] for x in text[a:b].encode()]
-        return out
+    def __init__(self, vocabulary: Vocabulary, most: int = 24_000_000):
+        self.vocabulary, self.most = vocabulary, most
+        self.known: dict[str, bytes] = {}
+        self.used = 0
 
-    def short(self, text: str) -> list[int]:
-        """The same search over a text within the window, where nothing is committed before the end."""
+    def stream(self, text: str):
+        """Ids of a text in lists, each as soon as it is certain."""
         v = self.vocabulary
-        usable, suffixes, pairs = v.usable, v.suffixes, v.pairs
-        last = [""] * (len(text) + 1)  # the last piece of the best path to each position
-        for end in range(1, len(text) + 1):
+        usable, suffixes, pairs, longest = v.usable, v.suffixes, v.pairs, v.longest
+        last = {0: ""}  # the last piece of the best path to each open position
+        done, check, n = 0, 2 * longest, len(text)
+        for end in range(1, n + 1):
             begin = end - 1
             piece = only = text[begin:end]
             while piece in suffixes:
                 if piece in usable:
-                    left = last[begin]
-                    if not begin or left not in usable:
+                    left = last.get(begin)
+                    if left is None:
+                        break
+                    if not left or left not in usable:
                         only = piece
                         break
                     fits = pairs.get((left, piece))
@@ -154,68 +118,80 @@ class Encoder:
                         only = piece
                         break
                 begin -= 1
-                if begin < 0:
+                if begin < done:
                     break
                 piece = text[begin:end]
             last[end] = only
-        out: list[list[int]] = []
-        end = len(text)
-        while end:
+            if end >= check:
+                shared = self._converged(last, done, range(max(done, end - longest), end + 1))
+                if shared > done:
+                    yield self._ids(last, done, shared)
+                    last = {k: p for k, p in last.items() if k >= shared}
+                    done = shared
+                check = end + longest
+        if n > done:
+            yield self._ids(last, done, n)
+
+    @staticmethod
+    def _converged(last: dict[int, str], done: int, heads) -> int:
+        """The last boundary on the paths to all of these positions."""
+        held = set(heads)
+        while len(held) > 1:
+            front = max(held)
+            held.discard(front)
+            held.add(max(done, front - len(last[front])))
+        return held.pop()
+
+    def _ids(self, last: dict[int, str], begin: int, end: int) -> list[int]:
+        """Ids of the committed path between two boundaries."""
+        v, out = self.vocabulary, []
+        while end > begin:
             piece = last[end]
-            known = usable.get(piece)
-            out.append([known] if known is not None else [v.byte_ids[x] for x in piece.encode()])
+            known = v.usable.get(piece)
+            out += [known] if known is not None else [v.byte_ids[x] for x in reversed(piece.encode())]
             end -= len(piece)
-        return [x for some in reversed(out) for x in some]
-
-    def part(self, text: str) -> list[int]:
-        ids = self.known.get(text)
-        if ids is None:
-            ids = self.before.get(text)
-            if ids is None:
-                ids = self.short(text) if len(text) <= self.longest else [x for some in self.viterbi(text) for x in some]
-            if len(text) <= self.longest:
-                if len(self.known) >= self.most:
-                    self.before, self.known = self.known, {}
-                self.known[text] = ids
-        return ids
+        out.reverse()
+        return out
 
-    def encode(self, text: str | None) -> list[int]:
+    def between(self, text: str) -> bytes:
+        """Packed ids of what stands between two boundaries on which all paths converge."""
+        packed = np.array([x for some in self.stream(text) for x in some], np.int32).tobytes()
+        size = 150 + 4 * len(text) + len(packed)
+        if size < 4096:  # a long one hardly comes again
+            if self.used + size > self.most:
+                self.known, self.used = {}, 0
+            self.known[text] = packed
+            self.used += size
+        return packed
+
+    def packed(self, text: str | None) -> bytes:
         """Ids of a text with a space put before it and spaces as the space piece; a
-        character that is itself the space piece is given as bytes."""
+        character that is itself the space piece is given as bytes. 4 bytes an id."""
         if not text:
-            return []
-        out: list[int] = []
-        if SPACE in text:
-            raw = [self.vocabulary.byte_ids[b] for b in SPACE.encode()]
-            for k, between in enumerate(text.split(SPACE)):
-                if k:
-                    out += raw
-                between = between.replace(" ", SPACE) if k else SPACE + between.replace(" ", SPACE)
-                for part in self.vocabulary.split(between):
-                    out += self.part(part)
-            return out
-        for part in self.vocabulary.split(SPACE + text.replace(" ", SPACE)):
-            out += self.known.get(part) or self.part(part)
-        return out
+            return b""
+        v, out = self.vocabulary, []
+        raw = np.array([v.byte_ids[b] for b in SPACE.encode()], np.int32).tobytes()
+        for k, plain in enumerate(text.split(SPACE)):
+            if k:
+                out.append(raw)
+            known, between = self.known, self.between
+            for part in v.split(plain.replace(" ", SPACE) if k else SPACE + plain.replace(" ", SPACE)):
+                ids = known.get(part)
+                if ids is None:
+                    ids = between(part)
+                    known = self.known
+                out.append(ids)
+        return b"".join(out)
+
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.packed(text), np.int32).tolist()
 
-    def decode(self, ids: list[int] | None) -> str:
+    def decode(self, ids) -> str:
         """The text of ids: bytes in a row are read as UTF-8, the space put before is taken
         off, ids that stand for no text are passed over."""
-        out: list[str] = []
-        run: list[bytes] = []
-        text_of = self.vocabulary.text_of
-        for i in ids or ():
-            piece = text_of.get(i)
-            if type(piece) is bytes:
-                run.append(piece)
-            elif piece is not None:
-                if run:
-                    out.append(b"".join(run).decode("utf-8", "replace"))
-                    run = []
-                out.append(piece.replace(SPACE, " "))
-        if run:
-            out.append(b"".join(run).decode("utf-8", "replace"))
-        text = "".join(out)
+        if ids is None:
+            return ""
+        text = b"".join(map(self.vocabulary.bytes_of, ids)).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
@@ -239,9 +215,11 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 texts = part.column("text").to_pylist()
-                ids = [e.encode(t) for t in texts]
-                same = [e.decode(i) == (t or "") for i, t in zip(ids, texts, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(i) for i in ids], pa.int32()), pa.array(ids, pa.list_(pa.int32())), pa.array(same)], names=["doc_id", "n_tokens", "ids", "round_trip"])
+                packed = [np.frombuffer(e.packed(t), np.int32) for t in texts]
+                same = [e.decode(i.tolist()) == (t or "") for i, t in zip(packed, texts, strict=True)]
+                sizes = np.array([len(i) for i in packed], np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(packed)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), ids, pa.array(same)], names=["doc_id", "n_tokens", "ids", "round_trip"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens int, ids array<int>, round_trip boolean")
 

@@ -7,11 +7,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, settle
+from .common import WORDS_AND_EACH_MARK, mix64, settle, token_hashes, unlike
 
 #: The kinds in their order, and the base patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -23,9 +22,11 @@ SPACES = " \t\n\x0b\x0c\r"
 
 #: A candidate instance: the token after a context, without these marks around it.
 EDGES = "\"'`.,;:!?()[]{}<>*#&$%|="
-SPACE = re.compile(r"[\x20\x09-\x0D]+")
-#: A context's words are lower-cased, stripped of marks, and have letters only.
+#: Tokens of a context: runs of letters, digits and all beyond ASCII, and runs of one mark.
+TOKEN = re.compile(r"[0-9A-Za-z_\x80-\U0010ffff]+|([^\x20\x09-\x0D0-9A-Za-z_\x80-\U0010ffff])\1*")
+#: The word of a context that stands next to the instance has letters only.
 CUE = re.compile(r"[^\W\d_]{2,}", re.UNICODE)
+LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def luhn(digits: str) -> bool:
@@ -80,28 +81,85 @@ def shape_of(token: str) -> str | None:
     return "card" if digits >= 12 else "phone" if digits >= 7 else None
 
 
-def far_word(word: str) -> str:
-    plain = word.strip(EDGES).lower()
-    return plain if CUE.fullmatch(plain) else "_"
+def _around(text: str, at: int, step: int, most: int) -> list[str]:
+    """The `most` tokens next to a position, nearest first, to the left (step -1) or right."""
+    reach = 64
+    while True:
+        window = text[max(0, at - reach) : at] if step < 0 else text[at : at + reach]
+        tokens = [m[0] for m in TOKEN.finditer(window)]
+        if len(tokens) > most or len(window) < reach:
+            return [t.translate(LOWER) for t in (tokens[::-1] if step < 0 else tokens)[:most]]
+        reach *= 8
 
 
-def near_word(word: str) -> str | None:
-    plain = word.strip(EDGES).lower()
-    return plain + (word[-1] if word[-1] in ":=#" else "") if CUE.fullmatch(plain) else None
+def _is_word(token: str) -> bool:
+    return token[0].isalnum() or token[0] == "_" or token[0] > "\x7f"
 
 
-def cue_of(text: str, start: int) -> str | None:
-    """The lexical context before a position: the two words before it, lower-cased; the
-    nearer one has to be of letters, the other counts as _ if it isn't."""
-    reach = 64
-    while True:
-        words = [w for w in SPACE.split(text[max(0, start - reach) : start]) if w]
-        if reach >= start or len(words) > 2:
-            break
-        reach *= 8
-    if not words or (near := near_word(words[-1])) is None or text[start - 1] not in SPACES:
-        return None
-    return f"{far_word(words[-2]) if len(words) > 1 else '_'} {near}"
+def cues_of(text: str, start: int, end: int) -> list[tuple[str, str, str]]:
+    """The lexical patterns around an instance, as (form, word, mark, further word):
+
+    near: the word before it and the mark after that word; far: the same with the word
+    before that one; after: the word after it and the mark before that word."""
+    out = []
+    left = _around(text, start, -1, 16)
+    at = next((k for k, t in enumerate(left) if _is_word(t)), None)
+    if at is not None and CUE.fullmatch(left[at]):
+        mark = left[at - 1] if at else ""
+        out.append(("near", left[at], mark, ""))
+        further = next((t for t in left[at + 1 :] if _is_word(t)), "")
+        out.append(("far", left[at], mark, further))
+    right = _around(text, end, 1, 16)
+    at = next((k for k, t in enumerate(right) if _is_word(t)), None)
+    if at is not None and CUE.fullmatch(right[at]):
+        out.append(("after", right[at], right[at - 1] if at else "", ""))
+    return out
+
+
+def _near(word: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    return mix64(word * np.uint64(0x9E3779B97F4A7C15) + mark + np.uint64(1))
+
+
+def _far(near: np.ndarray, further: np.ndarray) -> np.ndarray:
+    return mix64(near * np.uint64(0xC2B2AE3D27D4EB4F) + further + np.uint64(2))
+
+
+def _after(word: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    return mix64(word * np.uint64(0x165667B19E3779F9) + mark + np.uint64(3))
+
+
+def cue_hashes(cues: list[tuple[str, str, str, str]]) -> np.ndarray:
+    """The patterns' 64-bit names."""
+    if not cues:
+        return np.zeros(0, np.uint64)
+
+    def of(k):
+        h, ends = token_hashes(pa.array([c[k] for c in cues], pa.string()), WORDS_AND_EACH_MARK)
+        out = np.zeros(len(cues), np.uint64)
+        out[np.diff(ends, prepend=0) > 0] = h
+        return out
+
+    word, mark, further = of(1), of(2), of(3)
+    near = _near(word, mark)
+    form = np.array([c[0] for c in cues])
+    return np.where(form == "near", near, np.where(form == "far", _far(near, further), _after(word, mark)))
+
+
+def cues_in(texts: pa.Array) -> np.ndarray:
+    """Names of all patterns that stand anywhere in the texts, whatever is next to them."""
+    h, ends, kinds = token_hashes(texts, WORDS_AND_EACH_MARK, kinds=True)
+    if not len(h):
+        return h
+    of = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    mark = kinds != 1
+    follows = np.append((of[1:] == of[:-1]) & mark[1:], False)
+    leads = np.append(False, (of[1:] == of[:-1]) & mark[:-1])
+    words = np.flatnonzero(~mark)
+    near = _near(h[words], np.where(follows, np.append(h[1:], 0), np.uint64(0)).astype(np.uint64)[words])
+    same = np.append(False, of[words][1:] == of[words][:-1])
+    further = np.where(same, np.append(np.uint64(0), h[words][:-1]), np.uint64(0)).astype(np.uint64)
+    after = _after(h[words], np.where(leads, np.append(np.uint64(0), h[:-1]), np.uint64(0)).astype(np.uint64)[words])
+    return np.concatenate([near, _far(near, further), after])
 
 
 #: A token with an @ or at least four digits.
@@ -112,9 +170,10 @@ GROUP = re.compile(r"[^\x20]+")
 #: Digits of a run by kind: the least, the most, and with how many the first group is whole by itself.
 RUN_DIGITS = {"card": (12, 19, 14), "phone": (7, 15, 10)}
 SPAN_TYPE = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-SEEN_TYPE = pa.struct([("kind", pa.string()), ("cue", pa.string()), ("instance", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())])
+CUE_TYPE = pa.struct([("cue", pa.string()), ("hash", pa.int64())])
+SEEN_TYPE = pa.struct([("kind", pa.string()), ("cues", pa.list_(CUE_TYPE)), ("instance", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())])
 FOUND_SCHEMA = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("base_sha256", pa.string()), ("base", pa.list_(SPAN_TYPE)), ("seen", pa.list_(SEEN_TYPE))])
-FOUND = "doc_id long, text_hash long, base_sha256 string, base array<struct<kind:string,start:int,end:int>>, seen array<struct<kind:string,cue:string,instance:string,start:int,end:int,base:boolean>>"
+FOUND = "doc_id long, text_hash long, base_sha256 string, base array<struct<kind:string,start:int,end:int>>, seen array<struct<kind:string,cues:array<struct<cue:string,hash:bigint>>,instance:string,start:int,end:int,base:boolean>>"
 #: The bitmap of cues has so many bits whatever their number; a false bit only costs a row.
 BITS = 1 << 23
 
@@ -146,19 +205,20 @@ def grouped(text: str, spans: list[tuple[int, int, str]]) -> dict[tuple[int, str
 
 def seen_in(text: str | None, spans: list[tuple[int, int, str]]) -> list[dict]:
     """Base matches and other identifier-like tokens or runs of groups, with their contexts."""
-    out = [{"kind": k, "cue": cue_of(text, s), "instance": text[s:e].lower(), "start": s, "end": e, "base": True} for s, e, k in spans]
+    out = [{"kind": k, "instance": text[s:e].lower(), "start": s, "end": e, "base": True} for s, e, k in spans]
     runs = grouped(text or "", spans)
-    for (at, kind), (s, e) in runs.items():
-        if (cue := cue_of(text, at)) is not None:
-            out.append({"kind": kind, "cue": cue, "instance": text[s:e].lower(), "start": s, "end": e, "base": False})
+    for (_, kind), (s, e) in runs.items():
+        out.append({"kind": kind, "instance": text[s:e].lower(), "start": s, "end": e, "base": False})
     for m in MAYBE.finditer(text or ""):
         token = m[0].strip(EDGES)
         if token and (kind := shape_of(token)) is not None and (m.start(), kind) not in runs:
             s = m.start() + m[0].index(token)
             e = s + len(token)
-            if not any(a < e and s < b for a, b, _ in spans) and (cue := cue_of(text, m.start())) is not None:
-                out.append({"kind": kind, "cue": cue, "instance": token.lower(), "start": s, "end": e, "base": False})
-    return out
+            if not any(a < e and s < b for a, b, _ in spans):
+                out.append({"kind": kind, "instance": token.lower(), "start": s, "end": e, "base": False})
+    for x in out:
+        x["cues"] = cues_of(text, x["start"], x["end"])
+    return [x for x in out if x["cues"]]
 
 
 def _scan(batches):
@@ -171,105 +231,100 @@ def _scan(batches):
                 out["base_sha256"].append(hashlib.sha256(joined(spans).encode()).hexdigest())
                 out["base"].append([{"kind": k, "start": s, "end": e} for s, e, k in spans])
                 out["seen"].append(seen_in(text, spans))
+            named = [x for some in out["seen"] for x in some]
+            hashes = iter(cue_hashes([c for x in named for c in x["cues"]]).astype(np.int64).tolist())
+            for x in named:
+                x["cues"] = [{"cue": " ".join(c), "hash": next(hashes)} for c in x["cues"]]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), *(pa.array(out[f.name], f.type) for f in list(FOUND_SCHEMA)[2:])], schema=FOUND_SCHEMA)
 
 
-class _Cues(dict):
-    """A raw word's hashes as far and as near word of a cue; the latter 0 if it can't be one."""
-
-    def __missing__(self, word: str) -> tuple[int, int]:
-        if len(self) >= 300_000:
-            self.clear()
-        near = near_word(word)
-        self[word] = value = (xxhash.xxh3_64_intdigest(far_word(word)), xxhash.xxh3_64_intdigest(near) if near else 0)
-        return value
-
-
-def _place(far: np.ndarray, near: np.ndarray) -> np.ndarray:
-    return mix64(far * np.uint64(0x9E3779B97F4A7C15) + near)
-
-
-def cue_hash(cue: str) -> int:
-    far, near = cue.split(" ", 1)
-    return int(_place(np.array([xxhash.xxh3_64_intdigest(far)], np.uint64), np.array([xxhash.xxh3_64_intdigest(near)], np.uint64))[0].astype(np.int64))
-
-
 def _count_cues(bitmap):
-    """How often each cue of the bitmap precedes any token at all; combined within a task."""
+    """How often each pattern of the bitmap stands anywhere; combined within a task."""
 
     def run(batches):
-        known, bits = _Cues(), np.frombuffer(bitmap.value, np.uint8)
-        start = xxhash.xxh3_64_intdigest("_")
-        found: list[np.ndarray] = []
+        bits = np.frombuffer(bitmap.value, np.uint8)
+        names, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                far, near = [], []
-                for text in batch.column("text").slice(at, 512).to_pylist():
-                    words = SPACE.split(text or "")
-                    pairs = [known[w] for w in words if w]
-                    far.append(start)
-                    far += [p[0] for p in pairs[:-2]] if len(pairs) > 1 else []
-                    near += [p[1] for p in pairs[:-1]]
-                    if len(pairs) < 2:
-                        far.pop()
-                n = np.array(near, np.uint64)
-                h = _place(np.array(far, np.uint64), n)
+                h = cues_in(batch.column("text").slice(at, 512))
                 slot = (h % np.uint64(BITS)).astype(np.int64)
-                found.append(h[(n != 0) & ((bits[slot >> 3] >> (slot & 7)) & 1 == 1)])
-        if found and len(all_ := np.concatenate(found)):
-            hashes, counts = np.unique(all_, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.astype(np.int64)), pa.array(counts.astype(np.int64))], names=["cue_hash", "times"])
+                h = h[(bits[slot >> 3] >> (slot & 7)) & 1 == 1]
+                if len(h):
+                    all_, place = np.unique(np.concatenate([names, h]), return_inverse=True)
+                    counts = np.bincount(place, weights=np.concatenate([counts, np.ones(len(h), np.int64)]), minlength=len(all_)).astype(np.int64)
+                    names = all_
+                    if len(names) > 1 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array(counts)], names=["cue_hash", "times"])
+                        names, counts = names[:0], counts[:0]
+        if len(names):
+            yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array(counts)], names=["cue_hash", "times"])
 
     return run
 
 
+def patterns_of(scanned: DataFrame, texts: DataFrame, support: int) -> DataFrame | None:
+    """The graph of patterns and instances: (kind, cue_hash, instance, n, seed, times), where
+    times is how often the pattern stands in the texts, whatever is next to it. None if no
+    pattern has `support` instances; the texts are then not read."""
+    seen = scanned.select(F.explode("seen").alias("x")).select("x.kind", "x.instance", "x.base", F.explode("x.cues").alias("c"))
+    graph = seen.groupBy("kind", F.col("c.hash").alias("cue_hash"), "instance").agg(F.count("*").alias("n"), F.max("base").alias("seed"))
+    # a pattern that no seed has can't start, but it can follow from instances that other patterns discover
+    often = graph.groupBy("kind", "cue_hash").agg(F.count("*").alias("instances")).filter(F.col("instances") >= support).select("kind", "cue_hash")
+    graph = settle(graph.join(often, ["kind", "cue_hash"]))
+    if graph.filter("seed").groupBy("kind", "cue_hash").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= support).isEmpty():
+        return None
+    bitmap = texts.sparkSession.sparkContext.broadcast(_bitmap(graph))
+    counted = texts.select("text").mapInArrow(_count_cues(bitmap), "cue_hash long, times long")
+    times = counted.groupBy("cue_hash").agg(F.sum("times").alias("times"))
+    return settle(graph.join(times, "cue_hash", "left").withColumn("times", F.greatest(F.coalesce("times", F.lit(1)), "n")))
+
+
 def find_personal_data(docs: DataFrame, rounds: int = 3, support: int = 3, confident: float = 0.6) -> tuple[DataFrame, DataFrame]:
     """Base spans of every document, and further spans found by context.
 
-    Seeds are the base matches. A pattern is a kind and the two words before an
-    instance. A pattern's confidence is the weight of its instances of that kind over
-    all its occurrences in the collection, whatever follows; it counts with `support`
-    different instances that are believed. An instance's score is 1 for a seed, else
-    1 - product(1 - confidence) over its patterns; identifier-like tokens that reach
+    Seeds are the base matches. A pattern is a kind and a context: the word before an
+    instance with the mark after it, the same with the word before that, or the word after
+    it with the mark before. A pattern's confidence is the weight of its instances of that
+    kind over all its occurrences in the collection, whatever is next to it; it counts with
+    `support` different instances that are believed. An instance's score is 1 for a seed,
+    else 1 - product(1 - confidence) over its patterns; identifier-like tokens that reach
     `confident` become spans, and believed instances feed the next round's patterns. An
     identifier may stand in groups with one space between: as a phone the longest
     beginning of the run with 7 to 15 digits, as a card the longest with 12 to 19.
 
     Returns (scanned, discovered): scanned has a row a document (doc_id, text_hash,
     base_sha256, base spans, seen); discovered has (doc_id, text_hash, more spans) for
-    the documents with any. A null text has no spans.
+    the documents with any. A null text has no spans; no rows give no rows.
     """
     base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     scanned = settle(base.mapInArrow(_scan, FOUND))
-    seen = scanned.select("doc_id", "text_hash", F.explode("seen").alias("x")).select("doc_id", "text_hash", "x.*")
-    hashed = F.udf(lambda c: cue_hash(c), "long")
-    graph = seen.filter("cue IS NOT NULL").groupBy("kind", "cue", "instance").agg(F.count("*").alias("n"), F.max("base").alias("seed"))
-    often = graph.groupBy("kind", "cue").agg(F.count("*").alias("instances")).filter(F.col("instances") >= support).select("kind", "cue", hashed("cue").alias("cue_hash"))
-    graph = settle(graph.join(often, ["kind", "cue"]))
-    bitmap = _bitmap(graph)
-    counted = base.select("text").mapInArrow(_count_cues(docs.sparkSession.sparkContext.broadcast(bitmap)), "cue_hash long, times long")
-    times = counted.groupBy("cue_hash").agg(F.sum("times").alias("times"))
-    graph = settle(graph.join(times, "cue_hash", "left").withColumn("times", F.greatest(F.coalesce("times", F.lit(1)), F.lit(1))))
+    graph = patterns_of(scanned, base, support)
+    if graph is None:
+        return scanned, scanned.select("doc_id", "text_hash", F.col("base").alias("more")).limit(0)
     scores = graph.groupBy("kind", "instance").agg(F.max(F.col("seed").cast("double")).alias("score"))
     for _ in range(rounds):
         patterns = (
             graph.join(scores, ["kind", "instance"])
-            .groupBy("kind", "cue")
+            .groupBy("kind", "cue_hash")
             .agg((F.sum(F.col("score") * F.col("n")) / F.max("times")).alias("confidence"), F.count(F.when(F.col("score") >= confident, 1)).alias("believed"))
             .filter(F.col("believed") >= support)
-            .select("kind", "cue", F.least("confidence", F.lit(1.0)).alias("confidence"))
+            .select("kind", "cue_hash", F.least("confidence", F.lit(1.0)).alias("confidence"))
+        )
+        scores = settle(
+            graph.join(patterns, ["kind", "cue_hash"], "left")
+            .groupBy("kind", "instance")
+            .agg(F.when(F.max("seed"), 1.0).otherwise(1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.coalesce("confidence", F.lit(0.0))))))).alias("score"))
         )
-        scores = graph.join(patterns, ["kind", "cue"], "left").groupBy("kind", "instance").agg(
-            F.when(F.max("seed"), 1.0).otherwise(1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.coalesce("confidence", F.lit(0.0))))))).alias("score")
-        )
     believed = scores.filter(F.col("score") >= confident).select("kind", "instance")
     discovered = (
-        seen.filter("NOT base")
+        scanned.select("doc_id", "text_hash", F.explode("seen").alias("x"))
+        .select("doc_id", "text_hash", "x.kind", "x.instance", "x.start", "x.end", "x.base")
+        .filter("NOT base")
         .join(believed, ["kind", "instance"])
         .groupBy("doc_id", "text_hash")
         .agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("more"))
     )
-    return scanned, discovered
+    return scanned, settle(discovered)
 
 
 def _bitmap(graph: DataFrame) -> bytes:
@@ -326,13 +381,18 @@ def pii(docs: DataFrame, **options) -> DataFrame:
     )
 
 
-def _mask(batches):
-    for batch in batches:
-        texts = []
-        for text, more in zip(batch.column("text").to_pylist(), batch.column("more").to_pylist(), strict=True):
-            texts.append(masked(text, base_spans(text) + [(x["start"], x["end"], x["kind"]) for x in more or ()]))
-        keep = batch.drop_columns(["more"])
-        yield keep.set_column(keep.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+def _mask(more: str):
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                texts = []
+                for text, found in zip(part.column("text").to_pylist(), part.column(more).to_pylist(), strict=True):
+                    texts.append(masked(text, base_spans(text) + [(x["start"], x["end"], x["kind"]) for x in found or ()]))
+                keep = part.drop_columns([more])
+                yield keep.set_column(keep.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+
+    return run
 
 
 def masked(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
@@ -349,9 +409,14 @@ def masked(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
 
 def mask_personal_data(docs: DataFrame, **options) -> DataFrame:
     """docs with personal data in `text` masked by kind, all columns kept; n_chars, where
-    there is one, follows the text. Documents without spans stay as they are."""
+    there is one, follows the text. Documents without spans stay as they are, as do null
+    texts; equal rows are masked alike; other columns may have any names."""
     _, discovered = find_personal_data(docs, **options)
-    found = discovered.select(F.col("doc_id").alias("with_id"), F.col("text_hash").alias("with_hash"), "more")
-    wide = docs.join(found, F.col("doc_id").eqNullSafe(F.col("with_id")) & (F.xxhash64("text") == F.col("with_hash")), "left").select(*docs.columns, "more")
-    out = wide.mapInArrow(_mask, docs.schema)
+    more, with_id, with_hash = unlike(docs.columns, "more", "with_id", "with_hash")
+    if discovered.isEmpty():
+        wide = docs.withColumn(more, F.lit(None).cast("array<struct<kind:string,start:int,end:int>>"))
+    else:
+        found = discovered.select(F.col("doc_id").alias(with_id), F.col("text_hash").alias(with_hash), F.col("more").alias(more))
+        wide = docs.join(found, F.col("doc_id").eqNullSafe(F.col(with_id)) & (F.xxhash64("text") == F.col(with_hash)), "left").select(*[F.col(f"`{c}`") for c in docs.columns], more)
+    out = wide.mapInArrow(_mask(more), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -44,6 +44,7 @@ def trie_links(sets: list[np.ndarray], percent: int, split: int | None = None, b
     levels = np.unique(np.concatenate([fork, np.arange(0, most, step), [most]]))
     levels = levels[levels <= most]
     found = []
+    block = max(1, min(block, 4_000_000 // (len(vocabulary) + 1)))  # the queries' members as a table
     for first in range(0, ends, block):
         queries = range(first, min(ends, first + block))
         a = sizes[first : queries[-1] + 1][:, None]

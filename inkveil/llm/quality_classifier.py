@@ -2,36 +2,23 @@
 
 from __future__ import annotations
 
-import re
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix64, settle
+from .common import WORDS_AND_MARKS, mix64, settle, token_hashes
 
-#: Words and runs of marks, each a token of the n-grams.
-TOKEN = re.compile(r"\w+|[^\w\s]+").findall
 BUCKETS = 20_000
 
 
-@lru_cache(maxsize=1)
-def _known() -> WordHashes:
-    return WordHashes()
-
-
-def features(texts: list, buckets: int = BUCKETS) -> list[np.ndarray]:
-    """Per text, the buckets of its tokens and of its pairs of neighbouring tokens."""
-    known = _known()
-    tokens = [[t.encode("utf-8", "surrogatepass") for t in TOKEN(text)] if text else [] for text in texts]
-    out = []
-    for some in tokens:
-        h = np.fromiter(map(known.__getitem__, some), dtype=np.uint64, count=len(some))
-        pairs = mix64(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
-        out.append((np.concatenate([h, pairs]) % np.uint64(buckets)).astype(np.int64))
-    return out
+def features(texts: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of all texts' tokens (words, and runs of marks) and of their pairs of
+    neighbouring tokens; and of each feature the text that it is of."""
+    tokens, ends = token_hashes(texts, WORDS_AND_MARKS, lower=False)
+    of = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    pairs = mix64(tokens[:-1] * np.uint64(0x9E3779B97F4A7C15) + tokens[1:])[of[:-1] == of[1:]]
+    return (np.concatenate([tokens, pairs]) % np.uint64(buckets)).astype(np.int64), np.concatenate([of, of[:-1][of[:-1] == of[1:]]])
 
 
 def _count(targets: set, buckets: int):
@@ -43,11 +30,11 @@ def _count(targets: set, buckets: int):
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 ids = part.column("doc_id").to_pylist()
-                got = features(part.column("text").to_pylist(), buckets)
+                got, of = features(part.column("text"), buckets)
                 texts += len(ids)
-                raw += np.bincount(np.concatenate(got), minlength=buckets)
-                if some := [g for g, i in zip(got, ids, strict=True) if i in targets]:
-                    target += np.bincount(np.concatenate(some), minlength=buckets)
+                raw += np.bincount(got, minlength=buckets)
+                good = np.array([i in targets for i in ids], bool)
+                target += np.bincount(got[good[of]], minlength=buckets)
         if texts:
             used = np.flatnonzero(raw)
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(raw[used]), pa.array(target[used])], names=["bucket", "raw", "target"])
@@ -55,11 +42,6 @@ def _count(targets: set, buckets: int):
     return run
 
 
-def _told(value: float, doubt: float) -> float:
-    """A log ratio drawn to 0 by what is in doubt."""
-    return max(0.0, value - doubt) if value > 0 else min(0.0, value + doubt)
-
-
 def _gumbel(doc_id, text_hash, seed: int):
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id, text_hash), 11) + 0.5) * F.lit(2.0**-53)
     return -F.log(-F.log(u))
@@ -96,26 +78,47 @@ def top_k(rows: DataFrame, k: int, bins: int = 1024, rounds: int = 4) -> DataFra
         above = rows.filter(F.col("key") >= high).count()
         if counts.get(at, 0) < 64:
             break
+    # what is left lies within one bin: it is cut by key and then by doc_id, equal rows counted as one
     inner = rows.filter((F.col("key") >= low) & (F.col("key") < high))
-    ranked = inner.withColumn("selected", F.row_number().over(Window.orderBy(F.desc("key"), F.col("doc_id").asc_nulls_last())) <= k - above)
-    return rows.filter(F.col("key") >= high).withColumn("selected", F.lit(True)).unionByName(ranked).unionByName(rows.filter(F.col("key") < low).withColumn("selected", F.lit(False)))
-
-
-def quality_classifier(docs: DataFrame, labels: DataFrame, most: int = 20_000, buckets: int = BUCKETS, shrink: float = 100.0, doubts: float = 1.5, seed: int = 29) -> DataFrame:
+    alike = inner.groupBy("key", "doc_id").agg(F.count("*").alias("alike"))
+    w = Window.orderBy(F.desc("key"), F.col("doc_id").asc_nulls_last())
+    cut = alike.withColumn("ahead", F.sum("alike").over(w.rowsBetween(Window.unboundedPreceding, -1))).filter(F.coalesce("ahead", F.lit(0)) < k - above).orderBy(F.asc("key"), F.col("doc_id").desc_nulls_first()).limit(1).collect()
+    last = cut[0]
+    past = F.col("doc_id").isNotNull() if last.doc_id is None else F.col("doc_id") < last.doc_id
+    sure = (F.col("key") > last.key) | ((F.col("key") == last.key) & F.coalesce(past, F.lit(False)))
+    at = (F.col("key") == last.key) & F.col("doc_id").eqNullSafe(F.lit(last.doc_id))
+    room = k - above - (last.ahead or 0)
+    if room >= last.alike:
+        return rows.withColumn("selected", sure | at)
+    # of equal rows at the very cut as many are taken as there is room for: the first ones of a few parts
+    tied = rows.filter(at).withColumn("part", F.spark_partition_id())
+    sizes = dict(tied.groupBy("part").count().collect())
+    starts, ahead = {}, 0
+    for part in sorted(sizes):
+        starts[part], ahead = ahead, ahead + sizes[part]
+    first = F.create_map(*[F.lit(x) for kv in starts.items() for x in kv])
+    nth = F.row_number().over(Window.partitionBy("part").orderBy("key"))
+    taken = tied.withColumn("selected", first[F.col("part")] + nth <= room).drop("part")
+    return rows.filter(~at).withColumn("selected", sure).unionByName(taken)
+
+
+def quality_classifier(docs: DataFrame, labels: DataFrame, most: int = 20_000, buckets: int = BUCKETS, shrink: float = 200.0, least: float = 0.05, seed: int = 29) -> DataFrame:
     """Select documents (doc_id, text) that look drawn from the good ones of labels (doc_id, quality).
 
     Two bags of hashed tokens and token pairs are estimated: of the target texts (those
     of quality 1 in a sample of at most `most` labelled rows, by hash of the doc_id) and
-    of all texts. A document's log_weight is the log of its probability under the first
-    over that under the second, each bucket's ratio drawn to 1 by `shrink` counts,
-    less what a sample of this size can't tell (`doubts` standard errors, all one way). Documents are sampled without replacement with chances by
-    weight: the k greatest of log_weight + Gumbel noise, where k is the expected number of
-    documents that look so, the sum of min(1, weight).
+    of all texts, the first smoothed towards the second by `shrink` counts a bucket. A
+    document's weight is its probability under the first over that under the second;
+    log_weight is the sum of its features' log ratios. Documents are sampled without
+    replacement with chances by weight: the k greatest of log_weight + Gumbel noise, where
+    k is the number of documents whose weight is above `least`.
 
     Returns doc_id, log_weight, key, selected: a row for each row of docs. A null or empty
     text has log_weight 0. Without any label of quality 1 all log_weights are 0 and all
-    documents are selected; null labels are not used; other columns are ignored. The noise
-    is a hash of the document, so that reruns agree.
+    documents are selected; null labels are not used; a doc_id that is labelled both ways
+    is good; equal rows have equal weights and noise, and the cut takes them in the order
+    of doc_id, as many as there is room for; no rows give no rows; other columns are
+    ignored. The noise is a hash of the document, so that reruns agree.
     """
     base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     rows = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -125,20 +128,17 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, most: int = 20_000, b
     raw, target = np.zeros(buckets), np.zeros(buckets)
     for r in counted.collect():  # a row a bucket at most
         raw[r.bucket], target[r.bucket] = r.raw, r.target
-    # counts that the sample is too small to tell from its share of all texts are drawn to that share
-    q = raw * (target.sum() / max(1.0, raw.sum()))
-    ratio = np.log(target + shrink) - np.log(q + shrink)
-    doubt = doubts * np.sqrt(q) / (q + shrink)
+    ratio = np.log((target + shrink) / (raw * (target.sum() / max(1.0, raw.sum())) + shrink))
 
     def score(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                got = [_told(float(ratio[f].sum()), float(doubt[f].sum())) for f in features(part.column("text").to_pylist(), buckets)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(got, pa.float64())], names=["doc_id", "text_hash", "log_weight"])
+                got, of = features(part.column("text"), buckets)
+                weights = np.bincount(of, weights=ratio[got], minlength=part.num_rows).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(weights)], names=["doc_id", "text_hash", "log_weight"])
 
     scored = base.mapInArrow(score, "doc_id long, text_hash long, log_weight double")
     scored = settle(scored.withColumn("key", F.col("log_weight") + _gumbel(F.col("doc_id"), F.col("text_hash"), seed)))
-    wanted = scored.agg(F.sum(F.exp(F.least(F.lit(0.0), "log_weight")))).first()[0] or 0.0
-    k = round(wanted) if targets else scored.count()
+    k = scored.filter(F.col("log_weight") > F.log(F.lit(least))).count() if targets else scored.count()
     return top_k(scored, k).select("doc_id", "log_weight", "key", "selected", "text_hash")

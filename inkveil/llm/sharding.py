@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import numbered, settle
 
 #: The multiplier of the published algorithm's 64-bit linear congruential generator.
 STEP = 2862933555777941757
@@ -75,10 +75,5 @@ def shard(docs: DataFrame, shards: int = 8, grown: int | None = None, buckets: i
         .select("shard", "bucket", before(Window.partitionBy("shard").orderBy("bucket")).alias("start"))
     )
     within = counted.withColumn("ahead", before(Window.partitionBy("shard", "bucket").orderBy(*key)))
-    return within.join(F.broadcast(starts), ["shard", "bucket"]).select(
-        *key,
-        F.lit("key").alias("law"),
-        "shard",
-        F.explode(F.sequence(F.col("start") + F.col("ahead"), F.col("start") + F.col("ahead") + F.col("n") - 1)).alias("slot"),
-        "grown_shard",
-    ).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    placed = numbered(within.join(F.broadcast(starts), ["shard", "bucket"]), "n", "nth")  # shards x buckets rows
+    return placed.select(*key, F.lit("key").alias("law"), "shard", (F.col("start") + F.col("ahead") + F.col("nth")).alias("slot"), "grown_shard")
