@@ -5,54 +5,16 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from inkveil.llm import mixing, ngram_join, pieces, pii, quality_classifier
-from inkveil.llm.common import settle, shared_dir, table
-
-
-def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier selects; the others go."""
-    chosen = quality_classifier.quality_classifier(docs, table(spark, sf_dir, "labels"))
-    gone = chosen.filter("NOT selected").select(F.col("doc_id").alias("with_id"), F.col("text_hash").alias("with_hash")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("with_id")) & (F.xxhash64("text") == F.col("with_hash")), "left_anti")
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of the smallest doc_id. Near
-    copies share 0.8 of their five-word shingles. Documents without words stay, and so
-    do those whose group has no doc_id at all."""
-    groups = settle(ngram_join.ngram_join(docs, n=5, percent=80).filter("n_shingles > 0 AND component_id IS NOT NULL"))
-    first = groups.filter("doc_id = component_id").groupBy("component_id").agg(F.min("text_hash").alias("first_hash"))
-    ranked = groups.join(first, "component_id").withColumn("stays", F.expr("doc_id <=> component_id AND text_hash = first_hash"))
-    seen = ranked.groupBy("doc_id", "text_hash").agg(F.max("stays").alias("stays"), F.count("*").alias("rows"))
-    told = seen.filter("NOT stays OR rows > 1").select(F.col("doc_id").alias("with_id"), F.col("text_hash").alias("with_hash"), "stays")
-    wide = docs.join(told, F.col("doc_id").eqNullSafe(F.col("with_id")) & (F.xxhash64("text") == F.col("with_hash")), "left")
-    once = wide.filter("stays").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return wide.filter("stays IS NULL").select(*docs.columns).unionByName(once)
-
-
-def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data masked by kind."""
-    return pii.mask_personal_data(docs)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix to the sources' weights takes them, 0 to 3 times."""
-    return mixing.apply_mix(docs)
-
-
-def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each document, and whether decoding gives its text again."""
-    return pieces.encode(docs)
 
+from inkveil.llm import stages
+from inkveil.llm.common import shared_dir, table
 
 STAGES = [
-    ("quality_classifier", select_quality),
-    ("ngram_join", drop_near_copies),
-    ("pii", mask_personal_data),
-    ("mixing", mix_sources),
-    ("pieces", encode_pieces),
+    ("quality_classifier", stages.select_quality),
+    ("ngram_join", stages.drop_near_copies),
+    ("pii", stages.mask_personal_data),
+    ("mixing", stages.mix_sources),
+    ("pieces", stages.encode_pieces),
 ]
 
 #: The classifier's hashes, the links and the masks have no SQL form that ends in time.
