@@ -19,6 +19,7 @@ FOUND = "bucket int, doc_id long, n long, node long, text_hash long, a long, b l
 JOINED = "a long, b long, links long"
 #: A chunk of sets that is joined at once: so many sets on average, and sets times members of the largest.
 CHUNK_SETS, CHUNK_CELLS = 512, 400_000
+SALTS = 32
 
 
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -245,16 +246,21 @@ def _dealt(groups: DataFrame, percent: int) -> DataFrame:
     cells = lambda: F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.count("*") * F.max("n") / CHUNK_CELLS)).cast("long")
     code = lambda c, h: c * F.lit(1 << 40) + h
     width = np.log(100 / percent) * 1.0001 if percent < 100 else 1e-9  # a little wide, for the sake of rounding
-    whole = groups.groupBy("root").agg(cells().alias("whole"))
-    sized = groups.join(whole, "root").withColumn("size", F.when(F.col("whole") == 1, 0).otherwise(F.floor(F.log("n") / F.lit(float(width)))).cast("long"))
+    # a giant component is not one task: its sets meet the figures of their component under a salt
+    groups = groups.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    whole = salted(groups.groupBy("root").agg(cells().alias("whole")))
+    sized = groups.join(whole, ["root", "salt"]).withColumn("size", F.when(F.col("whole") == 1, 0).otherwise(F.floor(F.log("n") / F.lit(float(width)))).cast("long"))
+    sized = settle(sized.drop("whole"))
     counted = settle(sized.groupBy("root", "size").agg(cells().alias("chunks")))
     beside = [counted.select("root", (F.col("size") + d).alias("size"), F.col("chunks").alias(name)) for d, name in ((-1, "above"), (1, "below"))]
     met = counted
     for b in beside:
         met = met.join(b, ["root", "size"], "left")
+    met = salted(met)
     all_of = lambda c, k: F.when(F.col(k) > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col(k) - 1), lambda h: code(c, h))).otherwise(F.array().cast("array<long>"))
     size = F.col("size")
-    dealt = sized.join(met, ["root", "size"]).select(
+    dealt = sized.join(met, ["root", "size", "salt"]).select(
         "root", "node", "copies", code(size, F.pmod(F.xxhash64("node"), F.col("chunks"))).alias("chunk"),
         F.concat(all_of(size, "chunks"), all_of(size + 1, "above"), all_of(size - 1, "below")).alias("others"),
         F.col("least.doc_id").alias("with_id"), F.col("least.text_hash").alias("with_hash"),

@@ -18,6 +18,10 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: The first two so that a long run is read once: a match begins where a run does, or where the one before ended.
+EMAIL_HERE = re.compile(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+EMAIL_NEXT = re.compile(r"(?<![A-Za-z0-9._%+-])" + EMAIL_HERE.pattern)
+IP_NEXT = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 SPACES = " \t\n\x0b\x0c\r"
 
 #: A candidate instance: the token after a context, without these marks around it.
@@ -51,9 +55,11 @@ def base_spans(text: str | None) -> list[tuple[int, int, str]]:
         end = at
         while end < len(text) and text[end] not in SPACES:
             end += 1
-        out += [(m.start(), m.end(), 0) for m in EMAIL.finditer(text, begin, end)]
+        while (m := EMAIL_HERE.match(text, begin, end) or EMAIL_NEXT.search(text, begin, end)) is not None:
+            out.append((m.start(), m.end(), 0))
+            begin = m.end()
         at = text.find("@", end)
-    for m in IP.finditer(text):
+    for m in IP_NEXT.finditer(text):
         if all(len(p := part.lstrip("0")) <= 3 and int(p or 0) <= 255 for part in m[0].split(".")):
             out.append((m.start(), m.end(), 1))
     for m in CARD.finditer(text):
@@ -155,7 +161,7 @@ def cues_in(texts: pa.Array) -> np.ndarray:
     follows = np.append((of[1:] == of[:-1]) & mark[1:], False)
     leads = np.append(False, (of[1:] == of[:-1]) & mark[:-1])
     words = np.flatnonzero(~mark)
-    near = _near(h[words], np.where(follows, np.append(h[1:], 0), np.uint64(0)).astype(np.uint64)[words])
+    near = _near(h[words], np.where(follows, np.append(h[1:], np.uint64(0)), np.uint64(0)).astype(np.uint64)[words])
     same = np.append(False, of[words][1:] == of[words][:-1])
     further = np.where(same, np.append(np.uint64(0), h[words][:-1]), np.uint64(0)).astype(np.uint64)
     after = _after(h[words], np.where(leads, np.append(np.uint64(0), h[:-1]), np.uint64(0)).astype(np.uint64)[words])

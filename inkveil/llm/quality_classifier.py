@@ -102,7 +102,7 @@ def top_k(rows: DataFrame, k: int, bins: int = 1024, rounds: int = 4) -> DataFra
     return rows.filter(~at).withColumn("selected", sure).unionByName(taken)
 
 
-def quality_classifier(docs: DataFrame, labels: DataFrame, most: int = 20_000, buckets: int = BUCKETS, shrink: float = 200.0, least: float = 0.05, seed: int = 29) -> DataFrame:
+def quality_classifier(docs: DataFrame, labels: DataFrame, most: int = 20_000, buckets: int = BUCKETS, shrink: float = 500.0, least: float = 0.05, seed: int = 29) -> DataFrame:
     """Select documents (doc_id, text) that look drawn from the good ones of labels (doc_id, quality).
 
     Two bags of hashed tokens and token pairs are estimated: of the target texts (those

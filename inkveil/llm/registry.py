@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 
-from . import lm_scoring, mixing, ngram_join, pieces, pii, quality_classifier, quality_rules, sharding, toxicity, vector_search
+from . import lm_scoring, mixing, ngram_join, oracles, pieces, pii, quality_classifier, quality_rules, sharding, toxicity, vector_search
 from .common import table
 
 
@@ -29,7 +31,7 @@ def op5_lm_scoring(spark, sf_dir):
 
 
 def op6_quality_rules(spark, sf_dir):
-    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_quality_classifier(spark, sf_dir):
@@ -62,6 +64,47 @@ QUERIES = (
 )
 
 
+# What SQL can say of the operators' results, held against it over the whole tables.
+
+
+def shard_of_keys(spark, sf_dir):
+    """op1 without the slots' order: a shard's slots are gapless if their greatest is the number of its rows less one."""
+    rows = op1_sharding(spark, sf_dir)
+    sums = rows.groupBy("shard").agg((F.max("slot") + 1).alias("top"), F.countDistinct("slot").alias("slots"))
+    sums = sums.select("shard", F.when(F.col("top") == F.col("slots"), F.col("top")).alias("shard_rows"))
+    return rows.join(F.broadcast(sums), "shard").select("doc_id", "size", "law", "shard", "grown_shard", "shard_rows")
+
+
+def pii_counts(spark, sf_dir):
+    return op2_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def mixing_targets(spark, sf_dir):
+    return op4_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+def lm_base(spark, sf_dir):
+    return op5_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+
+
+def quality_base(spark, sf_dir):
+    return op6_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def vector_search_exact(spark, sf_dir):
+    """The search with all candidates reranked."""
+    rows = vector_search.nearest(table(spark, sf_dir, "embeddings"), share=1.0)
+    return rows.select("query_id", "rank", "vec_id", F.round("score", 9).alias("score"))
+
+
+def toxicity_rows(spark, sf_dir):
+    fine = F.col("score").between(0, 1) & (F.col("predicted") == (F.col("score") >= 0.5).cast("int"))
+    return op9_toxicity(spark, sf_dir).select("doc_id", "held_out", fine.alias("in_range"))
+
+
+QUERIES += (shard_of_keys, pii_counts, mixing_targets, lm_base, quality_base, vector_search_exact, toxicity_rows)
+
+
 def queries() -> dict:
     return {f.__name__: f for f in QUERIES} | {"pipeline": corpus_pipeline.run}
 
@@ -84,4 +127,13 @@ LEFT JOIN (SELECT x AS doc_id, count(*) AS k FROM links GROUP BY x) USING (doc_i
 
 
 def oracle_sql() -> dict:
-    return {"op3_ngram_join": NGRAM_JOIN}
+    return {
+        "op3_ngram_join": NGRAM_JOIN,
+        "shard_of_keys": oracles.SHARDS,
+        "pii_counts": oracles.PII_COUNTS,
+        "mixing_targets": oracles.TARGETS,
+        "lm_base": oracles.LM_BASE,
+        "quality_base": oracles.QUALITY_BASE,
+        "vector_search_exact": oracles.NEAREST,
+        "toxicity_rows": oracles.HELD_OUT,
+    }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections import Counter
 
@@ -24,6 +25,7 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 BLANKS = "\t\n\x0b\x0c\r\"'`.,;:?()[]{}<>*#&%=_~^/\\-–—“”‘’«»…·"
 UNSEEN = "​‌‍⁠﻿­"
 TABLE = {ord(c): None for c in UNSEEN} | {ord(c): " " for c in BLANKS} | {ord(k): v for k, v in (HOMOGLYPHS | SUBSTITUTES).items()}
+WORDS = re.compile(r"\S+").finditer
 LENGTHS = (4, 5, 6, 7, 8, 10, 12)
 
 
@@ -70,7 +72,13 @@ class Lexicon:
                 found.append((end - len(term) + 1, term))
             else:
                 spared.append((end - len(term), end))
-        return [(s, t) for s, t in found if not any(a <= s < b for a, b in spared)] if spared else found
+        if not spared:
+            return found
+        # the phrases' runs, joined where they overlap; a hit is spared if its start lies in one
+        starts = np.array(sorted(spared))
+        ends = np.maximum.accumulate(starts[:, 1])
+        at = np.searchsorted(starts[:, 0], [s for s, _ in found], side="right") - 1
+        return [(s, t) for (s, t), k in zip(found, at.tolist(), strict=True) if k < 0 or ends[k] <= s]
 
     def measures(self, text: str) -> tuple[float, float]:
         """Weight of the hits, as log(1 + weight), and per hundred words, likewise."""
@@ -113,11 +121,11 @@ def _phrases(lexicon: Lexicon):
             for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 text = folded(text)
                 near = set()
-                for start, _ in lexicon.hits(text):
-                    after = text[start : start + 200].split()[:2]
-                    before = text[max(0, start - 100) : start].split()[-1:]
-                    near.add(" ".join(after))
-                    near.add(" ".join(before + after[:1]))
+                found = list(WORDS(text))
+                words, places = [m[0] for m in found], [m.start() for m in found]
+                for k in np.searchsorted(places, [s for s, _ in lexicon.hits(text)]).tolist():
+                    near.add(" ".join(words[k : k + 2]))
+                    near.add(" ".join(words[max(0, k - 1) : k + 1]))
                 out.update((p, label) for p in near if " " in p)
             yield pa.RecordBatch.from_pydict({"phrase": [p for p, _ in out], "toxic": [y for _, y in out], "texts": list(out.values())}, schema=pa.schema([("phrase", pa.string()), ("toxic", pa.int32()), ("texts", pa.int64())]))
 

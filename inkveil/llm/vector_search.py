@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
 import numpy as np
 import pandas as pd
@@ -82,37 +82,36 @@ class Index:
         return d, some
 
 
-def _search(queries: list[tuple[int, bytes]], pivots: dict, k: int, length: int, share: float, least: int, chunk: int):
-    """Every query of a block against the partition's vectors, a chunk of these at a time."""
-
-    def flush(vectors, ids):
-        out = []
-        by_size: dict[int, list[int]] = {}
-        for i, v in enumerate(vectors):
-            by_size.setdefault(len(v), []).append(i)
-        for size, own in by_size.items():
-            if size not in pivots or not any(len(q) == size for _, q in queries):
-                continue
-            index = Index(np.stack([np.frombuffer(vectors[i], np.float64) for i in own]), pivots[size], length)
-            for place, q in queries:
-                if len(q) == size:
-                    d, some = index.search(np.frombuffer(q, np.float64), k + 1, max(least, round(share * len(own))))
-                    # a vector's ids are those of equal rows: all at this distance, the smallest first
-                    pairs = [(x, i) for x, s in zip(d.tolist(), some.tolist(), strict=True) for i in ids[own[s]]]
-                    out.append((place, _best(pairs, k)))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], names=["place", "found"])
+def _search(pivots: dict, k: int, length: int, share: float):
+    """Rows sorted by (part, turn, asks) to each query's nearest in the part: a part's vectors
+    come first and make the index, then the queries of the turn come by, some at a time."""
 
     def run(batches):
-        vectors, ids = [], []
+        of, vectors, ids, indexes = None, [], [], None
+
+        def built():
+            by_size: dict[int, list[int]] = {}
+            for i, v in enumerate(vectors):
+                by_size.setdefault(len(v), []).append(i)
+            return {size: (np.array(own), Index(np.stack([np.frombuffer(vectors[i], np.float64) for i in own]), pivots[size], length)) for size, own in by_size.items() if size in pivots}
+
         for batch in batches:
-            vectors += batch.column("vector").to_pylist()
-            ids += batch.column("ids").to_pylist()
-            if len(vectors) >= chunk:
-                yield from flush(vectors, ids)
-                vectors, ids = [], []
-        if vectors:
-            yield from flush(vectors, ids)
+            out = []
+            for part, turn, asks, place, vector, some in zip(*(batch.column(c).to_pylist() for c in ("part", "turn", "asks", "place", "vector", "ids")), strict=True):
+                if (part, turn) != of:
+                    of, vectors, ids, indexes = (part, turn), [], [], None
+                if not asks:
+                    vectors.append(vector)
+                    ids.append(some)
+                    continue
+                indexes = built() if indexes is None else indexes
+                if len(vector) in indexes:
+                    own, index = indexes[len(vector)]
+                    d, near = index.search(np.frombuffer(vector, np.float64), k + 1, max(k + 1, math.ceil(share * len(own))))
+                    # a vector's ids are those of equal rows: all at this distance, the smallest first
+                    out.append((place, _best([(x, i) for x, s in zip(d.tolist(), near.tolist(), strict=True) for i in ids[own[s]]], k)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], names=["place", "found"])
 
     return run
 
@@ -130,46 +129,45 @@ def _merge(k: int):
     return run
 
 
-def nearest(vectors: DataFrame, k: int = 10, queries_by: int = 100, pivots: int = 256, sample: int = 4096, length: int = 64, share: float = 0.15, least: int = 512, block: int = 4096, chunk: int = 65_536) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 10, queries_by: int = 100, pivots: int = 256, sample: int = 4096, length: int = 48, share: float = 0.15, part: int = 16_384, turn: int = 65_536) -> DataFrame:
     """The k nearest other rows of each query, by Euclidean distance (vec_id, embedding).
 
     Queries are the rows whose vec_id is divisible by `queries_by`, against all rows.
     Returns query_id, rank (from 1), vec_id, score (the distance in double precision):
     nearest first, ties to the smaller vec_id, all rows if there are fewer than k. Vectors
     that are null, empty, zero or hold null or non-finite components take no part, nor do
-    rows without a vec_id; only vectors of one dimension are compared; other columns are
-    ignored. A vec_id that is repeated stands for as many rows.
+    rows without a vec_id; only vectors of one dimension are compared; no rows give no
+    rows; other columns are ignored. A vec_id that is repeated stands for as many rows.
 
-    `pivots` vectors of a sample bounded by `sample` rows, chosen far from each other, are
+    `pivots` vectors of a sample of about `sample` rows, chosen far from each other, are
     the pivots. Equal vectors are one entry with their k + 1 smallest ids, which are all
-    that a query can need of them. A partition's vectors are posted under their `length`
-    nearest pivots, `chunk` at a time; a query ranks those that share pivots by footrule
-    distance and reranks the best `share` of them, `least` at least. Queries go to the
-    partitions in blocks of about `block` distinct vectors.
+    that a query can need of them. Entries are dealt into parts of about `part` vectors, and
+    queries into turns of about `turn`; each (part, turn) is a group of bounded size: its
+    vectors are posted under their `length` nearest pivots, and each query ranks those that
+    share pivots by footrule distance and reranks the best `share` of them exactly. With
+    `share` 1 all are reranked. The results of the parts are merged by query.
     """
     spark = vectors.sparkSession
     packed = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(_pack(k + 1, queries_by), "vector binary, ids array<long>, asked array<long>")
     together = (F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"), F.flatten(F.collect_list("asked")).alias("asked"))
     # equal vectors meet in two steps, so that a frequent one is not one task's
     salted = packed.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(16)))
-    entries = settle(salted.groupBy("vector", "salt").agg(*together).groupBy("vector").agg(*together).repartition(partitions(spark, 8), "vector"))
-    chosen: dict[int, np.ndarray] = {}
-    order = entries.select("vector").orderBy(F.xxhash64("vector")).limit(sample)
+    entries = settle(salted.groupBy("vector", "salt").agg(*together).groupBy("vector").agg(*together).withColumn("place", F.xxhash64("vector")))
+    count, asking = entries.agg(F.count("*"), F.count(F.when(F.size("asked") > 0, 1))).first()
+    # a sample by hash, so that no more than about `sample` rows leave the executors
+    level = int(min(1.0, sample / max(1, count)) * (1 << 62))
     by_size: dict[int, list] = {}
-    for r in order.collect():
-        by_size.setdefault(len(r.vector), []).append(np.frombuffer(bytes(r.vector), np.float64))
-    for size, some in by_size.items():
-        chosen[size] = _apart(np.stack(some), pivots)
-    asked = entries.filter(F.size("asked") > 0)
-    count = asked.count()
-    blocks = max(1, -(-count // block))
-    named = settle(asked.select(F.xxhash64("vector").alias("place"), "vector", "asked").withColumn("block", F.pmod("place", F.lit(blocks))))
-    parts = []
-    for b in range(blocks):
-        queries = [(r.place, bytes(r.vector)) for r in named.filter(F.col("block") == b).select("place", "vector").toLocalIterator()]
-        found = entries.select("vector", "ids").mapInArrow(_search(queries, chosen, k, length, share, least, chunk), FOUND)
-        parts.append(found.groupBy("place").applyInPandas(_merge(k), FOUND))
-    best = reduce(DataFrame.unionByName, parts)
+    for r in entries.filter(F.shiftrightunsigned("place", 2) <= level).select("place", "vector").collect():
+        by_size.setdefault(len(r.vector), []).append((r.place, np.frombuffer(bytes(r.vector), np.float64)))
+    for r in entries.groupBy(F.length("vector").alias("size")).agg(F.min_by("vector", "place").alias("vector")).collect():  # a dimension that the sample missed
+        by_size.setdefault(r.size, [(0, np.frombuffer(bytes(r.vector), np.float64))])
+    chosen = {size: _apart(np.stack([v for _, v in sorted(some, key=lambda x: x[0])]), pivots) for size, some in by_size.items()}
+    parts, turns = max(1, -(-count // part), min(partitions(spark, 8), count // 2048)), max(1, -(-asking // turn))
+    own = entries.select(F.pmod(F.shiftright("place", 20), F.lit(parts)).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(turns - 1).cast("long"))).alias("turn"), F.lit(0).alias("asks"), "place", "vector", "ids")
+    named = entries.filter(F.size("asked") > 0)
+    asked = named.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), F.pmod(F.shiftright("place", 20), F.lit(turns)).alias("turn"), F.lit(1).alias("asks"), "place", "vector", F.lit(None).cast("array<long>").alias("ids"))
+    met = own.unionByName(asked).repartition(max(parts * turns, partitions(spark, 8)), "part", "turn").sortWithinPartitions("part", "turn", "asks")
+    best = met.mapInArrow(_search(chosen, k, length, share), FOUND).groupBy("place").applyInPandas(_merge(k), FOUND)
 
     def expand(batches):
         for batch in batches:

@@ -4,16 +4,16 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from inkveil.llm import pieces, vector_search
+from inkveil.llm import pieces, stages, vector_search
 from inkveil.llm.quality_rules import piece_model
 
 SF = "/root/testdata/sf0.001"
 
 
-def check_search(df, rows, k=10, by=100, recall=0.9):
+def check_search(df, rows, k=10, by=100, recall=0.9, **options):
     good = [(i, v) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and np.any(v)]
     got = collections.defaultdict(list)
-    for r in vector_search.nearest(df, k=k, queries_by=by).collect():
+    for r in vector_search.nearest(df, k=k, queries_by=by, **options).collect():
         got[r.query_id].append((r["rank"], r.score, r.vec_id))
     found = wanted = 0
     queries = [i for i, _ in good if i % by == 0]
@@ -32,8 +32,12 @@ def check_search(df, rows, k=10, by=100, recall=0.9):
 
 
 def test_search_recall_on_the_table(spark):
-    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
-    check_search(df, [(r.vec_id, list(r.embedding)) for r in df.collect()])
+    """At the query's own settings; and in several parts and turns; with all reranked it is exact."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, list(r.embedding)) for r in df.collect()]
+    check_search(df, rows)
+    check_search(df, rows, part=300, turn=5)
+    check_search(df, rows, recall=1.0, share=1.0, part=300, turn=5)
 
 
 def test_search_of_odd_rows(spark):
@@ -43,7 +47,7 @@ def test_search_of_odd_rows(spark):
     rows += [(500, None), (501, []), (502, [0.0] * 4), (503, [None, 1.0, 1.0, 1.0]), (504, [float("nan")] * 4), (600, [1.0, 2.0]), (601, [1.0, 3.0]), (None, [1.0] * 4)]
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, rank int")
     clean = [(r.vec_id, r.embedding) for r in df.collect()]
-    check_search(df, clean, recall=1.0)
+    check_search(df, clean, recall=1.0, share=1.0)
     assert vector_search.nearest(df.limit(0)).count() == 0
 
 
@@ -80,7 +84,7 @@ def test_pieces_equal_the_library(spark):
 def test_window_commits_before_the_end():
     encoder, library = pieces.encoder(None), piece_model(None)
     text = "thenationalin" * 400
-    parts = list(encoder.viterbi("▁" + text))
+    parts = list(encoder.stream("▁" + text))
     assert len(parts) > 20 and max(map(len, parts)) < 200
     assert [x for p in parts for x in p] == library.encode(text)
 
@@ -108,6 +112,6 @@ def test_one_of_each_group_stays(spark):
     base = " ".join(f"w{i}" for i in range(80))
     rows = [(5, base), (3, base + " end"), (9, base), (3, base + " end"), (7, "other text"), (None, "no id"), (8, None), (8, "")]
     docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    kept = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    kept = stages.drop_near_copies(spark, docs, SF)
     assert kept.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(3, base + " end"), (7, "other text"), (None, "no id"), (8, None), (8, "")], key=str)

@@ -1,10 +1,14 @@
 import collections
+import math
 import re
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from inkveil.llm import stages
+from inkveil.llm.common import WORD
 from inkveil.llm.mixing import apply_mix, mix, targets
 from inkveil.llm.sharding import jump, shard
 
@@ -117,3 +121,54 @@ def test_mixed_documents_are_as_many_as_taken(spark):
 def test_mix_stays_in_spark(spark):
     plan = mix(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_draw_equals_pareto_sampling_by_hand(spark):
+    """Inclusion by size, whole copies, and the order of odds over inclusion odds, from the hashes that Spark gives."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = mix(docs).collect()
+    by_source = collections.defaultdict(list)
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    name = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))
+    u = {d: (((x % (1 << 64)) >> 11) + 0.5) * 2.0**-53 for d, x in docs.select("doc_id", F.xxhash64(F.lit(17), "doc_id", name, size)).collect()}
+    for r in rows:
+        by_source[r.source].append(r)
+    unequal = 0
+    for some in by_source.values():
+        weight = {r.doc_id: 2.0 ** (math.floor(4 * math.log2(max(1, r.size))) * 0.25 / 4) for r in some}
+        low, high = 0.0, 1e9  # the level by halving
+        for _ in range(200):
+            level = (low + high) / 2
+            words = sum(min(3.0, level * weight[r.doc_id]) * r.size for r in some)
+            low, high = (level, high) if words < some[0].target else (low, level)
+        mean = {r.doc_id: min(3.0, low * weight[r.doc_id]) for r in some}
+        part = {d: m - math.floor(m + 1e-9) for d, m in mean.items()}
+        unequal += len({round(p, 6) for p in part.values()}) > 1
+        assert all(r.copies - math.floor(mean[r.doc_id] + 1e-9) in (0, 1) for r in some)
+        left = sum(part[r.doc_id] * r.size for r in some)
+        drawn = [r for r in some if part[r.doc_id] > 1e-9]
+        order = sorted(drawn, key=lambda r: u[r.doc_id] / (1 - u[r.doc_id]) / (part[r.doc_id] / (1 - part[r.doc_id])))
+        for long in (True, False):
+            ranked = [r for r in order if (r.size > left * 0.02) == long and r.size]
+            hits = [r.copies > math.floor(mean[r.doc_id] + 1e-9) for r in ranked]
+            assert hits == sorted(hits, reverse=True)  # a beginning of the order
+    assert unequal >= len(by_source) // 2
+
+
+def test_names_that_clash(spark):
+    """Columns named as the operators' own go through the stages that carry documents on."""
+    rows = [(1, "a", "one two a@b.co " * 5), (1, "a", "one two a@b.co " * 5), (2, None, None), (None, "b", "three"), (3, "b", "x " * 100_000)]
+    names = ["more", "mix_n", "mix_copies", "with_id", "with_hash", "stays", "_id", "_n", "n", "Copies", "size", "node", "selected"]
+    docs = spark.createDataFrame([(*r, "en", 1, *range(len(names))) for r in rows], "doc_id long, source string, text string, lang string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    for stage in (stages.select_quality, stages.drop_near_copies, stages.mask_personal_data, stages.mix_sources):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.collect() is not None
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    assert len(stages.encode_pieces(spark, docs, SF).collect()) == len(rows)
+
+
+def test_a_row_repeated_many_times(spark):
+    docs = spark.range(10_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("a").alias("source"), F.lit("x y").alias("text"))
+    slots = [r.slot for r in shard(docs).collect()]
+    assert sorted(slots) == list(range(10_000))
+    assert mix(docs).count() == 10_000
