@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from .common import mix64, parts_of, settle, token_hashes
 
-#: Names of n-grams are 64 bits, of which the last two tell the order: 0 words, 1 pairs, 2 triples.
+#: Names of n-grams are 56 bits, of which the last two tell the order: 0 words, 1 pairs, 2 triples. Of n
+#: different n-grams some n^2 / 2^57 share a name with another: less than one of 3 x 10^8.
 #: The end of a text is a token; it is also the state in which a text begins.
+BITS = np.uint64(56)
 END = np.uint64(0xE17A5C0DC)
 ORDER = np.uint64(3)
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -31,12 +33,12 @@ def ddl(schema: pa.Schema) -> str:
 
 
 def word_name(hashes: np.ndarray) -> np.ndarray:
-    return hashes & ~ORDER
+    return (hashes >> (np.uint64(64) - BITS)) & ~ORDER
 
 
 def longer(before: np.ndarray, word: np.ndarray, order: int) -> np.ndarray:
     """The name of the n-gram that a word makes with the one before it."""
-    return (mix64(mix64(before) * STEP + word) & ~ORDER) | np.uint64(order)
+    return word_name(mix64(mix64(before) * STEP + word)) | np.uint64(order)
 
 
 class Automaton:
@@ -85,7 +87,7 @@ class Automaton:
 
 def shard_of(grams: np.ndarray, shards: int) -> np.ndarray:
     """Ranges of names: a shard's names lie close, and so their differences are small."""
-    return ((grams >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    return ((grams >> (BITS - np.uint64(32))) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -235,7 +237,8 @@ def _pack(hold: int):
             missing = np.array([i is None for i in ids], np.uint8).tobytes()
             body = np.array([i or 0 for i in ids], np.int64).tobytes() + missing + sizes.astype(np.int64).tobytes()
             text = np.ascontiguousarray(rank[place].view(np.uint8).reshape(-1, 4).T).tobytes()
-            docs = zstandard.compress(head + body + words[order].tobytes() + text, 3)
+            listed = planes(words[order])  # in runs of one frequency, by name in each, so that differences are small
+            docs = zstandard.compress(head + body + np.array([len(listed)], np.int64).tobytes() + listed + text, 3)
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([docs], pa.binary())], schema=BLOCKS)
 
     return run
@@ -254,11 +257,12 @@ def _places(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _score(tokens: int, types: int, discount: float, masses: tuple[float, float], held_out: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         raw = zstandard.decompress(next(d for d in pdf["docs"] if d is not None))
-        n, k, m = np.frombuffer(raw[:24], np.int64)
+        n, _, _ = np.frombuffer(raw[:24], np.int64)
         ids, raw = np.frombuffer(raw[24 : 24 + 8 * n], np.int64), raw[24 + 8 * n :]
         missing, raw = np.frombuffer(raw[:n], np.uint8) > 0, raw[n:]
         sizes, raw = np.frombuffer(raw[: 8 * n], np.int64), raw[8 * n :]
-        words, raw = np.frombuffer(raw[: 8 * k], np.uint64), raw[8 * k :]
+        size, raw = int(np.frombuffer(raw[:8], np.int64)[0]), raw[8:]
+        words, raw = unplanes(raw[:size]), raw[size:]
         stream = words[np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).reshape(-1).view(np.uint32)]
         del raw
         pair, triple = _names(stream, sizes)
@@ -307,7 +311,7 @@ def _score(tokens: int, types: int, discount: float, masses: tuple[float, float]
     return run
 
 
-def lm_scores(docs: DataFrame, held_out: int = 1, masses: tuple[float, float] = (100.0, 10.0), block_tokens: int = 1_500_000) -> DataFrame:
+def lm_scores(docs: DataFrame, held_out: int = 1, masses: tuple[float, float] = (100.0, 10.0), block_tokens: int = 2_000_000) -> DataFrame:
     """Score whole documents (doc_id, text) by a model of up to three words, of those whose
     crc32(doc_id as text) mod 5 is not `held_out`.
 
