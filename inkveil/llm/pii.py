@@ -170,6 +170,7 @@ def cues_in(texts: pa.Array) -> np.ndarray:
 
 #: A token with an @ or at least four digits.
 MAYBE = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]*?(?:@|[0-9](?:[^\x20\x09-\x0D0-9]*[0-9]){3})[^\x20\x09-\x0D]*")
+LEAD = re.compile(r"[^\W\d_]{2,}[:=]+(?=.)")
 #: Two or more groups of digits and joining marks, one space between; only marks stand around them.
 RUN = re.compile(rf"(?<![^\x20\x09-\x0D])[{re.escape(EDGES)}]*+((?=[().+/-]*+[0-9])[0-9().+/-]++(?:\x20(?=[().+/-]*+[0-9])[0-9().+/-]++(?=[{re.escape(EDGES)}]*+(?:[\x20\x09-\x0D]|\Z)))++)")
 GROUP = re.compile(r"[^\x20]+")
@@ -217,8 +218,10 @@ def seen_in(text: str | None, spans: list[tuple[int, int, str]]) -> list[dict]:
         out.append({"kind": kind, "instance": text[s:e].lower(), "start": s, "end": e, "base": False})
     for m in MAYBE.finditer(text or ""):
         token = m[0].strip(EDGES)
+        lead = LEAD.match(token)
+        token = token[lead.end() :] if lead else token  # what a name and a colon lead is sought without them
         if token and (kind := shape_of(token)) is not None and (m.start(), kind) not in runs:
-            s = m.start() + m[0].index(token)
+            s = m.start() + m[0].rindex(token)
             e = s + len(token)
             if not any(a < e and s < b for a, b, _ in spans):
                 out.append({"kind": kind, "instance": token.lower(), "start": s, "end": e, "base": False})
