@@ -272,11 +272,12 @@ def _count_cues(bitmap):
 
 
 def patterns_of(scanned: DataFrame, texts: DataFrame, support: int) -> DataFrame | None:
-    """The graph of patterns and instances: (kind, cue_hash, instance, n, seed, times), where
-    times is how often the pattern stands in the texts, whatever is next to it. None if no
+    """The graph of patterns and instances: (kind, cue_hash, before, instance, n, seed, times), where
+    before tells whether the context precedes the instance, and times is how often the pattern stands in the texts, whatever is next to it. None if no
     pattern has `support` instances; the texts are then not read."""
     seen = scanned.select(F.explode("seen").alias("x")).select("x.kind", "x.instance", "x.base", F.explode("x.cues").alias("c"))
-    graph = seen.groupBy("kind", F.col("c.hash").alias("cue_hash"), "instance").agg(F.count("*").alias("n"), F.max("base").alias("seed"))
+    before = ~F.col("c.cue").startswith("after")
+    graph = seen.groupBy("kind", F.col("c.hash").alias("cue_hash"), before.alias("before"), "instance").agg(F.count("*").alias("n"), F.max("base").alias("seed"))
     # a pattern that no seed has can't start, but it can follow from instances that other patterns discover
     often = graph.groupBy("kind", "cue_hash").agg(F.count("*").alias("instances")).filter(F.col("instances") >= support).select("kind", "cue_hash")
     graph = settle(graph.join(often, ["kind", "cue_hash"]))
@@ -288,16 +289,17 @@ def patterns_of(scanned: DataFrame, texts: DataFrame, support: int) -> DataFrame
     return settle(graph.join(times, "cue_hash", "left").withColumn("times", F.greatest(F.coalesce("times", F.lit(1)), "n")))
 
 
-def find_personal_data(docs: DataFrame, rounds: int = 3, support: int = 3, confident: float = 0.6) -> tuple[DataFrame, DataFrame]:
+def find_personal_data(docs: DataFrame, rounds: int = 3, support: int = 3, confident: float = 0.4) -> tuple[DataFrame, DataFrame]:
     """Base spans of every document, and further spans found by context.
 
     Seeds are the base matches. A pattern is a kind and a context: the word before an
     instance with the mark after it, the same with the word before that, or the word after
-    it with the mark before. A pattern's confidence is the weight of its instances of that
-    kind over all its occurrences in the collection, whatever is next to it; it counts with
-    `support` different instances that are believed. An instance's score is 1 for a seed,
-    else 1 - product(1 - confidence) over its patterns; identifier-like tokens that reach
-    `confident` become spans, and believed instances feed the next round's patterns. An
+    it with the mark before. A pattern's confidence is the weight of its believed instances
+    of that kind over all its occurrences in the collection, whatever is next to it; it counts
+    with `support` different ones. An instance's score is 1 for a seed, else
+    1 - (1 - b)(1 - a), b and a being the confidence of its surest pattern before and after
+    it, as patterns of one side tell the same; identifier-like tokens that reach
+    `confident` are believed and become spans, and believed instances feed the next round's patterns. An
     identifier may stand in groups with one space between: as a phone the longest
     beginning of the run with 7 to 15 digits, as a card the longest with 12 to 19.
 
@@ -311,18 +313,19 @@ def find_personal_data(docs: DataFrame, rounds: int = 3, support: int = 3, confi
     if graph is None:
         return scanned, scanned.select("doc_id", "text_hash", F.col("base").alias("more")).limit(0)
     scores = graph.groupBy("kind", "instance").agg(F.max(F.col("seed").cast("double")).alias("score"))
+    surest = lambda side: F.coalesce(F.max(F.when(F.expr(side), F.col("confidence"))), F.lit(0.0))
     for _ in range(rounds):
         patterns = (
             graph.join(scores, ["kind", "instance"])
             .groupBy("kind", "cue_hash")
-            .agg((F.sum(F.col("score") * F.col("n")) / F.max("times")).alias("confidence"), F.count(F.when(F.col("score") >= confident, 1)).alias("believed"))
+            .agg((F.sum(F.when(F.col("score") >= confident, F.col("score") * F.col("n")).otherwise(0.0)) / F.max("times")).alias("confidence"), F.count(F.when(F.col("score") >= confident, 1)).alias("believed"))
             .filter(F.col("believed") >= support)
             .select("kind", "cue_hash", F.least("confidence", F.lit(1.0)).alias("confidence"))
         )
         scores = settle(
             graph.join(patterns, ["kind", "cue_hash"], "left")
             .groupBy("kind", "instance")
-            .agg(F.when(F.max("seed"), 1.0).otherwise(1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.coalesce("confidence", F.lit(0.0))))))).alias("score"))
+            .agg(F.when(F.max("seed"), 1.0).otherwise(1 - (1 - surest("before")) * (1 - surest("NOT before"))).alias("score"))
         )
     believed = scores.filter(F.col("score") >= confident).select("kind", "instance")
     discovered = (
