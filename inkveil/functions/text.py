@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -12,6 +14,35 @@ PUNCT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 BLANK = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0    　"
 PLAIN_ONE = {"“": '"', "”": '"', "‟": '"', "‘": "'", "’": "'", "‛": "'", "‚": ",", "–": "-", "‐": "-", "‑": "-", "‒": "-", "‹": "<", "›": ">", "•": "*", "¿": "?", "¡": "!", "‖": "|"}
 PLAIN_MORE = {"…": "...", "—": "--", "―": "--", "«": "<<", "»": ">>", "„": ",,", "‼": "!!", "⁇": "??"}
+
+
+def _plain_forms() -> dict[str, str]:
+    """An ASCII form of every other punctuation character (category P): what compatibility
+    decomposition leaves of it, else by what its name says; those that say nothing stay."""
+    by_name = (
+        ("DOUBLE QUOTATION", '"'), ("QUOTATION", "'"), ("APOSTROPHE", "'"), ("HYPHEN", "-"), ("DASH", "-"), ("PARENTHESIS", "()"), ("SQUARE BRACKET", "[]"), ("CURLY BRACKET", "{}"),
+        ("CORNER BRACKET", "[]"), ("BRACKET", "[]"), ("QUESTION MARK", "?"), ("EXCLAMATION MARK", "!"), ("SEMICOLON", ";"), ("COLON", ":"), ("COMMA", ","), ("FULL STOP", "."), ("PERCENT SIGN", "%"),
+        ("ASTERISK", "*"), ("BULLET", "*"), ("AMPERSAND", "&"), ("NUMBER SIGN", "#"), ("SOLIDUS", "/"), ("LOW LINE", "_"), ("TILDE", "~"),
+    )
+    out = {}
+    for code in range(128, sys.maxunicode + 1):
+        c = chr(code)
+        kind = unicodedata.category(c)
+        if kind[0] != "P":
+            continue
+        plain = unicodedata.normalize("NFKD", c)
+        name = unicodedata.name(c, "")
+        form = next((f for n, f in by_name if n in name), "")
+        if not plain.isascii() or not plain.strip():
+            plain = form[-1 if kind == "Pe" and len(form) == 2 else 0 : 2 if kind == "Pe" else 1] if form else ""
+        if plain:
+            out[c] = plain
+    return out
+
+
+_FORMS = _plain_forms() | PLAIN_ONE | PLAIN_MORE
+PLAIN_ONE = {c: f for c, f in _FORMS.items() if len(f) == 1}
+PLAIN_MORE = {c: f for c, f in _FORMS.items() if len(f) > 1}
 #: Characters that a page's text drops, and the one that it takes for a space.
 DROPPED, NARROW = "​﻿", " "
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .matching import containing
+
 #: Bounds of what a vision service takes: encoded bytes, and each side in pixels.
 MOST_BYTES, SIDES = 20 * 1024 * 1024, (50, 16000)
 #: Fixed value: the colour that marks a proposed redaction.
@@ -69,12 +71,10 @@ def boxes_by_image(*found: DataFrame, key: str = "image_id") -> DataFrame:
 
 
 def strings_by_image(strings: DataFrame, images: DataFrame) -> DataFrame:
-    """(image_id, term): each term goes to the images whose text has it, case counting; failed
-    texts get none. A term is sought only where its first word stands."""
-    first = strings.withColumn("first", F.split("term", " ")[0])
-    words = images.filter(F.col("text") != FAILED).select("image_id", "text", F.explode(F.split("text", "\\s+")).alias("word"))
-    part = words.join(first, F.col("word") == F.col("first"))
-    return part.filter(F.contains("text", F.col("term"))).select("image_id", "term").distinct()
+    """(image_id, term): each term goes to the images whose text has it anywhere, case counting;
+    failed texts get none."""
+    held = images.filter(F.col("text") != FAILED).select("image_id", F.array("text").alias("forms"))
+    return containing(held, ["image_id"], "forms", strings.select("term", F.col("term").alias("string")).distinct(), "term", "string")
 
 
 def annotations(pages: DataFrame) -> DataFrame:

@@ -13,18 +13,29 @@ from pyspark.sql import functions as F
 
 from ..functions.text import BLANK, DROPPED, NARROW, normalised_words
 
-LINES_A_PAGE = 10
+LINES_A_PAGE, LINE_HEIGHT = 10, 10
+
+
+def page_of(line_no: Column) -> Column:
+    return F.floor(line_no / LINES_A_PAGE).cast("int")
+
+
+def line_top(line_no: Column) -> Column:
+    """y0 of a line."""
+    return (20 * (line_no % LINES_A_PAGE)).cast("double")
 
 
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, line_no, page_no, line_in_page, words, y0, y1): one row for each line with words."""
     words = F.filter(F.transform(F.split(text, "\n"), normalised_words), lambda w: F.size(w) > 0)
     return (
-        docs.select(key, F.posexplode(words).alias("line_no", "words"))
-        .withColumn("page_no", F.floor(F.col("line_no") / LINES_A_PAGE).cast("int"))
+        # an outer explode, as the other one is preceded by a test of its input, which would be worked out twice
+        docs.select(key, F.posexplode_outer(words).alias("line_no", "words"))
+        .filter("line_no IS NOT NULL")
+        .withColumn("page_no", page_of(F.col("line_no")))
         .withColumn("line_in_page", F.col("line_no") % LINES_A_PAGE)
-        .withColumn("y0", (20 * F.col("line_in_page")).cast("double"))
-        .withColumn("y1", F.col("y0") + 10)
+        .withColumn("y0", line_top(F.col("line_no")))
+        .withColumn("y1", F.col("y0") + LINE_HEIGHT)
     )
 
 
@@ -32,7 +43,7 @@ def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     """(key, gpos, line_no, pos, word): one row for each word, gpos counting through the document."""
     words = F.filter(F.transform(F.split(text, "\n"), normalised_words), lambda w: F.size(w) > 0)
     placed = F.flatten(F.transform(words, lambda w, line: F.transform(w, lambda x, at: F.struct(line.alias("line_no"), at.alias("pos"), x.alias("word")))))
-    return docs.select(key, F.posexplode(placed).alias("gpos", "t")).select(key, "gpos", "t.*")
+    return docs.select(key, F.posexplode_outer(placed).alias("gpos", "t")).filter("gpos IS NOT NULL").select(key, "gpos", "t.*")
 
 
 def word_start(words: Column, at: Column) -> Column:
@@ -51,7 +62,7 @@ def page_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     pages = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(raw) / LINES_A_PAGE).cast("int") - 1))
     joined = F.transform(pages, lambda p: F.array_join(F.slice(raw, p * LINES_A_PAGE + 1, LINES_A_PAGE), "\n"))
     cleaned = F.transform(joined, lambda x: F.btrim(F.translate(x, NARROW + DROPPED, " "), F.lit(BLANK)))
-    return docs.select(key, F.posexplode(cleaned).alias("page_no", "raw_text"))
+    return docs.select(key, F.posexplode_outer(cleaned).alias("page_no", "raw_text")).filter("page_no IS NOT NULL")
 
 
 def with_next_page(pages: DataFrame, key: str = "doc_id") -> DataFrame:

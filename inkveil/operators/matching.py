@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapsed, fused_after, fused_before, normalised_words, token_equals
-from .layout import lines, tokens, word_end, word_start
+from .layout import LINE_HEIGHT, line_top, page_of
 
 
 def term_words(terms: DataFrame) -> DataFrame:
@@ -15,59 +15,192 @@ def term_words(terms: DataFrame) -> DataFrame:
     return words.select("term_id", "term", F.size("ws").alias("n"), F.posexplode("ws").alias("off", "word"))
 
 
+#: A table of so many rows at most is sent to all tasks.
+SENT = 100_000
+#: Character n-grams by which a piece of a word finds the words that have it.
+GRAM = 4
+
+
+def _sent_if_small(df: DataFrame, most: int = SENT) -> DataFrame:
+    """df, to be joined by sending it to all tasks if it has `most` rows at most; else as it is."""
+    rows = df.limit(most + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= most else df
+
+
+def containing(texts: DataFrame, keys: list[str], forms: str, strings: DataFrame, string_key: str, string: str) -> DataFrame:
+    """Pairs (keys, string_key) where one of the text's `forms` has the string, character by character.
+
+    A string with spaces has its inner words as whole words of the text, its first one at a
+    word's end and its last one at a word's beginning; a string of one word stands anywhere
+    in a word. Its longest inner word, or else its longest, tells which words of the texts
+    can belong to it: that is found once for each different word, by n-grams of characters,
+    and only the texts that have such a word are looked at. None is lost.
+    """
+    words = F.split(string, " ")
+    placed = F.transform(words, lambda w, i: F.struct(F.length(w).alias("size"), w.alias("piece"), F.when((i > 0) & (i < F.size(words) - 1), 0).when(F.size(words) == 1, 3).when(i == 0, 1).otherwise(2).alias("place")))
+    whole = F.filter(placed, lambda x: (x["place"] == 0) & (x["size"] > 0))
+    best = F.array_max(F.when(F.size(whole) > 0, whole).otherwise(F.filter(placed, lambda x: x["size"] > 0)))
+    sought = strings.select(string_key, F.col(string).alias("sought"), best.alias("b")).filter("b IS NOT NULL").select(string_key, "sought", "b.piece", "b.place")
+    sought = sought.withColumn("gram", F.when(F.col("place") == 0, F.col("piece")).otherwise(F.substring("piece", 1, GRAM)))
+    seen = texts.select(*keys, F.explode(F.array_distinct(F.flatten(F.transform(forms, lambda t: F.split(t, " "))))).alias("word")).filter("word <> ''")
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("word") - n + 1)), lambda i: F.substring(F.col("word"), i, F.lit(n)))
+    known = seen.select("word").distinct()
+    whole_words = known.select("word", F.col("word").alias("gram"), F.lit(True).alias("whole"))
+    pieces = known.select("word", F.explode(F.array_distinct(F.flatten(F.array(*[grams(n) for n in range(1, GRAM + 1)])))).alias("gram"), F.lit(False).alias("whole"))
+    piece, place, word = F.col("piece"), F.col("place"), F.col("word")
+    fits = F.when(place == 1, word.endswith(piece)).when(place == 2, word.startswith(piece)).when(place == 3, F.contains(word, piece)).otherwise(word == piece)
+    met = whole_words.unionByName(pieces).join(_sent_if_small(sought.select(string_key, "piece", "place", "gram")), "gram").filter((F.col("whole") == (place == 0)) & fits).select("word", string_key).distinct()
+    pairs = seen.join(_sent_if_small(met), "word").select(*keys, string_key).distinct()
+    held = pairs.join(_sent_if_small(sought.select(string_key, "sought")), string_key).groupBy(*keys).agg(F.collect_list(F.struct(string_key, "sought")).alias("some"))
+    found = F.filter("some", lambda s: F.exists(forms, lambda t: F.contains(t, s["sought"])))
+    return held.join(texts.select(*keys, forms), keys).select(*keys, F.explode(F.transform(found, lambda s: s[string_key])).alias(string_key))
+
+
 def prefilter(pages: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
     """Pairs (key, page_no, term_id) where the term may stand on the page or go on to the next.
 
-    pages (key, page_no, raw_text, next_text). A term's white space is collapsed; the
-    page and the next are looked at as one text, a hyphen at a line's end both taken out
-    and kept, line feeds as spaces. A term is sought only on pages that have its first
-    word among theirs, so that the texts are not held against all terms.
+    pages (key, page_no, raw_text, next_text). A term's white space is collapsed; it may
+    stand anywhere, within words too. The page and the next are looked at as one text, with
+    line feeds as spaces, and a hyphen at a line's end as it is, joined to what follows, or
+    taken out.
     """
     both = F.concat_ws("\n", "raw_text", "next_text")
     flat = lambda c: F.replace(F.replace(c, F.lit("\n"), F.lit(" ")), F.lit("  "), F.lit(" "))
-    held = pages.withColumn("kept", flat(both)).withColumn("joined", flat(F.replace(both, F.lit("-\n"), F.lit(""))))
-    wanted = terms.select("term_id", collapsed(F.col("term")).alias("term")).filter("term <> ''").withColumn("first", F.split("term", " ")[0])
-    starts = held.select(key, "page_no", "kept", "joined", F.explode(F.array_distinct(F.concat(F.split("kept", " "), F.split("joined", " ")))).alias("word")).filter("word <> ''")
-    firsts = wanted.select("term_id", "term", "first")
-    found = starts.join(firsts, F.col("word") == F.col("first")).filter(F.contains("kept", F.col("term")) | F.contains("joined", F.col("term")))
-    return found.select(key, "page_no", "term_id").distinct()
+    held = pages.select(key, "page_no", F.array(flat(both), flat(F.replace(both, F.lit("-\n"), F.lit("-"))), flat(F.replace(both, F.lit("-\n"), F.lit("")))).alias("forms"))
+    wanted = terms.select("term_id", collapsed(F.col("term")).alias("term"))
+    return containing(held, [key, "page_no"], "forms", wanted, "term_id", "term")
+
+
+def readings(terms: DataFrame) -> DataFrame:
+    """The ways in which a term (term_id, term) can stand as words: (term_id, reading, ws, split).
+
+    Reading 0 has its words. For each hyphen within a word there is one more, where a line
+    ends after the part before the hyphen: that part and the rest are words of their own,
+    at `split` and after it.
+    """
+    words = terms.select("term_id", normalised_words(F.col("term")).alias("ws")).filter(F.size("ws") > 0)
+    cuts = F.flatten(F.transform("ws", lambda w, i: F.transform(F.filter(F.sequence(F.lit(2), F.greatest(F.lit(2), F.length(w) - 1)), lambda k: F.substring(w, k, F.lit(1)) == "-"), lambda k: F.struct(i.alias("split"), k.alias("at")))))
+    in_two = lambda c: F.concat(
+        F.slice("ws", F.lit(1), c["split"]),
+        F.array(F.substring(F.get("ws", c["split"]), F.lit(1), c["at"] - 1), F.substring(F.get("ws", c["split"]), c["at"] + 1, F.length(F.get("ws", c["split"])))),
+        F.slice("ws", c["split"] + 2, F.size("ws")),
+    )
+    plain = F.array(F.struct(F.col("ws").alias("ws"), F.lit(-1).alias("split")))
+    cut = F.transform(cuts, lambda c: F.struct(in_two(c).alias("ws"), c["split"].alias("split")))
+    return words.select("term_id", F.posexplode(F.concat(plain, cut)).alias("reading", "r")).select("term_id", "reading", "r.ws", "r.split")
+
+
+def _stem(word: Column) -> Column:
+    """A word without all final s and then all final apostrophes."""
+    return F.rtrim(F.rtrim(word, F.lit("s")), F.lit("'"))
+
+
+def document_words(docs: DataFrame, key: str = "doc_id", text: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
+    """(key, ws): all words of a document in order, each with its line and its place in it."""
+    by_line = F.filter(F.transform(F.split(text, "\n"), normalised_words), lambda w: F.size(w) > 0)
+    ws = F.flatten(F.transform(by_line, lambda w, line: F.transform(w, lambda x, at: F.struct(x.alias("word"), line.alias("line_no"), at.alias("pos")))))
+    return docs.select(key, ws.alias("ws"), *more)
+
+
+def places(docs: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Every place of every term: (key, term_id, reading, start, n, here, ahead), start counting
+    the document's words, here being those of the place and ahead the characters before it
+    on its line.
+
+    A one-word term is equal to a word, or to its possessive without 's. A term of several
+    words stands in a row of words, over line and page ends alike. On the line where it
+    begins its words are tolerated as plurals or possessives; its first word may be the end
+    of a longer one, and its last, if it is on that line too, the beginning of one (four
+    letters or more, a missing space). Words on the lines after have to be equal. A word
+    with a hyphen may be split there by a line's end; all words are then equal.
+
+    Each reading of a term is sought by one of its words, the rarest of the inner ones or of
+    all if there are two: which words of the documents can be that word is found once for
+    each different word, and only documents with such a word are looked at again.
+    """
+    n = F.size("ws")
+    read = readings(terms)
+    sought = read.select("term_id", "reading", "split", n.alias("n"), F.posexplode("ws").alias("off", "piece"))
+    sought = sought.filter((F.col("split") >= 0) | (F.col("n") < 3) | ((F.col("off") > 0) & (F.col("off") < F.col("n") - 1)))
+    placed = document_words(docs, key).select(key, F.posexplode_outer("ws").alias("gpos", "w")).filter("gpos IS NOT NULL").select(key, "gpos", "w.word")
+    known = placed.groupBy("word").agg(F.count("*").alias("times"))
+    piece, word = F.col("piece"), F.col("word")
+    ends = lambda c: F.transform(F.sequence(F.lit(4), F.length(c)), lambda k: F.struct(F.right(c, k).alias("last"), F.left(c, k).alias("first")))
+    form = lambda c, how: F.struct(c.alias("form"), F.lit(how).alias("how"))
+    outer = F.when(F.length("word") > 4, F.flatten(F.transform(ends(word), lambda e: F.array(form(e["last"], "last"), form(e["first"], "first"))))).otherwise(F.array(form(word, "equal")))
+    forms = known.select("word", "times", F.explode(F.array_distinct(F.concat(F.array(form(word, "equal"), form(_stem(word), "equal")), outer))).alias("f")).select("word", "times", "f.*")
+    fits = (F.col("how") == "equal") | ((F.col("split") < 0) & (F.col("n") == 2) & (F.length("piece") >= 4) & (word != piece) & F.when(F.col("off") == 0, F.col("how") == "last").otherwise(F.col("how") == "first"))
+    met = forms.join(_sent_if_small(sought), F.col("form") == piece).filter(fits).select("word", "times", "term_id", "reading", "off").distinct()
+    # of a reading's words the one by which the fewest words of the documents have to be looked at
+    by = lambda *c: Window.partitionBy("term_id", "reading", *c)
+    weighed = met.withColumn("words", F.sum("times").over(by("off"))).withColumn("best", F.min(F.struct("words", "off")).over(by()))
+    belong = weighed.filter("off = best.off").select("word", "term_id", "reading", "off")
+    hits = placed.join(_sent_if_small(belong), "word").select(key, "term_id", "reading", (F.col("gpos") - F.col("off")).alias("start")).filter("start >= 0")
+    some = hits.join(_sent_if_small(read), ["term_id", "reading"]).groupBy(key).agg(F.collect_list(F.struct("term_id", "reading", "start", F.size("ws").alias("n"), "ws", "split")).alias("hits"))
+    again = document_words(some.join(docs.select(key, F.col("text").alias("text")), key), key, more=("hits",))
+    found = again.select(key, "ws", F.filter("hits", lambda h: _stands(F.col("ws"), h)).alias("hits"))
+
+    # worked out beside the words, so that no place carries more of the document than its own
+    def place(h: Column) -> Column:
+        pos = F.get("ws", h["start"])["pos"]
+        ahead = F.when(pos > 0, F.aggregate(F.sequence(h["start"] - pos, h["start"] - 1), F.lit(0), lambda acc, i: acc + F.length(F.get("ws", i)["word"]) + 1)).otherwise(0)
+        here = F.transform(F.sequence(h["start"], h["start"] + h["n"] - 1), lambda i: F.get("ws", i))
+        return F.struct(h["term_id"].alias("term_id"), h["reading"].alias("reading"), h["start"].alias("start"), h["n"].alias("n"), here.alias("here"), ahead.alias("ahead"))
+
+    # an outer explode, as the other one is preceded by a test of its input, which would be worked out twice
+    return found.select(key, F.explode_outer(F.transform("hits", place)).alias("h")).filter("h IS NOT NULL").select(key, "h.*")
+
+
+def _stands(words: Column, hit: Column) -> Column:
+    """Whether a reading (ws, split, n) stands in a document's words from `start` on. Words are
+    fetched by their place, as cutting an array out of another one walks through all of it."""
+    n, split, start = hit["n"], hit["split"], hit["start"]
+    line = lambda at: F.get(words, at)["line_no"]
+
+    def fits(w: Column, k: Column) -> Column:
+        t = F.get(words, start + k)["word"]
+        tolerated = (t == w) | (_stem(t) == w) | ((k == 0) & fused_before(t, w)) | ((k == n - 1) & (line(start + k) == line(start)) & fused_after(t, w))
+        one = (t == w) | (t == F.concat(w, F.lit("'s")))
+        return F.when(n == 1, one).when((split >= 0) | (line(start + k) != line(start)), t == w).otherwise(tolerated)
+
+    broken = line(start + split) < line(start + split + 1)
+    return (start + n <= F.size(words)) & F.forall(F.transform(hit["ws"], fits), lambda ok: ok) & ((split < 0) | broken)
 
 
 def phrase_starts(docs: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, term_id, start, n): each place where all words of a term stand in a row, over
-    line and page ends. One equi-join on words; the positions tell which belong together."""
-    hits = tokens(docs, key).join(term_words(terms), "word").withColumn("start", F.col("gpos") - F.col("off"))
-    return hits.groupBy(key, "term_id", "start").agg(F.count("*").alias("found"), F.first("n").alias("n")).filter("found = n").select(key, "term_id", "start", "n")
+    """(key, term_id, start, n): each place of a term, start and n in words of the document."""
+    return places(docs, terms, key).select(key, "term_id", "start", "n")
 
 
 def single_matches(docs: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, term_id, line_no, pos, word): words that equal a one-word term, or its possessive.
     A plain plural is not one."""
-    one = term_words(terms).filter("n = 1").select("term_id", F.col("word").alias("term_word"))
-    stem = F.when(F.col("word").endswith("'s"), F.expr("left(word, length(word) - 2)"))
-    each = tokens(docs, key).withColumn("form", F.explode(F.array_distinct(F.array_compact(F.array("word", stem)))))
-    return each.join(one, F.col("form") == F.col("term_word")).select(key, "term_id", "line_no", "pos", "word").distinct()
+    at = F.get("here", F.lit(0))
+    return places(docs, terms, key).filter("n = 1").select(key, "term_id", at["line_no"].alias("line_no"), at["pos"].alias("pos"), at["word"].alias("word"))
 
 
 def word_spans(docs: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, term_id, start, line_no, first, last): the words of each line that each place of a
-    term touches. One-word terms also by their possessives."""
-    placed = tokens(docs, key).select(key, "gpos", "line_no", "pos")
-    several = phrase_starts(docs, terms, key).filter("n > 1")
-    touched = several.withColumn("gpos", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1))).join(placed, [key, "gpos"])
-    spans = touched.groupBy(key, "term_id", "start", "line_no").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
-    one = single_matches(docs, terms, key).join(placed, [key, "line_no", "pos"]).select(key, "term_id", F.col("gpos").alias("start"), "line_no", F.col("pos").alias("first"), F.col("pos").alias("last"))
-    return spans.unionByName(one)
+    """(key, term_id, start, line_no, first, last, x0, x1): the words of each line that each place
+    of a term touches, and where they begin and end on the line."""
+    of_line = lambda line: F.filter("here", lambda t: t["line_no"] == line)
+    width = lambda line: F.aggregate(of_line(line), F.lit(-1), lambda acc, t: acc + F.length(t["word"]) + 1)
+    start = lambda line: F.when(line == F.get("here", F.lit(0))["line_no"], F.col("ahead")).otherwise(0)
+    spans = F.transform(
+        F.array_distinct(F.transform("here", lambda t: t["line_no"])),
+        lambda line: F.struct(
+            line.alias("line_no"), F.array_min(F.transform(of_line(line), lambda t: t["pos"])).alias("first"), F.array_max(F.transform(of_line(line), lambda t: t["pos"])).alias("last"),
+            start(line).cast("double").alias("x0"), (start(line) + width(line)).cast("double").alias("x1"),
+        ),
+    )
+    return places(docs, terms, key).select(key, "term_id", "start", F.explode(spans).alias("s")).select(key, "term_id", "start", "s.*")
 
 
 def rects(docs: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
     """Boxes of every term: one for each line that a place touches, from the first touched
     word to the last. (key, term_id, start, page_no, line_no, x0, y0, x1, y1)"""
-    return word_spans(docs, terms, key).join(lines(docs, key), [key, "line_no"]).select(
-        key, "term_id", "start", "page_no", "line_no",
-        word_start(F.col("words"), F.col("first")).alias("x0"), "y0",
-        word_end(F.col("words"), F.col("last")).alias("x1"), "y1",
-    )
+    spans = word_spans(docs, terms, key)
+    y0 = line_top(F.col("line_no"))
+    return spans.select(key, "term_id", "start", page_of(F.col("line_no")).alias("page_no"), "line_no", "x0", y0.alias("y0"), "x1", (y0 + LINE_HEIGHT).alias("y1"))
 
 
 def in_line(words: Column, term: Column) -> Column:

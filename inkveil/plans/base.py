@@ -69,17 +69,33 @@ boxed AS (SELECT doc_id, line_no, line_no // 10 AS page_no, line_no % 10 AS line
 TOKENS = LINES + """,
 exploded AS (SELECT doc_id, line_no, CAST(unnest(range(len(words))) AS INT) AS pos, unnest(words) AS word FROM lines),
 tokens AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no, pos) - 1 AS INT) AS gpos FROM exploded)"""
-#: Terms to look for: the first four words of each benchmark item, and of each second one the first alone.
-TERM_SQL = f"SELECT item_id AS term_id, array_to_string(list_slice({sql_words('text')}, 1, CASE WHEN item_id % 2 = 0 THEN 4 ELSE 1 END), ' ') AS term FROM benchmark"
+#: Terms to look for: every phrase between marks or line ends of every benchmark item, long and short.
+PHRASES = "[.,;:!?\\n]+"
+TERM_SQL = f"""SELECT item_id * 1000 + i AS term_id, trim(p) AS term FROM (
+  SELECT item_id, unnest(range(len(ps))) AS i, unnest(ps) AS p FROM (SELECT item_id, regexp_split_to_array(text, '{PHRASES}') AS ps FROM benchmark)) WHERE trim(p) <> ''"""
+_stem = "rtrim(rtrim({0}, 's'), chr(39))"
+_two = "list_concat(list_concat(ws[:i], [substr(ws[i + 1], 1, k - 1), substr(ws[i + 1], k + 1)]), ws[i + 2:])"
+#: All places of terms: every word of the documents that can be a word of a term, by place, and all of a term's words there.
 TERMS = f""",
 terms AS ({TERM_SQL}),
-term_words AS (SELECT term_id, n, CAST(unnest(range(n)) AS INT) AS off, unnest(ws) AS word FROM (SELECT term_id, {sql_words('term')} AS ws, len({sql_words('term')}) AS n FROM terms)),
-starts AS (SELECT doc_id, term_id, gpos - off AS start, any_value(n) AS n FROM tokens JOIN term_words USING (word) GROUP BY doc_id, term_id, gpos - off HAVING count(*) = any_value(n)),
-singles AS (SELECT DISTINCT doc_id, t.term_id, line_no, pos, k.word FROM tokens k JOIN (SELECT * FROM term_words WHERE n = 1) t ON k.word = t.word OR k.word = t.word || '''s'),
-spans AS (
-  SELECT doc_id, term_id, start, line_no, min(pos) AS first, max(pos) AS last FROM (SELECT * FROM starts WHERE n > 1) JOIN tokens USING (doc_id) WHERE gpos BETWEEN start AND start + n - 1 GROUP BY doc_id, term_id, start, line_no
-  UNION ALL
-  SELECT s.doc_id, s.term_id, k.gpos, s.line_no, s.pos, s.pos FROM singles s JOIN tokens k USING (doc_id, line_no, pos)),
+plain AS (SELECT term_id, {sql_words("term")} AS ws FROM terms),
+cuts AS (SELECT term_id, ws, i, unnest(list_filter(range(2, greatest(3, length(ws[i + 1]))), lambda k: substr(ws[i + 1], k, 1) = '-')) AS k FROM (SELECT term_id, ws, unnest(range(len(ws))) AS i FROM plain)),
+readings AS (SELECT term_id, 0 AS reading, ws, -1 AS split FROM plain WHERE len(ws) > 0
+  UNION ALL SELECT term_id, row_number() OVER (PARTITION BY term_id ORDER BY i, k) AS reading, {_two} AS ws, i AS split FROM cuts),
+term_words AS (SELECT term_id, reading, split, len(ws) AS n, unnest(range(len(ws))) AS off, unnest(ws) AS w FROM readings),
+known AS (SELECT DISTINCT word FROM tokens),
+forms AS (SELECT word, term_id, reading, split, n, off, word = w AS equal, (word = w OR {_stem.format("word")} = w) AS stem, w || chr(39) || 's' = word AS possessive,
+    length(w) >= 4 AND word <> w AND ends_with(word, w) AND off = 0 AS before, length(w) >= 4 AND word <> w AND starts_with(word, w) AND off = n - 1 AS after
+  FROM known JOIN term_words ON word = w OR {_stem.format("word")} = w OR (n > 1 AND length(w) >= 4 AND ((off = 0 AND ends_with(word, w)) OR (off = n - 1 AND starts_with(word, w))))),
+hits AS (SELECT doc_id, term_id, reading, split, n, off, gpos - off AS start, line_no, equal, stem, possessive, before, after FROM tokens JOIN forms USING (word)),
+judged AS (SELECT *, min(CASE WHEN off = 0 THEN line_no END) OVER w AS line, max(CASE WHEN off = n - 1 THEN line_no END) OVER w AS last_line,
+    max(CASE WHEN off = split THEN line_no END) OVER w AS cut_line, max(CASE WHEN off = split + 1 THEN line_no END) OVER w AS rest_line
+  FROM hits WINDOW w AS (PARTITION BY doc_id, term_id, reading, start)),
+starts AS (SELECT doc_id, term_id, reading, start, any_value(n) AS n FROM judged
+  WHERE CASE WHEN n = 1 THEN equal OR possessive WHEN split >= 0 OR line_no <> line THEN equal ELSE stem OR before OR (after AND last_line = line) END AND (split < 0 OR cut_line < rest_line)
+  GROUP BY doc_id, term_id, reading, start HAVING count(*) = any_value(n)),
+singles AS (SELECT s.doc_id, term_id, line_no, pos, word FROM starts s JOIN tokens k ON s.doc_id = k.doc_id AND s.start = k.gpos WHERE n = 1),
+spans AS (SELECT s.doc_id, term_id, reading, start, line_no, min(pos) AS first, max(pos) AS last FROM starts s JOIN tokens k ON s.doc_id = k.doc_id AND gpos BETWEEN start AND start + n - 1 GROUP BY s.doc_id, term_id, reading, start, line_no),
 boxes AS (
   SELECT doc_id, term_id, start, page_no, line_no,
     CASE WHEN first > 0 THEN length(array_to_string(list_slice(words, 1, first), ' ')) + 1 ELSE 0 END::DOUBLE AS x0, y0,
@@ -91,7 +107,5 @@ def terms_of(spark, sf_dir: str):
     """The terms of TERM_SQL."""
     from pyspark.sql import functions as F
 
-    from ..functions.text import normalised_words
-
-    n = F.when(F.col("item_id") % 2 == 0, 4).otherwise(1)
-    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("term_id"), F.array_join(F.slice(normalised_words(F.col("text")), F.lit(1), n), " ").alias("term"))
+    phrases = read(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", PHRASES.replace("\\n", "\n"))).alias("i", "p"))
+    return phrases.select((F.col("item_id") * 1000 + F.col("i")).alias("term_id"), F.trim("p").alias("term")).filter("term <> ''")

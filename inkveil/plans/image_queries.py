@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import images, rules
 from ..operators.matching import ocr_matches
-from .base import inline, query, read, sql_words, text
+from .base import TERM_SQL, inline, query, read, sql_words, terms_of, text
 
 SIZES = "(1, 1000L, 50, 50), (2, 1000L, 49, 50), (3, 20971520L, 16000, 16000), (4, 20971521L, 100, 100), (5, 10L, 16001, 60)"
 
@@ -75,10 +75,9 @@ def ocr_box_match(spark, sf_dir):
     return ocr_matches(words, inline(spark, "term_id, term", OCR_TERMS)).select("image_id", "term_id", "at", F.col("box.x0").alias("x0"))
 
 
-@query("""WITH t AS (SELECT DISTINCT string_split(text, ' ')[1] || ' ' || string_split(text, ' ')[2] AS term FROM benchmark)
-SELECT doc_id AS image_id, term FROM documents, t WHERE contains(text, term) AND list_contains(regexp_split_to_array(text, '\\s+'), string_split(term, ' ')[1])""".replace("\\\\s", "\\s"))
+@query(f"SELECT doc_id AS image_id, term FROM documents, (SELECT DISTINCT term FROM ({TERM_SQL})) WHERE contains(text, term)")
 def image_strings(spark, sf_dir):
-    terms = read(spark, sf_dir, "benchmark").select(F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("term")).distinct()
+    terms = terms_of(spark, sf_dir).select("term").distinct()
     return images.strings_by_image(terms, read(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"), "text"))
 
 

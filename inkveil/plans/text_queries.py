@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import collapsed, normalised, normalised_words, page_clean
 from ..operators import layout, matching
-from .base import LINES, TERMS, TOKENS, inline, query, read, sql_clean, sql_normal, sql_words, terms_of
+from .base import LINES, TERM_SQL, TERMS, TOKENS, inline, query, read, sql_clean, sql_normal, sql_words, terms_of
 
 
 @query(f"SELECT doc_id, len({sql_words('text')}) AS n_words, md5(array_to_string({sql_words('text')}, ' ')) AS words_md5, md5({sql_normal('text')}) AS text_md5 FROM documents")
@@ -83,12 +83,13 @@ def line_segmentation(spark, sf_dir):
 
 
 FLAT = "replace(replace({}, chr(10), ' '), '  ', ' ')"
+_both = "concat_ws(chr(10), raw_text, next_text)"
+PREFILTER = f"""held AS (SELECT doc_id, page_no, {FLAT.format(_both)} AS flat, {FLAT.format(f"replace({_both}, '-' || chr(10), '-')")} AS kept, {FLAT.format(f"replace({_both}, '-' || chr(10), '')")} AS joined FROM ahead),
+wanted AS (SELECT term_id, trim(regexp_replace(term, '\\s+', ' ', 'g')) AS term FROM ({TERM_SQL}))
+SELECT doc_id, page_no, term_id FROM held, wanted WHERE contains(flat, term) OR contains(kept, term) OR contains(joined, term)"""
 
 
-@query(f"""WITH {PAGES}{TERMS[:TERMS.index(',' + chr(10) + 'term_words')]},
-held AS (SELECT doc_id, page_no, {FLAT.format("concat_ws(chr(10), raw_text, next_text)")} AS kept, {FLAT.format("replace(concat_ws(chr(10), raw_text, next_text), '-' || chr(10), '')")} AS joined FROM ahead)
-SELECT doc_id, page_no, term_id FROM held, terms WHERE term <> '' AND (
- (list_contains(string_split(kept, ' '), string_split(term, ' ')[1]) OR list_contains(string_split(joined, ' '), string_split(term, ' ')[1])) AND (contains(kept, term) OR contains(joined, term)))""")
+@query(f"WITH {PAGES}, {PREFILTER}")
 def term_prefilter(spark, sf_dir):
     pages = layout.with_next_page(layout.page_texts(read(spark, sf_dir, "documents")))
     return matching.prefilter(pages, terms_of(spark, sf_dir))
