@@ -11,7 +11,7 @@ import time
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import plates
@@ -168,6 +168,45 @@ def service_detector(docs: DataFrame, rule: dict) -> DataFrame:
     return hashed.select("doc_id", "text_hash").join(found, "text_hash").select("doc_id", "rule_name", "ordinal", "term")
 
 
+def chunked_service(docs: DataFrame, rule: dict, size: int = 6000, overlap: int = 250) -> tuple[DataFrame, DataFrame]:
+    """(proposals, calls) of a service that is asked about each document chunk by chunk.
+
+    The rule's `call` maps a chunk to (terms, prompt_tokens, completion_tokens). Equal chunks
+    are asked about once. proposals are distinct in a document, in the order of its chunks:
+    (doc_id, rule_name, ordinal, term); an empty text gives none. calls has a row a distinct
+    chunk: (chunk_hash, n_terms, prompt_tokens, completion_tokens, error): a chunk that fails
+    after all attempts gives its error, and no terms, and doesn't fail the job.
+    """
+    import pandas as pd
+
+    parts = chunks(docs, size, overlap).withColumn("chunk_hash", F.sha2("chunk", 256))
+    call = with_retries(rule["call"], rule.get("attempts", 1))
+    limits = (rule.get("per_minute"), rule.get("capacity"))
+
+    def run(batches):
+        limiter = Limiter(*limits)
+        for pdf in batches:
+            out = []
+            for chunk_hash, chunk in zip(pdf["chunk_hash"], pdf["chunk"], strict=True):
+                limiter.take(chunk.count(" ") + 1)
+                try:
+                    terms, asked, answered = call(chunk)
+                    out.append((chunk_hash, list(dict.fromkeys(terms)), asked, answered, None))
+                except Exception as e:  # the service's fault is data here
+                    out.append((chunk_hash, [], 0, 0, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["chunk_hash", "terms", "prompt_tokens", "completion_tokens", "error"])
+
+    once = parts.groupBy("chunk_hash").agg(F.first("chunk").alias("chunk"))
+    if "partitions" in rule:
+        once = once.repartition(rule["partitions"])
+    answers = once.mapInPandas(run, "chunk_hash string, terms array<string>, prompt_tokens long, completion_tokens long, error string")
+    found = parts.select("doc_id", "chunk_no", "chunk_hash").join(answers, "chunk_hash").select("doc_id", "chunk_no", F.posexplode("terms").alias("at", "term"))
+    first = found.groupBy("doc_id", "term").agg(F.min(F.struct("chunk_no", "at")).alias("first"))
+    w = Window.partitionBy("doc_id").orderBy("first", "term")
+    proposals = first.select("doc_id", F.lit(rule["name"]).alias("rule_name"), (F.row_number().over(w) - 1).alias("ordinal"), "term")
+    return proposals, answers.select("chunk_hash", F.size("terms").cast("long").alias("n_terms"), "prompt_tokens", "completion_tokens", "error")
+
+
 def detect(docs: DataFrame, rules: list[dict]) -> DataFrame:
     """The union of all rules' proposals."""
     if not rules:
@@ -180,22 +219,21 @@ def distinct_terms(proposals: DataFrame) -> DataFrame:
     return proposals.withColumn("term", F.replace("term", F.lit("\n"), F.lit(" "))).groupBy("doc_id", "term").agg(F.min("ordinal").alias("first_ordinal"))
 
 
-def language_scores(text: Column) -> Column:
-    """A struct of each language's share of the function words found."""
-    words = F.split(F.lower(text), "[^\\p{L}]+")
-    count = lambda known: F.size(F.filter(words, lambda w: w.isin(*known))).cast("double")
-    hits = {k: count(v) for k, v in FUNCTION_WORDS.items()}
-    total = reduce(lambda a, b: a + b, hits.values())
-    return F.struct(*[F.when(total > 0, n / total).otherwise(0.0).alias(k) for k, n in hits.items()])
-
-
-def is_english(text: Column, threshold: float = 0.90, margin: float = 0.20, min_chars: int = 20, min_words: int = 3) -> Column:
-    """English with a share of the threshold at least and the margin ahead of any other; short texts are not."""
-    plain = F.trim(F.regexp_replace(text, "\\s+", " "))
-    scores = language_scores(text)
-    most = F.greatest(*[scores[k] for k in FUNCTION_WORDS if k != "en"])
+def with_language(docs: DataFrame, name: str = "is_english", threshold: float = 0.90, margin: float = 0.20, min_chars: int = 20, min_words: int = 3) -> DataFrame:
+    """docs with a column that tells whether the text is English: its share of the function words
+    found reaches the threshold and is the margin ahead of any other language's; short texts
+    are not. A null text is let through (true). The words are taken and counted once."""
+    every = F.array(*[F.lit(w) for w in dict.fromkeys(w for ws in FUNCTION_WORDS.values() for w in ws)])
+    words = F.filter(F.split(F.lower("text"), "[^\\p{L}]+"), lambda w: F.array_contains(every, w))
+    zero = F.struct(*[F.lit(0).alias(k) for k in FUNCTION_WORDS])
+    counts = F.aggregate(words, zero, lambda n, w: F.struct(*[(n[k] + w.isin(*known).cast("int")).alias(k) for k, known in FUNCTION_WORDS.items()]))
+    counted = docs.withColumn("_hits", F.explode(F.array(counts)))  # a row each, worked out here once
+    total = reduce(lambda a, b: a + b, [F.col("_hits")[k] for k in FUNCTION_WORDS])
+    most = F.greatest(*[F.col("_hits")[k] for k in FUNCTION_WORDS if k != "en"])
+    plain = F.trim(F.regexp_replace("text", "\\s+", " "))
     long_enough = (F.length(plain) >= min_chars) & (F.size(F.split(plain, " ")) >= min_words)
-    return F.coalesce(long_enough & (scores["en"] >= threshold) & (scores["en"] - most >= margin), F.lit(False))
+    english = long_enough & (total > 0) & (F.col("_hits")["en"] / total >= threshold) & ((F.col("_hits")["en"] - most) / total >= margin)
+    return counted.withColumn(name, F.when(F.col("text").isNull(), True).otherwise(F.coalesce(english, F.lit(False)))).drop("_hits")
 
 
 def chunks(docs: DataFrame, size: int = 6000, overlap: int = 250, separators: tuple[str, ...] = ("\n\n", "\n", " ", "")) -> DataFrame:

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .matching import containing
+from ..functions.text import PLATES
+from .matching import containing, ocr_matches
 
 #: Bounds of what a vision service takes: encoded bytes, and each side in pixels.
 MOST_BYTES, SIDES = 20 * 1024 * 1024, (50, 16000)
@@ -77,10 +78,12 @@ def strings_by_image(strings: DataFrame, images: DataFrame) -> DataFrame:
     return containing(held, ["image_id"], "forms", strings.select("term", F.col("term").alias("string")).distinct(), "term", "string")
 
 
-def annotations(pages: DataFrame) -> DataFrame:
+def annotations(pages: DataFrame, kinds: tuple[int, ...] | None = None) -> DataFrame:
     """Annotations of pages (doc_id, page_no, annotations), pages without any kept, as
     (doc_id, page_no, kind, title, proposed, text, rect, is_candidate)."""
     rows = pages.select("doc_id", "page_no", F.explode_outer("annotations").alias("a"))
+    if kinds is not None:  # only these; pages without any of them have no row
+        rows = rows.filter(F.col("a.kind").isin(*kinds))
     v = F.col("a.vertices")
     markup = F.struct(F.element_at(v, 1)["x"].alias("x0"), F.element_at(v, 1)["y"].alias("y0"), F.element_at(v, -1)["x"].alias("x1"), F.element_at(v, -1)["y"].alias("y1"))
     stroke = F.col("a.stroke")
@@ -89,3 +92,65 @@ def annotations(pages: DataFrame) -> DataFrame:
         F.when(F.col("a.kind").isin(*MARKUP_KINDS), markup).otherwise(F.col("a.rect")).alias("rect"),
         F.coalesce(stroke == F.array(*[F.lit(x) for x in HIGHLIGHT]), F.lit(False)).alias("is_candidate"),
     )
+
+
+def usable_images(instances: DataFrame) -> DataFrame:
+    """Image instances (bbox, n_bytes, width, height) that have a box and pass the size gate."""
+    return instances.filter(F.col("bbox").isNotNull() & size_gate(F.col("n_bytes"), F.col("width"), F.col("height")))
+
+
+def full_box(width: Column, height: Column) -> Column:
+    """The box over a whole image."""
+    zero = F.lit(0.0)
+    return F.struct(zero.alias("x0"), zero.alias("y0"), width.cast("double").alias("x1"), height.cast("double").alias("y1"))
+
+
+def signature_rows(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Detections (image_id, score, x0, y0, x1, y1) as the model server gives them, the score to
+    four digits and the corners to two, from the threshold on."""
+    corners_ = F.struct(*[F.round(c, 2).alias(c) for c in ("x0", "y0", "x1", "y1")])
+    return scored.withColumn("score", F.round("score", 4)).filter(F.col("score") >= threshold).select("image_id", F.lit("Signature Detected").alias("name"), corners_.alias("box"), "score")
+
+
+def detected(images: DataFrame, results: DataFrame, kind: str) -> DataFrame:
+    """A detector's boxes, closed where it fails: (image_id, name, box).
+
+    images (image_id, width, height); results (image_id, box, error) in any order, matched
+    by image. A result with an error gives a box over the whole image, named as failed; an
+    image without a result gives none; a result for an image that was not asked about is an
+    error.
+    """
+    met = images.select("image_id", "width", "height").join(results.select("image_id", "box", "error"), "image_id", "full")
+    known = met.select("image_id", F.when(F.col("width").isNull() & F.col("height").isNull(), F.raise_error(F.concat(F.lit("a result for an unknown image: "), F.col("image_id").cast("string")))).otherwise(F.lit(True)).alias("known"), "width", "height", "box", "error")
+    failed = F.col("error").isNotNull()
+    rows = known.filter("known").filter(failed | F.col("box").isNotNull())
+    return rows.select("image_id", F.when(failed, f"{kind} Detection Failed").otherwise(f"{kind} Detected").alias("name"), F.when(failed, full_box(F.col("width"), F.col("height"))).otherwise(F.col("box")).alias("box"))
+
+
+def plate_boxes(images: DataFrame, words: DataFrame) -> DataFrame:
+    """Vehicle registrations in the text of images, as the boxes of their words: (image_id, name, box).
+
+    images (image_id, width, height, error); words (image_id, at, text, box) in reading order.
+    Both readings of 0/O and 1/I are looked for in the whole text and then, read the same
+    way, among the words. An image whose text detection failed gets a box over all of it.
+    """
+    whole = words.groupBy("image_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda w: w["text"]), " ").alias("text"))
+    out = []
+    for a, b in (("01", "OI"), ("OI", "01")):
+        found = whole.select("image_id", F.explode(F.array_distinct(F.regexp_extract_all(F.translate("text", a, b), F.lit(f"({PLATES})"), 0))).alias("term"))
+        found = found.select("image_id", "term", F.sha2(F.concat_ws(":", F.col("image_id").cast("string"), "term"), 256).alias("term_id"))
+        read = words.withColumn("text", F.translate("text", a, b))
+        hits = ocr_matches(read, found.select("term_id", "term"))
+        out.append(hits.join(found, ["image_id", "term_id"]).select("image_id", F.col("term").alias("name"), "box"))
+    failed = images.filter("error IS NOT NULL").select("image_id", F.lit(FAILED).alias("name"), full_box(F.col("width"), F.col("height")).alias("box"))
+    return reduce(DataFrame.unionByName, [*out, failed]).distinct()
+
+
+def image_highlights(boxes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(highlights, failures): boxes on pages (doc_id, page_no, name, box) as annotations titled
+    Image Redaction; those without an area or without a box are no fault but rows of their own."""
+    box = F.col("box")
+    fine = box.isNotNull() & (box["x0"] != box["x1"]) & (box["y0"] != box["y1"])
+    corners_ = (F.least(box["x0"], box["x1"]).alias("left"), F.least(box["y0"], box["y1"]).alias("top"), F.greatest(box["x0"], box["x1"]).alias("right"), F.greatest(box["y0"], box["y1"]).alias("bottom"))
+    good = boxes.filter(F.coalesce(fine, F.lit(False))).select("doc_id", "page_no", F.col("name").alias("content"), F.lit("Image Redaction").alias("title"), *corners_)
+    return good, boxes.filter(~F.coalesce(fine, F.lit(False))).select("doc_id", "page_no", "name")

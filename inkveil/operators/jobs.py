@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_job_id, service_label
 
 STAGES = {"redact": "ANALYSE", "apply": "REDACT", "sanitise": "SANITISE"}
-SERVICES = ("CBOS", "REDACTION_SYSTEM")
+SERVICES = ("ALPHA", "BETA_SERVICE")
 LONGEST_ID = 60
 TIMEOUT_MINUTES = 180
 #: For each container the tier of its blobs from an age in days on.
 RETENTION = {"redactiondata": ((7, "DELETE"), (0, "HOT")), "analytics": ((60, "ARCHIVE"), (30, "COLD"), (0, "HOT")), "test": ((1, "DELETE"), (0, "HOT"))}
-REQUEST = "job_id string, configName string, fileKind string, pinsService string, skipRedaction boolean, overrideId string, timeoutMinutes double, readDetails struct<storageKind:string,teamEmail:string,properties:map<string,string>>, writeDetails struct<storageKind:string,teamEmail:string,properties:map<string,string>>"
+REQUEST = "job_id string, configName string, fileKind string, service string, skipRedaction boolean, overrideId string, timeoutMinutes double, readDetails struct<storageKind:string,teamEmail:string,properties:map<string,string>>, writeDetails struct<storageKind:string,teamEmail:string,properties:map<string,string>>"
 
 
 def stage_of(route: Column) -> Column:
@@ -31,7 +31,7 @@ def payload_errors(body: Column) -> Column:
     return F.array_compact(F.array(
         check(F.try_parse_json(body).isNull(), "not JSON"),
         check(p["fileKind"].isNull(), "fileKind is missing"),
-        check(p["pinsService"].isNotNull() & ~p["pinsService"].isin(*SERVICES), "pinsService is unknown"),
+        check(p["service"].isNotNull() & ~p["service"].isin(*SERVICES), "service is unknown"),
         *parts,
     ))
 
@@ -48,10 +48,32 @@ def latest(blobs: DataFrame, suffix: str) -> DataFrame:
 
 def proposal_before(jobs: DataFrame, blobs: DataFrame) -> DataFrame:
     """As-of look-back: for jobs (base, version) the newest blob (base, version, name, created)
-    of the greatest version that is two less at most; jobs below version 3 have none."""
-    j, b = jobs.filter("version > 2").alias("j"), blobs.alias("b")
-    found = j.join(b, (F.col("j.base") == F.col("b.base")) & (F.col("b.version") <= F.col("j.version") - 2) & (F.col("b.version") >= 1))
-    return found.groupBy(F.col("j.base").alias("base"), F.col("j.version").alias("version")).agg(F.max_by("b.name", F.struct("b.version", "b.created", "b.name")).alias("name"), F.max("b.version").alias("from_version"))
+    of the greatest version that is two less at most; jobs below version 3 have none. One
+    pass over a base's versions in order, a look-back over those that far behind."""
+    best = blobs.filter("version >= 1").groupBy("base", "version").agg(F.max_by("name", F.struct("created", "name")).alias("name"))
+    held = best.withColumn("asks", F.lit(False)).unionByName(jobs.filter("version > 2").select("base", "version", F.lit(None).cast("string").alias("name"), F.lit(True).alias("asks")).distinct())
+    w = Window.partitionBy("base").orderBy("version").rangeBetween(Window.unboundedPreceding, -2)
+    seen = F.last(F.when(~F.col("asks"), F.struct("name", "version")), ignorenulls=True).over(w)
+    return held.withColumn("seen", seen).filter("asks AND seen IS NOT NULL").select("base", "version", "seen.name", F.col("seen.version").alias("from_version"))
+
+
+def unique_id(job_id: Column, seconds: Column | None = None) -> Column:
+    """A job's id with the time in whole seconds, so that a second run of it is told apart."""
+    return F.concat(job_id, F.lit("-"), (seconds if seconds is not None else F.unix_timestamp()).cast("long"))
+
+
+def today() -> Column:
+    """The date in UTC as ISO text."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd")
+
+
+def queue_messages(requests: DataFrame, stage: Column, at: str = "ts", days: int = 1) -> DataFrame:
+    """Requests (body JSON, time) as messages for the queue: (id, expires, value). The id is the
+    body's overrideId, or a new one; the body gains the job_id and the stage."""
+    parsed = requests.withColumn("p", F.from_json("body", "map<string,string>"))
+    named = parsed.withColumn("id", F.coalesce(F.col("p")["overrideId"], F.uuid())).filter("p IS NOT NULL")
+    value = F.to_json(F.map_concat(F.map_filter("p", lambda k, _: ~k.isin("job_id", "stage")), F.create_map(F.lit("job_id"), F.col("id"), F.lit("stage"), stage)))
+    return named.select("id", (F.col(at) + F.make_dt_interval(days=F.lit(days))).alias("expires"), value.alias("value"))
 
 
 def timed(jobs: DataFrame, default: float = TIMEOUT_MINUTES) -> DataFrame:
@@ -88,11 +110,18 @@ def retention(container: Column, age_days: Column) -> Column:
 
 
 def responses(jobs: DataFrame) -> DataFrame:
-    """Jobs (job_id, stage, error, and warnings of the steps after) as their final message:
-    failed by an error, else done, the warnings in their fixed order on lines of their own."""
-    steps = ("bus_warning", "metrics_warning", "exception_warning", "log_warning")
-    head = F.when(F.col("error").isNotNull(), F.concat(F.lit("Redaction process failed: "), "error")).otherwise(F.lit("Redaction process complete"))
-    return jobs.select("job_id", "stage", F.when(F.col("error").isNotNull(), "FAIL").otherwise("SUCCESS").alias("status"), F.concat_ws("\n", head, *steps).alias("message"))
+    """Jobs (job_id, stage, error, and warnings of the steps after) as their final message: the
+    outcome, and the warnings in their fixed order on lines of their own."""
+    steps = F.array_compact(F.array("bus_warning", "metrics_warning", "exception_warning", "log_warning"))
+    lines, some = F.array_join(steps, "\n"), F.size(steps) > 0
+    failed = F.concat(F.lit("Redaction process failed with the following error: "), "error")
+    message = (
+        F.when(F.col("error").isNotNull() & some, F.concat(failed, F.lit("\nAdditionally, the following non-fatal errors occurred:\n"), lines))
+        .when(F.col("error").isNotNull(), failed)
+        .when(some, F.concat(F.lit("Redaction process completed successfully, but had some non-fatal errors:\n"), lines))
+        .otherwise(F.lit("Redaction process complete"))
+    )
+    return jobs.select("job_id", "stage", F.when(F.col("error").isNotNull(), "FAIL").otherwise("SUCCESS").alias("status"), message.alias("message"))
 
 
 def is_service_fault(code: Column) -> Column:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import threading
+import time
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,3 +79,46 @@ def encoding_of(model: Column) -> Column:
 def volume(docs: DataFrame) -> DataFrame:
     """Characters and approximate words (pieces between single spaces) of each document."""
     return docs.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.size(F.split("text", " ")).cast("long").alias("n_words"))
+
+
+def analysis_times(rows: DataFrame, entries: str = "metrics") -> DataFrame:
+    """(kind, seconds): the sums of the metrics whose name has "analysis_time", by what stands
+    before it in the name, and of all of them as the kind total."""
+    sums = combined(rows, entries).filter(F.col("metric").contains("analysis_time"))
+    return sums.rollup(F.regexp_extract("metric", "^(.*?)_?analysis_time", 1).alias("kind")).agg(F.sum("total").alias("seconds")).select(F.coalesce("kind", F.lit("total")).alias("kind"), "seconds")
+
+
+@contextmanager
+def wall_time(into: dict[str, float], name: str):
+    """Put the seconds that a block takes into a dictionary, whether it fails or not."""
+    began = time.monotonic()
+    try:
+        yield
+    finally:
+        into[name] = time.monotonic() - began
+
+
+class MemorySnapshots:
+    """The process's resident memory in MB, taken every so many seconds until the block ends."""
+
+    def __init__(self, every: float = 30.0):
+        self.every, self.taken, self._end = every, [], threading.Event()
+
+    def _now(self) -> float:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 1e6
+
+    def _run(self) -> None:
+        while not self._end.wait(self.every):
+            self.taken.append(self._now())
+
+    def __enter__(self) -> MemorySnapshots:
+        self.taken.append(self._now())
+        self._thread = threading.Thread(target=self._run, daemon=True)
+        self._thread.start()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._end.set()
+        self._thread.join()
+        self.taken.append(self._now())

@@ -94,7 +94,8 @@ def _caller(value: str) -> list[str]:
     return sorted({w for w in value.split() if "@" in w})
 
 
-@query(None)
+@query("""SELECT doc_id, 'service' AS rule_name, CAST(unnest(range(len(f))) AS INT) AS ordinal, unnest(f) AS term FROM (
+  SELECT doc_id, CASE WHEN starts_with(text, 'Is ') THEN ['Detection Failed'] ELSE list_sort(list_distinct(list_filter(regexp_split_to_array(text, '[\\s\\x0B\\x1C-\\x1F]+'), lambda w: contains(w, '@')))) END AS f FROM documents)""".replace("\\\\", "\\"))
 def detect_by_service(spark, sf_dir):
     """A stand-in for a service: words with an @; texts that begin with "Is " make it fail."""
     return detect.detect(read(spark, sf_dir, "documents"), [{"kind": "service", "name": "service", "call": _caller, "failure": "Detection Failed"}])
@@ -105,11 +106,11 @@ def _hits(lang: str) -> str:
 
 
 @query(f"""WITH w AS (SELECT doc_id, text, regexp_split_to_array(lower(text), '[^\\p{{L}}]+') AS ws FROM documents),
-h AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS plain, {', '.join(f'{_hits(k)} AS {k}' for k in detect.FUNCTION_WORDS)} FROM w),
+h AS (SELECT doc_id, text, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS plain, {', '.join(f'{_hits(k)} AS {k}' for k in detect.FUNCTION_WORDS)} FROM w),
 s AS (SELECT *, en + fr + de + es AS total FROM h)
-SELECT doc_id, coalesce(length(plain) >= 20 AND len(string_split(plain, ' ')) >= 3 AND total > 0 AND en / total >= 0.9 AND (en - greatest(fr, de, es)) / total >= 0.2, false) AS is_english FROM s""")
+SELECT doc_id, text IS NULL OR coalesce(length(plain) >= 20 AND len(string_split(plain, ' ')) >= 3 AND total > 0 AND en / total >= 0.9 AND (en - greatest(fr, de, es)) / total >= 0.2, false) AS is_english FROM s""")
 def language_gate(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", detect.is_english(F.col("text")).alias("is_english"))
+    return detect.with_language(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "is_english")
 
 
 @query(None)

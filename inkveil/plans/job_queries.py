@@ -46,12 +46,12 @@ def false_positives(spark, sf_dir):
     return evaluation.false_positives(*_sides(spark, sf_dir)).select("doc_id", "page_no", "text")
 
 
-@query("""WITH e AS (SELECT doc_id, unnest(list_slice(string_split(text, ' '), 1, 5)) AS term FROM documents UNION ALL SELECT doc_id, 'IS' FROM documents),
+@query("""WITH e AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]{14,}')) AS term FROM documents UNION ALL SELECT doc_id, 'IS' FROM documents),
 c AS (SELECT doc_id, count(*) AS n_expected, count(*) FILTER (contains(lower(text), lower(term))) AS n_found FROM e JOIN documents USING (doc_id) GROUP BY doc_id)
 SELECT doc_id, n_expected, n_found, n_found / n_expected AS ratio, n_found / n_expected > 0.95 OR abs(n_found / n_expected - 0.95) <= 0.1 * greatest(n_found / n_expected, 0.95) AS passes FROM c""")
 def match_ratio(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    expected = docs.select("doc_id", F.explode(F.slice(F.split("text", " "), 1, 5)).alias("term")).unionByName(docs.select("doc_id", F.lit("IS").alias("term")))
+    expected = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]{14,})"), 1)).alias("term")).unionByName(docs.select("doc_id", F.lit("IS").alias("term")))
     return evaluation.match_ratio(expected, docs, 0.95)
 
 
@@ -73,11 +73,11 @@ def job_ids(spark, sf_dir):
 
 
 # Blobs of jobs, from events: a user is a job, its events are versions.
-BLOBS = "blobs AS (SELECT 'job' || user_id AS base, CAST(event_id % 9 AS INT) AS version, 'job' || user_id || '-' || (event_id % 9) || '/' || event_type || '/proposed_redactions.json' AS name, ts AS created FROM events WHERE event_id % 3 <> 0)"
+BLOBS = "blobs AS (SELECT 'job' || user_id AS base, CAST(event_id % 9 AS INT) AS version, 'job' || user_id || '-' || (event_id % 9) || '/' || event_type || '/proposed_redactions.json' AS name, ts AS created FROM events)"
 
 
 def _blobs(spark, sf_dir):
-    e = read(spark, sf_dir, "events").filter("event_id % 3 <> 0")
+    e = read(spark, sf_dir, "events")
     base = F.concat(F.lit("job"), F.col("user_id").cast("string"))
     version = (F.col("event_id") % 9).cast("int")
     return e.select(base.alias("base"), version.alias("version"), F.concat(base, F.lit("-"), version.cast("string"), F.lit("/"), "event_type", F.lit("/proposed_redactions.json")).alias("name"), F.col("ts").alias("created"))
@@ -100,7 +100,7 @@ def blobs_by_prefix(spark, sf_dir):
 
 
 TIMED = """timed AS (SELECT event_id AS job_id, ts AS started, CASE WHEN event_id % 7 > 0 THEN ts + to_seconds(CAST(floor(value * 60) AS BIGINT)) END AS ended, CASE WHEN event_id % 2 = 0 THEN 10.0 END::DOUBLE AS timeout_minutes,
- CASE event_id % 3 WHEN 0 THEN 'CBOS' WHEN 1 THEN 'REDACTION_SYSTEM' END AS service, CASE WHEN event_id % 5 > 0 THEN upper(event_type) END AS stage FROM events),
+ CASE event_id % 3 WHEN 0 THEN 'ALPHA' WHEN 1 THEN 'BETA_SERVICE' END AS service, CASE WHEN event_id % 5 > 0 THEN upper(event_type) END AS stage FROM events),
 outcomes AS (SELECT *, started + to_seconds(CAST(coalesce(timeout_minutes, 180) * 60 AS BIGINT)) AS deadline FROM timed),
 judged AS (SELECT *, CASE WHEN ended IS NOT NULL AND ended <= deadline THEN 'DONE' ELSE 'TIMED_OUT' END AS outcome FROM outcomes)"""
 
@@ -112,7 +112,7 @@ def _timed(spark, sf_dir):
         i.alias("job_id"), F.col("ts").alias("started"),
         F.when(i % 7 > 0, F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.floor(F.col("value") * 60).cast("long") * 1000000)).alias("ended"),
         F.when(i % 2 == 0, F.lit(10.0)).alias("timeout_minutes"),
-        F.when(i % 3 == 0, "CBOS").when(i % 3 == 1, "REDACTION_SYSTEM").alias("service"), F.when(i % 5 > 0, F.upper("event_type")).alias("stage"),
+        F.when(i % 3 == 0, "ALPHA").when(i % 3 == 1, "BETA_SERVICE").alias("service"), F.when(i % 5 > 0, F.upper("event_type")).alias("stage"),
     ).withColumn("started", F.col("started").cast("timestamp")))
 
 
@@ -126,10 +126,10 @@ def failure_notices(spark, sf_dir):
     return jobs.failure_notices(_timed(spark, sf_dir))
 
 
-@query(f"WITH {TIMED} SELECT translate(lower(service), '_', '-') AS subject, count(*) AS n FROM judged WHERE service = 'REDACTION_SYSTEM' GROUP BY 1")
+@query(f"WITH {TIMED} SELECT translate(lower(service), '_', '-') AS subject, count(*) AS n FROM judged WHERE service = 'BETA_SERVICE' GROUP BY 1")
 def topic_routing(spark, sf_dir):
     rows = _timed(spark, sf_dir).withColumn("subject", service_label(F.col("service")))
-    return rows.filter("subject = 'redaction-system'").groupBy("subject").agg(F.count("*").alias("n"))
+    return rows.filter("subject = 'beta-service'").groupBy("subject").agg(F.count("*").alias("n"))
 
 
 @query("SELECT event_id, user_id AS job_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM events) WHERE nth = 1")
@@ -141,8 +141,7 @@ def job_dedupe(spark, sf_dir):
 @query("SELECT event_id FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
 def message_ttl(spark, sf_dir):
     e = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    now = e.agg(F.max("ts").alias("now"))
-    return jobs.alive(e.join(F.broadcast(now)), F.col("now")).select("event_id")
+    return jobs.alive(e, e.agg(F.max("ts")).scalar()).select("event_id")
 
 
 @query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN CASE WHEN age >= 7 THEN 'DELETE' ELSE 'HOT' END WHEN 1 THEN CASE WHEN age >= 60 THEN 'ARCHIVE' WHEN age >= 30 THEN 'COLD' ELSE 'HOT' END WHEN 2 THEN CASE WHEN age >= 1 THEN 'DELETE' ELSE 'HOT' END ELSE 'HOT' END AS tier
@@ -155,15 +154,16 @@ def retention_tier(spark, sf_dir):
 RESPONSES = "('1', 'ANALYSE', CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING)), ('2', 'REDACT', 'boom', NULL, 'no metrics', NULL, 'no log'), ('3', 'SANITISE', NULL, 'bus down', NULL, NULL, NULL)"
 
 
-@query(f"SELECT job_id, stage, CASE WHEN error IS NULL THEN 'SUCCESS' ELSE 'FAIL' END AS status, concat_ws(chr(10), CASE WHEN error IS NULL THEN 'Redaction process complete' ELSE 'Redaction process failed: ' || error END, a, b, c, d) AS message FROM (VALUES {RESPONSES.replace('STRING', 'VARCHAR')}) t(job_id, stage, error, a, b, c, d)")
+@query(f"""SELECT job_id, stage, CASE WHEN error IS NULL THEN 'SUCCESS' ELSE 'FAIL' END AS status, CASE WHEN error IS NOT NULL THEN 'Redaction process failed with the following error: ' || error || CASE WHEN w <> '' THEN chr(10) || 'Additionally, the following non-fatal errors occurred:' || chr(10) || w ELSE '' END
+  WHEN w <> '' THEN 'Redaction process completed successfully, but had some non-fatal errors:' || chr(10) || w ELSE 'Redaction process complete' END AS message FROM (VALUES {RESPONSES.replace('STRING', 'VARCHAR')}) t(job_id, stage, error, a, b, c, d), LATERAL (SELECT concat_ws(chr(10), a, b, c, d) AS w)""")
 def job_response(spark, sf_dir):
     return jobs.responses(inline(spark, "job_id, stage, error, bus_warning, metrics_warning, exception_warning, log_warning", RESPONSES))
 
 
-BODIES = [(1, '{"fileKind":"pdf","extra":1}'), (2, "{bad"), (3, '{"fileKind":"pdf","pinsService":"CBOS","readDetails":{"storageKind":"AzureBlob","properties":{"a":"b"}}}'), (4, '{"pinsService":"NONE","writeDetails":{"storageKind":"AzureBlob"}}'), (5, '{"fileKind":"pdf","readDetails":{"properties":{}}}')]
+BODIES = [(1, '{"fileKind":"pdf","extra":1}'), (2, "{bad"), (3, '{"fileKind":"pdf","service":"ALPHA","readDetails":{"storageKind":"AzureBlob","properties":{"a":"b"}}}'), (4, '{"service":"NONE","writeDetails":{"storageKind":"AzureBlob"}}'), (5, '{"fileKind":"pdf","readDetails":{"properties":{}}}')]
 
 
-@query(None)
+@query("SELECT * FROM (VALUES (1, ''), (2, 'not JSON; fileKind is missing'), (3, ''), (4, 'fileKind is missing; service is unknown; writeDetails.properties is missing'), (5, 'readDetails.storageKind is missing')) t(id, errors)")
 def payload_errors(spark, sf_dir):
     return spark.createDataFrame(BODIES, "id int, body string").select("id", F.array_join(jobs.payload_errors(F.col("body")), "; ").alias("errors"))
 
@@ -205,10 +205,10 @@ def _metrics(spark, sf_dir):
     return read(spark, sf_dir, "events").select(m.alias("metrics"))
 
 
-@query("""WITH s AS (SELECT event_type AS metric, sum(event_id % 5)::DOUBLE AS total FROM events GROUP BY event_type) SELECT * FROM s UNION ALL SELECT 'total_redaction_results', 42.0::DOUBLE""")
+@query("""WITH s AS (SELECT event_type AS metric, sum(event_id % 5)::DOUBLE AS total FROM events GROUP BY event_type) SELECT * FROM s UNION ALL SELECT 'total_redaction_results', count(*)::DOUBLE FROM events""")
 def rule_metrics(spark, sf_dir):
     sums = read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("metric")).agg(F.sum(F.col("event_id") % 5).cast("double").alias("total"))
-    return metrics.with_count(sums, F.lit(42))
+    return metrics.with_count(sums, F.lit(read(spark, sf_dir, "events").count()))
 
 
 CALLS = "calls AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'gpt-4.1' ELSE 'gpt-5.6-luna' END AS model, CAST(length(text) AS BIGINT) AS prompt_tokens, CAST(length(role) AS BIGINT) AS completion_tokens FROM conversations), priced AS (SELECT *, (prompt_tokens * 149 + completion_tokens * 593) / 1e6 AS cost FROM calls)"
@@ -258,8 +258,9 @@ def outcome_throughput(spark, sf_dir):
 
 @query("SELECT event_type AS kind, round(sum(value), 4) AS seconds FROM events GROUP BY event_type UNION ALL SELECT 'total', round(sum(value), 4) FROM events")
 def analysis_time(spark, sf_dir):
-    rows = read(spark, sf_dir, "events").rollup("event_type").agg(F.round(F.sum("value"), 4).alias("seconds"))
-    return rows.select(F.coalesce("event_type", F.lit("total")).alias("kind"), "seconds")
+    rows = read(spark, sf_dir, "events")
+    kept = rows.select(F.create_map(F.concat("event_type", F.lit("_analysis_time")), F.col("value").cast("string"), F.lit("pages"), F.lit("3")).alias("metrics"))
+    return metrics.analysis_times(kept).select("kind", F.round("seconds", 4).alias("seconds"))
 
 
 @query("SELECT doc_id, length(text) AS n_chars, CAST(len(string_split(text, ' ')) AS BIGINT) AS n_words FROM documents")

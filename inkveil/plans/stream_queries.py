@@ -22,12 +22,15 @@ def _messages(spark, sf_dir):
 
 
 def _collected(spark, stream, mode="append"):
-    import tempfile
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not folder:
+        import tempfile
 
+        folder = tempfile.mkdtemp(prefix="streams-")
     name = f"stream_{uuid.uuid4().hex}"
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streams-")
-    jobs.run_available(stream, f"{folder}/{name}", name, mode)
-    return spark.table(name)
+    return jobs.run_available(stream, f"{folder}/{name}/state", f"{folder}/{name}/rows", mode)
 
 
 @query("SELECT DISTINCT CAST(user_id AS VARCHAR) AS job_id FROM events WHERE event_id % 10 > 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts) = 1")
@@ -49,7 +52,7 @@ def stream_stage_counts(spark, sf_dir):
     return _collected(spark, jobs.stage_counts(good), "complete").select("stage", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query(None)
+@query("SELECT CAST(event_id AS VARCHAR) AS job_id, CASE WHEN floor(value * 30) <= 600 THEN 'DONE' ELSE 'TIMED_OUT' END AS outcome, least(floor(value * 30), 600)::DOUBLE AS seconds FROM events")
 def stream_deadlines(spark, sf_dir):
     """Jobs of two events each, start and end; those over ten minutes time out."""
     e = _events(spark, sf_dir)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import collapsed, normalised, normalised_words, page_clean
 from ..operators import layout, matching
-from .base import LINES, TERM_SQL, TERMS, TOKENS, inline, query, read, sql_clean, sql_normal, sql_words, terms_of
+from .base import LINES, TERM_SQL, TERMS, TOKENS, chars, inline, query, read, sql_clean, sql_normal, sql_words, terms_of
 
 
 @query(f"SELECT doc_id, len({sql_words('text')}) AS n_words, md5(array_to_string({sql_words('text')}, ' ')) AS words_md5, md5({sql_normal('text')}) AS text_md5 FROM documents")
@@ -156,16 +156,22 @@ TRUTH = [
 ]
 
 
-@query(None)
+def _stated(rows) -> str:
+    values = ", ".join(f"({i}, {chars(a) if a else repr('')}, {chars(b)}, {str(e).lower()})" for i, (a, b, e) in enumerate(rows))
+    return f"SELECT id, line, term, expected, expected AS matched FROM (VALUES {values}) t(id, line, term, expected)"
+
+
+@query(_stated(TRUTH))
 def match_truth_table(spark, sf_dir):
     rows = spark.createDataFrame([(i, *r) for i, r in enumerate(TRUTH)], "id int, line string, term string, expected boolean")
     return rows.withColumn("matched", matching.in_line(normalised_words(F.col("line")), normalised_words(F.col("term"))))
 
 
+#: Lines, terms and whether the line ends with the beginning of the term up to a hyphen.
 HYPHENS = [("seen by Mary Hugh", "Mary Hugh-Williams", True), ("Hugh", "Hugh-Williams", True), ("by Hugh", "Mary Hugh-Williams", False), ("the two-part", "two-part-name", True), ("part", "two-part-name", True), ("name", "two-part-name", False), ("Mary", "Mary Hugh-Williams", False)]
 
 
-@query(None)
+@query(_stated(HYPHENS))
 def match_hyphen(spark, sf_dir):
     rows = spark.createDataFrame([(i, *r) for i, r in enumerate(HYPHENS)], "id int, line string, term string, expected boolean")
     return rows.withColumn("matched", matching.hyphen_tail(normalised_words(F.col("line")), normalised_words(F.col("term"))))

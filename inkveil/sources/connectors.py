@@ -57,11 +57,11 @@ def connector(kind: str, spark: SparkSession, root: str) -> Connector:
     return _KINDS[kind](spark, root)
 
 
-def endpoint(name: str | None = None, url: str | None = None) -> str:
-    """A store's address from exactly one of its name and its address."""
+def endpoint(name: str | None = None, url: str | None = None, pattern: str = "https://{name}.store.example") -> str:
+    """A store's address from exactly one of its name, put into the provider's pattern, and its address."""
     if (name is None) == (url is None):
         raise ValueError("give either a name or an address")
-    return url if url is not None else f"https://{name}.blob.core.windows.net"
+    return url if url is not None else pattern.format(name=name)
 
 
 def json_lines(df: DataFrame, path: str) -> None:

@@ -65,9 +65,22 @@ def deadlines(events: DataFrame, minutes: float = 180.0) -> DataFrame:
     return watermarked.groupBy("job_id").applyInPandasWithState(run, "job_id string, outcome string, seconds double", "started long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_available(stream: DataFrame, checkpoint: str, table: str, mode: str = "append") -> None:
-    """Process all that is there and end, into an in-memory table."""
-    stream.writeStream.outputMode(mode).format("memory").queryName(table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def run_available(stream: DataFrame, checkpoint: str, path: str, mode: str = "append") -> DataFrame:
+    """Process all that is there and end, into Parquet at `path`, which is returned to be read. A
+    batch that is run again replaces what it wrote; in complete mode each replaces all."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={0 if mode == 'complete' else number}")
+
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/batch=-1")
+    stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path).drop("batch")
+
+
+def file_queue(spark, path: str, schema: str, files: int = 16) -> DataFrame:
+    """A folder of message files as a stream of at most so many files a batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(path)
 
 
 def to_topics(stream: DataFrame, path: str, checkpoint: str) -> None:

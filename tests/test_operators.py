@@ -97,7 +97,7 @@ def test_retries():
 def test_responses_go_to_their_topics(spark, tmp_path):
     from inkveil.streaming.jobs import to_topics
 
-    spark.createDataFrame([("1", "CBOS"), ("2", "REDACTION_SYSTEM"), ("3", None)], "id string, service string").write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame([("1", "ALPHA"), ("2", "BETA_SERVICE"), ("3", None)], "id string, service string").write.parquet(str(tmp_path / "in"))
     to_topics(spark.readStream.schema("id string, service string").parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "c"))
     rows = spark.read.text(f"{tmp_path}/out").collect()
-    assert sorted((r.subject, r.value) for r in rows) == [("cbos", '{"id":"1","service":"CBOS"}'), ("redaction-system", '{"id":"2","service":"REDACTION_SYSTEM"}')]
+    assert sorted((r.subject, r.value) for r in rows) == [("alpha", '{"id":"1","service":"ALPHA"}'), ("beta-service", '{"id":"2","service":"BETA_SERVICE"}')]
