@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, settle
+from .common import fold, partitions, settle
 
 #: Letters of other scripts that look like Latin ones, and marks and digits that stand for letters.
 HOMOGLYPHS = {
@@ -169,7 +169,7 @@ def learn(labelled: DataFrame, most: int = 1500, others: float = 2.0, sure: floa
     """
     some = labelled.filter("toxic IN (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
     order = F.xxhash64("doc_id")
-    sample = settle(some.filter("toxic = 1").orderBy(order).limit(most).unionByName(some.filter("toxic = 0").orderBy(order).limit(int(others * most))))
+    sample = settle(some.filter("toxic = 1").orderBy(order).limit(most).unionByName(some.filter("toxic = 0").orderBy(order).limit(int(others * most))).repartition(partitions(labelled.sparkSession, 8), "doc_id", "text"))
     texts = dict(sample.groupBy("toxic").count().collect())
     n1, n0 = texts.get(1, 0), texts.get(0, 0)
     if not n1 or not n0:
