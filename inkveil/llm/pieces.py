@@ -24,11 +24,17 @@ class Vocabulary:
     wrong piece by piece.
     """
 
-    def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int], most: int = 60_000):
-        self.pieces, self.byte_ids, self.most, self.pairs = pieces, byte_ids, most, {}
+    def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int]):
+        self.pieces, self.byte_ids = pieces, byte_ids
+        self.rank = {p: k for k, p in enumerate(sorted(pieces, key=lambda p: -pieces[p][1]))}
         spaced = {i: p.replace(SPACE, " ").encode() for p, (i, _) in pieces.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
         self.spaced = [spaced.get(i, b"") for i in range(max(spaced, default=-1) + 1)]
-        self.usable = {p: i for p, (i, _) in pieces.items() if len(p) == 1 or self.merged(p) == [p]}
+        self.usable, self.rights, self.lefts = {}, {}, {}
+        for p in sorted(pieces, key=len):
+            parts, last = self._merges(p)
+            if len(parts) == 1:
+                self.usable[p] = pieces[p][0]
+                self._edges(p, last)
         self.longest = max(map(len, self.usable), default=1)
         self.suffixes = frozenset(p[k:] for p in self.usable for k in range(len(p)))
         # a text falls apart before a space, and around a line feed, if no piece goes on past it
@@ -37,31 +43,57 @@ class Vocabulary:
         pattern = ".+" if inner else f"{alone}|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+"
         self.split = re.compile(pattern, re.DOTALL).findall
 
-    def bytes_of(self, i: int | None) -> bytes:
-        """The text of an id as UTF-8."""
-        return self.spaced[i] if i is not None and 0 <= i < len(self.spaced) else b""
-
-    def merged(self, text: str) -> list[str]:
-        """A short text's pieces by merging, best score first, the leftmost of equals."""
-        parts = list(text)
+    def _edges(self, piece: str, last: tuple[str, str] | None) -> None:
+        """What stands at a piece's right and left edge while merging makes it, the whole first:
+        (text, when it is made, when it is merged further). Letters are there from the start."""
+        never = len(self.rank)
+        for edges, side in ((self.rights, 1), (self.lefts, 0)):
+            if last is None or last[0] not in self.usable or last[1] not in self.usable:
+                edges[piece] = [(piece, -1, never)]
+                continue
+            made = max(self.rank[piece], *(self.rights[q][0][1] for q in last))
+            inner = edges[last[side]]
+            edges[piece] = [(piece, made, never), (inner[0][0], inner[0][1], made), *inner[1:]]
+
+    def _merges(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
+        """A short text's pieces by merging, best score first, the leftmost of equals; and the last two merged."""
+        parts, last = list(text), None
         while True:
             best, at = None, -1
             for k in range(len(parts) - 1):
-                known = self.pieces.get(parts[k] + parts[k + 1])
-                if known is not None and (best is None or known[1] > best):
-                    best, at = known[1], k
+                known = self.rank.get(parts[k] + parts[k + 1])
+                if known is not None and (best is None or known < best):
+                    best, at = known, k
             if at < 0:
-                return parts
+                return parts, last
+            last = (parts[at], parts[at + 1])
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
+    def bytes_of(self, i: int | None) -> bytes:
+        """The text of an id as UTF-8."""
+        return self.spaced[i] if i is not None and 0 <= i < len(self.spaced) else b""
+
+    def merged(self, text: str) -> list[str]:
+        return self._merges(text)[0]
+
     def apart(self, left: str, right: str) -> bool:
-        """Whether merging leaves these two pieces as they are."""
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) >= self.most:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self.merged(left + right) == [left, right]
-        return known
+        """Whether merging leaves these two pieces as they are: back in time, what stood at
+        their edges together was never merged, as it is no piece or one that comes later than
+        what each of them was merged into. Of equals the leftmost is merged first."""
+        a, b, rank = self.rights[left], self.lefts[right], self.rank
+        i = j = 0
+        while True:
+            x, made_x, until_x = a[i]
+            y, made_y, until_y = b[j]
+            met = rank.get(x + y)
+            if met is not None and met < until_x and met <= until_y:
+                return False
+            if made_x > made_y:
+                i += 1
+            elif made_y >= 0:
+                j += 1
+            else:
+                return True
 
     @classmethod
     def of(cls, path: str | None) -> Vocabulary:
@@ -91,7 +123,7 @@ class Encoder:
     ids, in a memory of `most` bytes that starts over when it is full.
     """
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 24_000_000):
+    def __init__(self, vocabulary: Vocabulary, most: int = 64_000_000):
         self.vocabulary, self.most = vocabulary, most
         self.known: dict[str, bytes] = {}
         self.used = 0
@@ -99,54 +131,48 @@ class Encoder:
     def stream(self, text: str):
         """Ids of a text in lists, each as soon as it is certain."""
         v = self.vocabulary
-        usable, suffixes, pairs, longest = v.usable, v.suffixes, v.pairs, v.longest
-        last = {0: ""}  # the last piece of the best path to each open position
+        usable, suffixes, apart, longest = v.usable, v.suffixes, v.apart, v.longest
+        last = [""]  # the last piece of the best path to each open position, from `done` on
         done, check, n = 0, 2 * longest, len(text)
         for end in range(1, n + 1):
             begin = end - 1
             piece = only = text[begin:end]
             while piece in suffixes:
                 if piece in usable:
-                    left = last.get(begin)
-                    if left is None:
-                        break
-                    if not left or left not in usable:
+                    left = last[begin - done]
+                    if left not in usable or apart(left, piece):
                         only = piece
                         break
-                    fits = pairs.get((left, piece))
-                    if v.apart(left, piece) if fits is None else fits:
-                        only = piece
-                        break
-                begin -= 1
-                if begin < done:
+                if begin == done:
                     break
+                begin -= 1
                 piece = text[begin:end]
-            last[end] = only
+            last.append(only)
             if end >= check:
                 shared = self._converged(last, done, range(max(done, end - longest), end + 1))
                 if shared > done:
                     yield self._ids(last, done, shared)
-                    last = {k: p for k, p in last.items() if k >= shared}
+                    last = last[shared - done :]
                     done = shared
                 check = end + longest
         if n > done:
             yield self._ids(last, done, n)
 
     @staticmethod
-    def _converged(last: dict[int, str], done: int, heads) -> int:
+    def _converged(last: list[str], done: int, heads) -> int:
         """The last boundary on the paths to all of these positions."""
         held = set(heads)
         while len(held) > 1:
             front = max(held)
             held.discard(front)
-            held.add(max(done, front - len(last[front])))
+            held.add(max(done, front - len(last[front - done])))
         return held.pop()
 
-    def _ids(self, last: dict[int, str], begin: int, end: int) -> list[int]:
+    def _ids(self, last: list[str], begin: int, end: int) -> list[int]:
         """Ids of the committed path between two boundaries."""
-        v, out = self.vocabulary, []
+        v, out, first = self.vocabulary, [], begin
         while end > begin:
-            piece = last[end]
+            piece = last[end - first]
             known = v.usable.get(piece)
             out += [known] if known is not None else [v.byte_ids[x] for x in reversed(piece.encode())]
             end -= len(piece)
