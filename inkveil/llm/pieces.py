@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -127,61 +128,83 @@ class Encoder:
         self.vocabulary, self.most = vocabulary, most
         self.known: dict[str, bytes] = {}
         self.used = 0
+        self.pairs: dict[int, bool] = {}  # whether pieces are apart, by both ids
 
-    def stream(self, text: str):
-        """Ids of a text in lists, each as soon as it is certain."""
-        v = self.vocabulary
-        usable, suffixes, apart, longest = v.usable, v.suffixes, v.apart, v.longest
-        last = [""]  # the last piece of the best path to each open position, from `done` on
+    def stream(self, text: str) -> list[list[int]]:
+        """Ids of a text, in the lists in which they were committed."""
+        out: list[list[int]] = []
+        self._search(text, out.append)
+        return out
+
+    def _search(self, text: str, commit) -> None:
+        """One search from left to right; `commit` gets ids as soon as they are certain."""
+        v, pairs = self.vocabulary, self.pairs
+        id_of, suffixes, longest, many = v.usable.get, v.suffixes, v.longest, len(v.spaced)
+        sizes, ids = [0], [-1]  # the last piece of the best path to each open position, from `done` on; -1 is no piece
         done, check, n = 0, 2 * longest, len(text)
         for end in range(1, n + 1):
             begin = end - 1
-            piece = only = text[begin:end]
+            piece = text[begin:end]
+            size, chosen = 1, -1
             while piece in suffixes:
-                if piece in usable:
-                    left = last[begin - done]
-                    if left not in usable or apart(left, piece):
-                        only = piece
+                known = id_of(piece)
+                if known is not None:
+                    left = ids[begin - done]
+                    if left < 0:
+                        size, chosen = end - begin, known
+                        break
+                    key = left * many + known
+                    fits = pairs.get(key)
+                    if fits is None:
+                        if len(pairs) >= 150_000:
+                            pairs.clear()
+                        fits = pairs[key] = v.apart(text[begin - sizes[begin - done] : begin], piece)
+                    if fits:
+                        size, chosen = end - begin, known
                         break
                 if begin == done:
                     break
                 begin -= 1
                 piece = text[begin:end]
-            last.append(only)
+            sizes.append(size)
+            ids.append(chosen)
             if end >= check:
-                shared = self._converged(last, done, range(max(done, end - longest), end + 1))
+                shared = self._converged(sizes, done, range(max(done, end - longest), end + 1))
                 if shared > done:
-                    yield self._ids(last, done, shared)
-                    last = last[shared - done :]
-                    done = shared
+                    commit(self._ids(text, sizes, ids, done, shared))
+                    sizes, ids, done = sizes[shared - done :], ids[shared - done :], shared
                 check = end + longest
         if n > done:
-            yield self._ids(last, done, n)
+            commit(self._ids(text, sizes, ids, done, n))
 
     @staticmethod
-    def _converged(last: list[str], done: int, heads) -> int:
+    def _converged(sizes: list[int], done: int, heads) -> int:
         """The last boundary on the paths to all of these positions."""
         held = set(heads)
         while len(held) > 1:
             front = max(held)
             held.discard(front)
-            held.add(max(done, front - len(last[front - done])))
+            held.add(max(done, front - sizes[front - done]))
         return held.pop()
 
-    def _ids(self, last: list[str], begin: int, end: int) -> list[int]:
+    def _ids(self, text: str, sizes: list[int], ids: list[int], begin: int, end: int) -> list[int]:
         """Ids of the committed path between two boundaries."""
-        v, out, first = self.vocabulary, [], begin
+        out, first = [], begin
         while end > begin:
-            piece = last[end - first]
-            known = v.usable.get(piece)
-            out += [known] if known is not None else [v.byte_ids[x] for x in reversed(piece.encode())]
-            end -= len(piece)
+            known, size = ids[end - first], sizes[end - first]
+            if known >= 0:
+                out.append(known)
+            else:
+                out += [self.vocabulary.byte_ids[x] for x in reversed(text[end - size : end].encode())]
+            end -= size
         out.reverse()
         return out
 
     def between(self, text: str) -> bytes:
         """Packed ids of what stands between two boundaries on which all paths converge."""
-        packed = np.array([x for some in self.stream(text) for x in some], np.int32).tobytes()
+        found = array("i")
+        self._search(text, found.extend)
+        packed = found.tobytes()
         size = 150 + 4 * len(text) + len(packed)
         if size < 4096:  # a long one hardly comes again
             if self.used + size > self.most:
