@@ -7,7 +7,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mix64, parts_of, settle, token_hashes
@@ -243,26 +243,27 @@ def _dealt(groups: DataFrame, percent: int) -> DataFrame:
     linked sets are of one class of sizes or of two that follow each other, so that a
     chunk meets the chunks of its own class and of the two beside it alone.
     """
-    cells = lambda: F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.count("*") * F.max("n") / CHUNK_CELLS)).cast("long")
+    cells = lambda sets, most: F.greatest(F.ceil(sets / CHUNK_SETS), F.ceil(sets * most / CHUNK_CELLS)).cast("long")
     code = lambda c, h: c * F.lit(1 << 40) + h
     width = np.log(100 / percent) * 1.0001 if percent < 100 else 1e-9  # a little wide, for the sake of rounding
-    # a giant component is not one task: its sets meet the figures of their component under a salt
-    groups = groups.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-    salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    whole = salted(groups.groupBy("root").agg(cells().alias("whole")))
-    sized = groups.join(whole, ["root", "salt"]).withColumn("size", F.when(F.col("whole") == 1, 0).otherwise(F.floor(F.log("n") / F.lit(float(width)))).cast("long"))
-    sized = settle(sized.drop("whole"))
-    counted = settle(sized.groupBy("root", "size").agg(cells().alias("chunks")))
-    beside = [counted.select("root", (F.col("size") + d).alias("size"), F.col("chunks").alias(name)) for d, name in ((-1, "above"), (1, "below"))]
-    met = counted
-    for b in beside:
-        met = met.join(b, ["root", "size"], "left")
-    met = salted(met)
+    sized = groups.withColumn("size", F.floor(F.log("n") / F.lit(float(width))).cast("long")).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    w = Window.partitionBy("root")
+    beside = w.orderBy("size")
+    figures = sized.groupBy("root", "size").agg(F.count("*").alias("sets"), F.max("n").alias("most")).withColumn("chunks", cells(F.col("sets"), F.col("most")))
+    figures = (
+        figures.withColumn("whole", cells(F.sum("sets").over(w), F.max("most").over(w)))
+        .withColumn("above", F.when(F.lead("size").over(beside) == F.col("size") + 1, F.lead("chunks").over(beside)))
+        .withColumn("below", F.when(F.lag("size").over(beside) == F.col("size") - 1, F.lag("chunks").over(beside)))
+        # a giant component is not one task: its sets meet the figures of their component under a salt
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    )
     all_of = lambda c, k: F.when(F.col(k) > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col(k) - 1), lambda h: code(c, h))).otherwise(F.array().cast("array<long>"))
-    size = F.col("size")
-    dealt = sized.join(met, ["root", "size", "salt"]).select(
-        "root", "node", "copies", code(size, F.pmod(F.xxhash64("node"), F.col("chunks"))).alias("chunk"),
-        F.concat(all_of(size, "chunks"), all_of(size + 1, "above"), all_of(size - 1, "below")).alias("others"),
+    size, zero = F.col("size"), F.lit(0).cast("long")
+    met = F.concat(all_of(size, "chunks"), all_of(size + 1, "above"), all_of(size - 1, "below"))
+    dealt = sized.join(figures.select("root", "size", "salt", "chunks", "whole", "above", "below"), ["root", "size", "salt"]).select(
+        "root", "node", "copies",
+        F.when(F.col("whole") == 1, zero).otherwise(code(size, F.pmod(F.xxhash64("node"), F.col("chunks")))).alias("chunk"),
+        F.when(F.col("whole") == 1, F.array(zero)).otherwise(met).alias("others"),
         F.col("least.doc_id").alias("with_id"), F.col("least.text_hash").alias("with_hash"),
     )
     return settle(dealt)
