@@ -37,7 +37,8 @@ class Vocabulary:
                 self.usable[p] = pieces[p][0]
                 self._edges(p, last)
         self.longest = max(map(len, self.usable), default=1)
-        self.suffixes = frozenset(p[k:] for p in self.usable for k in range(len(p)))
+        # what a piece ends with: its id if it is a piece itself, else -1
+        self.endings = dict.fromkeys((p[k:] for p in self.usable for k in range(len(p))), -1) | self.usable
         # a text falls apart before a space, and around a line feed, if no piece goes on past it
         inner = any(SPACE in p.lstrip(SPACE) for p in pieces)
         alone = "" if any("\n" in p for p in pieces if len(p) > 1) else "\n"
@@ -127,6 +128,7 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, most: int = 64_000_000):
         self.vocabulary, self.most = vocabulary, most
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # what was known when the memory last started over
         self.used = 0
         self.pairs: dict[int, bool] = {}  # whether pieces are apart, by both ids
 
@@ -139,16 +141,15 @@ class Encoder:
     def _search(self, text: str, commit) -> None:
         """One search from left to right; `commit` gets ids as soon as they are certain."""
         v, pairs = self.vocabulary, self.pairs
-        id_of, suffixes, longest, many = v.usable.get, v.suffixes, v.longest, len(v.spaced)
+        ending, longest, many = v.endings.get, v.longest, len(v.spaced)
         sizes, ids = [0], [-1]  # the last piece of the best path to each open position, from `done` on; -1 is no piece
         done, check, n = 0, 2 * longest, len(text)
         for end in range(1, n + 1):
             begin = end - 1
             piece = text[begin:end]
             size, chosen = 1, -1
-            while piece in suffixes:
-                known = id_of(piece)
-                if known is not None:
+            while (known := ending(piece)) is not None:
+                if known >= 0:
                     left = ids[begin - done]
                     if left < 0:
                         size, chosen = end - begin, known
@@ -202,13 +203,15 @@ class Encoder:
 
     def between(self, text: str) -> bytes:
         """Packed ids of what stands between two boundaries on which all paths converge."""
-        found = array("i")
-        self._search(text, found.extend)
-        packed = found.tobytes()
+        packed = self.before.get(text)
+        if packed is None:
+            found = array("i")
+            self._search(text, found.extend)
+            packed = found.tobytes()
         size = 150 + 4 * len(text) + len(packed)
         if size < 4096:  # a long one hardly comes again
-            if self.used + size > self.most:
-                self.known, self.used = {}, 0
+            if self.used + size > self.most // 2:
+                self.before, self.known, self.used = self.known, {}, 0
             self.known[text] = packed
             self.used += size
         return packed
@@ -240,7 +243,11 @@ class Encoder:
         off, ids that stand for no text are passed over."""
         if ids is None:
             return ""
-        text = b"".join(map(self.vocabulary.bytes_of, ids)).decode("utf-8", "replace")
+        return self._text(map(self.vocabulary.bytes_of, ids))
+
+    @staticmethod
+    def _text(pieces) -> str:
+        text = b"".join(pieces).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
@@ -260,12 +267,13 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches):
         e = encoder(path)
+        spaced = e.vocabulary.spaced.__getitem__  # of ids that were just made
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 texts = part.column("text").to_pylist()
                 packed = [np.frombuffer(e.packed(t), np.int32) for t in texts]
-                same = [e.decode(i.tolist()) == (t or "") for i, t in zip(packed, texts, strict=True)]
+                same = [e._text(map(spaced, i.tolist())) == (t or "") for i, t in zip(packed, texts, strict=True)]
                 sizes = np.array([len(i) for i in packed], np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(packed)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), ids, pa.array(same)], names=["doc_id", "n_tokens", "ids", "round_trip"])
