@@ -122,15 +122,20 @@ class Encoder:
 
     No piece goes on past the boundary before a word, so that all paths converge there;
     what stands between two such boundaries is searched once and remembered as packed
-    ids, in a memory of `most` bytes that starts over when it is full.
+    ids, in a memory of `most` bytes that starts over when it is full. The open positions
+    of the last search are kept: a text that begins like the last one goes on from where
+    they part, so that texts are searched in order of their characters.
     """
 
     def __init__(self, vocabulary: Vocabulary, most: int = 64_000_000):
         self.vocabulary, self.most = vocabulary, most
-        self.known: dict[str, bytes] = {}
+        # what stands for a character that is the space piece itself, which no boundaries give
+        self.raw = {"": np.array([vocabulary.byte_ids[b] for b in SPACE.encode()], np.int32).tobytes()}
+        self.known: dict[str, bytes] = dict(self.raw)
         self.before: dict[str, bytes] = {}  # what was known when the memory last started over
         self.used = 0
         self.pairs: dict[int, bool] = {}  # whether pieces are apart, by both ids
+        self.last: tuple[str, list[int], list[int]] = ("", [0], [-1])  # the last text with its open positions
 
     def stream(self, text: str) -> list[list[int]]:
         """Ids of a text, in the lists in which they were committed."""
@@ -142,9 +147,16 @@ class Encoder:
         """One search from left to right; `commit` gets ids as soon as they are certain."""
         v, pairs = self.vocabulary, self.pairs
         ending, longest, many = v.endings.get, v.longest, len(v.spaced)
-        sizes, ids = [0], [-1]  # the last piece of the best path to each open position, from `done` on; -1 is no piece
+        before, sizes, ids = self.last  # the last piece of the best path to each open position, from `done` on; -1 is no piece
+        alike = 0
+        for x, y in zip(before, text):
+            if x != y:
+                break
+            alike += 1
+        alike = min(alike, len(sizes) - 1)
+        del sizes[alike + 1 :], ids[alike + 1 :]
         done, check, n = 0, 2 * longest, len(text)
-        for end in range(1, n + 1):
+        for end in range(alike + 1, n + 1):
             begin = end - 1
             piece = text[begin:end]
             size, chosen = 1, -1
@@ -175,6 +187,8 @@ class Encoder:
                     commit(self._ids(text, sizes, ids, done, shared))
                     sizes, ids, done = sizes[shared - done :], ids[shared - done :], shared
                 check = end + longest
+        # positions are kept from the text's beginning on, or none
+        self.last = (text, sizes, ids) if not done else ("", [0], [-1])
         if n > done:
             commit(self._ids(text, sizes, ids, done, n))
 
@@ -201,42 +215,45 @@ class Encoder:
         out.reverse()
         return out
 
-    def between(self, text: str) -> bytes:
+    def _between(self, text: str) -> bytes:
         """Packed ids of what stands between two boundaries on which all paths converge."""
-        packed = self.before.get(text)
-        if packed is None:
-            found = array("i")
-            self._search(text, found.extend)
-            packed = found.tobytes()
-        size = 150 + 4 * len(text) + len(packed)
-        if size < 4096:  # a long one hardly comes again
-            if self.used + size > self.most // 2:
-                self.before, self.known, self.used = self.known, {}, 0
-            self.known[text] = packed
-            self.used += size
-        return packed
-
-    def packed(self, text: str | None) -> bytes:
-        """Ids of a text with a space put before it and spaces as the space piece; a
-        character that is itself the space piece is given as bytes. 4 bytes an id."""
+        found = array("i")
+        self._search(text, found.extend)
+        return found.tobytes()
+
+    def _cut(self, text: str | None) -> list[str]:
+        """A text between boundaries, with a space put before it and spaces as the space
+        piece; "" stands for a character that is itself the space piece."""
         if not text:
-            return b""
-        v, out = self.vocabulary, []
-        raw = np.array([v.byte_ids[b] for b in SPACE.encode()], np.int32).tobytes()
-        for k, plain in enumerate(text.split(SPACE)):
-            if k:
-                out.append(raw)
-            known, between = self.known, self.between
-            for part in v.split(plain.replace(" ", SPACE) if k else SPACE + plain.replace(" ", SPACE)):
-                ids = known.get(part)
-                if ids is None:
-                    ids = between(part)
-                    known = self.known
-                out.append(ids)
-        return b"".join(out)
+            return []
+        first, *more = text.split(SPACE)
+        out = self.vocabulary.split(SPACE + first.replace(" ", SPACE))
+        for plain in more:
+            out.append("")
+            out += self.vocabulary.split(plain.replace(" ", SPACE))
+        return out
+
+    def packed(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of some texts, 4 bytes an id. A character that is itself the space piece is given as bytes."""
+        cut = [self._cut(t) for t in texts]
+        known, before = self.known, self.before
+        long = []
+        for part in sorted(set().union(*cut).difference(known)):
+            found = known[part] = before.get(part) or self._between(part)
+            size = 150 + 4 * len(part) + len(found)
+            if size < 4096:
+                self.used += size
+            else:
+                long.append(part)  # hardly comes again
+        out = [b"".join(map(known.__getitem__, parts)) for parts in cut]
+        for part in long:
+            del known[part]
+        if self.used > self.most // 2:
+            self.before, self.known, self.used = known, dict(self.raw), 0
+        return out
 
     def encode(self, text: str | None) -> list[int]:
-        return np.frombuffer(self.packed(text), np.int32).tolist()
+        return np.frombuffer(self.packed([text])[0], np.int32).tolist()
 
     def decode(self, ids) -> str:
         """The text of ids: bytes in a row are read as UTF-8, the space put before is taken
@@ -262,17 +279,17 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     Returns doc_id, n_tokens, ids, round_trip (decoding gives the text again): a row for
     each row of docs. A null or empty text has no ids and round_trip true; other columns
-    are ignored. A narrow stage: no shuffle; the memory of a task is a batch and the window.
+    are ignored. A narrow stage: no shuffle; the memory of a task is a batch, the memory of what was met and the window.
     """
 
     def run(batches):
         e = encoder(path)
         spaced = e.vocabulary.spaced.__getitem__  # of ids that were just made
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 texts = part.column("text").to_pylist()
-                packed = [np.frombuffer(e.packed(t), np.int32) for t in texts]
+                packed = [np.frombuffer(p, np.int32) for p in e.packed(texts)]
                 same = [e._text(map(spaced, i.tolist())) == (t or "") for i, t in zip(packed, texts, strict=True)]
                 sizes = np.array([len(i) for i in packed], np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(packed)))

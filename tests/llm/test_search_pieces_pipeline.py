@@ -81,6 +81,20 @@ def test_pieces_equal_the_library(spark):
         assert encoder.decode(encoder.encode(t)) == (t or "")
 
 
+def test_texts_that_begin_alike_are_searched_on():
+    """Whatever was searched before, and with a memory that starts over all the time."""
+    library, vocabulary = piece_model(None), pieces.encoder(None).vocabulary
+    rng = random.Random(8)
+    stem = "thenationalin" * 12
+    texts = [stem[: rng.randrange(1, len(stem))] + "".join(rng.choice("aehinst") for _ in range(rng.randrange(60))) for _ in range(120)]
+    texts += [stem * 9, stem * 9 + "s", stem, stem[:20], stem * 9]
+    for order in (texts, sorted(texts), sorted(texts, reverse=True)):
+        e = pieces.Encoder(vocabulary, most=20_000)
+        for few in (order[:60], order[60:]):
+            assert [np.frombuffer(p, np.int32).tolist() for p in e.packed(few)] == [library.encode(t) for t in few]
+        assert e.packed(["", None]) == [b"", b""] and e.packed([]) == []
+
+
 def test_window_commits_before_the_end():
     encoder, library = pieces.encoder(None), piece_model(None)
     text = "thenationalin" * 400
