@@ -10,7 +10,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, parts_of, settle, token_hashes
+from .common import giving_back, mix64, parts_of, settle, token_hashes
 from .components import components
 from .prefix_tree import trie_links
 
@@ -291,10 +291,10 @@ def ngram_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     parts = parts_of(base, 64)
     buckets = parts * max(1, min(8, 24_000 // parts))  # a bucket is held at a time; a part has some
     found = settle(
-        base.mapInArrow(_mark(n, percent, buckets), FOUND)
+        base.mapInArrow(giving_back(_mark(n, percent, buckets)), FOUND)
         .repartition(parts, "bucket")
         .sortWithinPartitions("bucket")
-        .mapInArrow(_meet, FOUND)
+        .mapInArrow(giving_back(_meet), FOUND)
         .drop("bucket", "marks", "owners")
     )
     own = found.filter("n IS NOT NULL")
@@ -304,13 +304,13 @@ def ngram_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     pairs = (
         base.join(_dealt(groups, percent), F.col("doc_id").eqNullSafe(F.col("with_id")) & (F.col("text_hash") == F.col("with_hash")))
         .select("root", "node", "copies", "chunk", "others", "text")
-        .mapInArrow(_sets(n), "root long, node long, copies long, chunk long, others array<long>, text binary")
+        .mapInArrow(giving_back(_sets(n)), "root long, node long, copies long, chunk long, others array<long>, text binary")
         .withColumn("other", F.explode("others"))
         .select("root", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "copies", "text")
         .repartition(parts, "root", "i", "j")
         .sortWithinPartitions("root", "i", "j")
     )
-    linked = settle(pairs.mapInArrow(_join(percent), JOINED))
+    linked = settle(pairs.mapInArrow(giving_back(_join(percent)), JOINED))
     joined = components(linked.filter("b IS NOT NULL").select("a", "b"))
     counts = linked.filter("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     named = nodes.select("node", F.col("least.doc_id").alias("id"), "copies").join(joined, "node", "left").join(counts, "node", "left").withColumn("root", F.coalesce("root", "node"))

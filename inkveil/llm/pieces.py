@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import giving_back
 from .quality_rules import piece_model
 
 SPACE = "▁"
@@ -22,13 +23,14 @@ class Vocabulary:
     The public vocabulary was made by merging pairs, the best-scored first. A sequence of
     pieces is the one that merging gives just when merging leaves each two neighbours
     apart (`apart`), so that paths through the pieces of a text can be told right from
-    wrong piece by piece.
+    wrong piece by piece. Pieces are held with spaces for the space piece's character.
     """
 
     def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int]):
+        pieces = {p.replace(SPACE, " "): known for p, known in pieces.items()}
         self.pieces, self.byte_ids = pieces, byte_ids
         self.rank = {p: k for k, p in enumerate(sorted(pieces, key=lambda p: -pieces[p][1]))}
-        spaced = {i: p.replace(SPACE, " ").encode() for p, (i, _) in pieces.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
+        spaced = {i: p.encode() for p, (i, _) in pieces.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
         self.spaced = [spaced.get(i, b"") for i in range(max(spaced, default=-1) + 1)]
         self.usable, self.rights, self.lefts = {}, {}, {}
         for p in sorted(pieces, key=len):
@@ -40,9 +42,9 @@ class Vocabulary:
         # what a piece ends with: its id if it is a piece itself, else -1
         self.endings = dict.fromkeys((p[k:] for p in self.usable for k in range(len(p))), -1) | self.usable
         # a text falls apart before a space, and around a line feed, if no piece goes on past it
-        inner = any(SPACE in p.lstrip(SPACE) for p in pieces)
+        inner = any(" " in p.lstrip(" ") for p in pieces)
         alone = "" if any("\n" in p for p in pieces if len(p) > 1) else "\n"
-        pattern = ".+" if inner else f"{alone}|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+"
+        pattern = ".+" if inner else f"{alone}| *[^ {alone}]+| +" if alone else " *[^ ]+| +"
         self.split = re.compile(pattern, re.DOTALL).findall
 
     def _edges(self, piece: str, last: tuple[str, str] | None) -> None:
@@ -138,9 +140,9 @@ class Encoder:
         self.last: tuple[str, list[int], list[int]] = ("", [0], [-1])  # the last text with its open positions
 
     def stream(self, text: str) -> list[list[int]]:
-        """Ids of a text, in the lists in which they were committed."""
+        """Ids of a text, in the lists in which they were committed; a space is the space piece."""
         out: list[list[int]] = []
-        self._search(text, out.append)
+        self._search(text.replace(SPACE, " "), out.append)
         return out
 
     def _search(self, text: str, commit) -> None:
@@ -222,15 +224,15 @@ class Encoder:
         return found.tobytes()
 
     def _cut(self, text: str | None) -> list[str]:
-        """A text between boundaries, with a space put before it and spaces as the space
-        piece; "" stands for a character that is itself the space piece."""
+        """A text between boundaries, with a space put before it; "" stands for a character
+        that is itself the space piece."""
         if not text:
             return []
         first, *more = text.split(SPACE)
-        out = self.vocabulary.split(SPACE + first.replace(" ", SPACE))
+        out = self.vocabulary.split(" " + first)
         for plain in more:
             out.append("")
-            out += self.vocabulary.split(plain.replace(" ", SPACE))
+            out += self.vocabulary.split(plain)
         return out
 
     def packed(self, texts: list[str | None]) -> list[bytes]:
@@ -252,6 +254,10 @@ class Encoder:
             self.before, self.known, self.used = known, dict(self.raw), 0
         return out
 
+    def forget(self) -> None:
+        """Give up the memory of what was met."""
+        self.known, self.before, self.used = dict(self.raw), {}, 0
+
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.packed([text])[0], np.int32).tolist()
 
@@ -286,16 +292,17 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
         e = encoder(path)
         spaced = e.vocabulary.spaced.__getitem__  # of ids that were just made
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 texts = part.column("text").to_pylist()
                 packed = [np.frombuffer(p, np.int32) for p in e.packed(texts)]
                 same = [e._text(map(spaced, i.tolist())) == (t or "") for i, t in zip(packed, texts, strict=True)]
                 sizes = np.array([len(i) for i in packed], np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(packed)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), ids, pa.array(same)], names=["doc_id", "n_tokens", "ids", "round_trip"])
+        e.forget()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens int, ids array<int>, round_trip boolean")
+    return docs.select("doc_id", "text").mapInArrow(giving_back(run), "doc_id long, n_tokens int, ids array<int>, round_trip boolean")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS_AND_EACH_MARK, mix64, settle, token_hashes, unlike
+from .common import WORDS_AND_EACH_MARK, giving_back, mix64, settle, token_hashes, unlike
 
 #: The kinds in their order, and the base patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -284,7 +284,7 @@ def patterns_of(scanned: DataFrame, texts: DataFrame, support: int) -> DataFrame
     if graph.filter("seed").groupBy("kind", "cue_hash").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= support).isEmpty():
         return None
     bitmap = texts.sparkSession.sparkContext.broadcast(_bitmap(graph))
-    counted = texts.select("text").mapInArrow(_count_cues(bitmap), "cue_hash long, times long")
+    counted = texts.select("text").mapInArrow(giving_back(_count_cues(bitmap)), "cue_hash long, times long")
     times = counted.groupBy("cue_hash").agg(F.sum("times").alias("times"))
     return settle(graph.join(times, "cue_hash", "left").withColumn("times", F.greatest(F.coalesce("times", F.lit(1)), "n")))
 
@@ -308,7 +308,7 @@ def find_personal_data(docs: DataFrame, rounds: int = 3, support: int = 3, confi
     the documents with any. A null text has no spans; no rows give no rows.
     """
     base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    scanned = settle(base.mapInArrow(_scan, FOUND))
+    scanned = settle(base.mapInArrow(giving_back(_scan), FOUND))
     graph = patterns_of(scanned, base, support)
     if graph is None:
         return scanned, scanned.select("doc_id", "text_hash", F.col("base").alias("more")).limit(0)
@@ -430,5 +430,5 @@ def mask_personal_data(docs: DataFrame, **options) -> DataFrame:
     else:
         found = discovered.select(F.col("doc_id").alias(with_id), F.col("text_hash").alias(with_hash), F.col("more").alias(more))
         wide = docs.join(found, F.col("doc_id").eqNullSafe(F.col(with_id)) & (F.xxhash64("text") == F.col(with_hash)), "left").select(*[F.col(f"`{c}`") for c in docs.columns], more)
-    out = wide.mapInArrow(_mask(more), docs.schema)
+    out = wide.mapInArrow(giving_back(_mask(more)), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

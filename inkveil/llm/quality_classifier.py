@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORDS_AND_MARKS, mix64, settle, token_hashes
+from .common import WORDS_AND_MARKS, giving_back, mix64, settle, token_hashes
 
 BUCKETS = 20_000
 
@@ -124,7 +124,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, most: int = 20_000, b
     rows = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     sample = rows.orderBy(F.xxhash64("doc_id")).limit(most).collect()
     targets = {r.doc_id for r in sample if r.quality == 1}
-    counted = base.select("doc_id", "text").mapInArrow(_count(targets, buckets), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    counted = base.select("doc_id", "text").mapInArrow(giving_back(_count(targets, buckets)), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(buckets), np.zeros(buckets)
     for r in counted.collect():  # a row a bucket at most
         raw[r.bucket], target[r.bucket] = r.raw, r.target
@@ -138,7 +138,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, most: int = 20_000, b
                 weights = np.bincount(of, weights=ratio[got], minlength=part.num_rows).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(weights)], names=["doc_id", "text_hash", "log_weight"])
 
-    scored = base.mapInArrow(score, "doc_id long, text_hash long, log_weight double")
+    scored = base.mapInArrow(giving_back(score), "doc_id long, text_hash long, log_weight double")
     scored = settle(scored.withColumn("key", F.col("log_weight") + _gumbel(F.col("doc_id"), F.col("text_hash"), seed)))
     k = scored.filter(F.col("log_weight") > F.log(F.lit(least))).count() if targets else scored.count()
     return top_k(scored, k).select("doc_id", "log_weight", "key", "selected", "text_hash")
