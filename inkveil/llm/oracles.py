@@ -85,3 +85,47 @@ ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT * FROM ranked WHERE rank <= 10"""
 
 HELD_OUT = f"SELECT doc_id, {FOLD} = 0 AS held_out, true AS in_range FROM documents"
+
+#: Words of letters, digits and all beyond ASCII.
+_ALNUM = f"regexp_extract_all({LOWER}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+_step = "lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, unused: xor(c >> 1, 3988292384 * (c & 1)))"
+_bytes = "list_transform(range(length(hex(encode(w))) // 2), lambda i: ('0x' || substr(hex(encode(w)), 2 * i + 1, 2))::BIGINT)"
+
+#: Buckets of words, gains by what both sides count, and the draw by score.
+RESAMPLED = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_ALNUM} AS ws FROM documents),
+wanted AS (SELECT unnest({_ALNUM}) AS w FROM benchmark),
+tokens AS (SELECT r, unnest(ws) AS w FROM docs),
+known AS (SELECT w, xor(list_reduce(list_concat([4294967295], {_bytes}), {_step}), 4294967295) % 10000 AS bucket FROM (SELECT w FROM tokens UNION SELECT w FROM wanted)),
+s AS (SELECT bucket, count(*) AS n FROM tokens JOIN known USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM wanted JOIN known USING (w) GROUP BY bucket),
+alls AS (SELECT (SELECT coalesce(sum(n), 0) FROM s)::DOUBLE AS s_all, (SELECT coalesce(sum(n), 0) FROM t)::DOUBLE AS t_all),
+gains AS (SELECT s.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (s_all + 10000) / ((s.n + 1)::DOUBLE * (t_all + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket), alls),
+weights AS (SELECT r, sum(gain)::BIGINT AS weight FROM tokens JOIN known USING (w) JOIN gains USING (bucket) GROUP BY r),
+scored AS (SELECT r, doc_id, len(ws) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+  + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM docs LEFT JOIN weights USING (r)),
+places AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM scored LEFT JOIN places USING (r)"""
+
+#: Windows of items, by their lengths, and the documents' words inside their occurrences.
+CONTAMINATED = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_ALNUM} AS ws FROM documents),
+items AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {_ALNUM} AS ws FROM benchmark),
+windows AS (SELECT DISTINCT item, least(10, len(ws)) AS size, unnest(list_transform(range(1, len(ws) - least(10, len(ws)) + 2), lambda i: array_to_string(ws[i:i + least(10, len(ws)) - 1], ' '))) AS w FROM items WHERE len(ws) > 0),
+runs AS (SELECT r, size, unnest(range(1, len(ws) - size + 2)) AS p, unnest(list_transform(range(1, len(ws) - size + 2), lambda i: array_to_string(ws[i:i + size - 1], ' '))) AS w
+  FROM docs, (SELECT DISTINCT size FROM windows) WHERE len(ws) >= size),
+met AS (SELECT r, p, runs.size, item FROM runs JOIN windows USING (w) WHERE runs.size = windows.size),
+hit AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(p, p + size)) AS k FROM (SELECT DISTINCT r, p, size FROM met)) GROUP BY r),
+named AS (SELECT r, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS names FROM met GROUP BY r)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)"""
+
+#: The fit list's size and each row's deviation, once a component.
+DEVIATIONS = """
+WITH good AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda c: floor(c::DOUBLE * 256)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+distinct_x AS (SELECT DISTINCT x FROM good),
+sums AS (SELECT size, i, count(*) AS n, sum(v)::HUGEINT AS s FROM (SELECT len(x) AS size, unnest(x) AS v, unnest(range(len(x))) AS i FROM distinct_x) GROUP BY size, i),
+per AS (SELECT r, vec_id, len(x) AS size, unnest(x) AS v, unnest(range(len(x))) AS i FROM good),
+devs AS (SELECT r, vec_id, size, max(n) AS n, sum((n * v - s) * (n * v - s))::BIGINT AS deviation FROM per JOIN sums USING (size, i) GROUP BY r, vec_id, size)
+SELECT vec_id, unnest(range(1, least(size, 4) + 1))::INT AS component, n, deviation FROM devs"""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import lm_scoring, mixing, ngram_join, oracles, pieces, pii, quality_classifier, quality_rules, sharding, toxicity, vector_search
+from . import decontamination, lm_scoring, mixing, ngram_join, oracles, pieces, pii, quality_classifier, quality_rules, sharding, target_resampling, toxicity, vector_search, whitening
 from .common import table
 
 
@@ -50,6 +50,21 @@ def op10_pieces(spark, sf_dir):
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
+def op11_target_resampling(spark, sf_dir):
+    drawn = target_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_decontamination(spark, sf_dir):
+    found = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
+def op13_whitening(spark, sf_dir):
+    """A deviation past the range of a long is null here; the operator has it as a decimal."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 QUERIES = (
     op1_sharding,
     op2_pii,
@@ -61,6 +76,9 @@ QUERIES = (
     op8_vector_search,
     op9_toxicity,
     op10_pieces,
+    op11_target_resampling,
+    op12_decontamination,
+    op13_whitening,
 )
 
 
@@ -102,7 +120,11 @@ def toxicity_rows(spark, sf_dir):
     return op9_toxicity(spark, sf_dir).select("doc_id", "held_out", fine.alias("in_range"))
 
 
-QUERIES += (shard_of_keys, pii_counts, mixing_targets, lm_base, quality_base, vector_search_exact, toxicity_rows)
+def whitening_base(spark, sf_dir):
+    return op13_whitening(spark, sf_dir).select("vec_id", "component", "n", "deviation")
+
+
+QUERIES += (shard_of_keys, pii_counts, mixing_targets, lm_base, quality_base, vector_search_exact, toxicity_rows, whitening_base)
 
 
 def queries() -> dict:
@@ -136,4 +158,7 @@ def oracle_sql() -> dict:
         "quality_base": oracles.QUALITY_BASE,
         "vector_search_exact": oracles.NEAREST,
         "toxicity_rows": oracles.HELD_OUT,
+        "op11_target_resampling": oracles.RESAMPLED,
+        "op12_decontamination": oracles.CONTAMINATED,
+        "whitening_base": oracles.DEVIATIONS,
     }
