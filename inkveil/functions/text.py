@@ -43,6 +43,8 @@ def _plain_forms() -> dict[str, str]:
 _FORMS = _plain_forms() | PLAIN_ONE | PLAIN_MORE
 PLAIN_ONE = {c: f for c, f in _FORMS.items() if len(f) == 1}
 PLAIN_MORE = {c: f for c, f in _FORMS.items() if len(f) > 1}
+#: A character beyond ASCII and the Latin letters, among which there is no punctuation.
+MAY_CHANGE = r"[^\x00-\x7F\u00C0-\u024F]"
 #: Characters that a page's text drops, and the one that it takes for a space.
 DROPPED, NARROW = "​﻿", " "
 
@@ -61,9 +63,11 @@ PLATES = "|".join((
 
 
 def plain_punctuation(text: Column) -> Column:
-    """Punctuation as its nearest ASCII form; letters, accents and currency stay."""
+    """Punctuation as its nearest ASCII form; letters, accents and currency stay. Most texts have
+    none that changes, which one look tells."""
     one = F.translate(text, "".join(PLAIN_ONE), "".join(PLAIN_ONE.values()))
-    return reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), PLAIN_MORE.items(), one)
+    plain = reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), PLAIN_MORE.items(), one)
+    return F.when(text.rlike(MAY_CHANGE), plain).otherwise(text)
 
 
 def stripped(text: Column, chars: str = PUNCT) -> Column:

@@ -7,7 +7,6 @@ can be put behind the same interface (`service_detector`), a stand-in offline.
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 from functools import reduce
 
@@ -15,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import plates
+from . import service
 
 #: Patterns of the built-in rules. They mean the same to Java's and to RE2's engine.
 PATTERNS = {
@@ -97,109 +97,37 @@ def plate_detector(docs: DataFrame, rule: dict) -> DataFrame:
     return _proposals(docs, rule, F.array_sort(plates(F.col("text"))))
 
 
-class Limiter:
-    """At most `per_minute` calls and `capacity` weight in any minute, for one task; calls beyond wait."""
-
-    def __init__(self, per_minute: float | None = None, capacity: float | None = None, clock=time.monotonic, sleep=time.sleep):
-        self.per_minute, self.capacity, self.clock, self.sleep = per_minute, capacity, clock, sleep
-        self.past: list[tuple[float, float]] = []
-
-    def take(self, weight: float = 0.0) -> None:
-        while True:
-            now = self.clock()
-            self.past = [p for p in self.past if p[0] > now - 60]
-            full = self.per_minute is not None and len(self.past) >= self.per_minute
-            heavy = self.capacity is not None and self.past and sum(w for _, w in self.past) + weight > self.capacity
-            if not full and not heavy:
-                self.past.append((now, weight))
-                return
-            self.sleep(max(0.0, self.past[0][0] + 60 - now))
-
-
-def with_retries(call: Callable[[str], list[str]], attempts: int = 10, wait: float = 1.0, most: float = 60.0, sleep=time.sleep) -> Callable[[str], list[str]]:
-    """A call that is made again after errors, waiting twice as long each time; the last error is raised."""
-
-    def run(text: str) -> list[str]:
-        for k in range(attempts):
-            try:
-                return call(text)
-            except Exception:
-                if k == attempts - 1:
-                    raise
-                sleep(min(most, wait * 2**k))
-        return []
-
-    return run
-
-
 @register("service")
 def service_detector(docs: DataFrame, rule: dict) -> DataFrame:
-    """Terms that the rule's function names for each text, a batch of Arrow rows at a time.
+    """Terms that the rule's function names for each text: `call` maps a text to terms.
 
-    `call` maps a text to terms; an error yields the row `failure` instead of failing the
-    job. `partitions` says how many calls run at once, `per_minute` and `capacity` (of the
-    texts' words) limit each of them, `attempts` repeats a failed call. Equal texts are
-    sent once.
+    Equal texts are sent once, under the rule's limits (`service.ask`), and the answers are
+    settled. An error yields the row `failure` instead of failing the job; an empty text
+    isn't sent.
     """
-    import pandas as pd
-
-    name, failure, limits = rule["name"], rule.get("failure"), (rule.get("per_minute"), rule.get("capacity"))
-    call = with_retries(rule["call"], rule["attempts"]) if "attempts" in rule else rule["call"]
-
-    def run(batches):
-        limiter = Limiter(*limits)
-        for pdf in batches:
-            out = []
-            for text_hash, text in zip(pdf["text_hash"], pdf["text"], strict=True):
-                try:
-                    if text:
-                        limiter.take(text.count(" ") + 1)
-                    terms = list(dict.fromkeys(call(text))) if text else []
-                except Exception:  # the service's fault is data here: the caller sees the failure term
-                    terms = [failure] if failure else []
-                out += [(text_hash, name, i, t) for i, t in enumerate(terms)]
-            yield pd.DataFrame(out, columns=["text_hash", "rule_name", "ordinal", "term"])
-
-    hashed = docs.select("doc_id", F.sha2("text", 256).alias("text_hash"), "text")
-    once = hashed.filter("text_hash IS NOT NULL").groupBy("text_hash").agg(F.first("text").alias("text"))
-    if "partitions" in rule:
-        once = once.repartition(rule["partitions"])
-    found = once.mapInPandas(run, "text_hash string, rule_name string, ordinal int, term string")
-    return hashed.select("doc_id", "text_hash").join(found, "text_hash").select("doc_id", "rule_name", "ordinal", "term")
+    call, failure = rule["call"], rule.get("failure")
+    once = docs.filter("text <> ''").groupBy(F.sha2("text", 256).alias("id")).agg(F.first("text").alias("text"))
+    answers = service.ask(once, {**rule, "call": lambda text, *room: (call(text, *room), 0, 0)})
+    failed = F.array(F.lit(failure)) if failure else F.array().cast("array<string>")
+    terms = F.when(F.col("error").isNull(), F.col("terms")).otherwise(failed)
+    hashed = docs.select("doc_id", F.sha2("text", 256).alias("id"))
+    return hashed.join(answers, "id").select("doc_id", F.lit(rule["name"]).alias("rule_name"), F.posexplode(terms).alias("ordinal", "term"))
 
 
 def chunked_service(docs: DataFrame, rule: dict, size: int = 6000, overlap: int = 250) -> tuple[DataFrame, DataFrame]:
     """(proposals, calls) of a service that is asked about each document chunk by chunk.
 
     The rule's `call` maps a chunk to (terms, prompt_tokens, completion_tokens). Equal chunks
-    are asked about once. proposals are distinct in a document, in the order of its chunks:
-    (doc_id, rule_name, ordinal, term); an empty text gives none. calls has a row a distinct
-    chunk: (chunk_hash, n_terms, prompt_tokens, completion_tokens, error): a chunk that fails
-    after all attempts gives its error, and no terms, and doesn't fail the job.
+    are asked about once, under the rule's limits and budget (`service.ask`); the answers are
+    settled, so that both results tell of the same calls. proposals are distinct in a document,
+    in the order of its chunks: (doc_id, rule_name, ordinal, term); an empty text gives none.
+    calls has a row a distinct chunk: (chunk_hash, n_terms, prompt_tokens, completion_tokens,
+    error): a chunk that fails after all attempts, or that the budget left no room for, gives
+    its error, and no terms, and doesn't fail the job.
     """
-    import pandas as pd
-
     parts = chunks(docs, size, overlap).withColumn("chunk_hash", F.sha2("chunk", 256))
-    call = with_retries(rule["call"], rule.get("attempts", 1))
-    limits = (rule.get("per_minute"), rule.get("capacity"))
-
-    def run(batches):
-        limiter = Limiter(*limits)
-        for pdf in batches:
-            out = []
-            for chunk_hash, chunk in zip(pdf["chunk_hash"], pdf["chunk"], strict=True):
-                limiter.take(chunk.count(" ") + 1)
-                try:
-                    terms, asked, answered = call(chunk)
-                    out.append((chunk_hash, list(dict.fromkeys(terms)), asked, answered, None))
-                except Exception as e:  # the service's fault is data here
-                    out.append((chunk_hash, [], 0, 0, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["chunk_hash", "terms", "prompt_tokens", "completion_tokens", "error"])
-
-    once = parts.groupBy("chunk_hash").agg(F.first("chunk").alias("chunk"))
-    if "partitions" in rule:
-        once = once.repartition(rule["partitions"])
-    answers = once.mapInPandas(run, "chunk_hash string, terms array<string>, prompt_tokens long, completion_tokens long, error string")
+    once = parts.groupBy(F.col("chunk_hash").alias("id")).agg(F.first("chunk").alias("text"))
+    answers = service.ask(once, rule).withColumnRenamed("id", "chunk_hash")
     found = parts.select("doc_id", "chunk_no", "chunk_hash").join(answers, "chunk_hash").select("doc_id", "chunk_no", F.posexplode("terms").alias("at", "term"))
     first = found.groupBy("doc_id", "term").agg(F.min(F.struct("chunk_no", "at")).alias("first"))
     w = Window.partitionBy("doc_id").orderBy("first", "term")

@@ -140,7 +140,7 @@ def plate_boxes(images: DataFrame, words: DataFrame) -> DataFrame:
         found = whole.select("image_id", F.explode(F.array_distinct(F.regexp_extract_all(F.translate("text", a, b), F.lit(f"({PLATES})"), 0))).alias("term"))
         found = found.select("image_id", "term", F.sha2(F.concat_ws(":", F.col("image_id").cast("string"), "term"), 256).alias("term_id"))
         read = words.withColumn("text", F.translate("text", a, b))
-        hits = ocr_matches(read, found.select("term_id", "term"))
+        hits = ocr_matches(read, found)
         out.append(hits.join(found, ["image_id", "term_id"]).select("image_id", F.col("term").alias("name"), "box"))
     failed = images.filter("error IS NOT NULL").select("image_id", F.lit(FAILED).alias("name"), full_box(F.col("width"), F.col("height")).alias("box"))
     return reduce(DataFrame.unionByName, [*out, failed]).distinct()

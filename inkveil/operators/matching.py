@@ -1,59 +1,64 @@
-"""Locating terms in documents, as joins of words."""
+"""Locating terms in documents: one pass over the words for terms of all, or a join for a document's own."""
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapsed, fused_after, fused_before, normalised_words, token_equals
+from . import locator
 from .layout import LINE_HEIGHT, line_top, page_of
 
 
-def term_words(terms: DataFrame) -> DataFrame:
-    """(term_id, term) to (term_id, term, n, off, word)."""
+def term_words(terms: DataFrame, *more: str) -> DataFrame:
+    """(term_id, term) to (term_id, term, n, off, word), with `more` columns."""
     words = terms.withColumn("ws", normalised_words(F.col("term"))).filter(F.size("ws") > 0)
-    return words.select("term_id", "term", F.size("ws").alias("n"), F.posexplode("ws").alias("off", "word"))
+    return words.select(*more, "term_id", "term", F.size("ws").alias("n"), F.posexplode("ws").alias("off", "word"))
+
+
+#: Bytes of terms that are sent to all tasks at most; more are to be dealt into blocks, or joined by document.
+SENT = 8 << 20
+
 
+def _sent(rows: DataFrame, columns: Column, size: Column, most: int) -> Column:
+    """All rows as one array, a scalar of the plan: gathered when the plan runs, and only if
+    `size` summed over the rows is `most` at most; else the plan fails and says so."""
+    total = F.coalesce(rows.agg(F.sum(size).alias("size")).scalar(), F.lit(0))
+    small = F.when(total <= most, F.lit(True)).otherwise(F.raise_error(F.lit(f"more than {most} bytes of terms to send: deal them into blocks")).cast("boolean"))
+    return rows.filter(small).agg(F.collect_list(columns).alias("rows")).scalar()
 
-#: A table of so many rows at most is sent to all tasks.
-SENT = 100_000
-#: Character n-grams by which a piece of a word finds the words that have it.
-GRAM = 4
 
+def _on_first_rows(value: Column) -> Column:
+    """value on the first row of each part, null on the others."""
+    return F.when(F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0, value)
 
-def _sent_if_small(df: DataFrame, most: int = SENT) -> DataFrame:
-    """df, to be joined by sending it to all tasks if it has `most` rows at most; else as it is."""
-    rows = df.limit(most + 1).collect()
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= most else df
 
+def _dealt(rows: DataFrame, blocks: int) -> list[DataFrame]:
+    """rows in blocks by hash; one block is the rows themselves."""
+    if blocks == 1:
+        return [rows]
+    return [rows.filter(F.pmod(F.xxhash64(*rows.columns), F.lit(blocks)) == b) for b in range(blocks)]
 
-def containing(texts: DataFrame, keys: list[str], forms: str, strings: DataFrame, string_key: str, string: str) -> DataFrame:
+
+def containing(texts: DataFrame, keys: list[str], forms: str, strings: DataFrame, string_key: str, string: str, blocks: int = 1, most: int = SENT) -> DataFrame:
     """Pairs (keys, string_key) where one of the text's `forms` has the string, character by character.
 
-    A string with spaces has its inner words as whole words of the text, its first one at a
-    word's end and its last one at a word's beginning; a string of one word stands anywhere
-    in a word. Its longest inner word, or else its longest, tells which words of the texts
-    can belong to it: that is found once for each different word, by n-grams of characters,
-    and only the texts that have such a word are looked at. None is lost.
+    One automaton over all strings goes through each form once, so that the work is linear in
+    the texts, whatever the length of words and strings. Strings of spaces alone are left out.
+    Of the strings `most` bytes at most are sent to the tasks; more are to be dealt into
+    `blocks`, each of which reads the texts.
     """
-    words = F.split(string, " ")
-    placed = F.transform(words, lambda w, i: F.struct(F.length(w).alias("size"), w.alias("piece"), F.when((i > 0) & (i < F.size(words) - 1), 0).when(F.size(words) == 1, 3).when(i == 0, 1).otherwise(2).alias("place")))
-    whole = F.filter(placed, lambda x: (x["place"] == 0) & (x["size"] > 0))
-    best = F.array_max(F.when(F.size(whole) > 0, whole).otherwise(F.filter(placed, lambda x: x["size"] > 0)))
-    sought = strings.select(string_key, F.col(string).alias("sought"), best.alias("b")).filter("b IS NOT NULL").select(string_key, "sought", "b.piece", "b.place")
-    sought = sought.withColumn("gram", F.when(F.col("place") == 0, F.col("piece")).otherwise(F.substring("piece", 1, GRAM)))
-    seen = texts.select(*keys, F.explode(F.array_distinct(F.flatten(F.transform(forms, lambda t: F.split(t, " "))))).alias("word")).filter("word <> ''")
-    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("word") - n + 1)), lambda i: F.substring(F.col("word"), i, F.lit(n)))
-    known = seen.select("word").distinct()
-    whole_words = known.select("word", F.col("word").alias("gram"), F.lit(True).alias("whole"))
-    pieces = known.select("word", F.explode(F.array_distinct(F.flatten(F.array(*[grams(n) for n in range(1, GRAM + 1)])))).alias("gram"), F.lit(False).alias("whole"))
-    piece, place, word = F.col("piece"), F.col("place"), F.col("word")
-    fits = F.when(place == 1, word.endswith(piece)).when(place == 2, word.startswith(piece)).when(place == 3, F.contains(word, piece)).otherwise(word == piece)
-    met = whole_words.unionByName(pieces).join(_sent_if_small(sought.select(string_key, "piece", "place", "gram")), "gram").filter((F.col("whole") == (place == 0)) & fits).select("word", string_key).distinct()
-    pairs = seen.join(_sent_if_small(met), "word").select(*keys, string_key).distinct()
-    held = pairs.join(_sent_if_small(sought.select(string_key, "sought")), string_key).groupBy(*keys).agg(F.collect_list(F.struct(string_key, "sought")).alias("some"))
-    found = F.filter("some", lambda s: F.exists(forms, lambda t: F.contains(t, s["sought"])))
-    return held.join(texts.select(*keys, forms), keys).select(*keys, F.explode(F.transform(found, lambda s: s[string_key])).alias(string_key))
+    types = {**dict(texts.dtypes), **dict(strings.dtypes)}
+    schema = ", ".join(f"`{k}` {types[k]}" for k in [*keys, string_key])
+    out = None
+    for block in _dealt(strings.select(F.col(string_key).alias("id"), F.col(string).alias("string")).filter("trim(string) <> ''"), blocks):
+        sent = _sent(block, F.struct("string", "id"), F.octet_length("string") + 16, most)
+        held = texts.select(*keys, F.col(forms).alias("forms"), _on_first_rows(sent).alias("sent"), F.lit(None).cast(types[string_key]).alias("term_type"))
+        one = held.mapInArrow(partial(locator.contained, keys, string_key), schema)
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def prefilter(pages: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -71,41 +76,41 @@ def prefilter(pages: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFr
     return containing(held, [key, "page_no"], "forms", wanted, "term_id", "term")
 
 
-def readings(terms: DataFrame) -> DataFrame:
-    """The ways in which a term (term_id, term) can stand as words: (term_id, reading, ws, split).
+def readings(term: Column) -> Column:
+    """The ways in which a term can stand as words, an array of (ws, split).
 
-    Reading 0 has its words. For each hyphen within a word there is one more, where a line
+    The first has its words. For each hyphen within a word there is one more, where a line
     ends after the part before the hyphen: that part and the rest are words of their own,
-    at `split` and after it.
+    at `split` and after it. None for a term without words.
     """
-    words = terms.select("term_id", normalised_words(F.col("term")).alias("ws")).filter(F.size("ws") > 0)
-    cuts = F.flatten(F.transform("ws", lambda w, i: F.transform(F.filter(F.sequence(F.lit(2), F.greatest(F.lit(2), F.length(w) - 1)), lambda k: F.substring(w, k, F.lit(1)) == "-"), lambda k: F.struct(i.alias("split"), k.alias("at")))))
+    ws = normalised_words(term)
+    cuts = F.flatten(F.transform(ws, lambda w, i: F.transform(F.filter(F.sequence(F.lit(2), F.greatest(F.lit(2), F.length(w) - 1)), lambda k: F.substring(w, k, F.lit(1)) == "-"), lambda k: F.struct(i.alias("split"), k.alias("at")))))
     in_two = lambda c: F.concat(
-        F.slice("ws", F.lit(1), c["split"]),
-        F.array(F.substring(F.get("ws", c["split"]), F.lit(1), c["at"] - 1), F.substring(F.get("ws", c["split"]), c["at"] + 1, F.length(F.get("ws", c["split"])))),
-        F.slice("ws", c["split"] + 2, F.size("ws")),
+        F.slice(ws, F.lit(1), c["split"]),
+        F.array(F.substring(F.get(ws, c["split"]), F.lit(1), c["at"] - 1), F.substring(F.get(ws, c["split"]), c["at"] + 1, F.length(F.get(ws, c["split"])))),
+        F.slice(ws, c["split"] + 2, F.size(ws)),
     )
-    plain = F.array(F.struct(F.col("ws").alias("ws"), F.lit(-1).alias("split")))
-    cut = F.transform(cuts, lambda c: F.struct(in_two(c).alias("ws"), c["split"].alias("split")))
-    return words.select("term_id", F.posexplode(F.concat(plain, cut)).alias("reading", "r")).select("term_id", "reading", "r.ws", "r.split")
+    plain = F.array(F.struct(ws.alias("ws"), F.lit(-1).alias("split")))
+    return F.when(F.size(ws) > 0, F.concat(plain, F.transform(cuts, lambda c: F.struct(in_two(c).alias("ws"), c["split"].alias("split")))))
 
 
-def _stem(word: Column) -> Column:
-    """A word without all final s and then all final apostrophes."""
-    return F.rtrim(F.rtrim(word, F.lit("s")), F.lit("'"))
+def lines_of_words(text: Column) -> Column:
+    """A text's lines that have words, each as its words; none for a null."""
+    held = F.filter(F.transform(F.split(text, "\n"), normalised_words), lambda w: F.size(w) > 0)
+    return F.coalesce(held, F.array().cast("array<array<string>>"))
 
 
-def document_words(docs: DataFrame, key: str = "doc_id", text: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
-    """(key, ws): all words of a document in order, each with its line and its place in it."""
-    by_line = F.filter(F.transform(F.split(text, "\n"), normalised_words), lambda w: F.size(w) > 0)
-    ws = F.flatten(F.transform(by_line, lambda w, line: F.transform(w, lambda x, at: F.struct(x.alias("word"), line.alias("line_no"), at.alias("pos")))))
-    return docs.select(key, ws.alias("ws"), *more)
+def _places(held: DataFrame, key: str, term_type: str) -> DataFrame:
+    types = dict(held.dtypes)
+    # where the task learns the type of the term's id, whatever there is to find
+    held = held.withColumn("term_type", F.lit(None).cast(term_type))
+    return held.mapInArrow(partial(locator.locate, key), f"`{key}` {types[key]}, term_id {term_type}, reading int, start int, n int, word string, spans {locator.SPANS}")
 
 
-def places(docs: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Every place of every term: (key, term_id, reading, start, n, here, ahead), start counting
-    the document's words, here being those of the place and ahead the characters before it
-    on its line.
+def places(docs: DataFrame, terms: DataFrame, key: str = "doc_id", blocks: int = 1, most: int = SENT) -> DataFrame:
+    """Every place of every term: (key, term_id, reading, start, n, word, spans), start and n in words
+    of the document, word the first one of the place, spans (line_no, first, last, x0, x1) the
+    words of each line that it touches and where they begin and end on the line.
 
     A one-word term is equal to a word, or to its possessive without 's. A term of several
     words stands in a row of words, over line and page ends alike. On the line where it
@@ -114,57 +119,29 @@ def places(docs: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
     letters or more, a missing space). Words on the lines after have to be equal. A word
     with a hyphen may be split there by a line's end; all words are then equal.
 
-    Each reading of a term is sought by one of its words, the rarest of the inner ones or of
-    all if there are two: which words of the documents can be that word is found once for
-    each different word, and only documents with such a word are looked at again.
+    The texts are read once and nothing of them is moved: each task is sent all terms, and
+    seeks each reading by the piece of it that is rarest in a batch. A word is compared with
+    pieces by the lengths that pieces have, so that a long one costs no more than its reading.
+    Of the terms `most` bytes at most are sent, which is tested when the plan runs; more are
+    to be dealt into `blocks`, each of which reads the texts, or joined by document (`places_of`).
     """
-    n = F.size("ws")
-    read = readings(terms)
-    sought = read.select("term_id", "reading", "split", n.alias("n"), F.posexplode("ws").alias("off", "piece"))
-    sought = sought.filter((F.col("split") >= 0) | (F.col("n") < 3) | ((F.col("off") > 0) & (F.col("off") < F.col("n") - 1)))
-    placed = document_words(docs, key).select(key, F.posexplode_outer("ws").alias("gpos", "w")).filter("gpos IS NOT NULL").select(key, "gpos", "w.word")
-    known = placed.groupBy("word").agg(F.count("*").alias("times"))
-    piece, word = F.col("piece"), F.col("word")
-    ends = lambda c: F.transform(F.sequence(F.lit(4), F.length(c)), lambda k: F.struct(F.right(c, k).alias("last"), F.left(c, k).alias("first")))
-    form = lambda c, how: F.struct(c.alias("form"), F.lit(how).alias("how"))
-    outer = F.when(F.length("word") > 4, F.flatten(F.transform(ends(word), lambda e: F.array(form(e["last"], "last"), form(e["first"], "first"))))).otherwise(F.array(form(word, "equal")))
-    forms = known.select("word", "times", F.explode(F.array_distinct(F.concat(F.array(form(word, "equal"), form(_stem(word), "equal")), outer))).alias("f")).select("word", "times", "f.*")
-    fits = (F.col("how") == "equal") | ((F.col("split") < 0) & (F.col("n") == 2) & (F.length("piece") >= 4) & (word != piece) & F.when(F.col("off") == 0, F.col("how") == "last").otherwise(F.col("how") == "first"))
-    met = forms.join(_sent_if_small(sought), F.col("form") == piece).filter(fits).select("word", "times", "term_id", "reading", "off").distinct()
-    # of a reading's words the one by which the fewest words of the documents have to be looked at
-    by = lambda *c: Window.partitionBy("term_id", "reading", *c)
-    weighed = met.withColumn("words", F.sum("times").over(by("off"))).withColumn("best", F.min(F.struct("words", "off")).over(by()))
-    belong = weighed.filter("off = best.off").select("word", "term_id", "reading", "off")
-    hits = placed.join(_sent_if_small(belong), "word").select(key, "term_id", "reading", (F.col("gpos") - F.col("off")).alias("start")).filter("start >= 0")
-    some = hits.join(_sent_if_small(read), ["term_id", "reading"]).groupBy(key).agg(F.collect_list(F.struct("term_id", "reading", "start", F.size("ws").alias("n"), "ws", "split")).alias("hits"))
-    again = document_words(some.join(docs.select(key, F.col("text").alias("text")), key), key, more=("hits",))
-    found = again.select(key, "ws", F.filter("hits", lambda h: _stands(F.col("ws"), h)).alias("hits"))
-
-    # worked out beside the words, so that no place carries more of the document than its own
-    def place(h: Column) -> Column:
-        pos = F.get("ws", h["start"])["pos"]
-        ahead = F.when(pos > 0, F.aggregate(F.sequence(h["start"] - pos, h["start"] - 1), F.lit(0), lambda acc, i: acc + F.length(F.get("ws", i)["word"]) + 1)).otherwise(0)
-        here = F.transform(F.sequence(h["start"], h["start"] + h["n"] - 1), lambda i: F.get("ws", i))
-        return F.struct(h["term_id"].alias("term_id"), h["reading"].alias("reading"), h["start"].alias("start"), h["n"].alias("n"), here.alias("here"), ahead.alias("ahead"))
-
-    # an outer explode, as the other one is preceded by a test of its input, which would be worked out twice
-    return found.select(key, F.explode_outer(F.transform("hits", place)).alias("h")).filter("h IS NOT NULL").select(key, "h.*")
-
-
-def _stands(words: Column, hit: Column) -> Column:
-    """Whether a reading (ws, split, n) stands in a document's words from `start` on. Words are
-    fetched by their place, as cutting an array out of another one walks through all of it."""
-    n, split, start = hit["n"], hit["split"], hit["start"]
-    line = lambda at: F.get(words, at)["line_no"]
-
-    def fits(w: Column, k: Column) -> Column:
-        t = F.get(words, start + k)["word"]
-        tolerated = (t == w) | (_stem(t) == w) | ((k == 0) & fused_before(t, w)) | ((k == n - 1) & (line(start + k) == line(start)) & fused_after(t, w))
-        one = (t == w) | (t == F.concat(w, F.lit("'s")))
-        return F.when(n == 1, one).when((split >= 0) | (line(start + k) != line(start)), t == w).otherwise(tolerated)
-
-    broken = line(start + split) < line(start + split + 1)
-    return (start + n <= F.size(words)) & F.forall(F.transform(hit["ws"], fits), lambda ok: ok) & ((split < 0) | broken)
+    out = None
+    for block in _dealt(terms.select("term_id", "term"), blocks):
+        read = block.select("term_id", readings(F.col("term")).alias("readings"), "term").filter("readings IS NOT NULL")
+        sent = _sent(read, F.struct("term_id", "readings"), F.octet_length("term") * F.size("readings") + 16, most)
+        one = _places(docs.select(key, lines_of_words(F.col("text")).alias("lines"), _on_first_rows(sent).alias("sent")), key, dict(terms.dtypes)["term_id"])
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def places_of(docs: DataFrame, wanted: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Every place of a document's own terms: wanted (key, term_id, term), each sought in the texts of
+    its key alone. Rows as of `places`. Only texts with terms are moved, to meet them by key,
+    and the work is that of each text with its own terms."""
+    read = wanted.select(key, "term_id", readings(F.col("term")).alias("readings")).filter("readings IS NOT NULL")
+    own = read.groupBy(key).agg(F.collect_list(F.struct("term_id", "readings")).alias("own"))
+    held = docs.select(key, "text").join(own, key).select(key, lines_of_words(F.col("text")).alias("lines"), "own")
+    return _places(held, key, dict(wanted.dtypes)["term_id"])
 
 
 def phrase_starts(docs: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -175,24 +152,16 @@ def phrase_starts(docs: DataFrame, terms: DataFrame, key: str = "doc_id") -> Dat
 def single_matches(docs: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, term_id, line_no, pos, word): words that equal a one-word term, or its possessive.
     A plain plural is not one."""
-    at = F.get("here", F.lit(0))
-    return places(docs, terms, key).filter("n = 1").select(key, "term_id", at["line_no"].alias("line_no"), at["pos"].alias("pos"), at["word"].alias("word"))
+    at = F.get("spans", F.lit(0))
+    return places(docs, terms, key).filter("n = 1").select(key, "term_id", at["line_no"].alias("line_no"), at["first"].alias("pos"), "word")
 
 
-def word_spans(docs: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
+def word_spans(docs: DataFrame, terms: DataFrame, key: str = "doc_id", own: bool = False) -> DataFrame:
     """(key, term_id, start, line_no, first, last, x0, x1): the words of each line that each place
-    of a term touches, and where they begin and end on the line."""
-    of_line = lambda line: F.filter("here", lambda t: t["line_no"] == line)
-    width = lambda line: F.aggregate(of_line(line), F.lit(-1), lambda acc, t: acc + F.length(t["word"]) + 1)
-    start = lambda line: F.when(line == F.get("here", F.lit(0))["line_no"], F.col("ahead")).otherwise(0)
-    spans = F.transform(
-        F.array_distinct(F.transform("here", lambda t: t["line_no"])),
-        lambda line: F.struct(
-            line.alias("line_no"), F.array_min(F.transform(of_line(line), lambda t: t["pos"])).alias("first"), F.array_max(F.transform(of_line(line), lambda t: t["pos"])).alias("last"),
-            start(line).cast("double").alias("x0"), (start(line) + width(line)).cast("double").alias("x1"),
-        ),
-    )
-    return places(docs, terms, key).select(key, "term_id", "start", F.explode(spans).alias("s")).select(key, "term_id", "start", "s.*")
+    of a term touches, and where they begin and end on the line. With `own`, terms are
+    (key, term_id, term), sought in the texts of their key alone."""
+    found = places_of(docs, terms, key) if own else places(docs, terms, key)
+    return found.select(key, "term_id", "start", F.explode("spans").alias("s")).select(key, "term_id", "start", "s.*")
 
 
 def rects(docs: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -274,14 +243,16 @@ def highlights(boxes: DataFrame, title: Column | None = None) -> DataFrame:
 
 
 def ocr_matches(boxes: DataFrame, terms: DataFrame, key: str = "image_id") -> DataFrame:
-    """Boxes (key, at, text, box) of OCR words that a term covers: (key, term_id, at, box).
+    """Boxes (key, at, text, box) of OCR words that a term covers: (key, term_id, at, box). Terms
+    (term_id, term) are sought in all images; those that have the key, in its image alone.
 
     Each box counts by its first normalised word, and a term by all its words in a row of
     boxes; boxes without words are passed over.
     """
     words = boxes.withColumn("word", F.get(normalised_words(F.col("text")), F.lit(0))).filter("word IS NOT NULL")
     placed = words.withColumn("gpos", F.row_number().over(Window.partitionBy(key).orderBy("at")) - 1)
-    hits = placed.join(term_words(terms), "word").withColumn("start", F.col("gpos") - F.col("off"))
+    own = key in terms.columns
+    hits = placed.join(term_words(terms, *[key] * own), [key, "word"] if own else "word").withColumn("start", F.col("gpos") - F.col("off"))
     whole = hits.groupBy(key, "term_id", "start").agg(F.collect_set("at").alias("ats"), F.first("n").alias("n")).filter("size(ats) = n")
     return whole.select(key, "term_id", "start", F.explode("ats").alias("at")).join(placed.select(key, "at", "box"), [key, "at"]).select(key, "term_id", "start", "at", "box")
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import settle
 from . import detect, layout, masking, matching
 
 HIGHLIGHT_KIND = 8
@@ -66,13 +67,15 @@ class Processor:
         A text that is not English is blocked as a whole. proposed has a row a box of a term
         that a rule proposed for that document: (doc_id, term, title, page_no, line_no, first,
         last, left, top, right, bottom); status has a row a document: (doc_id, status, n_terms,
-        n_boxes), BLOCKED or ANALYSED. A null text is let through and has no terms.
+        n_boxes), BLOCKED or ANALYSED. A null text is let through and has no terms. Terms are
+        sought in their own document alone. What was proposed, and where it stands, is settled:
+        both results tell of one run of the rules, services among them.
         """
         told = detect.with_language(docs.select("doc_id", "text"))
         open_ = told.filter("is_english").select("doc_id", "text")
-        wanted = detect.distinct_terms(detect.detect(open_, list(rules))).select("doc_id", "term", F.md5("term").alias("term_id"))
-        terms = wanted.select("term_id", "term").distinct()
-        spans = matching.word_spans(open_, terms).join(wanted, ["doc_id", "term_id"])
+        wanted = settle(detect.distinct_terms(detect.detect(open_, list(rules))).select("doc_id", "term"))
+        # the term is its own id
+        spans = settle(matching.word_spans(open_, wanted.withColumn("term_id", F.col("term")), own=True).withColumnRenamed("term_id", "term"))
         top = layout.line_top(F.col("line_no"))
         proposed = spans.select("doc_id", "term", F.lit("Text Redaction").alias("title"), layout.page_of(F.col("line_no")).alias("page_no"), "line_no", "first", "last", F.col("x0").alias("left"), top.alias("top"), F.col("x1").alias("right"), (top + layout.LINE_HEIGHT).alias("bottom"))
         counts = wanted.groupBy("doc_id").agg(F.count("*").alias("n_terms")).join(proposed.groupBy("doc_id").agg(F.count("*").alias("n_boxes")), "doc_id", "left")

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from inkveil.operators import detect, evaluation
+from inkveil.operators import detect, evaluation, service
 from inkveil.sources import connectors
 
 
@@ -67,19 +67,6 @@ def test_plans_push_down_and_prune(spark):
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
 
 
-def test_limiter_waits():
-    now, slept = [0.0], []
-    limiter = detect.Limiter(per_minute=2, capacity=10, clock=lambda: now[0], sleep=lambda s: (slept.append(s), now.__setitem__(0, now[0] + s + 0.001)))
-    limiter.take(4)
-    limiter.take(4)
-    limiter.take(4)
-    assert slept == [60.0]
-    now[0] += 100
-    limiter.take(8)
-    limiter.take(8)
-    assert len(slept) == 2
-
-
 def test_retries():
     seen, slept = [], []
 
@@ -89,9 +76,9 @@ def test_retries():
             raise OSError("busy")
         return [text]
 
-    assert detect.with_retries(call, 5, sleep=slept.append)("a") == ["a"] and slept == [1.0, 2.0]
+    assert service.with_retries(call, 5, sleep=slept.append)("a") == ["a"] and slept == [1.0, 2.0]
     with pytest.raises(ZeroDivisionError):
-        detect.with_retries(lambda t: 1 / 0, 2, sleep=slept.append)("a")
+        service.with_retries(lambda t: 1 / 0, 2, sleep=slept.append)("a")
 
 
 def test_responses_go_to_their_topics(spark, tmp_path):
