@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -189,14 +190,31 @@ def joined(spans) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 
 
-def grouped(text: str, spans: list[tuple[int, int, str]]) -> dict[tuple[int, str], tuple[int, int]]:
+class Covered:
+    """What spans cover, as disjoint parts in order; whether a span meets any of it is told by halving."""
+
+    def __init__(self, spans: list[tuple[int, int, str]]):
+        self.starts, self.ends = [], []
+        for s, e, _ in sorted(spans):
+            if self.ends and s <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def meets(self, start: int, end: int) -> bool:
+        at = bisect_right(self.ends, start)
+        return at < len(self.starts) and self.starts[at] < end
+
+
+def grouped(text: str, spans: list[tuple[int, int, str]], covered: Covered | None = None) -> dict[tuple[int, str], tuple[int, int]]:
     """By the place of its first token and kind, the (start, end) of each identifier in groups:
     the longest beginning of a run that has the kind's digits and no base match."""
-    out = {}
+    out, covered = {}, covered or Covered(spans)
     for m in RUN.finditer(text):
         digits = first = 0
         for g in GROUP.finditer(text, m.start(1), m.end(1)):
-            if any(a < g.end() and g.start() < b for a, b, _ in spans):
+            if covered.meets(*g.span()):
                 break
             digits += sum("0" <= c <= "9" for c in g[0])
             if g.start() == m.start(1):
@@ -213,7 +231,8 @@ def grouped(text: str, spans: list[tuple[int, int, str]]) -> dict[tuple[int, str
 def seen_in(text: str | None, spans: list[tuple[int, int, str]]) -> list[dict]:
     """Base matches and other identifier-like tokens or runs of groups, with their contexts."""
     out = [{"kind": k, "instance": text[s:e].lower(), "start": s, "end": e, "base": True} for s, e, k in spans]
-    runs = grouped(text or "", spans)
+    covered = Covered(spans)
+    runs = grouped(text or "", spans, covered)
     for (_, kind), (s, e) in runs.items():
         out.append({"kind": kind, "instance": text[s:e].lower(), "start": s, "end": e, "base": False})
     for m in MAYBE.finditer(text or ""):
@@ -223,7 +242,7 @@ def seen_in(text: str | None, spans: list[tuple[int, int, str]]) -> list[dict]:
         if token and (kind := shape_of(token)) is not None and (m.start(), kind) not in runs:
             s = m.start() + m[0].rindex(token)
             e = s + len(token)
-            if not any(a < e and s < b for a, b, _ in spans):
+            if not covered.meets(s, e):
                 out.append({"kind": kind, "instance": token.lower(), "start": s, "end": e, "base": False})
     for x in out:
         x["cues"] = cues_of(text, x["start"], x["end"])
@@ -289,6 +308,27 @@ def patterns_of(scanned: DataFrame, texts: DataFrame, support: int) -> DataFrame
     return settle(graph.join(times, "cue_hash", "left").withColumn("times", F.greatest(F.coalesce("times", F.lit(1)), "n")))
 
 
+def scores_of(graph: DataFrame, rounds: int, support: int, confident: float) -> DataFrame:
+    """(kind, instance, score) after so many rounds: patterns by the instances that are believed,
+    instances by their surest patterns on both sides."""
+    scores = graph.groupBy("kind", "instance").agg(F.max(F.col("seed").cast("double")).alias("score"))
+    surest = lambda side: F.coalesce(F.max(F.when(F.expr(side), F.col("confidence"))), F.lit(0.0))
+    for _ in range(rounds):
+        patterns = (
+            graph.join(scores, ["kind", "instance"])
+            .groupBy("kind", "cue_hash")
+            .agg((F.sum(F.when(F.col("score") >= confident, F.col("score") * F.col("n")).otherwise(0.0)) / F.max("times")).alias("confidence"), F.count(F.when(F.col("score") >= confident, 1)).alias("believed"))
+            .filter(F.col("believed") >= support)
+            .select("kind", "cue_hash", F.least("confidence", F.lit(1.0)).alias("confidence"))
+        )
+        scores = settle(
+            graph.join(patterns, ["kind", "cue_hash"], "left")
+            .groupBy("kind", "instance")
+            .agg(F.when(F.max("seed"), 1.0).otherwise(1 - (1 - surest("before")) * (1 - surest("NOT before"))).alias("score"))
+        )
+    return scores
+
+
 def find_personal_data(docs: DataFrame, rounds: int = 3, support: int = 3, confident: float = 0.4) -> tuple[DataFrame, DataFrame]:
     """Base spans of every document, and further spans found by context.
 
@@ -312,21 +352,7 @@ def find_personal_data(docs: DataFrame, rounds: int = 3, support: int = 3, confi
     graph = patterns_of(scanned, base, support)
     if graph is None:
         return scanned, scanned.select("doc_id", "text_hash", F.col("base").alias("more")).limit(0)
-    scores = graph.groupBy("kind", "instance").agg(F.max(F.col("seed").cast("double")).alias("score"))
-    surest = lambda side: F.coalesce(F.max(F.when(F.expr(side), F.col("confidence"))), F.lit(0.0))
-    for _ in range(rounds):
-        patterns = (
-            graph.join(scores, ["kind", "instance"])
-            .groupBy("kind", "cue_hash")
-            .agg((F.sum(F.when(F.col("score") >= confident, F.col("score") * F.col("n")).otherwise(0.0)) / F.max("times")).alias("confidence"), F.count(F.when(F.col("score") >= confident, 1)).alias("believed"))
-            .filter(F.col("believed") >= support)
-            .select("kind", "cue_hash", F.least("confidence", F.lit(1.0)).alias("confidence"))
-        )
-        scores = settle(
-            graph.join(patterns, ["kind", "cue_hash"], "left")
-            .groupBy("kind", "instance")
-            .agg(F.when(F.max("seed"), 1.0).otherwise(1 - (1 - surest("before")) * (1 - surest("NOT before"))).alias("score"))
-        )
+    scores = scores_of(graph, rounds, support, confident)
     believed = scores.filter(F.col("score") >= confident).select("kind", "instance")
     discovered = (
         scanned.select("doc_id", "text_hash", F.explode("seen").alias("x"))

@@ -136,7 +136,7 @@ def whiten(vectors: DataFrame, components: int = 4, scale: int = 256) -> DataFra
     fit is over the distinct x vectors, n of them with sums S: their covariance V (divisor n)
     is the Gramian of the rows (n * x - S) / n over n; the components are its unit
     eigenvectors, numbered by falling eigenvalue e. deviation is the sum of (n * x - S)^2, a
-    decimal(38, 0), exact; whitened is x - S / n on the component, over sqrt(e); explained is
+    decimal(38, 0), exact, null past its range; whitened is x - S / n on the component, over sqrt(e); explained is
     e / trace(V); identity_error is the largest entry of whitened's covariance over the fit
     list less the identity, measured.
 
@@ -162,7 +162,7 @@ def whiten(vectors: DataFrame, components: int = 4, scale: int = 256) -> DataFra
                 centred = fit.centred(np.stack(own["x"].to_numpy()).astype(np.int64))
                 white, k = fit.whiten(centred), len(fit.values)
                 share = fit.values / fit.trace if fit.trace > 0 else np.zeros(k)
-                out = [own["vec_id"].repeat(k), np.tile(np.arange(1, k + 1), len(own)), fit.n, np.repeat(np.array([str(d) for d in fit.deviations(centred)], object), k), white.ravel(), np.tile(share, len(own)), fit.identity_error]
+                out = [own["vec_id"].repeat(k), np.tile(np.arange(1, k + 1), len(own)), fit.n, np.repeat(np.array([str(d) if d < 10**38 else None for d in fit.deviations(centred)], object), k), white.ravel(), np.tile(share, len(own)), fit.identity_error]
                 yield pd.DataFrame(dict(zip(columns, out, strict=True)))
 
     ids = dict(rows.dtypes)["vec_id"]

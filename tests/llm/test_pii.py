@@ -1,5 +1,8 @@
 import hashlib
+import random
 import re
+import time
+from collections import defaultdict
 
 import pyarrow as pa
 
@@ -136,3 +139,66 @@ def test_masks(spark):
     assert out.columns == docs.columns
     assert sorted(map(tuple, out.collect())) == [(1, "mail [EMAIL] now", "en", "s", 16), (2, None, "en", "s", None), (3, "plain", "en", "s", 5)]
     assert pii.masked("abcdef", [(1, 4, "ip"), (2, 5, "phone")]) == "a[IP]f"
+
+
+def test_spans_are_met_as_by_looking_at_all():
+    rng = random.Random(1)
+    for _ in range(200):
+        spans = [(a, a + rng.randrange(1, 6), "ip") for a in rng.sample(range(40), rng.randrange(8))]
+        covered = pii.Covered(spans)
+        for s in range(40):
+            for e in range(s + 1, 44):
+                assert covered.meets(s, e) == any(a < e and s < b for a, b, _ in spans)
+
+
+def test_many_identifiers_in_one_text_take_linear_time():
+    took = []
+    for n in (4_000, 16_000):
+        text = " ".join(f"mail user{i}@site{i}.org order 555-201-{10_000 + i} or 020 7946 {10_000 + i} x" for i in range(n))
+        began = time.perf_counter()
+        assert len(pii.seen_in(text, pii.base_spans(text))) >= 2 * n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * took[0]  # with the square it is 16 times
+
+
+def brute_scores(graph, rounds, support, confident):
+    """The rounds with dictionaries: rows (kind, cue, before, instance, n, seed, times)."""
+    score = defaultdict(float)
+    for kind, _, _, instance, _, seed, _ in graph:
+        score[kind, instance] = max(score[kind, instance], float(seed))
+    for _ in range(rounds):
+        weight, times, believed, confidence = defaultdict(float), defaultdict(int), defaultdict(int), {}
+        for kind, cue, _, instance, n, _, t in graph:
+            times[kind, cue] = max(times[kind, cue], t)
+            if score[kind, instance] >= confident:
+                weight[kind, cue] += score[kind, instance] * n
+                believed[kind, cue] += 1
+        for key, k in believed.items():
+            if k >= support:
+                confidence[key] = min(1.0, weight[key] / times[key])
+        sides, seeds = defaultdict(lambda: [0.0, 0.0]), set()
+        for kind, cue, before, instance, _, seed, _ in graph:
+            at = sides[kind, instance]
+            at[before] = max(at[before], confidence.get((kind, cue), 0.0))
+            if seed:
+                seeds.add((kind, instance))
+        score = {key: 1.0 if key in seeds else 1 - (1 - b) * (1 - a) for key, (a, b) in sides.items()}
+    return {k: round(v, 9) for k, v in score.items()}
+
+
+def test_confidences_and_scores_equal_plain_loops(spark):
+    for seed in range(3):
+        rng = random.Random(seed)
+        seeds = {(k, i) for k in ("phone", "card") for i in range(25) if rng.random() < 0.4}
+        graph = []
+        for kind in ("phone", "card"):
+            for cue in range(12):
+                some = rng.sample(range(25), rng.randrange(1, 12))
+                counts = [rng.randrange(1, 4) for _ in some]
+                times = sum(counts) + rng.randrange(4) ** 2
+                graph += [(kind, cue, cue % 3 > 0, f"i{i}", n, (kind, i) in seeds, times) for i, n in zip(some, counts, strict=True)]
+        df = spark.createDataFrame(graph, "kind string, cue_hash long, before boolean, instance string, n long, seed boolean, times long")
+        for rounds in (1, 3):
+            found = {(r.kind, r.instance): round(r.score, 9) for r in pii.scores_of(df, rounds, 3, 0.4).collect()}
+            assert found == brute_scores(graph, rounds, 3, 0.4)
+            assert any(0.4 <= v < 1 for v in found.values())
