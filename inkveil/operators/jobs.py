@@ -69,9 +69,10 @@ def today() -> Column:
 
 def queue_messages(requests: DataFrame, stage: Column, at: str = "ts", days: int = 1) -> DataFrame:
     """Requests (body JSON, time) as messages for the queue: (id, expires, value). The id is the
-    body's overrideId, or a new one; the body gains the job_id and the stage."""
+    body's overrideId, or a hash of the body and the time, so that a message that is sent again
+    has the same; the body gains the job_id and the stage."""
     parsed = requests.withColumn("p", F.from_json("body", "map<string,string>"))
-    named = parsed.withColumn("id", F.coalesce(F.col("p")["overrideId"], F.uuid())).filter("p IS NOT NULL")
+    named = parsed.withColumn("id", F.coalesce(F.col("p")["overrideId"], F.sha2(F.concat_ws("|", "body", F.unix_micros(F.col(at).cast("timestamp")).cast("string")), 256))).filter("p IS NOT NULL")
     value = F.to_json(F.map_concat(F.map_filter("p", lambda k, _: ~k.isin("job_id", "stage")), F.create_map(F.lit("job_id"), F.col("id"), F.lit("stage"), stage)))
     return named.select("id", (F.col(at) + F.make_dt_interval(days=F.lit(days))).alias("expires"), value.alias("value"))
 

@@ -94,11 +94,6 @@ def latest_proposal(spark, sf_dir):
     return jobs.latest(_blobs(spark, sf_dir).withColumnRenamed("base", "folder"), "click/proposed_redactions.json")
 
 
-@query(f"WITH {BLOBS} SELECT name, created FROM blobs WHERE starts_with(name, 'job1')")
-def blobs_by_prefix(spark, sf_dir):
-    return _blobs(spark, sf_dir).filter(F.col("name").startswith("job1")).select("name", "created")
-
-
 TIMED = """timed AS (SELECT event_id AS job_id, ts AS started, CASE WHEN event_id % 7 > 0 THEN ts + to_seconds(CAST(floor(value * 60) AS BIGINT)) END AS ended, CASE WHEN event_id % 2 = 0 THEN 10.0 END::DOUBLE AS timeout_minutes,
  CASE event_id % 3 WHEN 0 THEN 'ALPHA' WHEN 1 THEN 'BETA_SERVICE' END AS service, CASE WHEN event_id % 5 > 0 THEN upper(event_type) END AS stage FROM events),
 outcomes AS (SELECT *, started + to_seconds(CAST(coalesce(timeout_minutes, 180) * 60 AS BIGINT)) AS deadline FROM timed),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import detect_queries, image_queries, job_queries, process_queries, stream_queries, text_queries
+from . import detect_queries, image_queries, job_queries, process_queries, source_queries, stream_queries, text_queries
 from .base import QUERIES, SQL
 
 
@@ -13,7 +13,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_queries.redaction_rects(spark, sf_dir)
 
 
-MODULES = (text_queries, detect_queries, job_queries, image_queries, process_queries, stream_queries)
+MODULES = (text_queries, detect_queries, job_queries, image_queries, process_queries, stream_queries, source_queries)
 
 
 def queries() -> dict:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import objects
+
 _KINDS: dict[str, Callable[..., Connector]] = {}
 
 
@@ -31,10 +33,10 @@ class Connector:
         return rows.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("modificationTime").alias("created"), F.col("length").alias("n_bytes"), "content")
 
     def listing(self, prefix: str = "") -> DataFrame:
-        """(name, created) of the objects below the root whose path there begins with the prefix; contents aren't read."""
-        rows = self.read().select("path", "created")
-        below = F.regexp_replace("path", f"^.*?{self.root.split(':', 1)[-1].lstrip('/')}/", "")
-        return rows.select(below.alias("name"), "created").filter(F.col("name").startswith(prefix))
+        """(name, folder, created, n_bytes) of the objects below the root whose path there begins with
+        the prefix; only folders that can have such are listed, and no content is read."""
+        objects.register(self.spark)
+        return self.spark.read.format("objects").load(self.root).filter(F.col("name").startswith(prefix))
 
     def write(self, df: DataFrame, folder: str, fmt: str = "parquet", by: tuple[str, ...] = ()) -> str:
         """Write below the root; it is an error if the folder exists."""

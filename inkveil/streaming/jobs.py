@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 REQUEST = "job_id string, stage string, timeout_minutes double"
 
@@ -28,41 +29,80 @@ def stage_counts(stream: DataFrame, at: str = "ts", width: str = "1 hour", late:
     return stream.withWatermark(at, late).groupBy(F.window(at, width), "stage").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "stage", "n")
 
 
-def deadlines(events: DataFrame, minutes: float = 180.0) -> DataFrame:
-    """Events (job_id, ts, what: "start" or "end") to (job_id, outcome, seconds).
+class Orchestration(StatefulProcessor):
+    """A job's life: its start, its end and its deadline, told once, forgotten after the horizon.
 
-    State holds an open job's start and its timer, in event time: an end in time gives DONE,
-    and the timer, or an end after it, TIMED_OUT. Jobs whose start is unknown give nothing.
+    The state is when the job started and ended, as far as it is known, and whether it was told.
+    Of repeated starts and ends the earliest count, in whatever order they come. The timer, in
+    event time, is first the deadline and then, once the job was told, the horizon; until then
+    messages that come again change nothing.
     """
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    limit = int(minutes * 60_000)
+    def __init__(self, limit: int, horizon: int):
+        self.limit, self.horizon = limit, horizon
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.job = handle.getValueState("job", "started long, ended long, told boolean")
+
+    def _timer(self, at: int, timers) -> None:
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(max(at, timers.getCurrentWatermarkInMs() + 1))
+
+    def _rows(self, key, *outcomes) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *o) for o in outcomes], columns=["job_id", "outcome", "seconds"])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        started, ended, told = self.job.get() if self.job.exists() else (None, None, False)
+        known = ended if started is None else started
+        if (told or started is None) and known is not None and timerValues.getCurrentWatermarkInMs() >= known + self.horizon:
+            started, ended, told = None, None, False  # input comes before timers that are due
         out = []
-        if state.hasTimedOut:
-            out.append((key[0], "TIMED_OUT", limit / 1000))
-            state.remove()
-        else:
-            rows = pd.concat(list(frames)).sort_values("ts")
-            started = state.get[0] if state.exists else None
-            for ts, what in zip((rows["ts"].astype("int64") // 1_000_000 if str(rows["ts"].dtype).endswith("[ns]") else rows["ts"].astype("datetime64[ms]").astype("int64")), rows["what"], strict=True):
-                if what == "start":
-                    started = int(ts) if started is None else started
-                elif started is not None:
-                    took = int(ts) - started
-                    out.append((key[0], "DONE" if took <= limit else "TIMED_OUT", min(took, limit) / 1000))
-                    started = None
-            if started is None:
-                if state.exists:
-                    state.remove()
-            else:
-                state.update((started,))
-                state.setTimeoutTimestamp(max(started + limit, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["job_id", "outcome", "seconds"])
-
-    watermarked = events.withWatermark("ts", "0 seconds")
-    return watermarked.groupBy("job_id").applyInPandasWithState(run, "job_id string, outcome string, seconds double", "started long", "append", GroupStateTimeout.EventTimeTimeout)
+        for pdf in rows:
+            at = pdf["ts"].astype("datetime64[ms]").astype("int64")
+            first = lambda what, held: min([*([] if held is None else [held]), *at[pdf["what"] == what].tolist()], default=None)  # noqa: B023, E731
+            started, ended = first("start", started), first("end", ended)
+        if not told and started is not None and ended is not None and ended >= started:
+            took = ended - started
+            out.append(("DONE" if took <= self.limit else "TIMED_OUT", min(took, self.limit) / 1000))
+            told = True
+        if started is None and ended is None:
+            return
+        self.job.update((started, ended, told))
+        known = ended if started is None else started
+        self._timer(known + (self.limit if started is not None and not told else self.horizon), timerValues)
+        if out:
+            yield self._rows(key, *out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        started, ended, told = self.job.get()
+        if told or started is None:  # the horizon
+            self.job.clear()
+            return
+        self.job.update((started, ended, True))
+        self._timer(started + self.horizon, timerValues)
+        yield self._rows(key, ("TIMED_OUT", self.limit / 1000))
+
+    def close(self) -> None:
+        pass
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def deadlines(events: DataFrame, minutes: float = 180.0, late: str = "10 minutes", horizon_minutes: float = 1440.0) -> DataFrame:
+    """Events (job_id, ts, what: "start" or "end") to (job_id, outcome, seconds), once a job.
+
+    An end in time gives DONE, and the deadline, or an end after it, TIMED_OUT. Events may come
+    up to `late` after later ones, in any order and again; a job is forgotten, and its id free,
+    when the horizon has passed in event time. Jobs whose start is unknown give nothing. The
+    session's state store is set to RocksDB, which timers need.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    life = Orchestration(int(minutes * 60_000), int(horizon_minutes * 60_000))
+    keyed = events.select("job_id", "ts", "what").withWatermark("ts", late).groupBy("job_id")
+    return keyed.transformWithStateInPandas(life, "job_id string, outcome string, seconds double", "Append", "eventTime")
 
 
 def run_available(stream: DataFrame, checkpoint: str, path: str, mode: str = "append") -> DataFrame:
