@@ -155,13 +155,16 @@ def with_language(docs: DataFrame, name: str = "is_english", threshold: float =
     words = F.filter(F.split(F.lower("text"), "[^\\p{L}]+"), lambda w: F.array_contains(every, w))
     zero = F.struct(*[F.lit(0).alias(k) for k in FUNCTION_WORDS])
     counts = F.aggregate(words, zero, lambda n, w: F.struct(*[(n[k] + w.isin(*known).cast("int")).alias(k) for k, known in FUNCTION_WORDS.items()]))
-    counted = docs.withColumn("_hits", F.explode(F.array(counts)))  # a row each, worked out here once
-    total = reduce(lambda a, b: a + b, [F.col("_hits")[k] for k in FUNCTION_WORDS])
-    most = F.greatest(*[F.col("_hits")[k] for k in FUNCTION_WORDS if k != "en"])
+    hits = "_hits"
+    while hits.lower() in {c.lower() for c in docs.columns}:
+        hits = f"_{hits}"
+    counted = docs.withColumn(hits, F.explode(F.array(counts)))  # a row each, worked out here once
+    total = reduce(lambda a, b: a + b, [F.col(hits)[k] for k in FUNCTION_WORDS])
+    most = F.greatest(*[F.col(hits)[k] for k in FUNCTION_WORDS if k != "en"])
     plain = F.trim(F.regexp_replace("text", "\\s+", " "))
     long_enough = (F.length(plain) >= min_chars) & (F.size(F.split(plain, " ")) >= min_words)
-    english = long_enough & (total > 0) & (F.col("_hits")["en"] / total >= threshold) & ((F.col("_hits")["en"] - most) / total >= margin)
-    return counted.withColumn(name, F.when(F.col("text").isNull(), True).otherwise(F.coalesce(english, F.lit(False)))).drop("_hits")
+    english = long_enough & (total > 0) & (F.col(hits)["en"] / total >= threshold) & ((F.col(hits)["en"] - most) / total >= margin)
+    return counted.withColumn(name, F.when(F.col("text").isNull(), True).otherwise(F.coalesce(english, F.lit(False)))).drop(hits)
 
 
 def chunks(docs: DataFrame, size: int = 6000, overlap: int = 250, separators: tuple[str, ...] = ("\n\n", "\n", " ", "")) -> DataFrame:

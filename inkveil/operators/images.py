@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.raster import pixel_hash
 from ..functions.text import PLATES
 from .matching import containing, ocr_matches
 
@@ -49,10 +50,17 @@ def ocr_words(pages: DataFrame, key: str = "image_id") -> DataFrame:
     return rows.select(key, "at", F.col("w.text").alias("text"), corner(1, "x").alias("x0"), corner(1, "y").alias("y0"), corner(3, "x").alias("x1"), corner(3, "y").alias("y1"))
 
 
-def first_of_equal(images: DataFrame, content: Column, order: str) -> DataFrame:
-    """Of rows of equal content the first by `order`. The content counts by its SHA-256, whose
-    least row is found by partial sums, so that a frequent content is not one task's."""
-    named = images.withColumn("content_hash", F.sha2(content, 256))
+def with_pixel_hash(images: DataFrame, content: str = "content", name: str = "content_hash") -> DataFrame:
+    """images with a hash of what they show: two encodings of one raster have one, and what can't be
+    decoded has that of its bytes."""
+    return images.withColumn(name, pixel_hash(F.col(content)))
+
+
+def first_of_equal(images: DataFrame, content: Column, order: str, pixels: bool = False) -> DataFrame:
+    """Of rows of equal content the first by `order`. The content counts by its SHA-256, or with
+    `pixels` by that of its decoded raster; the least row of each is found by partial sums, so
+    that a frequent content is not one task's."""
+    named = images.withColumn("content_hash", pixel_hash(content) if pixels else F.sha2(content, 256))
     return named.groupBy("content_hash").agg(F.min_by(F.struct(*images.columns), order).alias("r")).select("content_hash", "r.*")
 
 

@@ -92,3 +92,28 @@ def segment_lines(words: DataFrame, key: str = "page_id") -> DataFrame:
         "y0",
         "y1",
     )
+
+
+def reading_order(words: DataFrame, key: str = "page_id", gap: float = 20.0, lean: float = 0.25) -> DataFrame:
+    """Words (key, x0, y0, x1, y1, ...) in the order in which they are read: with column_no, line_no
+    in the column, pos in the line and seq on the page, all from 0.
+
+    Three sweeps, each over one page at a time. From left to right a column begins where all
+    words so far end more than `gap` before; within it, from the top down, a line begins where
+    all words so far, each without `lean` of its height at its top and its foot, end above;
+    within the line words go by x0. Columns are read one after the other. A word across the
+    gap joins the columns on both its sides. No order of the rows is taken as given; words at
+    one place go by their foot and their end.
+    """
+    across = Window.partitionBy(key).orderBy("x0", "y0", "x1", "y1")
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    step = lambda new: F.coalesce(new, F.lit(False)).cast("int")
+    columns = words.withColumn("new__", step(F.col("x0") > F.max("x1").over(before(across)) + gap)).withColumn("column_no", F.sum("new__").over(so_far(across)).cast("int"))
+    inset = (F.col("y1") - F.col("y0")) * lean
+    down = Window.partitionBy(key, "column_no").orderBy("top__", "x0", "y1", "x1")
+    cut = columns.withColumn("top__", F.col("y0") + inset).withColumn("foot__", F.col("y1") - inset)
+    lines_ = cut.withColumn("new__", step(F.col("top__") >= F.max("foot__").over(before(down)))).withColumn("line_no", F.sum("new__").over(so_far(down)).cast("int"))
+    along = Window.partitionBy(key, "column_no", "line_no").orderBy("x0", "y0", "x1", "y1")
+    placed = lines_.withColumn("pos", (F.row_number().over(along) - 1).cast("int"))
+    return placed.withColumn("seq", (F.row_number().over(Window.partitionBy(key).orderBy("column_no", "line_no", "pos")) - 1).cast("int")).drop("new__", "top__", "foot__")

@@ -63,6 +63,24 @@ def percentiles(rows: DataFrame, key: str, value: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min(value).alias("min"), p.alias("p"), F.max(value).alias("max"), F.avg(value).alias("mean")).select(key, "min", *[F.col("p")[i].alias(n) for i, n in enumerate(("p50", "p95", "p99"))], "max", "mean")
 
 
+def sketches(rows: DataFrame, keys: list[str], value: str, k: int = 400) -> DataFrame:
+    """(keys, n, sketch): of each group a KLL sketch of its values, of a size that k bounds. A quantile's
+    rank is off by about 2.3 / k ** 0.9 at most (1 % with 400), with 99 % certainty."""
+    return rows.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.kll_sketch_agg_double(F.col(value).cast("double"), k).alias("sketch"))
+
+
+def merged(held: DataFrame, keys: list[str]) -> DataFrame:
+    """Sketches of finer groups as those of coarser ones, without the values."""
+    return held.groupBy(*keys).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def sketched_percentiles(held: DataFrame, points: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """The sketches' rows with a column p50, p95... for each point; the exact form is `percentiles`,
+    which holds all distinct values of a key in one task."""
+    named = {f"p{round(100 * p)}": F.kll_sketch_get_quantile_double("sketch", F.lit(p)) for p in points}
+    return held.withColumns(named).drop("sketch")
+
+
 def worker_count(asked: Column, cpus: Column) -> Column:
     """Between 1 and the lesser of 32 and the processors plus 4."""
     most = F.least(F.lit(32), cpus + 4)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import settle
-from . import detect, layout, masking, matching
+from . import detect, language, layout, masking, matching
 
 HIGHLIGHT_KIND = 8
 
@@ -61,17 +61,19 @@ class Processor:
             raise DuplicateProcessor(cls.file_kind)
         _KINDS[cls.file_kind] = cls
 
-    def analyse(self, docs: DataFrame, rules: list[dict] = DEFAULT_RULES) -> tuple[DataFrame, DataFrame]:
+    def analyse(self, docs: DataFrame, rules: list[dict] = DEFAULT_RULES, model: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """(proposed, status) of documents (doc_id, text).
 
-        A text that is not English is blocked as a whole. proposed has a row a box of a term
+        A text that is not English is blocked as a whole, by a fitted `model` (`language.fit`), or
+        without one by its function words. proposed has a row a box of a term
         that a rule proposed for that document: (doc_id, term, title, page_no, line_no, first,
         last, left, top, right, bottom); status has a row a document: (doc_id, status, n_terms,
         n_boxes), BLOCKED or ANALYSED. A null text is let through and has no terms. Terms are
         sought in their own document alone. What was proposed, and where it stands, is settled:
         both results tell of one run of the rules, services among them.
         """
-        told = detect.with_language(docs.select("doc_id", "text"))
+        held = docs.select("doc_id", "text")
+        told = settle(detect.with_language(held) if model is None else language.is_language(held, model))
         open_ = told.filter("is_english").select("doc_id", "text")
         wanted = settle(detect.distinct_terms(detect.detect(open_, list(rules))).select("doc_id", "term"))
         # the term is its own id

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions.text import BLANK, DROPPED, NARROW, PLAIN_MORE, PLAIN_ONE, PUNCT
 
+TABLES = {"customer", "documents", "embeddings", "pages", "benchmark", "labels", "conversations", "events", "lineitem", "nation", "orders", "part", "region", "supplier"}
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -35,6 +38,14 @@ def chars(value: str) -> str:
     return "(" + " || ".join(parts) + ")"
 
 
+def derived(spark, sf_dir: str, sql: str):
+    """Rows of a SELECT over the given tables, in words that DuckDB has as well."""
+    names = sorted(set(re.findall(r"\b(?:FROM|JOIN) (\w+)", sql)) & TABLES)
+    for name in names:
+        read(spark, sf_dir, name).createOrReplaceTempView(f"given_{name}")
+    return spark.sql(re.sub(r"\b(FROM|JOIN) (\w+)", lambda m: f"{m[1]} given_{m[2]}" if m[2] in TABLES else m[0], sql))
+
+
 def inline(spark, columns: str, values: str):
     """Rows of an SQL VALUES list, which the SQL form reads as well."""
     return spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})")
@@ -109,3 +120,22 @@ def terms_of(spark, sf_dir: str):
 
     phrases = read(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", PHRASES.replace("\\n", "\n"))).alias("i", "p"))
     return phrases.select((F.col("item_id") * 1000 + F.col("i")).alias("term_id"), F.trim("p").alias("term")).filter("term <> ''")
+
+
+def sql_language(table: str = "documents", threshold: float = 0.9, margin: float = 0.2) -> str:
+    """CTEs that fit trigrams on the labelled documents and end in gate (doc_id, is_english)."""
+    from ..operators.language import EVIDENCE, LANGUAGES, OTHERS, SAMPLE, SMOOTHING
+
+    each = lambda f, sep=", ": sep.join(f.format(c=c) for c in LANGUAGES)
+    grams = "unnest(list_transform(range(1, len(a) - 1), lambda i: a[i] || a[i + 1] || a[i + 2]))"
+    others = ", ".join(f"p_{c}" for c in LANGUAGES if c != "en")
+    return f"""spelled AS (SELECT doc_id, text, lang, string_split(' ' || trim(regexp_replace(lower(text), '{OTHERS}', ' ', 'g')) || ' ', '') AS a FROM {table} WHERE text IS NOT NULL),
+sample AS (SELECT lang, a FROM spelled WHERE lang IN ({each("'{c}'")}) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id::VARCHAR), doc_id) <= {SAMPLE}),
+sample_counts AS (SELECT gram, {each("count(*) FILTER (lang = '{c}') AS {c}")} FROM (SELECT lang, {grams} AS gram FROM sample WHERE len(a) > 2) GROUP BY gram),
+sample_totals AS (SELECT {each("coalesce(sum({c}), 0) AS n_{c}")}, count(*) AS kinds FROM sample_counts),
+model AS (SELECT gram, {each("ln(({c} + " + str(SMOOTHING) + "::DOUBLE) / (n_{c} + " + str(SMOOTHING) + "::DOUBLE * (kinds + 1))) AS {c}")} FROM (SELECT * FROM sample_counts UNION ALL SELECT '', {each("0")}), sample_totals),
+summed AS (SELECT doc_id, count(*) AS n, {each("sum(coalesce(m.{c}, u.{c})) AS s_{c}")} FROM (SELECT doc_id, {grams} AS gram FROM spelled WHERE len(a) > 2) LEFT JOIN model m USING (gram), (SELECT * FROM model WHERE gram = '') u GROUP BY doc_id),
+powers AS (SELECT doc_id, {each("exp((s_{c} - greatest(" + each("s_{c}") + ")) / n * least(n, " + str(EVIDENCE) + ")) AS e_{c}")} FROM summed),
+told AS (SELECT doc_id, {each("e_{c} / (" + each("e_{c}", " + ") + ") AS p_{c}")} FROM powers),
+held AS (SELECT doc_id, text, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS plain, p_en, greatest({others}) AS p_other FROM {table} LEFT JOIN told USING (doc_id)),
+gate AS (SELECT doc_id, text, text IS NULL OR coalesce(length(plain) >= 20 AND len(string_split(plain, ' ')) >= 3 AND p_en >= {threshold} AND p_en - p_other >= {margin}, false) AS is_english FROM held)"""

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import PLATES
-from ..operators import detect, layout, masking, matching
-from .base import TERMS, TOKENS, inline, query, read, terms_of, text
+from ..operators import detect, language, layout, masking, matching
+from .base import TERMS, TOKENS, inline, query, read, sql_language, terms_of, text
 
 
 def _found(table: str, key: str, column: str, name: str) -> str:
@@ -105,11 +105,23 @@ def _hits(lang: str) -> str:
     return f"len(list_filter(ws, lambda w: list_contains([{', '.join(map(text, detect.FUNCTION_WORDS[lang]))}], w)))::DOUBLE"
 
 
-@query(f"""WITH w AS (SELECT doc_id, text, regexp_split_to_array(lower(text), '[^\\p{{L}}]+') AS ws FROM documents),
+def function_words() -> str:
+    """CTEs that end in gate (doc_id, text, is_english), by shares of function words."""
+    return f"""w AS (SELECT doc_id, text, regexp_split_to_array(lower(text), '[^\\p{{L}}]+') AS ws FROM documents),
 h AS (SELECT doc_id, text, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS plain, {', '.join(f'{_hits(k)} AS {k}' for k in detect.FUNCTION_WORDS)} FROM w),
-s AS (SELECT *, en + fr + de + es AS total FROM h)
-SELECT doc_id, text IS NULL OR coalesce(length(plain) >= 20 AND len(string_split(plain, ' ')) >= 3 AND total > 0 AND en / total >= 0.9 AND (en - greatest(fr, de, es)) / total >= 0.2, false) AS is_english FROM s""")
+s AS (SELECT *, en + fr + de + es AS total FROM h),
+gate AS (SELECT doc_id, text, text IS NULL OR coalesce(length(plain) >= 20 AND len(string_split(plain, ' ')) >= 3 AND total > 0 AND en / total >= 0.9 AND (en - greatest(fr, de, es)) / total >= 0.2, false) AS is_english FROM s)"""
+
+
+@query(f"WITH {sql_language()} SELECT doc_id, is_english FROM gate")
 def language_gate(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language.is_language(docs, language.fit(docs)).select("doc_id", "is_english")
+
+
+@query(f"WITH {function_words()} SELECT doc_id, is_english FROM gate")
+def language_by_words(spark, sf_dir):
+    """The gate without a fitted model."""
     return detect.with_language(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "is_english")
 
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
+from ..functions import raster
 from ..operators import images, rules
 from ..operators.matching import ocr_matches
 from .base import TERM_SQL, inline, query, read, sql_words, terms_of, text
@@ -197,3 +200,21 @@ def set_operations(spark, sf_dir):
     a, b = read(spark, sf_dir, "documents").select("doc_id"), read(spark, sf_dir, "labels").select("doc_id")
     n = lambda df, side: df.agg(F.count("*").alias("n")).select(F.lit(side).alias("side"), "n")
     return n(a.exceptAll(b), "only documents").unionByName(n(a.intersect(b), "both")).unionByName(n(a.union(b).distinct(), "either"))
+
+
+_grey = "list_transform(embedding, lambda e: CAST(floor((CAST(e AS DOUBLE) + 1) * 100) AS INT))"
+
+
+@query(f"""SELECT vec_id, sha256(encode((len(g) // 8)::VARCHAR || 'x8:') || unhex(array_to_string(list_transform(g, lambda v: repeat(printf('%02x', v), 3)), ''))) AS content_hash, 3 AS n_images, 3 AS n_contents
+FROM (SELECT vec_id, {_grey} AS g FROM embeddings)""")
+def image_rasters(spark, sf_dir):
+    """Vectors as grey images of eight rows, each stored in three encodings: one image by its pixels."""
+
+    def stored(grey: pd.Series, kind: pd.Series) -> pd.Series:
+        return pd.Series([raster.encoded(np.array(g, np.uint8).reshape(8, -1), int(k), 9 - 2 * int(k)) for g, k in zip(grey, kind, strict=True)], dtype=object)
+
+    grey = F.transform("embedding", lambda e: F.floor((e.cast("double") + 1) * 100).cast("int"))
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", grey.alias("grey"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(4))).alias("kind"))
+    kept = rows.select("vec_id", F.pandas_udf(stored, "binary")("grey", "kind").alias("content"))
+    seen = images.with_pixel_hash(kept).groupBy("vec_id", "content_hash")
+    return seen.agg(F.count("*").cast("int").alias("n_images"), F.countDistinct("content").cast("int").alias("n_contents"))

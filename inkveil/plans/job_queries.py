@@ -244,6 +244,18 @@ def latency_percentiles(spark, sf_dir):
     return metrics.percentiles(read(spark, sf_dir, "events"), "event_type", "value")
 
 
+@query("SELECT event_type, count(*) AS n, 'p' || p AS point, true AS near FROM events, (VALUES (50), (95), (99)) t(p) GROUP BY event_type, p")
+def latency_sketches(spark, sf_dir):
+    """Sketches by the hour merged by type: each quantile's rank in the values is within 2 % of its point."""
+    e = read(spark, sf_dir, "events")
+    hourly = metrics.sketches(e.withColumn("hour", F.date_trunc("hour", "ts")), ["event_type", "hour"], "value")
+    told = metrics.sketched_percentiles(metrics.merged(hourly, ["event_type"]))
+    each = told.select("event_type", "n", F.explode(F.create_map(*[x for p in ("p50", "p95", "p99") for x in (F.lit(p), F.col(p))])).alias("point", "q"))
+    ranks = e.select("event_type", "value").join(F.broadcast(each), "event_type").groupBy("event_type", "n", "point", "q").agg(F.avg((F.col("value") <= F.col("q")).cast("double")).alias("high"), F.avg((F.col("value") < F.col("q")).cast("double")).alias("low"))
+    p = F.substring("point", 2, 2).cast("double") / 100
+    return ranks.select("event_type", "n", "point", ((F.col("low") <= p + 0.02) & (F.col("high") >= p - 0.02)).alias("near"))
+
+
 @query("SELECT event_type, count(*) FILTER (value > 20) AS successes, count(*) FILTER (value <= 20) AS failures, count(*) FILTER (value > 20) / (epoch(max(ts) - min(ts))) AS per_second FROM events GROUP BY event_type")
 def outcome_throughput(spark, sf_dir):
     wall = (F.unix_micros(F.max(F.col("ts").cast("timestamp"))) - F.unix_micros(F.min(F.col("ts").cast("timestamp")))) / 1e6

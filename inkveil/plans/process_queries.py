@@ -4,20 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import detect, images, jobs, processor
-from .base import TERM_SQL, TERMS, TOKENS, inline, query, read
-from .detect_queries import _found, _hits
+from ..operators import detect, images, jobs, language, processor
+from .base import TERM_SQL, TERMS, TOKENS, inline, query, read, sql_language
+from .detect_queries import _found
 
 RULES = [{"kind": "pattern", "name": n, "pattern": n} for n in ("email", "phone", "card", "ip")]
 _all = " UNION ALL ".join(_found("documents", "doc_id", "text", r["name"]) for r in RULES)
-GATE = f"""w AS (SELECT doc_id, text, regexp_split_to_array(lower(text), '[^\\p{{L}}]+') AS ws FROM documents),
-h AS (SELECT doc_id, text, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS plain, {', '.join(f'{_hits(k)} AS {k}' for k in detect.FUNCTION_WORDS)} FROM w),
-gate AS (SELECT doc_id, text IS NULL OR coalesce(length(plain) >= 20 AND len(string_split(plain, ' ')) >= 3 AND en + fr + de + es > 0 AND en / (en + fr + de + es) >= 0.9 AND (en - greatest(fr, de, es)) / (en + fr + de + es) >= 0.2, false) AS is_english FROM h)"""
+GATE = sql_language()
 WANTED = f"wanted AS (SELECT DISTINCT doc_id, replace(term, chr(10), ' ') AS term FROM ({_all}) SEMI JOIN (SELECT doc_id FROM gate WHERE is_english) USING (doc_id))"
 OWN = TERMS.replace(TERM_SQL, "SELECT DISTINCT md5(term) AS term_id, term FROM wanted")
 ANALYSE = f"{GATE}, {WANTED}, {TOKENS[1:]}{OWN}"
 
 
+def _model(spark, sf_dir):
+    return language.fit(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def _docs(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", "text")
 
@@ -26,7 +28,7 @@ def _docs(spark, sf_dir):
 SELECT doc_id, CASE WHEN is_english THEN 'ANALYSED' ELSE 'BLOCKED' END AS status, coalesce(t.n, 0) AS n_terms, coalesce(p.n, 0) AS n_boxes
 FROM gate LEFT JOIN (SELECT doc_id, count(*) AS n FROM wanted GROUP BY doc_id) t USING (doc_id) LEFT JOIN p USING (doc_id)""")
 def analyse_documents(spark, sf_dir):
-    return processor.processor("text").analyse(_docs(spark, sf_dir), RULES)[1]
+    return processor.processor("text").analyse(_docs(spark, sf_dir), RULES, _model(spark, sf_dir))[1]
 
 
 @query(f"""WITH {ANALYSE}, own AS (SELECT DISTINCT s.doc_id, line_no, unnest(range(first, last + 1)) AS pos FROM spans s JOIN (SELECT doc_id, md5(term) AS term_id FROM wanted) USING (doc_id, term_id)),
@@ -35,7 +37,7 @@ SELECT doc_id, coalesce(n, 0) AS n_redactions, CASE WHEN coalesce(n, 0) > 0 THEN
 def process_documents(spark, sf_dir):
     """Analysed, all proposals accepted, and redacted."""
     text_files = processor.processor("text")
-    proposed, _ = text_files.analyse(_docs(spark, sf_dir), RULES)
+    proposed, _ = text_files.analyse(_docs(spark, sf_dir), RULES, _model(spark, sf_dir))
     return text_files.redact(_docs(spark, sf_dir), proposed)[1]
 
 

@@ -175,3 +175,20 @@ HYPHENS = [("seen by Mary Hugh", "Mary Hugh-Williams", True), ("Hugh", "Hugh-Wil
 def match_hyphen(spark, sf_dir):
     rows = spark.createDataFrame([(i, *r) for i, r in enumerate(HYPHENS)], "id int, line string, term string, expected boolean")
     return rows.withColumn("matched", matching.hyphen_tail(normalised_words(F.col("line")), normalised_words(F.col("term"))))
+
+
+@query(f"WITH {TOKENS[1:]} SELECT doc_id, line_no // 20 AS sheet, CAST(row_number() OVER (PARTITION BY doc_id, line_no // 20 ORDER BY gpos) - 1 AS INT) AS seq, CAST(line_no % 20 // 10 AS INT) AS column_no, word FROM tokens")
+def reading_order(spark, sf_dir):
+    """Pages laid side by side on sheets, two columns each, words uneven in height and in no order:
+    the order comes back from the boxes alone."""
+    from pyspark.sql import Window
+
+    words = layout.tokens(read(spark, sf_dir, "documents"))
+    ahead = F.coalesce(F.sum(F.length("word") + 1).over(Window.partitionBy("doc_id", "line_no").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sheet, side = F.floor(F.col("line_no") / 20), F.floor(F.col("line_no") % 20 / 10)
+    first = F.min(side).over(Window.partitionBy("doc_id", sheet))
+    x0 = ahead + side * 10_000_000  # wider than any line
+    y0 = layout.line_top(F.col("line_no")) + F.col("pos") % 3
+    boxes = words.select(F.struct("doc_id", sheet.alias("sheet")).alias("page"), x0.cast("double").alias("x0"), y0.alias("y0"), (x0 + F.length("word")).cast("double").alias("x1"), (y0 + layout.LINE_HEIGHT).alias("y1"), "word", first.alias("first"))
+    read_ = layout.reading_order(boxes.select("page", "x0", "y0", "x1", "y1", "word", "first").repartition(F.xxhash64("word")), "page")
+    return read_.select("page.doc_id", "page.sheet", "seq", (F.col("column_no") + F.col("first")).cast("int").alias("column_no"), "word")
