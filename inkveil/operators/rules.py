@@ -43,6 +43,11 @@ def duplicates(rules: DataFrame) -> DataFrame:
     return rules.groupBy("config", "name").agg(F.count("*").alias("n")).filter("n > 1")
 
 
+def duplicate_types(registered: DataFrame) -> DataFrame:
+    """(type_name, providers) of types that several providers register (type_name, provider): each is an error."""
+    return registered.groupBy("type_name").agg(F.array_sort(F.collect_set("provider")).alias("providers")).filter("size(providers) > 1")
+
+
 def applicable(rules: DataFrame, file_kind: str) -> DataFrame:
     return rules.filter(F.col("redactor_type").isin(*APPLICABLE[file_kind]))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import PUNCT, job_base, job_version, pdf_date, service_label, snake_case
 from ..operators import evaluation, jobs, metrics
-from .base import inline, query, read, text
+from .base import derived, query, read, text
 
 # Proposals are the e-mails, phones and addresses of documents; finals those of even documents, a few of them missing.
 PROPOSED = """proposed AS (SELECT doc_id, i // 3 AS page_no, terms[i + 1] AS text, (20 * i)::DOUBLE AS y0, (20 * i + 10)::DOUBLE AS y1, i FROM
@@ -61,15 +61,17 @@ def annotation_counts(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id").join(proposed, "doc_id", "left").groupBy("doc_id").agg(F.count("text").alias("n_annotations"), F.countDistinct("page_no").alias("n_pages"))
 
 
-IDS = "('a:5-170'), ('uuid:5'), ('..x|y?.'), ('b:x-1'), ('c:2-3-4'), ('d:1:2'), ('tab' || chr(9) || 'e<f>'), ('" + "z" * 61 + "'), (CAST(NULL AS STRING)), ('p:12-99')"
+#: Ids of jobs, from events: with a version, without, with characters that folders can't have, too long, none.
+IDS = """SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'a' || user_id || ':' || (event_id % 50) || '-' || event_id WHEN 1 THEN 'uuid' || event_id || ':5' WHEN 2 THEN '..' || event_type || '|y?' || user_id || '.' WHEN 3 THEN 'b' || user_id || ':x-1'
+ WHEN 4 THEN 'c:' || user_id || '-3-4' WHEN 5 THEN 'tab' || chr(9) || event_type || '<f>' || event_id WHEN 6 THEN repeat('z', CAST(event_id % 97 AS INT)) END AS id FROM events"""
 _clean = """trim(regexp_replace(regexp_replace({0}, '[\\x00-\\x1f\\x7f]', '', 'g'), '["\\\\:|<>*?]', '-', 'g'), '.')"""
 _version = "CASE WHEN len(string_split(id, ':')) = 2 AND len(string_split(string_split(id, ':')[2], '-')) = 2 AND regexp_full_match(string_split(string_split(id, ':')[2], '-')[1], '[0-9]+') THEN CAST(string_split(string_split(id, ':')[2], '-')[1] AS INT) END"
 
 
-@query(f"SELECT id, CASE WHEN length(id) <= 60 THEN {_clean.format('id')} END AS folder, CASE WHEN {_version} IS NOT NULL THEN {_clean.format("string_split(id, ':')[1]")} ELSE {_clean.format('id')} END AS base, {_version} AS version FROM (VALUES {IDS.replace('STRING', 'VARCHAR')}) t(id)")
+@query(f"SELECT event_id, id, CASE WHEN length(id) <= 60 THEN {_clean.format('id')} END AS folder, CASE WHEN {_version} IS NOT NULL THEN {_clean.format("string_split(id, ':')[1]")} ELSE {_clean.format('id')} END AS base, {_version} AS version FROM ({IDS})")
 def job_ids(spark, sf_dir):
     i = F.col("id")
-    return inline(spark, "id", IDS).select("id", jobs.job_folder(i).alias("folder"), job_base(i).alias("base"), job_version(i).alias("version"))
+    return derived(spark, sf_dir, IDS).select("event_id", "id", jobs.job_folder(i).alias("folder"), job_base(i).alias("base"), job_version(i).alias("version"))
 
 
 # Blobs of jobs, from events: a user is a job, its events are versions.
@@ -146,42 +148,51 @@ def retention_tier(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", jobs.retention(container, F.col("event_id") % 90).alias("tier"))
 
 
-RESPONSES = "('1', 'ANALYSE', CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING)), ('2', 'REDACT', 'boom', NULL, 'no metrics', NULL, 'no log'), ('3', 'SANITISE', NULL, 'bus down', NULL, NULL, NULL)"
+#: Ended jobs, from events: some failed, some with faults beside.
+RESPONSES = """SELECT CAST(event_id AS STRING) AS job_id, CASE event_id % 3 WHEN 0 THEN 'ANALYSE' WHEN 1 THEN 'REDACT' ELSE 'SANITISE' END AS stage, CASE WHEN event_id % 4 = 0 THEN event_type || ' failed' END AS error,
+ CASE WHEN event_id % 5 = 0 THEN 'bus down' END AS bus_warning, CASE WHEN event_id % 7 = 0 THEN 'no metrics of ' || user_id END AS metrics_warning, CASE WHEN event_id % 11 = 0 THEN 'no exceptions' END AS exception_warning, CASE WHEN event_id % 13 = 0 THEN 'no log' END AS log_warning FROM events"""
 
 
 @query(f"""SELECT job_id, stage, CASE WHEN error IS NULL THEN 'SUCCESS' ELSE 'FAIL' END AS status, CASE WHEN error IS NOT NULL THEN 'Redaction process failed with the following error: ' || error || CASE WHEN w <> '' THEN chr(10) || 'Additionally, the following non-fatal errors occurred:' || chr(10) || w ELSE '' END
-  WHEN w <> '' THEN 'Redaction process completed successfully, but had some non-fatal errors:' || chr(10) || w ELSE 'Redaction process complete' END AS message FROM (VALUES {RESPONSES.replace('STRING', 'VARCHAR')}) t(job_id, stage, error, a, b, c, d), LATERAL (SELECT concat_ws(chr(10), a, b, c, d) AS w)""")
+  WHEN w <> '' THEN 'Redaction process completed successfully, but had some non-fatal errors:' || chr(10) || w ELSE 'Redaction process complete' END AS message FROM ({RESPONSES}), LATERAL (SELECT concat_ws(chr(10), bus_warning, metrics_warning, exception_warning, log_warning) AS w)""")
 def job_response(spark, sf_dir):
-    return jobs.responses(inline(spark, "job_id, stage, error, bus_warning, metrics_warning, exception_warning, log_warning", RESPONSES))
+    return jobs.responses(derived(spark, sf_dir, RESPONSES))
 
 
-BODIES = [(1, '{"fileKind":"pdf","extra":1}'), (2, "{bad"), (3, '{"fileKind":"pdf","service":"ALPHA","readDetails":{"storageKind":"AzureBlob","properties":{"a":"b"}}}'), (4, '{"service":"NONE","writeDetails":{"storageKind":"AzureBlob"}}'), (5, '{"fileKind":"pdf","readDetails":{"properties":{}}}')]
+#: Bodies of requests, from events: whole, not JSON, with parts missing or unknown.
+BODIES = """SELECT event_id AS id, CASE event_id % 5 WHEN 0 THEN '{"fileKind":"pdf","extra":' || user_id || '}' WHEN 1 THEN '{bad' || event_type WHEN 2 THEN '{"fileKind":"pdf","service":"ALPHA","readDetails":{"storageKind":"AzureBlob","properties":{"a":"' || event_type || '"}}}'
+ WHEN 3 THEN '{"service":"NONE","writeDetails":{"storageKind":"AzureBlob"}}' ELSE '{"fileKind":"pdf","readDetails":{"properties":{}}}' END AS body FROM events"""
 
 
-@query("SELECT * FROM (VALUES (1, ''), (2, 'not JSON; fileKind is missing'), (3, ''), (4, 'fileKind is missing; service is unknown; writeDetails.properties is missing'), (5, 'readDetails.storageKind is missing')) t(id, errors)")
+@query("SELECT event_id AS id, CASE event_id % 5 WHEN 1 THEN 'not JSON; fileKind is missing' WHEN 3 THEN 'fileKind is missing; service is unknown; writeDetails.properties is missing' WHEN 4 THEN 'readDetails.storageKind is missing' ELSE '' END AS errors FROM events")
 def payload_errors(spark, sf_dir):
-    return spark.createDataFrame(BODIES, "id int, body string").select("id", F.array_join(jobs.payload_errors(F.col("body")), "; ").alias("errors"))
+    return derived(spark, sf_dir, BODIES).select("id", F.array_join(jobs.payload_errors(F.col("body")), "; ").alias("errors"))
 
 
-@query("SELECT route, CASE route WHEN 'redact' THEN 'ANALYSE' WHEN 'apply' THEN 'REDACT' WHEN 'sanitise' THEN 'SANITISE' END AS stage FROM (VALUES ('redact'), ('apply'), ('sanitise'), ('other')) t(route)")
+ROUTES = "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'redact' WHEN 1 THEN 'apply' WHEN 2 THEN 'sanitise' ELSE event_type END AS route FROM events"
+
+
+@query(f"SELECT event_id, route, CASE route WHEN 'redact' THEN 'ANALYSE' WHEN 'apply' THEN 'REDACT' WHEN 'sanitise' THEN 'SANITISE' END AS stage FROM ({ROUTES})")
 def request_routes(spark, sf_dir):
-    return inline(spark, "route", "('redact'), ('apply'), ('sanitise'), ('other')").withColumn("stage", jobs.stage_of(F.col("route")))
+    return derived(spark, sf_dir, ROUTES).withColumn("stage", jobs.stage_of(F.col("route")))
 
 
-STATUSES = """(1, '{"runtimeStatus":"Failed"}'), (2, '{"runtimeStatus":"Completed","output":{"status":"FAIL"}}'), (3, '{"runtimeStatus":"Completed","output":{"status":"SUCCESS"}}'), (4, '{"runtimeStatus":"Running","errorMessage":"x"}'), (5, '{"runtimeStatus":"Terminated"}'), (6, '{}')"""
+#: What the orchestrator says of jobs, from events.
+STATUSES = """SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN '{"runtimeStatus":"Failed"}' WHEN 1 THEN '{"runtimeStatus":"Completed","output":{"status":"FAIL","by":"' || event_type || '"}}' WHEN 2 THEN '{"runtimeStatus":"Completed","output":{"status":"SUCCESS"}}'
+ WHEN 3 THEN '{"runtimeStatus":"Running","errorMessage":"' || CASE WHEN user_id % 2 = 0 THEN event_type ELSE '' END || '"}' WHEN 4 THEN '{"runtimeStatus":"Terminated"}' ELSE '{}' END AS s FROM events"""
 
 
-@query(f"SELECT id, coalesce(json_extract_string(s, '$.runtimeStatus') IN ('Failed', 'Terminated'), false) OR coalesce(length(json_extract_string(s, '$.errorMessage')) > 0, false) OR coalesce(json_extract_string(s, '$.output.status') = 'FAIL', false) AS failed FROM (VALUES {STATUSES}) t(id, s)")
+@query(f"SELECT id, coalesce(json_extract_string(s, '$.runtimeStatus') IN ('Failed', 'Terminated'), false) OR coalesce(length(json_extract_string(s, '$.errorMessage')) > 0, false) OR coalesce(json_extract_string(s, '$.output.status') = 'FAIL', false) AS failed FROM ({STATUSES})")
 def job_outcomes(spark, sf_dir):
-    return inline(spark, "id, s", STATUSES).select("id", jobs.is_app_failure(F.col("s")).alias("failed"))
+    return derived(spark, sf_dir, STATUSES).select("id", jobs.is_app_failure(F.col("s")).alias("failed"))
 
 
-CODES = "(200), (404), (408), (429), (500), (503), (301)"
+CODES = "SELECT event_id, CAST(200 + event_id % 400 AS INT) AS code FROM events"
 
 
-@query(f"SELECT code, code >= 500 OR code IN (408, 429) AS fault FROM (VALUES {CODES}) t(code)")
+@query(f"SELECT event_id, code, code >= 500 OR code IN (408, 429) AS fault FROM ({CODES})")
 def service_faults(spark, sf_dir):
-    return inline(spark, "code", CODES).select("code", jobs.is_service_fault(F.col("code")).alias("fault"))
+    return derived(spark, sf_dir, CODES).select("event_id", "code", jobs.is_service_fault(F.col("code")).alias("fault"))
 
 
 @query("SELECT user_id AS job_id, md5(string_agg(event_type || ' ' || event_id, chr(10) || chr(10) || chr(10) ORDER BY event_id)) AS log_md5 FROM events GROUP BY user_id")
@@ -225,18 +236,22 @@ def budget_cutoff(spark, sf_dir):
     return metrics.within_budget(_calls(spark, sf_dir), "conv_id", "turn", 0.05).select("conv_id", "turn", F.round("cost", 6).alias("cost"))
 
 
-WANTED = "('gpt-4.1', CAST(NULL AS BIGINT), 0L), ('gpt-4.1', 5000000L, 10L), ('gpt-5.6-luna', 0L, 9999L), ('none', 1L, 1L)"
+#: Limits asked for, from conversations: none, too small, within the quota and past it, and of a model that isn't known.
+WANTED = """SELECT CASE turn % 3 WHEN 0 THEN 'gpt-4.1' WHEN 1 THEN 'gpt-5.6-luna' ELSE 'none' END AS model, CASE WHEN conv_id % 4 = 0 THEN NULL ELSE CAST(length(text) * 5000 AS BIGINT) END AS tokens, CAST(conv_id % 3 * length(text) * 9 AS BIGINT) AS requests FROM conversations"""
 
 
-@query(f"""WITH m(model, tl, rl) AS (VALUES {', '.join(f"('{m[0]}', {m[1]}, {m[2]})" for m in metrics.MODELS)}), w(model, t, r) AS (VALUES {WANTED.replace('L', '').replace('NU)', 'NULL)').replace('CAST(NU AS', 'CAST(NULL AS')})
+@query(f"""WITH m(model, tl, rl) AS (VALUES {', '.join(f"('{m[0]}', {m[1]}, {m[2]})" for m in metrics.MODELS)}), w AS (SELECT model, tokens AS t, requests AS r FROM ({WANTED}))
 SELECT model, CAST(CASE WHEN t IS NULL OR t < 1 THEN floor(tl * 0.5) WHEN tl IS NULL THEN t ELSE least(t, tl) END AS BIGINT) AS tokens, CAST(CASE WHEN r IS NULL OR r < 1 THEN floor(rl * 0.5) WHEN rl IS NULL THEN r ELSE least(r, rl) END AS BIGINT) AS requests, tl IS NOT NULL AS known FROM w LEFT JOIN m USING (model)""")
 def model_limits(spark, sf_dir):
-    return metrics.limits(inline(spark, "model, tokens, requests", WANTED), spark.createDataFrame(metrics.MODELS, metrics.MODEL_COLUMNS))
+    return metrics.limits(derived(spark, sf_dir, WANTED), spark.createDataFrame(metrics.MODELS, metrics.MODEL_COLUMNS))
+
 
+ROOM = "SELECT conv_id * 1000 + turn AS id, CAST(200 + length(text) AS INT) AS base FROM conversations"
 
-@query("SELECT id, CAST(attempt AS INT) AS attempt, CAST(least(base * pow(2, attempt), 8000) AS BIGINT) AS max_tokens FROM (VALUES (1, 1024), (2, 5000)) t(id, base), range(10) r(attempt)")
+
+@query(f"SELECT id, CAST(attempt AS INT) AS attempt, CAST(least(base * pow(2, attempt), 8000) AS BIGINT) AS max_tokens FROM ({ROOM}), range(10) r(attempt)")
 def retry_ladder(spark, sf_dir):
-    return metrics.retry_ladder(inline(spark, "id, base", "(1, 1024), (2, 5000)"))
+    return metrics.retry_ladder(derived(spark, sf_dir, ROOM))
 
 
 @query("SELECT event_type, min(value) AS min, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99, max(value) AS max, avg(value) AS mean FROM events GROUP BY event_type")
@@ -275,25 +290,28 @@ def text_volume(spark, sf_dir):
     return metrics.volume(read(spark, sf_dir, "documents"))
 
 
-CPUS = "(1, CAST(NULL AS INT), 8), (2, 100, 8), (3, 0, 8), (4, 50, 64), (5, -3, 1)"
+CPUS = "SELECT event_id AS id, CASE WHEN event_id % 5 > 0 THEN CAST(event_id % 120 - 7 AS INT) END AS asked, CAST(1 + user_id % 64 AS INT) AS cpus FROM events"
 
 
-@query(f"SELECT id, greatest(1, least(coalesce(asked, least(32, cpus + 4)), least(32, cpus + 4))) AS workers FROM (VALUES {CPUS}) t(id, asked, cpus)")
+@query(f"SELECT id, greatest(1, least(coalesce(asked, least(32, cpus + 4)), least(32, cpus + 4))) AS workers FROM ({CPUS})")
 def worker_counts(spark, sf_dir):
-    return inline(spark, "id, asked, cpus", CPUS).select("id", metrics.worker_count(F.col("asked"), F.col("cpus")).alias("workers"))
+    return derived(spark, sf_dir, CPUS).select("id", metrics.worker_count(F.col("asked"), F.col("cpus")).alias("workers"))
 
 
-NAMES = "('gpt-5.6-luna'), ('gpt-4.1'), ('gpt-4o-mini'), ('gpt-3.5'), ('davinci')"
+NAMES = "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'gpt-5.6-' WHEN 1 THEN 'gpt-4.1' WHEN 2 THEN 'gpt-4o-mini' WHEN 3 THEN 'gpt-3.5' WHEN 4 THEN 'davinci' ELSE '' END || event_type AS m FROM events"
 
 
-@query(f"SELECT m, CASE WHEN m LIKE 'gpt-5%' OR m LIKE 'gpt-4o%' THEN 'o200k_base' WHEN m LIKE 'gpt-4%' OR m LIKE 'gpt-3.5%' THEN 'cl100k_base' ELSE 'p50k_base' END AS encoding FROM (VALUES {NAMES}) t(m)")
+@query(f"SELECT event_id, m, CASE WHEN m LIKE 'gpt-5%' OR m LIKE 'gpt-4o%' THEN 'o200k_base' WHEN m LIKE 'gpt-4%' OR m LIKE 'gpt-3.5%' THEN 'cl100k_base' ELSE 'p50k_base' END AS encoding FROM ({NAMES})")
 def token_encodings(spark, sf_dir):
-    return inline(spark, "m", NAMES).select("m", metrics.encoding_of(F.col("m")).alias("encoding"))
+    return derived(spark, sf_dir, NAMES).select("event_id", "m", metrics.encoding_of(F.col("m")).alias("encoding"))
+
+
+KEYS = "SELECT event_id, event_type || upper(substr(event_type, 1, 1)) || substr(event_type, 2) || CASE event_id % 3 WHEN 0 THEN 'ID' WHEN 1 THEN 'Of' || user_id || 'X' ELSE '_asIs' END AS k FROM events"
 
 
-@query(r"SELECT k, lower(regexp_replace(k, '([a-z])([A-Z])', '\1_\2', 'g')) AS snake FROM (VALUES ('fileKind'), ('overrideId'), ('aBC'), ('already_snake'), ('X')) t(k)")
+@query(rf"SELECT event_id, k, lower(regexp_replace(k, '([a-z])([A-Z])', '\1_\2', 'g')) AS snake FROM ({KEYS})")
 def snake_case_keys(spark, sf_dir):
-    return inline(spark, "k", "('fileKind'), ('overrideId'), ('aBC'), ('already_snake'), ('X')").select("k", snake_case(F.col("k")).alias("snake"))
+    return derived(spark, sf_dir, KEYS).select("event_id", "k", snake_case(F.col("k")).alias("snake"))
 
 
 @query("SELECT o_orderkey, epoch_us(CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderdate END) AS us FROM orders")

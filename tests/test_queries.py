@@ -48,8 +48,8 @@ def test_truth_tables(spark):
 
 def test_payload_errors(spark):
     found = {r.id: r.errors for r in registry.queries()["payload_errors"](spark, SF).collect()}
-    assert found[1] == found[3] == ""
-    assert "not JSON" in found[2] and "fileKind is missing" in found[4] and "storageKind" in found[5]
+    assert found[0] == found[2] == ""
+    assert "not JSON" in found[1] and "fileKind is missing" in found[3] and "storageKind" in found[4]
 
 
 def test_stream_of_deadlines_equals_the_batch(spark):
