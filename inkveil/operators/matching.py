@@ -172,21 +172,30 @@ def rects(docs: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
     return spans.select(key, "term_id", "start", page_of(F.col("line_no")).alias("page_no"), "line_no", "x0", y0.alias("y0"), "x1", (y0 + LINE_HEIGHT).alias("y1"))
 
 
+def _bound(words: Column, term: Column, holds) -> Column:
+    """holds(words, term) with both worked out once, not at each element of the arrays in it."""
+    return F.transform(F.array(F.struct(words.alias("words"), term.alias("term"))), lambda x: holds(x["words"], x["term"]))[0]
+
+
 def in_line(words: Column, term: Column) -> Column:
     """Whether a line has a term, its words tolerated as plurals or possessives, and its outer
     ones fused to a neighbour by a missing space; one word must be equal or possessive."""
-    n = F.size(term)
-    at = F.sequence(F.lit(0), F.size(words) - n)
-    single = F.exists(words, lambda t: (t == term[0]) | (F.concat(term[0], F.lit("'s")) == t))
 
-    def fits(i: Column) -> Column:
-        pairs = F.zip_with(F.slice(words, i + 1, n), term, lambda t, w: F.struct(t.alias("t"), w.alias("w")))
-        return F.forall(
-            F.transform(pairs, lambda p, k: token_equals(p["t"], p["w"]) | ((k == 0) & fused_before(p["t"], p["w"])) | ((k == n - 1) & fused_after(p["t"], p["w"]))),
-            lambda ok: ok,
-        )
+    def holds(words: Column, term: Column) -> Column:
+        n = F.size(term)
+        at = F.sequence(F.lit(0), F.size(words) - n)
+        single = F.exists(words, lambda t: (t == term[0]) | (F.concat(term[0], F.lit("'s")) == t))
+
+        def fits(i: Column) -> Column:
+            pairs = F.zip_with(F.slice(words, i + 1, n), term, lambda t, w: F.struct(t.alias("t"), w.alias("w")))
+            return F.forall(
+                F.transform(pairs, lambda p, k: token_equals(p["t"], p["w"]) | ((k == 0) & fused_before(p["t"], p["w"])) | ((k == n - 1) & fused_after(p["t"], p["w"]))),
+                lambda ok: ok,
+            )
 
-    return F.when(n == 0, False).when(n == 1, single).when(F.size(words) < n, False).otherwise(F.exists(at, fits))
+        return F.when(n == 0, False).when(n == 1, single).when(F.size(words) < n, False).otherwise(F.exists(at, fits))
+
+    return _bound(words, term, holds)
 
 
 def hyphen_tail(words: Column, term: Column) -> Column:
@@ -195,18 +204,20 @@ def hyphen_tail(words: Column, term: Column) -> Column:
     The line's last word equals the head of a hyphenated word, or a later part of the
     head, and the term's words before it are the line's words before it.
     """
-    last = F.element_at(words, -1)
 
     def heads(word: Column) -> Column:
         parts = F.split(word, "-")
         head = F.slice(parts, 1, F.size(parts) - 1)
         return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(head))), lambda k: F.array_join(F.slice(head, k, F.size(head)), "-"))
 
-    def fits(word: Column, i: Column) -> Column:
-        before = (F.size(words) - 1 >= i) & (F.slice(words, F.greatest(F.lit(1), F.size(words) - i), i) == F.slice(term, 1, i))
-        return F.contains(word, F.lit("-")) & F.array_contains(heads(word), last) & before
+    def holds(words: Column, term: Column) -> Column:
+        def fits(word: Column, i: Column) -> Column:
+            before = (F.size(words) - 1 >= i) & (F.slice(words, F.greatest(F.lit(1), F.size(words) - i), i) == F.slice(term, 1, i))
+            return F.contains(word, F.lit("-")) & F.array_contains(heads(word), F.element_at(words, -1)) & before
+
+        return F.coalesce(F.exists(F.transform(term, fits), lambda ok: ok), F.lit(False))
 
-    return F.coalesce(F.exists(F.transform(term, fits), lambda ok: ok), F.lit(False))
+    return _bound(words, term, holds)
 
 
 def term_hits(terms: DataFrame, boxes: DataFrame) -> DataFrame:

@@ -46,11 +46,6 @@ def derived(spark, sf_dir: str, sql: str):
     return spark.sql(re.sub(r"\b(FROM|JOIN) (\w+)", lambda m: f"{m[1]} given_{m[2]}" if m[2] in TABLES else m[0], sql))
 
 
-def inline(spark, columns: str, values: str):
-    """Rows of an SQL VALUES list, which the SQL form reads as well."""
-    return spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})")
-
-
 _blank, _punct = chars(BLANK), text(PUNCT)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import PLATES
 from ..operators import detect, language, layout, masking, matching
-from .base import TERMS, TOKENS, inline, query, read, sql_language, terms_of, text
+from .base import TERMS, TOKENS, derived, query, read, sql_language, terms_of, text
 
 
 def _found(table: str, key: str, column: str, name: str) -> str:
@@ -26,9 +26,15 @@ def _register(name: str):
     query(_found("documents", "doc_id", "text", name))(f)
 
 
-for _name in ("email", "phone", "ip", "card", "secret", "licence", "url"):
+for _name in ("email", "phone", "ip", "card", "secret", "licence"):
     _register(_name)
 
+
+@query(_found("(SELECT page_id AS doc_id, url FROM pages)", "doc_id", "url", "url"))
+def detect_url(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("text"))
+    return detect.detect(pages, _rules("url"))
+
 PERSONAL = ("email", "phone", "ip", "card")
 UNION = " UNION ALL ".join(_found("documents", "doc_id", "text", n) for n in PERSONAL)
 
@@ -55,9 +61,15 @@ def _keyed(spark, sf_dir, table: str, key, column: str, *names: str):
     return detect.detect(docs, _rules(*names))
 
 
-@query("SELECT conv_id, rule_name, count(*) AS n FROM (" + " UNION ALL ".join(_found("conversations", "conv_id", "text", n) for n in PERSONAL) + ") GROUP BY conv_id, rule_name")
+_opening = r"[A-Z][a-z]+,? [a-z]+\."
+
+
+@query("SELECT conv_id, rule_name, count(*) AS n FROM (" + " UNION ALL ".join(_found("conversations", "conv_id", "text", n) for n in PERSONAL) + f" UNION ALL SELECT conv_id, 'short sentence', 0, unnest(regexp_extract_all(text, {text(_opening)})) FROM conversations) GROUP BY conv_id, rule_name")
 def detect_in_conversations(spark, sf_dir):
-    return _keyed(spark, sf_dir, "conversations", F.col("conv_id"), "text", *PERSONAL).groupBy(F.col("doc_id").alias("conv_id"), "rule_name").agg(F.count("*").alias("n"))
+    """Personal data, of which turns have none, and a rule's own pattern, of which they have some."""
+    turns = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "text")
+    found = detect.detect(turns, [*_rules(*PERSONAL), {"kind": "pattern", "name": "short sentence", "pattern": _opening}])
+    return found.groupBy(F.col("doc_id").alias("conv_id"), "rule_name").agg(F.count("*").alias("n"))
 
 
 @query("SELECT page_id, rule_name, count(*) AS n, min(term) AS first_term FROM (" + " UNION ALL ".join(_found("pages", "page_id", "html", n) for n in (*PERSONAL, "url")) + ") GROUP BY page_id, rule_name")
@@ -73,13 +85,15 @@ def detect_dictionary(spark, sf_dir):
     return detect.detect(read(spark, sf_dir, "documents"), [{"kind": "dictionary", "name": "insults", "words": WORDS}])
 
 
-PLATE_TEXTS = "(1, 'AB12 CDE'), (2, 'seen A12 BCD and ABC 1 D'), (3, 'ABO1 XYZ'), (4, '101 D 234'), (5, 'no plate here'), (6, 'AIZ 1234, 123 A'), (7, CAST(NULL AS STRING))"
+#: Vehicle registrations in texts, from events: of several formats, with letters read as digits, and none.
+PLATE_TEXTS = """SELECT event_id AS id, CASE event_id % 7 WHEN 0 THEN 'AB' || (10 + user_id % 90) || ' CDE' WHEN 1 THEN 'seen A' || (user_id % 1000) || ' BCD and ABC ' || (user_id % 10) || ' D' WHEN 2 THEN 'ABO' || (user_id % 10) || ' XYZ' WHEN 3 THEN (100 + user_id % 900) || ' D 234'
+ WHEN 4 THEN 'no plate here ' || event_type WHEN 5 THEN 'AIZ ' || (user_id % 10000) || ', 123 A' END AS s FROM events"""
 _plates = f"list_sort(list_distinct(list_concat(regexp_extract_all(translate(s, '01', 'OI'), {text('(' + PLATES + ')')}), regexp_extract_all(translate(s, 'OI', '01'), {text('(' + PLATES + ')')}))))"
 
 
-@query(f"SELECT id AS doc_id, 'plates' AS rule_name, CAST(unnest(range(len(f))) AS INT) AS ordinal, unnest(f) AS term FROM (SELECT id, {_plates} AS f FROM (VALUES {PLATE_TEXTS.replace('STRING', 'VARCHAR')}) t(id, s))")
+@query(f"SELECT id AS doc_id, 'plates' AS rule_name, CAST(unnest(range(len(f))) AS INT) AS ordinal, unnest(f) AS term FROM (SELECT id, {_plates} AS f FROM ({PLATE_TEXTS}))")
 def number_plates(spark, sf_dir):
-    docs = inline(spark, "id, s", PLATE_TEXTS).select(F.col("id").alias("doc_id"), F.col("s").alias("text"))
+    docs = derived(spark, sf_dir, PLATE_TEXTS).select(F.col("id").alias("doc_id"), F.col("s").alias("text"))
     return detect.detect(docs, [{"kind": "plate", "name": "plates"}])
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import PLATES
 from ..operators import detect, images, jobs, language, processor
-from .base import TERM_SQL, TERMS, TOKENS, inline, query, read, sql_language
+from .base import TERM_SQL, TERMS, TOKENS, derived, query, read, sql_language, sql_words, text
 from .detect_queries import _found
 
 RULES = [{"kind": "pattern", "name": n, "pattern": n} for n in ("email", "phone", "card", "ip")]
@@ -55,15 +56,32 @@ def detect_by_chunks(spark, sf_dir):
     return rows.select("doc_id", "rule_name", "term")
 
 
-OCR_WORDS = "(1, 0, 'car', 0D), (1, 1, 'AB12', 1D), (1, 2, 'CDE', 2D), (1, 3, 'parked', 3D), (2, 0, 'A8O1', 0D), (2, 1, 'XYZ', 1D), (3, 0, 'nothing', 0D), (5, 0, 'ABI2', 0D), (5, 1, 'CDE', 1D)"
-OCR_IMAGES = "(1, 100D, 50D, CAST(NULL AS STRING)), (2, 100D, 50D, NULL), (3, 100D, 50D, NULL), (4, 80D, 60D, 'timeout'), (5, 10D, 10D, NULL)"
+#: Words that text detection saw in images, from events: registrations over one or two words, in either reading, and none.
+OCR_WORDS = """SELECT event_id AS image_id, p AS at, CASE event_id % 4 WHEN 0 THEN CASE p WHEN 0 THEN 'car' WHEN 1 THEN 'AB' || (10 + user_id % 90) WHEN 2 THEN 'CDE' ELSE 'parked' END
+ WHEN 1 THEN CASE p WHEN 0 THEN 'A8O' || (user_id % 10) WHEN 1 THEN 'XYZ' WHEN 2 THEN '--' ELSE 'by' END WHEN 2 THEN 'nothing' ELSE CASE p WHEN 0 THEN 'ABI' || (user_id % 10) WHEN 1 THEN 'CDE,' WHEN 2 THEN 'or' ELSE 'K' || (user_id % 1000) || ' ABC' END END AS text
+ FROM (SELECT event_id, user_id, explode(array(0, 1, 2, 3)) AS p FROM events WHERE event_id % 9 > 0)"""
+OCR_IMAGES = "SELECT event_id AS image_id, CAST(100 AS DOUBLE) AS width, CAST(50 AS DOUBLE) AS height, CASE WHEN event_id % 9 = 0 THEN 'timeout' END AS error FROM events"
 
 
-@query(None)
+def _plate_hits(a: str, b: str) -> str:
+    """CTEs of one reading: the registrations of each image's text, and the words in a row that each covers."""
+    said = f"translate(text, '{a}', '{b}')"
+    return f"""SELECT s.image_id, s.term AS name, p.at::DOUBLE AS x0 FROM (
+  SELECT image_id, term, gpos - off AS start, any_value(n) AS n FROM (SELECT image_id, term, len(ws) AS n, unnest(range(len(ws))) AS off, unnest(ws) AS word FROM (SELECT image_id, term, {sql_words('term')} AS ws FROM (
+      SELECT image_id, unnest(list_distinct(regexp_extract_all(string_agg({said}, ' ' ORDER BY at), {text('(' + PLATES + ')')}))) AS term FROM words GROUP BY image_id))) t
+    JOIN (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY at) - 1 AS gpos FROM (SELECT image_id, at, {sql_words(said)}[1] AS word FROM words) WHERE word IS NOT NULL) w USING (image_id, word)
+    GROUP BY image_id, term, gpos - off HAVING count(*) = any_value(n)) s
+  JOIN (SELECT image_id, at, row_number() OVER (PARTITION BY image_id ORDER BY at) - 1 AS gpos FROM words WHERE len({sql_words(said)}) > 0) p ON p.image_id = s.image_id AND p.gpos BETWEEN s.start AND s.start + s.n - 1"""
+
+
+_words = OCR_WORDS.replace("explode(array(0, 1, 2, 3))", "unnest([0, 1, 2, 3])").replace(" AS at,", ' AS "at",')
+
+
+@query(f"""WITH words AS ({_words}) SELECT DISTINCT image_id, name, x0 FROM ({_plate_hits('01', 'OI')} UNION ALL {_plate_hits('OI', '01')} UNION ALL SELECT image_id, 'Text Detection Failed', 0 FROM ({OCR_IMAGES}) WHERE error IS NOT NULL)""".replace("ORDER BY at", 'ORDER BY "at"').replace("p.at::", 'p."at"::').replace("image_id, at,", 'image_id, "at",'))
 def plate_boxes(spark, sf_dir):
-    box = F.struct(F.col("x0").alias("x0"), F.lit(0.0).alias("y0"), (F.col("x0") + 1).alias("x1"), F.lit(1.0).alias("y1"))
-    words = inline(spark, "image_id, at, text, x0", OCR_WORDS).withColumn("box", box).drop("x0")
-    return images.plate_boxes(inline(spark, "image_id, width, height, error", OCR_IMAGES), words).select("image_id", "name", F.col("box.x0").alias("x0"))
+    box = F.struct(F.col("at").cast("double").alias("x0"), F.lit(0.0).alias("y0"), (F.col("at") + 1).cast("double").alias("x1"), F.lit(1.0).alias("y1"))
+    words = derived(spark, sf_dir, OCR_WORDS).withColumn("box", box)
+    return images.plate_boxes(derived(spark, sf_dir, OCR_IMAGES), words).select("image_id", "name", F.col("box.x0").alias("x0"))
 
 
 @query("SELECT CAST(event_id AS VARCHAR) AS id, 'ANALYSE' AS stage, ts + INTERVAL 1 DAY AS expires FROM events")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import collapsed, normalised, normalised_words, page_clean
 from ..operators import layout, matching
-from .base import LINES, TERM_SQL, TERMS, TOKENS, chars, inline, query, read, sql_clean, sql_normal, sql_words, terms_of
+from .base import LINES, TERM_SQL, TERMS, TOKENS, chars, derived, query, read, sql_clean, sql_normal, sql_words, terms_of
 
 
 @query(f"SELECT doc_id, len({sql_words('text')}) AS n_words, md5(array_to_string({sql_words('text')}, ' ')) AS words_md5, md5({sql_normal('text')}) AS text_md5 FROM documents")
@@ -15,13 +15,14 @@ def normalised_text(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.size(words).cast("long").alias("n_words"), F.md5(F.array_join(words, " ")).alias("words_md5"), F.md5(normalised(F.col("text"))).alias("text_md5"))
 
 
-FORMS = "(1, 'Hello, World! This is a test.'), (2, '“quotes” and ‘apostrophes’.'), (3, '   '), (4, 'François — Bob’s £5…'), (5, '«¿Qué?» don''t'), (6, CAST(NULL AS STRING))"
+#: Lines of documents among marks, accents and white space of several kinds.
+FORMS = "SELECT doc_id AS id, CASE doc_id % 5 WHEN 0 THEN '   ' || text || ' !' WHEN 1 THEN '“' || text || '” …' WHEN 2 THEN '«¿' || text || '?»' WHEN 3 THEN text || ' — Bob’s' ELSE text END AS s FROM documents"
 
 
-@query(f"SELECT id, array_to_string({sql_words('s')}, '|') AS words, {sql_normal('s')} AS plain, trim(regexp_replace(s, '\\s+', ' ', 'g')) AS collapsed FROM (VALUES {FORMS.replace('STRING', 'VARCHAR')}) t(id, s)")
+@query(f"SELECT id, md5(array_to_string({sql_words('s')}, '|')) AS words_md5, md5({sql_normal('s')}) AS plain_md5, md5(trim(regexp_replace(s, '\\s+', ' ', 'g'))) AS collapsed_md5 FROM ({FORMS})")
 def normal_forms(spark, sf_dir):
     s = F.col("s")
-    return inline(spark, "id, s", FORMS).select("id", F.array_join(normalised_words(s), "|").alias("words"), normalised(s).alias("plain"), collapsed(s).alias("collapsed"))
+    return derived(spark, sf_dir, FORMS).select("id", F.md5(F.array_join(normalised_words(s), "|")).alias("words_md5"), F.md5(normalised(s)).alias("plain_md5"), F.md5(collapsed(s)).alias("collapsed_md5"))
 
 
 @query(f"SELECT doc_id, length(nullif({sql_clean('text')}, '')) AS n, md5(nullif({sql_clean('text')}, '')) AS text_md5 FROM documents")
@@ -67,19 +68,28 @@ def line_continuation(spark, sf_dir):
     return layout.lines(read(spark, sf_dir, "documents")).select("doc_id", "line_no", F.md5(F.array_join(F.lead("words").over(w), " ")).alias("next_md5"), F.lead("page_no").over(w).alias("next_page"))
 
 
-RAW_WORDS = """(1, 1, 1, 0, 'Hello,', 0D, 0D, 5D, 10D), (1, 2, 1, 0, 'World!', 6D, 1D, 11D, 10D), (1, 3, 1, 1, '!!', 0D, 11D, 2D, 20D), (1, 4, 1, 2, 'Hey', 0D, 21D, 3D, 30D), (1, 5, 1, 2, 'there', 4D, 20D, 9D, 31D),
-(1, 6, 2, 0, 'new', 0D, 40D, 3D, 50D), (2, 1, 1, 0, 'one', 0D, 0D, 3D, 10D), (2, 2, 2, 0, 'two', 0D, 20D, 3D, 30D), (3, 1, 1, 0, '--', 0D, 0D, 3D, 10D)"""
+_raw_lines = "SELECT doc_id, CAST(unnest(range(len(ls))) AS INT) AS no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)"
+RAW_WORDS = f"""SELECT doc_id AS page_id, no * 100000 + k AS seq, no // 7 AS block_no, no % 7 AS line_no, w AS word, (10 * k)::DOUBLE AS x0, (20 * no + k % 3)::DOUBLE AS y0, (20 * no + 10 + k % 2)::DOUBLE AS y1
+FROM (SELECT doc_id, no, CAST(unnest(range(len(ws))) AS INT) AS k, unnest(ws) AS w FROM (SELECT doc_id, no, string_split(line, ' ') AS ws FROM ({_raw_lines})))"""
 
 
-@query(f"""WITH raw AS (SELECT * FROM (VALUES {RAW_WORDS.replace('D,', '::DOUBLE,').replace('D)', '::DOUBLE)')}) t(page_id, seq, block_no, line_no, word, x0, y0, x1, y1)),
+def _raw_words(spark, sf_dir):
+    """Words as a reader of pages gives them: marks and capitals kept, block and line by number."""
+    lines = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    words = lines.select("page_id", "no", F.posexplode(F.split("line", " ")).alias("k", "word"))
+    no, k = F.col("no"), F.col("k")
+    return words.select("page_id", (no * 100000 + k).alias("seq"), F.floor(no / 7).alias("block_no"), (no % 7).alias("line_no"), "word", (10.0 * k).alias("x0"), (20.0 * no + k % 3).alias("y0"), (10.0 * k + 9).alias("x1"), (20.0 * no + 10 + k % 2).alias("y1"))
+
+
+@query(f"""WITH raw AS ({RAW_WORDS}),
 flagged AS (SELECT *, CASE WHEN lag(block_no) OVER w <> block_no OR lag(line_no) OVER w <> line_no THEN 1 ELSE 0 END AS changed FROM raw WINDOW w AS (PARTITION BY page_id ORDER BY seq)),
 runs AS (SELECT *, sum(changed) OVER (PARTITION BY page_id ORDER BY seq) AS run, array_to_string({sql_words('word')}, ' ') AS plain FROM flagged),
 grouped AS (SELECT page_id, run, string_agg(plain, ' ' ORDER BY seq) AS words, string_agg(x0::INT::VARCHAR, ' ' ORDER BY seq) AS x0, min(y0) AS y0, max(y1) AS y1 FROM runs WHERE plain <> '' GROUP BY page_id, run)
-SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY run) - 1 AS line_number, words, x0, y0, y1 FROM grouped""")
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY run) - 1 AS line_number, md5(words) AS words_md5, md5(x0) AS x0_md5, y0, y1 FROM grouped""")
 def line_segmentation(spark, sf_dir):
-    raw = inline(spark, "page_id, seq, block_no, line_no, word, x0, y0, x1, y1", RAW_WORDS)
-    out = layout.segment_lines(raw)
-    return out.select("page_id", F.col("line_number").cast("long").alias("line_number"), F.array_join("words", " ").alias("words"), F.array_join(F.transform("x0", lambda x: x.cast("int").cast("string")), " ").alias("x0"), "y0", "y1")
+    out = layout.segment_lines(_raw_words(spark, sf_dir))
+    starts = F.array_join(F.transform("x0", lambda x: x.cast("int").cast("string")), " ")
+    return out.select("page_id", F.col("line_number").cast("long").alias("line_number"), F.md5(F.array_join("words", " ")).alias("words_md5"), F.md5(starts).alias("x0_md5"), "y0", "y1")
 
 
 FLAT = "replace(replace({}, chr(10), ' '), '  ', ' ')"
@@ -137,15 +147,13 @@ def rule_summary(spark, sf_dir):
     return matching.rule_summary(proposals, terms.join(boxes.select("term_id"), "term_id", "left_semi"))
 
 
-PROPOSED = "('names', 'Ann Lee'), ('contact', 'a@b.c'), ('contact', 'Ann Lee'), ('other', 'two\\nlines'), ('names', 'two lines')"
-RULES = "('names', 2, 'Names'), ('contact', 1, 'Contacts'), ('other', 0, CAST(NULL AS STRING))"
+PROPOSED = "SELECT event_type AS rule_name, CASE WHEN event_id % 2 = 0 THEN 'user' || chr(10) || user_id ELSE 'user ' || user_id END AS term FROM events WHERE event_id % 3 > 0"
+RULES = "SELECT event_type AS rule_name, CAST(min(event_id) AS INT) AS ordinal, CASE WHEN min(event_id) % 2 = 0 THEN upper(event_type) END AS label FROM events GROUP BY event_type"
 
 
-@query(f"""WITH p AS (SELECT rule_name, replace(term, chr(10), ' ') AS term FROM (VALUES {PROPOSED.replace("'two" + chr(92) + "nlines'", "'two' || chr(10) || 'lines'")}) t(rule_name, term)),
-r AS (SELECT * FROM (VALUES {RULES.replace('STRING', 'VARCHAR')}) t(rule_name, ordinal, label))
-SELECT term, min_by(coalesce(label, rule_name), ordinal) AS label FROM p JOIN r USING (rule_name) GROUP BY term""")
+@query(f"SELECT term, min_by(coalesce(label, rule_name), ordinal) AS label FROM (SELECT rule_name, replace(term, chr(10), ' ') AS term FROM ({PROPOSED})) JOIN ({RULES}) USING (rule_name) GROUP BY term")
 def term_label(spark, sf_dir):
-    return matching.term_labels(inline(spark, "rule_name, term", PROPOSED), inline(spark, "rule_name, ordinal, label", RULES))
+    return matching.term_labels(derived(spark, sf_dir, PROPOSED), derived(spark, sf_dir, RULES))
 
 
 #: Lines, terms and whether the line has the term.
@@ -156,25 +164,35 @@ TRUTH = [
 ]
 
 
-def _stated(rows) -> str:
+#: Lines, terms and whether the line ends with the beginning of the term up to a hyphen.
+HYPHENS = [("seen by Mary Hugh", "Mary Hugh-Williams", True), ("Hugh", "Hugh-Williams", True), ("by Hugh", "Mary Hugh-Williams", False), ("the two-part", "two-part-name", True), ("part", "two-part-name", True), ("name", "two-part-name", False), ("Mary", "Mary Hugh-Williams", False)]
+
+
+def _among(rows) -> str:
+    """Each stated case with the words of a document's first line ahead of it."""
     values = ", ".join(f"({i}, {chars(a) if a else repr('')}, {chars(b)}, {str(e).lower()})" for i, (a, b, e) in enumerate(rows))
-    return f"SELECT id, line, term, expected, expected AS matched FROM (VALUES {values}) t(id, line, term, expected)"
+    return f"""SELECT doc_id, id, md5(lead || line) AS line_md5, term, expected OR (len(string_split(term, ' ')) = 1 AND list_contains({sql_words('lead')}, lower(term))) AS matched
+FROM (SELECT doc_id, coalesce(regexp_replace(string_split(text, chr(10))[1], '[^A-Za-z ]', 'x', 'g'), '') || ' zz ' AS lead FROM documents), (VALUES {values}) t(id, line, term, expected)"""
 
 
-@query(_stated(TRUTH))
-def match_truth_table(spark, sf_dir):
-    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(TRUTH)], "id int, line string, term string, expected boolean")
-    return rows.withColumn("matched", matching.in_line(normalised_words(F.col("line")), normalised_words(F.col("term"))))
+def _cases(spark, sf_dir, rows):
+    cases = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(a).alias("line"), F.lit(b).alias("term")) for i, (a, b, _) in enumerate(rows)])
+    lead = F.concat(F.coalesce(F.regexp_replace(F.split("text", "\n")[0], "[^A-Za-z ]", "x"), F.lit("")), F.lit(" zz "))
+    held = read(spark, sf_dir, "documents").select("doc_id", lead.alias("lead"), F.explode(cases).alias("c"))
+    return held.select("doc_id", "c.id", F.concat("lead", "c.line").alias("line"), "c.term")
 
 
-#: Lines, terms and whether the line ends with the beginning of the term up to a hyphen.
-HYPHENS = [("seen by Mary Hugh", "Mary Hugh-Williams", True), ("Hugh", "Hugh-Williams", True), ("by Hugh", "Mary Hugh-Williams", False), ("the two-part", "two-part-name", True), ("part", "two-part-name", True), ("name", "two-part-name", False), ("Mary", "Mary Hugh-Williams", False)]
+@query(_among(TRUTH))
+def match_truth_table(spark, sf_dir):
+    """The stated cases at the end of a line of each document."""
+    return _cases(spark, sf_dir, TRUTH).select("doc_id", "id", F.md5("line").alias("line_md5"), "term", matching.in_line(normalised_words(F.col("line")), normalised_words(F.col("term"))).alias("matched"))
 
 
-@query(_stated(HYPHENS))
+@query(_among([h for h in HYPHENS if h[2]]))
 def match_hyphen(spark, sf_dir):
-    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(HYPHENS)], "id int, line string, term string, expected boolean")
-    return rows.withColumn("matched", matching.hyphen_tail(normalised_words(F.col("line")), normalised_words(F.col("term"))))
+    """The stated cases that hold, whatever stands before them on the line."""
+    rows = _cases(spark, sf_dir, [h for h in HYPHENS if h[2]])
+    return rows.select("doc_id", "id", F.md5("line").alias("line_md5"), "term", matching.hyphen_tail(normalised_words(F.col("line")), normalised_words(F.col("term"))).alias("matched"))
 
 
 @query(f"WITH {TOKENS[1:]} SELECT doc_id, line_no // 20 AS sheet, CAST(row_number() OVER (PARTITION BY doc_id, line_no // 20 ORDER BY gpos) - 1 AS INT) AS seq, CAST(line_no % 20 // 10 AS INT) AS column_no, word FROM tokens")
