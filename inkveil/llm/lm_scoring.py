@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import zlib
 
 import numpy as np
@@ -311,6 +312,16 @@ def _score(tokens: int, types: int, discount: float, masses: tuple[float, float]
     return run
 
 
+#: A block has so many n-grams a shard at least, on the average, so that rows are worth their heads.
+LEAST = 64
+
+
+def shuffled(df: DataFrame) -> bool:
+    """Whether a node of df's plan is a shuffle; names of columns don't count."""
+    plan = df._jdf.queryExecution()
+    return any(re.search(r"(?m)^[\s:+*()\d-]*\w*Exchange\b", str(p.toString())) for p in (plan.sparkPlan(), plan.executedPlan()))
+
+
 def lm_scores(docs: DataFrame, held_out: int = 1, masses: tuple[float, float] = (100.0, 10.0), block_tokens: int = 2_000_000) -> DataFrame:
     """Score whole documents (doc_id, text) by a model of up to three words, of those whose
     crc32(doc_id as text) mod 5 is not `held_out`.
@@ -334,14 +345,14 @@ def lm_scores(docs: DataFrame, held_out: int = 1, masses: tuple[float, float] =
     input that comes out of a shuffle is settled first, and a difference is an error.
     """
     base = docs.select("doc_id", "text")
-    if "Exchange" in base._jdf.queryExecution().sparkPlan().toString() or "Exchange" in base._jdf.queryExecution().executedPlan().toString():
+    if shuffled(base):
         base = settle(base)
     parts = parts_of(base, 64)
-    shards = max(1, min(4 * parts, 3 * block_tokens // 512))
+    shards = max(1, min(4 * parts, 3 * block_tokens // LEAST))
     counted = base.mapInArrow(_count(shards, held_out, block_tokens), ddl(GRAMS))
     added = settle(counted.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_add, ddl(ANSWERS)))
     sums = np.zeros(4, np.int64)
-    for row in added.filter("block = -1").select("counts").collect():  # four numbers a shard, of which there are 3 block_tokens / 512 at most
+    for row in added.filter("block = -1").select("counts").collect():  # four numbers a shard, of which there are 3 block_tokens / LEAST at most
         sums += np.frombuffer(row.counts, np.int64)
     tokens, types, once, twice = map(int, sums)
     discount = min(0.95, max(0.05, once / (once + 2 * twice) if once else 0.5))

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from .common import mix64, partitions, settle
 
-FOUND = "place long, found binary"
+FOUND = "name string, found binary"
 LONGS = pa.list_(pa.int64())
+#: Vectors are dealt into so many parts at least, where a part has 2048 then; not the session's figure, as what is found depends on it.
+LEAST_PARTS = 32
 
 
 def _pack(most: int, queries_by: int):
@@ -97,7 +99,7 @@ def _search(pivots: dict, k: int, length: int, share: float):
 
         for batch in batches:
             out = []
-            for part, turn, asks, place, vector, some in zip(*(batch.column(c).to_pylist() for c in ("part", "turn", "asks", "place", "vector", "ids")), strict=True):
+            for part, turn, asks, name, vector, some in zip(*(batch.column(c).to_pylist() for c in ("part", "turn", "asks", "name", "vector", "ids")), strict=True):
                 if (part, turn) != of:
                     of, vectors, ids, indexes = (part, turn), [], [], None
                 if not asks:
@@ -109,9 +111,9 @@ def _search(pivots: dict, k: int, length: int, share: float):
                     own, index = indexes[len(vector)]
                     d, near = index.search(np.frombuffer(vector, np.float64), k + 1, max(k + 1, math.ceil(share * len(own))))
                     # a vector's ids are those of equal rows: all at this distance, the smallest first
-                    out.append((place, _best([(x, i) for x, s in zip(d.tolist(), near.tolist(), strict=True) for i in ids[own[s]]], k)))
+                    out.append((name, _best([(x, i) for x, s in zip(d.tolist(), near.tolist(), strict=True) for i in ids[own[s]]], k)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], names=["place", "found"])
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.string()), pa.array([b for _, b in out], pa.binary())], names=["name", "found"])
 
     return run
 
@@ -124,7 +126,7 @@ def _best(pairs: list[tuple[float, int]], k: int) -> bytes:
 def _merge(k: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         flat = np.frombuffer(b"".join(pdf["found"]), dtype=[("d", np.float64), ("i", np.int64)])
-        return pd.DataFrame({"place": [pdf["place"].iloc[0]], "found": [_best(flat.tolist(), k)]})
+        return pd.DataFrame({"name": [pdf["name"].iloc[0]], "found": [_best(flat.tolist(), k)]})
 
     return run
 
@@ -149,11 +151,13 @@ def nearest(vectors: DataFrame, k: int = 10, queries_by: int = 100, pivots: int
     """
     spark = vectors.sparkSession
     packed = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(_pack(k + 1, queries_by), "vector binary, ids array<long>, asked array<long>")
-    together = (F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"), F.flatten(F.collect_list("asked")).alias("asked"))
+    # a vector is known by 128 bits of its own; its queries stay rows of their own, however many
+    packed = packed.withColumn("name", F.md5("vector"))
+    together = (F.first("vector").alias("vector"), F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"), F.max("asks").alias("asks"))
     # equal vectors meet in two steps, so that a frequent one is not one task's
-    salted = packed.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(16)))
-    entries = settle(salted.groupBy("vector", "salt").agg(*together).groupBy("vector").agg(*together).withColumn("place", F.xxhash64("vector")))
-    count, asking = entries.agg(F.count("*"), F.count(F.when(F.size("asked") > 0, 1))).first()
+    salted = packed.withColumn("asks", F.size("asked") > 0).withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(16)))
+    entries = settle(salted.groupBy("name", "salt").agg(*together).groupBy("name").agg(*together).withColumn("place", F.xxhash64("vector")))
+    count, asking = entries.agg(F.count("*"), F.count(F.when(F.col("asks"), 1))).first()
     # a sample by hash, so that no more than about `sample` rows leave the executors
     level = int(min(1.0, sample / max(1, count)) * (1 << 62))
     by_size: dict[int, list] = {}
@@ -162,12 +166,12 @@ def nearest(vectors: DataFrame, k: int = 10, queries_by: int = 100, pivots: int
     for r in entries.groupBy(F.length("vector").alias("size")).agg(F.min_by("vector", "place").alias("vector")).collect():  # a dimension that the sample missed
         by_size.setdefault(r.size, [(0, np.frombuffer(bytes(r.vector), np.float64))])
     chosen = {size: _apart(np.stack([v for _, v in sorted(some, key=lambda x: x[0])]), pivots) for size, some in by_size.items()}
-    parts, turns = max(1, -(-count // part), min(partitions(spark, 8), count // 2048)), max(1, -(-asking // turn))
-    own = entries.select(F.pmod(F.shiftright("place", 20), F.lit(parts)).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(turns - 1).cast("long"))).alias("turn"), F.lit(0).alias("asks"), "place", "vector", "ids")
-    named = entries.filter(F.size("asked") > 0)
-    asked = named.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), F.pmod(F.shiftright("place", 20), F.lit(turns)).alias("turn"), F.lit(1).alias("asks"), "place", "vector", F.lit(None).cast("array<long>").alias("ids"))
+    parts, turns = max(1, -(-count // part), min(LEAST_PARTS, count // 2048)), max(1, -(-asking // turn))
+    own = entries.select(F.pmod(F.shiftright("place", 20), F.lit(parts)).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(turns - 1).cast("long"))).alias("turn"), F.lit(0).alias("asks"), "name", "vector", "ids")
+    named = entries.filter("asks")
+    asked = named.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), F.pmod(F.shiftright("place", 20), F.lit(turns)).alias("turn"), F.lit(1).alias("asks"), "name", "vector", F.lit(None).cast("array<long>").alias("ids"))
     met = own.unionByName(asked).repartition(max(parts * turns, partitions(spark, 8)), "part", "turn").sortWithinPartitions("part", "turn", "asks")
-    best = met.mapInArrow(_search(chosen, k, length, share), FOUND).groupBy("place").applyInPandas(_merge(k), FOUND)
+    best = met.mapInArrow(_search(chosen, k, length, share), FOUND).groupBy("name").applyInPandas(_merge(k), FOUND)
 
     def expand(batches):
         for batch in batches:
@@ -182,9 +186,8 @@ def nearest(vectors: DataFrame, k: int = 10, queries_by: int = 100, pivots: int
                             column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.float64())], names=["query_id", "rank", "vec_id", "score"])
 
-    spread = named.select("place", F.explode(F.sequence(F.lit(0), F.floor((F.size("asked") - 1) / 1024).cast("int"))).alias("at"), "asked")
-    spread = spread.select("place", F.slice("asked", F.col("at") * 1024 + 1, F.lit(1024)).alias("asked"))
-    return spread.join(best, "place").select("asked", "found").mapInArrow(expand, "query_id long, rank int, vec_id long, score double")
+    queries = packed.filter(F.size("asked") > 0).select("name", "asked")  # 4096 rows of the input have given each at most
+    return queries.join(best, "name").select("asked", "found").mapInArrow(expand, "query_id long, rank int, vec_id long, score double")
 
 
 def _apart(sample: np.ndarray, count: int) -> np.ndarray:

@@ -129,3 +129,28 @@ def test_one_of_each_group_stays(spark):
     kept = stages.drop_near_copies(spark, docs, SF)
     assert kept.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(3, base + " end"), (7, "other text"), (None, "no id"), (8, None), (8, "")], key=str)
+
+
+def test_a_vector_that_many_queries_have(spark):
+    """Its rows are queries of their own, and their nearest are its other rows."""
+    rows = [(100 * i, [1.0, 2.0, 3.0]) for i in range(300)] + [(7, [1.0, 2.0, 4.0]), (8, [5.0, 5.0, 5.0]), (200_000, [-1.0, 0.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    found = {}
+    for r in vector_search.nearest(df, k=3).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert len(found) == 301 and all(len(v) == 3 for v in found.values())
+    assert sorted(found[0]) == [(1, 100, 0.0), (2, 200, 0.0), (3, 300, 0.0)] and sorted(found[200]) == [(1, 0, 0.0), (2, 100, 0.0), (3, 300, 0.0)]
+    assert [v for _, v, _ in sorted(found[200_000])] == [0, 100, 200]
+
+
+def test_results_do_not_follow_the_sessions_partitions(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    try:
+        for n in ("3", "17"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append(sorted(map(tuple, vector_search.nearest(df).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    assert found[0] == found[1] and found[0]
