@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.raster import pixel_hash
 from ..functions.text import PLATES
+from .detect import chunked_service
 from .matching import containing, ocr_matches
 
 #: Bounds of what a vision service takes: encoded bytes, and each side in pixels.
@@ -17,6 +18,7 @@ MOST_BYTES, SIDES = 20 * 1024 * 1024, (50, 16000)
 HIGHLIGHT = (0.2157, 0.898, 1.0)
 #: Annotation kinds whose box is told by their first and last corner.
 MARKUP_KINDS = (8, 12)
+#: Fixed value: how a failed text detection is named.
 FAILED = "Text Detection Failed"
 
 
@@ -142,16 +144,62 @@ def plate_boxes(images: DataFrame, words: DataFrame) -> DataFrame:
     Both readings of 0/O and 1/I are looked for in the whole text and then, read the same
     way, among the words. An image whose text detection failed gets a box over all of it.
     """
-    whole = words.groupBy("image_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda w: w["text"]), " ").alias("text"))
-    out = []
+    whole, out = seen_texts(words), []
     for a, b in (("01", "OI"), ("OI", "01")):
         found = whole.select("image_id", F.explode(F.array_distinct(F.regexp_extract_all(F.translate("text", a, b), F.lit(f"({PLATES})"), 0))).alias("term"))
         found = found.select("image_id", "term", F.sha2(F.concat_ws(":", F.col("image_id").cast("string"), "term"), 256).alias("term_id"))
         read = words.withColumn("text", F.translate("text", a, b))
         hits = ocr_matches(read, found)
         out.append(hits.join(found, ["image_id", "term_id"]).select("image_id", F.col("term").alias("name"), "box"))
-    failed = images.filter("error IS NOT NULL").select("image_id", F.lit(FAILED).alias("name"), full_box(F.col("width"), F.col("height")).alias("box"))
-    return reduce(DataFrame.unionByName, [*out, failed]).distinct()
+    return reduce(DataFrame.unionByName, [*out, failed_images(images)]).distinct()
+
+
+def seen_texts(words: DataFrame) -> DataFrame:
+    """(image_id, text): an image's words (image_id, at, text) in order, with spaces."""
+    ordered = F.array_sort(F.collect_list(F.struct("at", "text")))
+    return words.groupBy("image_id").agg(F.array_join(F.transform(ordered, lambda w: w["text"]), " ").alias("text"))
+
+
+def image_text(images: DataFrame, words: DataFrame, rule: dict, size: int = 6000, overlap: int = 250) -> tuple[DataFrame, DataFrame]:
+    """(boxes, calls) of a service that is asked about the text of images, chunk by chunk.
+
+    images (image_id, width, height, error); words (image_id, at, text, box). The texts' chunks
+    are asked about once, equal ones of all images together, under the rule's limits
+    (`service.ask`). Every string that was named goes to all images whose text has it, case
+    counting, and is found again among their words: (image_id, name, box), name being the
+    string. An image whose text detection failed gets a box over all of it and is not sent;
+    one without words gives nothing. calls are as of `detect.chunked_service`.
+    """
+    fine = words.join(images.filter("error IS NULL").select("image_id"), "image_id", "left_semi")
+    texts = seen_texts(fine)
+    proposals, calls = chunked_service(texts.select(F.col("image_id").alias("doc_id"), "text"), rule, size, overlap)
+    strings = proposals.select("term").distinct()
+    met = strings_by_image(strings, texts).select("image_id", "term", F.sha2(F.concat_ws(":", F.col("image_id").cast("string"), "term"), 256).alias("term_id"))
+    boxes = ocr_matches(fine, met).join(met, ["image_id", "term_id"]).select("image_id", F.col("term").alias("name"), "box")
+    return boxes.unionByName(failed_images(images)).distinct(), calls
+
+
+def failed_images(images: DataFrame) -> DataFrame:
+    """A box over each image whose text detection failed."""
+    return images.filter("error IS NOT NULL").select("image_id", F.lit(FAILED).alias("name"), full_box(F.col("width"), F.col("height")).alias("box"))
+
+
+#: Detectors of images by the kind of rule: (images, words, rule) to (image_id, name, box).
+IMAGE_KINDS = {
+    "image": lambda images, words, rule: reduce(DataFrame.unionByName, [detected(images, rule[k], name) for k, name in (("faces", "Face"), ("signatures", "Signature")) if k in rule]),
+    "image_plate": lambda images, words, rule: plate_boxes(images, words),
+    "image_text": lambda images, words, rule: image_text(images, words, rule)[0],
+}
+
+
+def detect_in_images(images: DataFrame, words: DataFrame, rules: list[dict]) -> DataFrame:
+    """All rules' boxes (image_id, rule_name, name, box), equal ones of a rule once. A rule of the kind
+    `image` brings what the services said of faces and signatures (image_id, box, error)."""
+    unknown = [r["kind"] for r in rules if r["kind"] not in IMAGE_KINDS]
+    if unknown or not rules:
+        raise ValueError(f"no detector for {', '.join(unknown) or 'no rule'}; known are {', '.join(IMAGE_KINDS)}")
+    each = [IMAGE_KINDS[r["kind"]](images, words, r).distinct().select("image_id", F.lit(r["name"]).alias("rule_name"), "name", "box") for r in rules]
+    return reduce(DataFrame.unionByName, each)
 
 
 def image_highlights(boxes: DataFrame) -> tuple[DataFrame, DataFrame]:

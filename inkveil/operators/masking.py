@@ -20,7 +20,9 @@ def apply_redactions(docs: DataFrame, boxes: DataFrame, lines: DataFrame, mark:
     covered = lambda i: F.exists("spans", lambda s: (i >= s["first"]) & (i <= s["last"]))
     wide = lines.join(per_line, ["doc_id", "line_no"], "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<first:int,last:int>>")))
     masked = F.transform("words", lambda w, i: F.when(covered(i), F.repeat(F.lit(mark), F.length(w))).otherwise(w))
-    return wide.select("doc_id", "line_no", F.array_join(masked, " ").alias("text"), F.size(F.filter(F.sequence(F.lit(0), F.size("words") - 1), covered)).alias("n_masked"))
+    some = F.size("spans") > 0  # most lines have none: their words aren't gone through
+    n = F.when(some, F.size(F.filter(F.sequence(F.lit(0), F.size("words") - 1), covered))).otherwise(0)
+    return wide.select("doc_id", "line_no", F.array_join(F.when(some, masked).otherwise(F.col("words")), " ").alias("text"), n.alias("n_masked"))
 
 
 def redaction_status(docs: DataFrame, masked: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.text import PLATES
 from ..operators import detect, images, jobs, language, processor
 from .base import TERM_SQL, TERMS, TOKENS, derived, query, read, sql_language, sql_words, text
-from .detect_queries import _found
+from .detect_queries import _found, _plates
+from .image_queries import OCR_ROWS, _ocr
 
 RULES = [{"kind": "pattern", "name": n, "pattern": n} for n in ("email", "phone", "card", "ip")]
 _all = " UNION ALL ".join(_found("documents", "doc_id", "text", r["name"]) for r in RULES)
@@ -56,6 +57,38 @@ def detect_by_chunks(spark, sf_dir):
     return rows.select("doc_id", "rule_name", "term")
 
 
+_asked = "lambda w: trim(w, '.,;:()')"
+NAMED = f"SELECT DISTINCT t AS term FROM (SELECT unnest(list_transform(list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda w: contains(w, '@')), {_asked})) AS t FROM documents)"
+
+
+@query(f"""WITH w AS (SELECT image_id, "at", {sql_words('text')}[1] AS word, x0, y0 FROM ({OCR_ROWS})),
+p AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY "at") - 1 AS gpos FROM w WHERE word IS NOT NULL),
+m AS (SELECT doc_id AS image_id, term FROM documents, ({NAMED}) WHERE contains(replace(text, chr(10), ' '), term)),
+t AS (SELECT image_id, term, len(ws) AS n, unnest(range(len(ws))) AS off, unnest(ws) AS word FROM (SELECT image_id, term, {sql_words('term')} AS ws FROM m)),
+s AS (SELECT image_id, term, gpos - off AS start, any_value(n) AS n FROM p JOIN t USING (image_id, word) GROUP BY image_id, term, gpos - off HAVING count(*) = any_value(n))
+SELECT DISTINCT image_id, term AS name, x0, y0 FROM s JOIN p USING (image_id) WHERE gpos BETWEEN start AND start + n - 1""")
+def image_text_rule(spark, sf_dir):
+    """Texts of images to a service by distinct chunks, what it names back to all images that have it, and to boxes."""
+    words = images.ocr_words(_ocr(spark, sf_dir)).withColumn("box", F.struct("x0", "y0", "x1", "y1"))
+    shown = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"), F.lit(100).alias("width"), F.lit(100).alias("height"), F.lit(None).cast("string").alias("error"))
+    words = words.withColumn("box", F.struct(*[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]))
+    boxes, _ = images.image_text(shown, words, {"name": "service", "call": _ask})
+    return boxes.select("image_id", "name", F.col("box.x0").cast("int").alias("x0"), F.col("box.y0").cast("int").alias("y0"))
+
+
+_spared = " AND ".join(f"NOT ends_with(lower(term), '{e}')" for e in detect.PUBLIC_ENDS)
+_default = " UNION ALL ".join(
+    f"SELECT '{r['name']}' AS rule_name, doc_id FROM ({_found('documents', 'doc_id', 'text', r['pattern'])})" + (f" WHERE {_spared}" if "spare" in r else "") for r in processor.DEFAULT_RULES if r["kind"] == "pattern"
+)
+
+
+@query(f"SELECT rule_name, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM ({_default} UNION ALL SELECT 'plates', doc_id FROM (SELECT doc_id, unnest({_plates.replace('(s,', '(text,')}) AS f FROM documents)) GROUP BY rule_name")
+def default_rules(spark, sf_dir):
+    """What the rules by default propose."""
+    found = detect.detect(_docs(spark, sf_dir), list(processor.DEFAULT_RULES))
+    return found.groupBy("rule_name").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+
+
 #: Words that text detection saw in images, from events: registrations over one or two words, in either reading, and none.
 OCR_WORDS = """SELECT event_id AS image_id, p AS at, CASE event_id % 4 WHEN 0 THEN CASE p WHEN 0 THEN 'car' WHEN 1 THEN 'AB' || (10 + user_id % 90) WHEN 2 THEN 'CDE' ELSE 'parked' END
  WHEN 1 THEN CASE p WHEN 0 THEN 'A8O' || (user_id % 10) WHEN 1 THEN 'XYZ' WHEN 2 THEN '--' ELSE 'by' END WHEN 2 THEN 'nothing' ELSE CASE p WHEN 0 THEN 'ABI' || (user_id % 10) WHEN 1 THEN 'CDE,' WHEN 2 THEN 'or' ELSE 'K' || (user_id % 1000) || ' ABC' END END AS text

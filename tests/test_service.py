@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import pytest
 
-from inkveil.operators import detect, processor, service
+from inkveil.operators import detect, images, processor, service
 
 
 @pytest.mark.parametrize("parts", [1, 5])
@@ -100,3 +100,28 @@ def test_analysis_asks_a_service_once(spark, tmp_path):
     # a term is sought where it was proposed alone
     assert {(r.doc_id, r.term) for r in proposed.collect()} == {(1, "ann@b.com"), (2, "bob@c.com")}
     assert len((tmp_path / "calls").read_text().split()) == 2
+
+
+def test_image_text_from_chunks_to_boxes(spark, tmp_path):
+    box = lambda x: (float(x), 0.0, float(x + 9), 10.0)
+    words = [(1, 0, "Mail", box(0)), (1, 1, "ann@b.com,", box(10)), (2, 0, "no", box(0)), (2, 1, "ann@b.com", box(10)), (2, 2, "here", box(20)), (3, 0, "Mail", box(0)), (3, 1, "ann@b.com,", box(10)), (4, 0, "lost", box(0)), (5, 0, "ANN@B.COM", box(0))]
+    seen = spark.createDataFrame(words, "image_id int, at int, text string, box struct<x0:double,y0:double,x1:double,y1:double>")
+    shown = spark.createDataFrame([(i, 50, 20, "timeout" if i == 4 else None) for i in range(1, 7)], "image_id int, width int, height int, error string")
+
+    def call(chunk):
+        with open(tmp_path / "calls", "a") as f:
+            f.write("call\n")
+        return ["ann@b.com"] if chunk.startswith("Mail") else [], 1, 1
+
+    rule = {"kind": "image_text", "name": "t", "call": call}
+    boxes, calls = images.image_text(shown, seen, rule)
+    # the string that one image's text gave is found in all that have it, as it is written
+    assert {(r.image_id, r.name, r.box.x0, r.box.x1) for r in boxes.collect()} == {(1, "ann@b.com", 10.0, 19.0), (2, "ann@b.com", 10.0, 19.0), (3, "ann@b.com", 10.0, 19.0), (4, images.FAILED, 0.0, 50.0)}
+    assert calls.count() == len((tmp_path / "calls").read_text().split()) == 3  # images 1 and 3 say the same
+    faces = spark.createDataFrame([(1, (1.0, 1.0, 2.0, 2.0), None), (1, (1.0, 1.0, 2.0, 2.0), None)], "image_id int, box struct<x0:double,y0:double,x1:double,y1:double>, error string")
+    signs = spark.createDataFrame([(2, None, "busy")], faces.schema)
+    found = images.detect_in_images(shown, seen, [{"kind": "image", "name": "i", "faces": faces, "signatures": signs}, {"kind": "image_plate", "name": "p"}, rule])
+    assert {(r.image_id, r.rule_name, r.name) for r in found.filter("rule_name <> 't'").collect()} == {(1, "i", "Face Detected"), (2, "i", "Signature Detection Failed"), (4, "p", images.FAILED)}
+    assert found.filter("rule_name = 'i'").count() == 2
+    with pytest.raises(ValueError):
+        images.detect_in_images(shown, seen, [{"kind": "none", "name": "x"}])
