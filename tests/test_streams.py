@@ -56,3 +56,15 @@ def test_a_stream_goes_on_where_it_ended(spark, tmp_path):
     assert run(0, [("a", 100, "start")]) == []
     assert run(1, [("a", 160, "end")]) == [("a", "DONE")]
     assert run(2, [("a", 170, "end"), ("a", 100, "start")]) == []
+
+
+def test_deadlines_hold_in_any_time_zone(spark, tmp_path):
+    """The watermark counts in UTC, and so do starts and ends."""
+    held = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        batches = [[("a", 0, "start"), ("b", 10, "start")], [("b", 20, "end")], [("a", 400, "end")]]
+        got = outcomes(spark, batches, tmp_path, minutes=10, late="10 minutes")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", held)
+    assert got == [("a", "DONE", 400.0), ("b", "DONE", 10.0)]
