@@ -199,14 +199,14 @@ def match_hyphen(spark, sf_dir):
 def reading_order(spark, sf_dir):
     """Pages laid side by side on sheets, two columns each, words uneven in height and in no order:
     the order comes back from the boxes alone."""
-    from pyspark.sql import Window
-
-    words = layout.tokens(read(spark, sf_dir, "documents"))
-    ahead = F.coalesce(F.sum(F.length("word") + 1).over(Window.partitionBy("doc_id", "line_no").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # all places are worked out in the document's row, so that words are moved by the operator alone
+    lines = layout.lines(read(spark, sf_dir, "documents"))
+    placed = lines.withColumn("ahead", layout.word_starts(F.col("words"))).select("doc_id", "line_no", F.posexplode(F.arrays_zip("ahead", F.col("words").alias("word"))).alias("pos", "w"))
+    words = placed.select("doc_id", "line_no", "pos", "w.ahead", F.col("w.word").alias("word"))
+    # lines have no gaps, so that each sheet has words in its first column
     sheet, side = F.floor(F.col("line_no") / 20), F.floor(F.col("line_no") % 20 / 10)
-    first = F.min(side).over(Window.partitionBy("doc_id", sheet))
-    x0 = ahead + side * 10_000_000  # wider than any line
+    x0 = F.col("ahead") + side * 10_000_000  # wider than any line
     y0 = layout.line_top(F.col("line_no")) + F.col("pos") % 3
-    boxes = words.select(F.struct("doc_id", sheet.alias("sheet")).alias("page"), x0.cast("double").alias("x0"), y0.alias("y0"), (x0 + F.length("word")).cast("double").alias("x1"), (y0 + layout.LINE_HEIGHT).alias("y1"), "word", first.alias("first"))
-    read_ = layout.reading_order(boxes.select("page", "x0", "y0", "x1", "y1", "word", "first").repartition(F.xxhash64("word")), "page")
-    return read_.select("page.doc_id", "page.sheet", "seq", (F.col("column_no") + F.col("first")).cast("int").alias("column_no"), "word")
+    boxes = words.select(F.struct("doc_id", sheet.alias("sheet")).alias("page"), x0.cast("double").alias("x0"), y0.alias("y0"), (x0 + F.length("word")).cast("double").alias("x1"), (y0 + layout.LINE_HEIGHT).alias("y1"), "word")
+    read_ = layout.reading_order(boxes, "page")
+    return read_.select("page.doc_id", "page.sheet", "seq", "column_no", "word")
