@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.raster import pixel_hash
-from ..functions.text import PLATES
+from ..functions.text import PLATES, normalised_words
 from .detect import chunked_service
-from .matching import containing, ocr_matches
+from .matching import boxed, containing, first_words, ocr_matches, packed
 
 #: Bounds of what a vision service takes: encoded bytes, and each side in pixels.
 MOST_BYTES, SIDES = 20 * 1024 * 1024, (50, 16000)
@@ -52,6 +52,15 @@ def ocr_words(pages: DataFrame, key: str = "image_id") -> DataFrame:
     return rows.select(key, "at", F.col("w.text").alias("text"), corner(1, "x").alias("x0"), corner(1, "y").alias("y0"), corner(3, "x").alias("x1"), corner(3, "y").alias("y1"))
 
 
+def ocr_packed(pages: DataFrame, key: str = "image_id", kind: str = "int") -> DataFrame:
+    """Nested blocks, lines and words, a row an image, to (key, words): what `ocr_words` gives as an array
+    (at, text, box) in the row, box of numbers of the given kind. Nothing is moved."""
+    words = F.flatten(F.flatten(F.transform("blocks", lambda b: F.transform(b["lines"], lambda w: w["words"]))))
+    corner = lambda w, i, k, c: F.element_at(w["polygon"], i)[k].cast(kind).alias(c)
+    box = lambda w: F.struct(corner(w, 1, "x", "x0"), corner(w, 1, "y", "y0"), corner(w, 3, "x", "x1"), corner(w, 3, "y", "y1")).alias("box")
+    return pages.select(key, F.transform(words, lambda w, i: F.struct(i.cast("int").alias("at"), w["text"].alias("text"), box(w))).alias("words")).filter("size(words) > 0")
+
+
 def with_pixel_hash(images: DataFrame, content: str = "content", name: str = "content_hash") -> DataFrame:
     """images with a hash of what they show: two encodings of one raster have one, and what can't be
     decoded has that of its bytes."""
@@ -140,37 +149,42 @@ def detected(images: DataFrame, results: DataFrame, kind: str) -> DataFrame:
 def plate_boxes(images: DataFrame, words: DataFrame) -> DataFrame:
     """Vehicle registrations in the text of images, as the boxes of their words: (image_id, name, box).
 
-    images (image_id, width, height, error); words (image_id, at, text, box) in reading order.
-    Both readings of 0/O and 1/I are looked for in the whole text and then, read the same
+    images (image_id, width, height, error); words (image_id, at, text, box) in reading order,
+    loose or packed, which are moved once at most. Both readings of 0/O and 1/I are looked for in the whole text and then, read the same
     way, among the words. An image whose text detection failed gets a box over all of it.
     """
-    whole, out = seen_texts(words), []
+    whole = packed(words).withColumn("text", _seen(F.col("words")))
+    readings = []
     for a, b in (("01", "OI"), ("OI", "01")):
-        found = whole.select("image_id", F.explode(F.array_distinct(F.regexp_extract_all(F.translate("text", a, b), F.lit(f"({PLATES})"), 0))).alias("term"))
-        found = found.select("image_id", "term", F.sha2(F.concat_ws(":", F.col("image_id").cast("string"), "term"), 256).alias("term_id"))
-        read = words.withColumn("text", F.translate("text", a, b))
-        hits = ocr_matches(read, found)
-        out.append(hits.join(found, ["image_id", "term_id"]).select("image_id", F.col("term").alias("name"), "box"))
-    return reduce(DataFrame.unionByName, [*out, failed_images(images)]).distinct()
+        found = F.array_distinct(F.regexp_extract_all(F.translate("text", a, b), F.lit(f"({PLATES})"), 0))
+        own = F.filter(F.transform(found, lambda t: F.struct(t.alias("term_id"), normalised_words(t).alias("ws"))), lambda t: F.size(t["ws"]) > 0)
+        plain = first_words(F.col("words"), lambda t: F.translate(t, a, b))  # noqa: B023
+        readings.append(F.struct(own.alias("own"), F.when(F.size(own) > 0, plain).alias("plain")))
+    held = whole.select("image_id", "words", F.explode(F.array(*readings)).alias("r")).select("image_id", "words", "r.*").filter("size(own) > 0")
+    found = boxed(held).select("image_id", F.col("term_id").alias("name"), "box")
+    return found.unionByName(failed_images(images)).distinct()
+
+
+def _seen(words: Column) -> Column:
+    return F.array_join(F.transform(words, lambda w: w["text"]), " ")
 
 
 def seen_texts(words: DataFrame) -> DataFrame:
-    """(image_id, text): an image's words (image_id, at, text) in order, with spaces."""
-    ordered = F.array_sort(F.collect_list(F.struct("at", "text")))
-    return words.groupBy("image_id").agg(F.array_join(F.transform(ordered, lambda w: w["text"]), " ").alias("text"))
+    """(image_id, text): an image's words (image_id, at, text, box), loose or packed, in order, with spaces."""
+    return packed(words).select("image_id", _seen(F.col("words")).alias("text"))
 
 
 def image_text(images: DataFrame, words: DataFrame, rule: dict, size: int = 6000, overlap: int = 250) -> tuple[DataFrame, DataFrame]:
     """(boxes, calls) of a service that is asked about the text of images, chunk by chunk.
 
-    images (image_id, width, height, error); words (image_id, at, text, box). The texts' chunks
+    images (image_id, width, height, error); words (image_id, at, text, box), loose or packed. The texts' chunks
     are asked about once, equal ones of all images together, under the rule's limits
     (`service.ask`). Every string that was named goes to all images whose text has it, case
     counting, and is found again among their words: (image_id, name, box), name being the
     string. An image whose text detection failed gets a box over all of it and is not sent;
     one without words gives nothing. calls are as of `detect.chunked_service`.
     """
-    fine = words.join(images.filter("error IS NULL").select("image_id"), "image_id", "left_semi")
+    fine = packed(words).join(images.filter("error IS NULL").select("image_id"), "image_id", "left_semi")
     texts = seen_texts(fine)
     proposals, calls = chunked_service(texts.select(F.col("image_id").alias("doc_id"), "text"), rule, size, overlap)
     strings = proposals.select("term").distinct()

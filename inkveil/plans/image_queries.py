@@ -77,7 +77,7 @@ t AS (SELECT image_id, term_id, len(ws) AS n, unnest(range(len(ws))) AS off, unn
 s AS (SELECT image_id, term_id, gpos - off AS start, any_value(n) AS n FROM p JOIN t USING (image_id, word) GROUP BY image_id, term_id, gpos - off HAVING count(*) = any_value(n))
 SELECT image_id, term_id, "at", x0 FROM s JOIN p USING (image_id) WHERE gpos BETWEEN start AND start + n - 1""")
 def ocr_box_match(spark, sf_dir):
-    words = images.ocr_words(_ocr(spark, sf_dir)).withColumn("box", F.struct("x0", "y0", "x1", "y1"))
+    words = images.ocr_packed(_ocr(spark, sf_dir))
     own = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"), normalised_words(F.replace("text", F.lit("\n"), F.lit(" "))).alias("ws")).filter("size(ws) > 3")
     terms = own.select("image_id", F.posexplode(F.array(F.concat_ws(" ", F.col("ws")[1], F.col("ws")[2]), F.concat_ws(" ", F.col("ws")[0], F.col("ws")[2], F.col("ws")[3]))).alias("nth", "term"))
     terms = terms.select("image_id", (2 * F.col("image_id") + F.col("nth")).alias("term_id"), "term")
