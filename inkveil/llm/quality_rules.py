@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 import unicodedata
-from collections import Counter
+from collections import Counter, defaultdict
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settle
@@ -95,28 +96,37 @@ def fertility_of(byte_path: str | None, piece_path: str | None) -> Fertility:
     return Fertility(byte_path, piece_path)
 
 
-SPACES = dict.fromkeys((0x0B, 0x0C, 0x0D, 0x09), " ")
-
-
 def split_words(text: str) -> list[str]:
     """Runs of characters other than space, tab, line feed, vertical tab, form feed and carriage return."""
-    return [w for w in text.translate(SPACES).replace("\n", " ").split(" ") if w]
+    for space in "\n\t\r\x0b\x0c":  # a text without it is not copied
+        text = text.replace(space, " ")
+    return [w for w in text.split(" ") if w]
+
+
+def numbered_words(words: list[str]) -> tuple[dict[str, int], np.ndarray]:
+    """The different words by number, in order of their first place, and each place's number."""
+    number: defaultdict[str, int] = defaultdict(count().__next__)
+    return number, np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words))
 
 
 def repeated(words: list[str], window: int = 3) -> int:
     """How many of the words stand in a window that the text has twice or more."""
-    n = len(words)
+    number, ids = numbered_words(words)
+    return repeated_numbers(ids, len(number), window)
+
+
+def repeated_numbers(ids: np.ndarray, many: int, window: int = 3) -> int:
+    """`repeated` of words by their numbers, of which there are so many."""
+    n = len(ids)
     if n <= window:
         return 0
-    number: dict[str, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), dtype=np.int64, count=n)
-    if len(number) >= 1 << 21:
+    if many >= 1 << 21:
         _, key = np.unique(np.stack([ids[i : n - window + 1 + i] for i in range(window)], axis=1), axis=0, return_inverse=True)
         key = key.reshape(-1)
     else:
         key = ids[: n - window + 1].copy()
         for i in range(1, window):
-            key = key * len(number) + ids[i : n - window + 1 + i]
+            key = key * many + ids[i : n - window + 1 + i]
     order = np.argsort(key, kind="stable")
     same = key[order][1:] == key[order][:-1]
     often = np.zeros(len(key), bool)
@@ -141,50 +151,93 @@ def duplicate_lines(text: str) -> int:
     return out
 
 
+def characters_of(text: str) -> dict[str, int]:
+    """How often a text has each of its characters."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(codes) and codes.max() >= 1 << 16:
+        found, times = np.unique(codes, return_counts=True)
+    else:
+        every = np.bincount(codes)
+        found = np.flatnonzero(every)
+        times = every[found]
+    return dict(zip(map(chr, found.tolist()), times.tolist(), strict=True))
+
+
+#: Tokens of so many different words are few.
+FEW = 4096
+
+
 def measure(text: str | None, fertility: Fertility) -> tuple:
     """The base counts and the three measures of a text, and its main script."""
     text = text or ""
-    words = split_words(text)
-    n = len(words)
-    counts = Counter(words)
-    n_repeat = repeated(words)
+    number, ids = numbered_words(split_words(text))
+    n, different = len(ids), len(number)
+    n_repeat = repeated_numbers(ids, different)
     failed = n < 50 or 100 * n_repeat > 50 * n
-    packed = [fertility[w] for w in counts]
-    ids = np.frombuffer(b"".join(packed), dtype=np.uint32)
-    times = np.repeat(np.fromiter(counts.values(), dtype=np.int64, count=len(packed)), np.fromiter((len(p) >> 2 for p in packed), dtype=np.int64, count=len(packed)))
+    often = np.bincount(ids, minlength=different)
+    packed = [fertility[w] for w in number]
+    tokens = np.frombuffer(b"".join(packed), dtype=np.uint32)
+    times = np.repeat(often, np.fromiter(map(len, packed), dtype=np.int64, count=different) >> 2)
     n_tokens = int(times.sum())
-    fallback = sum(text.count(c) for c in set(text) - fertility.known)
-    chars = sum(len(w) * t for w, t in counts.items())
+    chars = int((np.fromiter(map(len, number), dtype=np.int64, count=different) * often).sum())
+    characters = characters_of(text)
+    fallback = sum(t for c, t in characters.items() if c not in fertility.known)
     letters: Counter = Counter()
-    for c, t in Counter(text).items():
+    for c, t in characters.items():
         letters[script_of(c)] += t
     letters.pop("", None)
-    script = letters.most_common(1)[0][0] if letters else ""
+    most = max(letters.values(), default=0)
+    leading = [x for x, t in letters.items() if t == most]
+    script = leading[0] if len(leading) == 1 else next((x for x in map(script_of, text) if x in leading), "")
     per_token = (chars + n) / n_tokens if n_tokens else 0.0
     share = fallback / chars if chars else 0.0
-    c = np.bincount(ids, weights=times) if n_tokens else np.zeros(0)
-    c = c[c > 0]
+    if len(tokens) < FEW:  # an array over the vocabulary costs more than sorting them
+        c = np.bincount(np.unique(tokens, return_inverse=True)[1], weights=times) if n_tokens else np.zeros(0)
+    else:
+        c = np.bincount(tokens, weights=times)
+        c = c[c > 0]
     if len(c) > 1:
         entropy = math.log2(n_tokens) - float((c * np.log2(c)).sum()) / n_tokens
         entropy /= math.log2(n_tokens)
     else:
         entropy = 0.0
-    return n, chars, sum(map(text.count, SYMBOLS)), duplicate_lines(text), n_repeat, failed, per_token, share, entropy, script
+    return n, chars, sum(characters.get(c, 0) for c in SYMBOLS), duplicate_lines(text), n_repeat, failed, per_token, share, entropy, script
+
 
+#: Values of a measure are looked for in blocks of this width.
+BLOCK = 1 / 4096
 
-def bands_of(measured: DataFrame, labels: DataFrame, most: int, beyond: float, wider: float, enough: int) -> DataFrame:
-    """(lang, bands) of the languages with `enough` good texts that pass the base rules, in a
-    sample of at most `most` labelled rows by hash of the doc_id: for each measure what lies
-    between its shares `beyond` and 1 - `beyond`, and `wider` times that width on either side."""
-    sample = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id")).limit(most)
-    good = measured.filter("NOT base_failed").join(F.broadcast(sample.filter("quality = 1").select("doc_id")), "doc_id")
-    ends = [F.percentile(m, F.array(F.lit(beyond), F.lit(1 - beyond))).alias(m) for m in MEASURES]
-    width = lambda m: wider * (F.col(m)[1] - F.col(m)[0])
-    found = good.groupBy("lang").agg(F.count("*").alias("texts"), *ends).filter(F.col("texts") >= enough)
-    return found.select(F.col("lang").alias("of_lang"), F.array(*[F.struct((F.col(m)[0] - width(m)).alias("low"), (F.col(m)[1] + width(m)).alias("high")) for m in MEASURES]).alias("bands"))
 
+def bands_of(measured: DataFrame, labels: DataFrame, beyond: float, wider: float, enough: int) -> DataFrame:
+    """(of_lang, bands) of the languages with `enough` good texts that pass the base rules, of all
+    labels: for each measure what lies between its exact percentiles `beyond` and 1 - `beyond`
+    (between neighbours in proportion), and `wider` times that width on either side.
 
-def quality_rules(docs: DataFrame, labels: DataFrame | None = None, most: int = 20_000, beyond: float = 0.001, wider: float = 0.05, enough: int = 50, bands: dict | None = None, byte_path: str | None = None, piece_path: str | None = None) -> DataFrame:
+    Equal values are one counted row. How many values each block has tells which blocks hold
+    the four places that count, and only these are put in order: no task has all values.
+    """
+    fine = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality")).filter("quality = 1").select("doc_id")
+    good = measured.filter("NOT base_failed").join(fine, "doc_id").select("lang", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(m).alias("v")) for k, m in enumerate(MEASURES)])).alias("m"))
+    counted = settle(good.groupBy("lang", "m.k", "m.v").agg(F.count("*").alias("n")).withColumn("block", F.floor(F.col("v") / BLOCK)))
+    one = Window.partitionBy("lang", "k")
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = counted.groupBy("lang", "k", "block").agg(F.sum("n").alias("many"))
+    blocks = blocks.withColumn("ahead", F.coalesce(F.sum("many").over(before(one.orderBy("block"))), F.lit(0))).withColumn("texts", F.sum("many").over(one)).filter(F.col("texts") >= enough)
+    low, high = F.lit(beyond) * (F.col("texts") - 1), F.lit(1 - beyond) * (F.col("texts") - 1)
+    places = [F.floor(low), F.ceil(low), F.floor(high), F.ceil(high)]
+    holds = [(F.col("ahead") <= at) & (at < F.col("ahead") + F.col("many")) for at in places]
+    some = blocks.filter(holds[0] | holds[1] | holds[2] | holds[3]).select(F.col("lang").alias("of_lang"), F.col("k").alias("of_k"), F.col("block").alias("of_block"), "ahead", "texts")
+    near = counted.join(some, F.col("lang").eqNullSafe(F.col("of_lang")) & (F.col("k") == F.col("of_k")) & (F.col("block") == F.col("of_block")))
+    first = F.col("ahead") + F.coalesce(F.sum("n").over(before(Window.partitionBy("lang", "k", "block").orderBy("v"))), F.lit(0))
+    near = near.withColumn("first", first)
+    values = [F.max(F.when((F.col("first") <= at) & (at < F.col("first") + F.col("n")), F.col("v"))).alias(f"v{i}") for i, at in enumerate(places)]
+    ends = near.groupBy("lang", "k", "texts").agg(*values).select("lang", "k", (F.col("v0") + (low - F.floor(low)) * (F.col("v1") - F.col("v0"))).alias("low"), (F.col("v2") + (high - F.floor(high)) * (F.col("v3") - F.col("v2"))).alias("high"))
+    margin = wider * (F.col("high") - F.col("low"))
+    found = ends.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("k", (F.col("low") - margin).alias("low"), (F.col("high") + margin).alias("high")))).alias("ends"))
+    return found.select(F.col("lang").alias("of_lang"), F.transform("ends", lambda e: F.struct(e["low"].alias("low"), e["high"].alias("high"))).alias("bands"))
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame | None = None, beyond: float = 0.001, wider: float = 0.05, enough: int = 50, bands: dict | None = None, byte_path: str | None = None, piece_path: str | None = None) -> DataFrame:
     """Count and judge every document (doc_id, text, lang).
 
     Returns doc_id, n_words, word_chars (code points in words), n_symbols, n_dup_lines,
@@ -218,8 +271,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame | None = None, most: int =
             by_script = F.when(F.col("script") == script, F.array(*[F.struct(F.lit(float(low)).alias("low"), F.lit(float(high)).alias("high")) for low, high in some])).otherwise(by_script)
     if labels is not None:
         measured = settle(measured)
-        # at most a row for each good text of the bounded sample
-        measured = measured.join(F.broadcast(bands_of(measured, labels, most, beyond, wider, enough)), F.col("lang").eqNullSafe(F.col("of_lang")), "left")
+        # a row for each language
+        measured = measured.join(F.broadcast(bands_of(measured, labels, beyond, wider, enough)), F.col("lang").eqNullSafe(F.col("of_lang")), "left")
     else:
         measured = measured.withColumn("bands", F.lit(None).cast("array<struct<low:double,high:double>>"))
     within = F.coalesce("bands", by_script)

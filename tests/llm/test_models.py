@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 import pyarrow as pa
 
 from inkveil.llm import common, lm_scoring, quality_classifier, quality_rules, toxicity
@@ -166,6 +167,22 @@ def test_bands_by_language_equal_brute_force(spark):
     assert sum(not k for q, k in judged if q == 0) >= 0.5 * sum(q == 0 for q, _ in judged)
 
 
+def test_bands_come_from_all_labels(spark):
+    """More labels than the 20,000 rows of the former sample, equal values among them."""
+    rng = np.random.default_rng(5)
+    n = 24_000
+    values = np.round(rng.gamma(2.0, 2.0, (n, 3)), 3)
+    rows = [(i, ("aa", "bb", None)[i % 3], False, *map(float, v)) for i, v in enumerate(values)]
+    measured = spark.createDataFrame(rows, "doc_id long, lang string, base_failed boolean, chars_per_token double, fallback_share double, token_entropy double")
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    found = {r.of_lang: r.bands for r in quality_rules.bands_of(measured, labels, beyond=0.001, wider=0.05, enough=50).collect()}
+    assert set(found) == {"aa", "bb", None}
+    for j, lang in enumerate(("aa", "bb", None)):
+        low, high = np.quantile(values[j::3], [0.001, 0.999], axis=0)
+        margin = 0.05 * (high - low)
+        assert np.allclose([(b.low, b.high) for b in found[lang]], np.stack([low - margin, high + margin], axis=1), rtol=1e-12, atol=1e-12)
+
+
 def test_fertility_equals_whole_texts(spark):
     """Tokens counted word by word are those of the text with single spaces."""
     encoding = quality_rules.byte_encoding(None)
