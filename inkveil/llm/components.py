@@ -8,11 +8,19 @@ from pyspark.sql import functions as F
 from .common import settle
 
 
+def _afresh(df: DataFrame) -> DataFrame:
+    """df settled, without the size that its plan was estimated at: a join's is the product of its
+    sides', and settled tables carry it on, so that round by round the driver would hold numbers
+    of twice as many digits and more."""
+    spark, held = df.sparkSession, settle(df)
+    return DataFrame(spark._jsparkSession.createDataFrame(held._jdf.javaRDD(), held._jdf.schema()), spark)
+
+
 def _jumped(parents: DataFrame) -> DataFrame:
     """Point every node straight at its root by doubling the jumps; a root has no row."""
     while True:
         above = parents.select(F.col("node").alias("parent"), F.col("parent").alias("further"))
-        parents = settle(parents.join(above, "parent", "left").select("node", F.coalesce("further", "parent").alias("parent"), F.col("further").isNotNull().alias("moved")))
+        parents = _afresh(parents.join(above, "parent", "left").select("node", F.coalesce("further", "parent").alias("parent"), F.col("further").isNotNull().alias("moved")))
         if parents.filter("moved").isEmpty():
             return parents.select("node", "parent")
 
@@ -25,7 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
     that are left; a star takes one round, and a chain of n nodes about log n. Rows
     with a null end and loops are ignored; no edges give no rows.
     """
-    left = settle(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    left = _afresh(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = None
     while not left.isEmpty():
         found = _jumped(left.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent")))
@@ -35,9 +43,9 @@ def components(edges: DataFrame) -> DataFrame:
         else:
             step = root.select(F.col("node").alias("root"), F.col("root").alias("next"))
             labels = labels.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-        labels = settle(labels)
+        labels = _afresh(labels)
         ends = left
         for end in ("a", "b"):
             ends = ends.join(root.select(F.col("node").alias(end), F.col("root").alias("to")), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
-        left = settle(ends.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        left = _afresh(ends.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     return labels if labels is not None else left.select(F.col("a").alias("node"), F.col("b").alias("root"))
