@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,6 +95,9 @@ def with_retries(call: Callable, attempts: int = 10, wait: float = 1.0, most: fl
 
 
 ANSWERS = "id string, terms array<string>, prompt_tokens long, completion_tokens long, error string"
+ANSWER_TYPES = (pa.string(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.string())
+#: Requests whose texts are held at once.
+TOGETHER = 64
 #: What a request that the budget left no room for says.
 SPENT = "budget spent"
 
@@ -124,22 +127,24 @@ def ask(requests: DataFrame, rule: dict) -> DataFrame:
         spend = spend.select("part", (F.col("own") / spend.agg(F.sum("own").alias("all")).scalar() * (budget or 0.0)).alias("purse"))
         timed = places.join(F.broadcast(spend), "part").join(requests, "id").repartition(parts, "part").sortWithinPartitions("part", "start_s", "id").select("id", "text", "start_s", "purse", "part")
 
-    def run(batches: Iterable[pd.DataFrame]):
+    def run(batches: Iterable[pa.RecordBatch]):
         paces, spent = {}, {}
-        for pdf in batches:
-            out = []
-            part_of = pdf["part"] if "part" in pdf else [0] * len(pdf)
-            for name, text, start_s, purse, part in zip(pdf["id"], pdf["text"], pdf["start_s"], pdf["purse"], part_of, strict=True):
-                if budget is not None and spent.get(part, 0.0) >= purse:
-                    out.append((name, [], 0, 0, SPENT))
-                    continue
-                try:
-                    paces.setdefault(part, Pace(patience)).wait(start_s)
-                    terms, asked, answered = call(text)
-                    spent[part] = spent.get(part, 0.0) + (asked * prices[0] + answered * prices[1]) / 1e6
-                    out.append((name, list(dict.fromkeys(terms)), asked, answered, None))
-                except Exception as e:  # the service's fault is data here
-                    out.append((name, [], 0, 0, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["id", "terms", "prompt_tokens", "completion_tokens", "error"])
-
-    return settle(timed.mapInPandas(run, ANSWERS))
+        for batch in batches:
+            for low in range(0, batch.num_rows, TOGETHER):
+                asked_now = batch.slice(low, TOGETHER).to_pydict()
+                out = []
+                part_of = asked_now.get("part", [0] * len(asked_now["id"]))
+                for name, text, start_s, purse, part in zip(asked_now["id"], asked_now["text"], asked_now["start_s"], asked_now["purse"], part_of, strict=True):
+                    if budget is not None and spent.get(part, 0.0) >= purse:
+                        out.append((name, [], 0, 0, SPENT))
+                        continue
+                    try:
+                        paces.setdefault(part, Pace(patience)).wait(start_s)
+                        terms, asked, answered = call(text)
+                        spent[part] = spent.get(part, 0.0) + (asked * prices[0] + answered * prices[1]) / 1e6
+                        out.append((name, list(dict.fromkeys(terms)), asked, answered, None))
+                    except Exception as e:  # the service's fault is data here
+                        out.append((name, [], 0, 0, f"{type(e).__name__}: {e}"))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), ANSWER_TYPES, strict=True)], names=["id", "terms", "prompt_tokens", "completion_tokens", "error"])
+
+    return settle(timed.mapInArrow(run, ANSWERS))

@@ -125,3 +125,21 @@ def test_image_text_from_chunks_to_boxes(spark, tmp_path):
     assert found.filter("rule_name = 'i'").count() == 2
     with pytest.raises(ValueError):
         images.detect_in_images(shown, seen, [{"kind": "none", "name": "x"}])
+
+
+def test_chunks_and_calls_are_made_as_they_are_asked_for(spark, monkeypatch):
+    """Of a batch of texts few are cut before the first chunks leave the task."""
+    import pyarrow as pa
+
+    from inkveil.operators import detect
+
+    docs = spark.range(1000).coalesce(1).selectExpr("id AS doc_id", "concat('a', id, ' b@', id) AS text")
+    held = {}
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: held.setdefault("run", run))
+    detect.chunks(docs)
+    monkeypatch.undo()
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1000)), "text": [f"a{i} b@{i}" for i in range(1000)]})
+    made = list(held["run"](iter([batch])))
+    assert max(b.num_rows for b in made) <= 64 and sum(b.num_rows for b in made) == 1000
+    rows, calls = detect.chunked_service(docs, {"name": "s", "call": lambda c: ([c.split("b@")[1]], 2, 1)})
+    assert (rows.count(), calls.filter("error IS NULL AND n_terms = 1").count()) == (1000, 1000)
