@@ -13,6 +13,7 @@ import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 from pyspark.sql import Row, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, DataSourceStreamWriter, InputPartition, WriterCommitMessage
@@ -56,11 +57,9 @@ class QueueWriter(DataSourceStreamWriter):
 
     def write(self, rows: Iterator[Row]) -> Part:
         system, root = stores.at(self.root)
-        lines = [json.dumps({"id": r["id"], "expires": None if r["expires"] is None else r["expires"].timestamp(), "value": r["value"]}, ensure_ascii=False) for r in rows]
+        line = lambda r: json.dumps({"id": r["id"], "expires": None if r["expires"] is None else r["expires"].timestamp(), "value": r["value"]}, ensure_ascii=False)
         path = f"{root}/parts/{self.writer}-{uuid.uuid4().hex}.jsonl"
-        if lines:
-            stores.put(system, path, "\n".join(lines).encode())
-        return Part(path, len(lines))
+        return Part(path, stores.put_lines(system, path, (f"{line(r)}\n".encode() for r in rows)))
 
     def commit(self, messages: list[Part | None], batchId: int) -> None:
         system, root = stores.at(self.root)
@@ -136,7 +135,7 @@ class QueueReader(DataSourceStreamReader):
         from datetime import UTC, datetime
 
         system, _ = stores.at(self.root)
-        for line in stores.content(system, partition.path).decode().split("\n")[partition.skip : partition.skip + partition.take]:
+        for line in islice(stores.lines(system, partition.path), partition.skip, partition.skip + partition.take):
             row = json.loads(line)
             yield row["id"], None if row["expires"] is None else datetime.fromtimestamp(row["expires"], UTC), row["value"]
 

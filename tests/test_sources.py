@@ -138,3 +138,22 @@ def test_file_queue_takes_so_many_files_a_batch(spark, tmp_path):
     sizes = []
     stream.writeStream.foreachBatch(lambda b, _: sizes.append(b.count())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert sizes == [2, 2, 1]
+
+
+def test_lines_are_written_and_read_as_they_come(tmp_path):
+    """A part of the queue is not held whole: lines are made while earlier ones are written, and read one by one."""
+    from inkveil.sources import stores
+
+    system, root = stores.at(str(tmp_path))
+    texts = ["a", "", "b\u2028c\x85d\re", "Ünal"] * 1000
+    assert stores.put_lines(system, f"{root}/d/x.jsonl", (f"{t}\n".encode() for t in texts)) == 4000
+    assert list(stores.lines(system, f"{root}/d/x.jsonl", held=64)) == texts
+
+    def failing():
+        yield b"a"
+        raise ValueError
+
+    with pytest.raises(ValueError):
+        stores.put_lines(system, f"{root}/d/y.jsonl", failing())
+    assert stores.put_lines(system, f"{root}/d/z.jsonl", iter([])) == 0
+    assert [x.path.rpartition("/")[2] for x in stores.children(system, f"{root}/d")] == ["x.jsonl"]
