@@ -44,7 +44,7 @@ def page_boxes(spark, sf_dir):
 
 @query(f"WITH {TOKENS[1:]} SELECT word, count(*) AS n, count(DISTINCT doc_id) AS n_docs, min(gpos) AS first_at FROM tokens GROUP BY word")
 def word_index(spark, sf_dir):
-    return layout.tokens(read(spark, sf_dir, "documents")).groupBy("word").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"), F.min("gpos").alias("first_at"))
+    return matching.word_index(read(spark, sf_dir, "documents"))
 
 
 PAGES = f"""pages AS (

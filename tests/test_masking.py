@@ -35,3 +35,13 @@ def test_masking_of_terms_moves_no_lines(spark):
     for name in ("redaction_status", "apply_redactions"):
         plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "Join" not in plan and "Aggregate [doc_id" not in plan
+
+
+def test_words_are_counted_in_the_task(spark):
+    docs, _ = _tables(spark)
+    docs = docs.unionByName(spark.createDataFrame([(1, "mary once more, mary"), (None, "mary john"), (None, "mary")], docs.schema))
+    plain = layout.tokens(docs).groupBy("word").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"), F.min("gpos").alias("first_at"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(matching.word_index(docs)) == rows(plain)
+    plan = registry.queries()["word_index"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
