@@ -20,6 +20,9 @@ JOINED = "a long, b long, links long"
 #: A chunk of sets that is joined at once: so many sets on average, and sets times members of the largest.
 CHUNK_SETS, CHUNK_CELLS = 512, 400_000
 SALTS = 32
+#: Texts among which common n-grams are looked for (more if there are many parts, of which each gives some), n-grams
+#: of a text that are looked at, the texts that have a common one, and how many are known at most.
+SEEN, SEEN_OF_PART, SEEN_GRAMS, COMMON_TEXTS, COMMON_MOST = 20_000, 64, 4096, 6, 1 << 18
 
 
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -43,9 +46,9 @@ def schemes(size: int, percent: int) -> tuple[tuple[int, int, int], ...]:
     h = (a + b) (100 - p) / (100 + p) members, which spoil h parts of the members' space
     at most: of h + 1 + s parts they agree in s + 1. In an order of all parts, each set
     can then spare its first s: of the parts that two sets agree in, the last has s before
-    it in both. Small parts come first, so that it is the empty ones, and those which
-    unlike sets may have in common, that are spared. Classes in which linked sets can't
-    differ need no parts.
+    it in both. Parts with few members that are not common come first (`marks`), so that it is the empty ones, and
+    those which unlike sets may have in common, that are spared. Each set keeps h + 1 parts,
+    however many are spared. Classes in which linked sets can't differ need no parts.
     """
     low, held = 1, []
     while low <= size:
@@ -57,7 +60,7 @@ def schemes(size: int, percent: int) -> tuple[tuple[int, int, int], ...]:
         top = held[c][1]
         most = (top + 100 * top // percent) * (100 - percent) // (100 + percent)
         if most:
-            spared = most // 6 + 1
+            spared = most // 2 + 1
             out.append((c, most + 1 + spared, spared))
     return tuple(out)
 
@@ -67,16 +70,24 @@ def bounds(parts: int) -> np.ndarray:
     return np.array([((j << 64) // parts) for j in range(1, parts)], dtype=np.uint64)
 
 
-def marks(members: np.ndarray, percent: int) -> np.ndarray:
+def marks(members: np.ndarray, percent: int, common: np.ndarray | None = None) -> np.ndarray:
     """A value for each part of each pair class, equal where the sets' members in it are,
-    without the parts that can be spared."""
+    without the parts that can be spared: first those of members that are `common` (sorted) alone.
+
+    A line that many unlike texts have would link all of them by the parts in which it stands
+    alone, to one candidate component that grows faster than the input. Parts are ordered by what is in
+    them alone, so that sets agree in the order, and no link is lost, whatever counts as common."""
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(members ^ ODD[1]), dtype=np.uint64)])
+    rare = np.ones(len(members), bool)
+    if common is not None and len(common):
+        rare = common[np.minimum(np.searchsorted(common, members), len(common) - 1)] != members
+    ahead = np.concatenate([[0], np.cumsum(rare)])
     out = []
     for c, parts, spared in schemes(len(members), percent):
         cuts = np.concatenate([[0], np.searchsorted(members, bounds(parts)), [len(members)]])
         salt = mix64(np.arange(parts, dtype=np.uint64) * ODD[2] + np.uint64(c * 1_000_003 + parts))
         value = mix64(sums[cuts[1:]] - sums[cuts[:-1]] + salt)
-        out.append(value[np.lexsort((value, np.diff(cuts)))[spared:]])
+        out.append(value[np.lexsort((value, np.diff(cuts), np.diff(ahead[cuts])))[spared:]])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -109,7 +120,7 @@ FOUND_SCHEMA = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("n",
 JOINED_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
 
 
-def _mark(n: int, percent: int, buckets: int, hold: int = 1_500_000):
+def _mark(n: int, percent: int, buckets: int, common: np.ndarray, hold: int = 1_500_000):
     """Documents to rows of three kinds: a document's set; marks of a bucket, packed; edges
     between sets that met in this task already. A mark leaves the task once."""
 
@@ -134,7 +145,7 @@ def _mark(n: int, percent: int, buckets: int, hold: int = 1_500_000):
                     members = grams(words, n)
                     sizes.append(len(members))
                     nodes.append(name := node_of(members))
-                    if name not in names and len(got := marks(members, percent)):
+                    if name not in names and len(got := marks(members, percent, common)):
                         names.add(name)
                         held.append(got)
                         owners.append((name, len(got)))
@@ -191,6 +202,38 @@ def _sets(n: int):
     return run
 
 
+def _seen(n: int):
+    """Texts to the names of their sets, and some n-grams of each (the smallest values), packed."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                made = [grams(w, n) for w in _word_hashes(batch.column("text").slice(at, 512))]
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(m) for m in made], pa.int64()), pa.array([m[:SEEN_GRAMS].tobytes() for m in made], pa.binary())], names=["node", "members"])
+
+    return run
+
+
+def _counted(batches):
+    """Packed n-grams to (gram, n), the sets of a batch that have it."""
+    for batch in batches:
+        held = [np.frombuffer(m.as_buffer(), np.int64) for m in batch.column("members")]
+        gram, count = np.unique(np.concatenate(held) if held else np.zeros(0, np.int64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(count.astype(np.int64))], names=["gram", "n"])
+
+
+def common_grams(base: DataFrame, n: int) -> np.ndarray:
+    """n-grams that several of some unlike texts have, sorted: the first texts of each part, a bounded number.
+    They only say which marks are spared, so that results are the same whichever they are."""
+    each = max(SEEN_OF_PART, -(-SEEN // max(1, base._jdf.queryExecution().toRdd().getNumPartitions())))
+    some = base.select("text", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("at")).filter(F.col("at") < each)
+    sets = some.select("text").mapInArrow(giving_back(_seen(n)), "node long, members binary").groupBy("node").agg(F.first("members").alias("members"))
+    counts = sets.select("members").mapInArrow(giving_back(_counted), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    found = counts.filter(F.col("n") >= COMMON_TEXTS).orderBy(F.desc("n"), "gram").limit(COMMON_MOST).select("gram")
+    found = settle(found).collect()  # settled, so that its shuffles go before those of the marks come
+    return np.sort(np.array([r.gram for r in found], np.int64).astype(np.uint64))
+
+
 def _join(percent: int):
     """Sorted rows of (root, i, j) groups to links: edges that span the linked sets, and counts."""
 
@@ -282,8 +325,8 @@ def ngram_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 
     1. Documents with equal sets become one node, named by a 64-bit value of the set.
     2. The members' space is cut into so many parts that linked sets agree in one at
-       least (`schemes`); equal parts give candidate edges, as stars, so that a group of
-       k sets gives k - 1. No pair is lost and none is listed twice over.
+       least (`schemes`), parts of common n-grams spared (`common_grams`); equal parts give candidate
+       edges, as stars, so that a group of k sets gives k - 1. No pair is lost and none is listed twice over.
     3. Each candidate component is joined by a trie of its globally ordered sets
        (`prefix_tree`); a large one is dealt out as pairs of bounded chunks.
     """
@@ -291,7 +334,7 @@ def ngram_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     parts = parts_of(base, 64)
     buckets = parts * max(1, min(8, 24_000 // parts))  # a bucket is held at a time; a part has some
     found = settle(
-        base.mapInArrow(giving_back(_mark(n, percent, buckets)), FOUND)
+        base.mapInArrow(giving_back(_mark(n, percent, buckets, common_grams(base, n))), FOUND)
         .repartition(parts, "bucket")
         .sortWithinPartitions("bucket")
         .mapInArrow(giving_back(_meet), FOUND)

@@ -121,3 +121,49 @@ def test_grams_of_few_words():
     assert len(grams(np.zeros(0, np.uint64), 3)) == 0
     assert len(grams(np.arange(2, dtype=np.uint64), 3)) == 1
     assert schemes(5, 90) == ()
+
+
+def _with_a_line(rng, texts: int, line: int = 10, words: int = 45) -> list[np.ndarray]:
+    """Sets of unlike texts that have one line in common."""
+    said = rng.integers(0, 1 << 62, line)
+    return [np.unique(np.concatenate([said, rng.integers(0, 1 << 62, words - line)]).astype(np.uint64) * np.uint64(4)) for _ in range(texts)]
+
+
+def test_unlike_sets_with_a_common_line_are_not_one_candidate(spark):
+    """The largest group of sets that marks link does not grow with the sets that share a line."""
+    rng = np.random.default_rng(7)
+    sets = _with_a_line(rng, 1500)
+    gram, times = np.unique(np.concatenate(sets), return_counts=True)
+    top = list(range(len(sets)))
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    seen = {}
+    for i, s in enumerate(sets):
+        for m in marks(s, 80, gram[times > 5]).tolist():
+            top[find(i)] = find(seen.setdefault(m, i))
+    assert np.bincount([find(i) for i in range(len(sets))]).max() < 150  # 491 when common n-grams were not told apart
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_sets_share_a_mark_whatever_is_common(percent):
+    rng = np.random.default_rng(8)
+    for size in [*range(1, 60, 3), 100, 333]:
+        a = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64) * np.uint64(2))
+        for share in (0.3, 0.9, 1.0):
+            shared = -(-(percent * 2 * size) // (100 + percent))
+            b = np.unique(np.concatenate([rng.permutation(a)[:shared], rng.integers(0, 1 << 63, size - shared).astype(np.uint64)]))
+            common = np.sort(rng.permutation(np.union1d(a, b))[: int(share * len(np.union1d(a, b)))])
+            if len(np.setxor1d(a, b)) and brute_links([a, b], percent):
+                assert set(marks(a, percent, common).tolist()) & set(marks(b, percent, common).tolist()), (size, share)
+
+
+def test_common_grams_are_those_of_unlike_texts(spark):
+    from inkveil.llm.ngram_join import common_grams
+
+    line = "all rights of this text are held by its author"
+    rows = [(f"{line} a{i} b{i} c{i} d{i} e{i} f{i}",) for i in range(9)] + [("one text that is copied often and so not common",)] * 30 + [(None,), ("",)]
+    assert len(common_grams(spark.createDataFrame(rows, "text string"), 5)) == 6  # of the line's ten words
