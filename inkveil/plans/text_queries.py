@@ -128,13 +128,13 @@ def highlight_boxes(spark, sf_dir):
 @query(f"WITH {TOKENS[1:]}{TERMS} SELECT term_id, count(b.doc_id) AS hits FROM terms LEFT JOIN boxes b USING (term_id) GROUP BY term_id")
 def term_hits(spark, sf_dir):
     terms = terms_of(spark, sf_dir)
-    return matching.term_hits(terms, matching.rects(read(spark, sf_dir, "documents"), terms))
+    return matching.term_hits(terms, matching.box_counts(read(spark, sf_dir, "documents"), terms))
 
 
 @query(f"WITH {TOKENS[1:]}{TERMS} SELECT term_id, term FROM terms WHERE term_id NOT IN (SELECT term_id FROM boxes)")
 def unapplied_terms(spark, sf_dir):
     terms = terms_of(spark, sf_dir)
-    return matching.unapplied(terms, matching.rects(read(spark, sf_dir, "documents"), terms))
+    return matching.unapplied(terms, matching.box_counts(read(spark, sf_dir, "documents"), terms))
 
 
 @query(f"""WITH {TOKENS[1:]}{TERMS}, proposals AS (SELECT 'rule' || (term_id % 4) AS rule_name, term, term_id FROM terms),
@@ -142,7 +142,7 @@ applied AS (SELECT DISTINCT term FROM terms WHERE term_id IN (SELECT term_id FRO
 SELECT rule_name, count(*) AS n_proposed, count(a.term) AS n_applied FROM proposals p LEFT JOIN applied a USING (term) GROUP BY rule_name""")
 def rule_summary(spark, sf_dir):
     terms = terms_of(spark, sf_dir)
-    boxes = matching.rects(read(spark, sf_dir, "documents"), terms)
+    boxes = matching.box_counts(read(spark, sf_dir, "documents"), terms)
     proposals = terms.select(F.concat(F.lit("rule"), (F.col("term_id") % 4).cast("string")).alias("rule_name"), "term")
     return matching.rule_summary(proposals, terms.join(boxes.select("term_id"), "term_id", "left_semi"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import SMOKE_DIR, queries
 from inkveil.operators import images, layout
-from inkveil.operators.matching import ocr_matches, packed
+from inkveil.operators.matching import box_counts, ocr_matches, packed, rects, term_hits
 
 
 def exchanges(df) -> int:
@@ -50,3 +50,16 @@ def test_packed_words_are_those_of_ocr_words(spark):
 def test_word_starts_of_lines(spark):
     rows = spark.createDataFrame([(["ab", "c", "def"],), ([],), (["é"],)], "words array<string>")
     assert [r.at for r in rows.select(layout.word_starts(F.col("words")).alias("at")).collect()] == [[0.0, 3.0, 5.0], [], [0.0]]
+
+
+def test_boxes_are_counted_where_they_are_found(spark):
+    texts = ["one two\nthree\n\n--\nfour one", "two three-four\nfive", "two three-\nfour\nfive one's", "", None, "… one two\nthree four"]
+    docs = spark.createDataFrame([(i % 5, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    said = ["one", "two three four one", "three-four five", "two three", "none of it", "…", "one"]
+    terms = spark.createDataFrame([(str(k), t) for k, t in enumerate(said)], "term_id string, term string")
+    want = {(r.term_id, r["count"]) for r in rects(docs, terms).groupBy("term_id").count().collect()}
+    counts = box_counts(docs, terms)
+    assert {(r.term_id, r.boxes) for r in counts.collect()} == want and ("1", 3) in want
+    assert {(r.term_id, r.hits) for r in term_hits(terms, counts).collect()} == want | {("4", 0), ("5", 0)}
+    for name in ("term_hits", "unapplied_terms", "rule_summary"):
+        assert "explode(spans" not in queries()[name](spark, SMOKE_DIR)._jdf.queryExecution().toString(), name
