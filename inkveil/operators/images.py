@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.raster import pixel_hash
 from ..functions.text import PLATES, normalised_words
-from .detect import chunked_service
-from .matching import boxed, containing, first_words, ocr_matches, packed
+from ..sources.shared import settle
+from .detect import asked_chunks, calls_of
+from .matching import SENT, boxed, containing, first_words, ocr_matches, packed
 
 #: Bounds of what a vision service takes: encoded bytes, and each side in pixels.
 MOST_BYTES, SIDES = 20 * 1024 * 1024, (50, 16000)
@@ -18,6 +20,8 @@ MOST_BYTES, SIDES = 20 * 1024 * 1024, (50, 16000)
 HIGHLIGHT = (0.2157, 0.898, 1.0)
 #: Annotation kinds whose box is told by their first and last corner.
 MARKUP_KINDS = (8, 12)
+#: Images with a string that are sent to all tasks at most, to find their words; more are joined.
+FEW = 1 << 17
 #: Fixed value: how a failed text detection is named.
 FAILED = "Text Detection Failed"
 
@@ -54,11 +58,12 @@ def ocr_words(pages: DataFrame, key: str = "image_id") -> DataFrame:
 
 def ocr_packed(pages: DataFrame, key: str = "image_id", kind: str = "int") -> DataFrame:
     """Nested blocks, lines and words, a row an image, to (key, words): what `ocr_words` gives as an array
-    (at, text, box) in the row, box of numbers of the given kind. Nothing is moved."""
+    (at, text, box) in the row, box of numbers of the given kind; empty where there are no words. Nothing is moved."""
     words = F.flatten(F.flatten(F.transform("blocks", lambda b: F.transform(b["lines"], lambda w: w["words"]))))
     corner = lambda w, i, k, c: F.element_at(w["polygon"], i)[k].cast(kind).alias(c)
     box = lambda w: F.struct(corner(w, 1, "x", "x0"), corner(w, 1, "y", "y0"), corner(w, 3, "x", "x1"), corner(w, 3, "y", "y1")).alias("box")
-    return pages.select(key, F.transform(words, lambda w, i: F.struct(i.cast("int").alias("at"), w["text"].alias("text"), box(w))).alias("words")).filter("size(words) > 0")
+    # not filtered: what a filter asks of the words would be worked out once more
+    return pages.select(key, F.transform(F.coalesce(words, F.slice(words, 1, 0)), lambda w, i: F.struct(i.cast("int").alias("at"), w["text"].alias("text"), box(w))).alias("words"))
 
 
 def with_pixel_hash(images: DataFrame, content: str = "content", name: str = "content_hash") -> DataFrame:
@@ -90,11 +95,11 @@ def boxes_by_image(*found: DataFrame, key: str = "image_id") -> DataFrame:
     return rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("name", "box"))).alias("pairs")).select(key, F.transform("pairs", lambda p: p["name"]).alias("names"), F.transform("pairs", lambda p: p["box"]).alias("boxes"))
 
 
-def strings_by_image(strings: DataFrame, images: DataFrame) -> DataFrame:
+def strings_by_image(strings: DataFrame, images: DataFrame, blocks: int = 1) -> DataFrame:
     """(image_id, term): each term goes to the images whose text has it anywhere, case counting;
-    failed texts get none."""
+    failed texts get none. `blocks` as of `matching.containing`."""
     held = images.filter(F.col("text") != FAILED).select("image_id", F.array("text").alias("forms"))
-    return containing(held, ["image_id"], "forms", strings.select("term", F.col("term").alias("string")).distinct(), "term", "string")
+    return containing(held, ["image_id"], "forms", strings.select("term", F.col("term").alias("string")).distinct(), "term", "string", blocks)
 
 
 def annotations(pages: DataFrame, kinds: tuple[int, ...] | None = None) -> DataFrame:
@@ -174,7 +179,7 @@ def seen_texts(words: DataFrame) -> DataFrame:
     return packed(words).select("image_id", _seen(F.col("words")).alias("text"))
 
 
-def image_text(images: DataFrame, words: DataFrame, rule: dict, size: int = 6000, overlap: int = 250) -> tuple[DataFrame, DataFrame]:
+def image_text(images: DataFrame, words: DataFrame | Callable[[DataFrame], DataFrame], rule: dict, size: int = 6000, overlap: int = 250, texts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(boxes, calls) of a service that is asked about the text of images, chunk by chunk.
 
     images (image_id, width, height, error); words (image_id, at, text, box), loose or packed. The texts' chunks
@@ -183,14 +188,24 @@ def image_text(images: DataFrame, words: DataFrame, rule: dict, size: int = 6000
     counting, and is found again among their words: (image_id, name, box), name being the
     string. An image whose text detection failed gets a box over all of it and is not sent;
     one without words gives nothing. calls are as of `detect.chunked_service`.
+
+    Of images without a string no words are looked at. Where these are to be unpacked, words may be a function of
+    (image_id) that gives those of these images alone, with `texts` (image_id, text): all words of each image,
+    with spaces, as `seen_texts` tells them otherwise.
     """
-    fine = packed(words).join(images.filter("error IS NULL").select("image_id"), "image_id", "left_semi")
-    texts = seen_texts(fine)
-    proposals, calls = chunked_service(texts.select(F.col("image_id").alias("doc_id"), "text"), rule, size, overlap)
-    strings = proposals.select("term").distinct()
-    met = strings_by_image(strings, texts).select("image_id", "term", F.sha2(F.concat_ws(":", F.col("image_id").cast("string"), "term"), 256).alias("term_id"))
-    boxes = ocr_matches(fine, met).join(met, ["image_id", "term_id"]).select("image_id", F.col("term").alias("name"), "box")
-    return boxes.unionByName(failed_images(images)).distinct(), calls
+    fine = images.filter("error IS NULL").select("image_id").distinct()
+    texts = (seen_texts(words) if texts is None else texts).join(fine, "image_id", "left_semi")
+    _, answers = asked_chunks(texts.select(F.col("image_id").alias("doc_id"), "text"), rule, size, overlap)
+    strings = settle(answers.select(F.explode("terms").alias("term")).distinct())
+    n_bytes = strings.agg(F.coalesce(F.sum(F.octet_length("term") + 16), F.lit(0))).first()[0]
+    met = settle(strings_by_image(strings, texts, 1 if n_bytes <= SENT else -(-2 * n_bytes // SENT)))
+    # only words of images that have a string are looked at; where these are few, no words are moved
+    some, few = met.select("image_id").distinct(), met.count() <= FEW
+    own = met.select("image_id", F.col("term").alias("term_id"), "term")
+    some = F.broadcast(some) if few else some
+    held = packed(words(some) if callable(words) else words.join(some, "image_id", "left_semi"))
+    boxes = ocr_matches(held, own, few=few).select("image_id", F.col("term_id").alias("name"), "box")
+    return boxes.unionByName(failed_images(images)).distinct(), calls_of(answers)
 
 
 def failed_images(images: DataFrame) -> DataFrame:

@@ -49,12 +49,15 @@ def corner_boxes(spark, sf_dir):
     return derived(spark, sf_dir, BOXES).select("id", box.alias("q")).select("id", "q.*")
 
 
-def _ocr(spark, sf_dir):
-    """Documents as what text detection gives for images: a block a text, its lines, their words in polygons."""
+def _ocr(spark, sf_dir, only=None):
+    """Documents as what text detection gives for images: a block a text, its lines, their words in polygons;
+    with `only` (image_id) for these images alone."""
+    docs = read(spark, sf_dir, "documents")
+    docs = docs if only is None else docs.join(only, F.col("doc_id") == F.col("image_id"), "left_semi")
     point = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
     words = lambda line, y: F.transform(F.split(line, " "), lambda w, i: F.struct(w.alias("text"), F.array(point(i * 10, y * 20), point(i * 10 + F.length(w), y * 20), point(i * 10 + F.length(w), y * 20 + 10), point(i * 10, y * 20 + 10)).alias("polygon")))
     lines = F.transform(F.split("text", "\n"), lambda line, y: F.struct(words(line, y).alias("words")))
-    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"), F.array(F.struct(lines.alias("lines"))).alias("blocks"))
+    return docs.select(F.col("doc_id").alias("image_id"), F.array(F.struct(lines.alias("lines"))).alias("blocks"))
 
 
 OCR_ROWS = """SELECT image_id, CAST(unnest(range(len(ws))) AS INT) AS "at", unnest(ws, recursive := true) FROM (SELECT doc_id AS image_id, flatten(list_transform(string_split(text, chr(10)), lambda l, y: list_transform(string_split(l, ' '),

@@ -63,3 +63,27 @@ def test_boxes_are_counted_where_they_are_found(spark):
     assert {(r.term_id, r.hits) for r in term_hits(terms, counts).collect()} == want | {("4", 0), ("5", 0)}
     for name in ("term_hits", "unapplied_terms", "rule_summary"):
         assert "explode(spans" not in queries()[name](spark, SMOKE_DIR)._jdf.queryExecution().toString(), name
+
+
+def test_words_of_images_without_a_string_are_not_looked_at(spark):
+    rows = [(i, f"ann{i}@b.com to\nall" if i % 10 == 0 else f"nothing here of {i}\nat all") for i in range(60)]
+    docs = spark.createDataFrame([*rows, (60, None), (61, ""), (62, "lost ann0@b.com")], "image_id long, text string").repartition(4)
+    shown = docs.selectExpr("image_id", "9 AS width", "9 AS height", "CASE WHEN image_id = 62 THEN 'timeout' END AS error")
+    box = F.struct(*[F.lit(float(k)).alias(c) for k, c in enumerate(("x0", "y0", "x1", "y1"))])
+    word = F.transform(F.split("text", "[ \n]"), lambda w, i: F.struct(i.alias("at"), w.alias("text"), box.alias("box")))
+    words = docs.filter("text IS NOT NULL").select("image_id", word.alias("words"))
+    rule = {"name": "t", "call": lambda chunk: ([w for w in chunk.split() if "@" in w], 1, 1)}
+    asked = []
+
+    def of(some):
+        asked.extend(r.image_id for r in some.collect())
+        return words.join(some, "image_id", "left_semi")
+
+    said = docs.select("image_id", F.translate("text", "\n", " ").alias("text"))
+    want = {(i, f"ann{i}@b.com") for i in range(0, 60, 10)} | {(62, images.FAILED)}
+    for form, texts in ((words, None), (words.select("image_id", F.inline("words")), None), (of, said)):
+        boxes, calls = images.image_text(shown, form, rule, texts=texts)
+        assert {(r.image_id, r.name) for r in boxes.collect()} == want and calls.count() == 60
+        plan = boxes._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in plan.split("\n") if "Exchange hashpartitioning(image_id" in x and "words" in x]
+    assert sorted(asked) == list(range(0, 60, 10))
